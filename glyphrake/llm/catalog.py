@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from glyphrake.llm import mixing, packing, sharding
+from glyphrake.llm import mixing, packing, sharding, simhash
 
 QUERIES = {
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
+    "op7_simhash_components": simhash.op7_simhash_components,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
     "op9_pack_sequences": packing.op9_pack_sequences,
 }
