@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from glyphrake.llm import mixing, packing, sharding, simhash
+from glyphrake.llm import imatch, langid, mixing, neighbours, packing, sharding, simhash, substrings, toxicity, urls
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_curriculum_mix": mixing.op2_curriculum_mix,
+    "op3_imatch": imatch.op3_imatch,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op5_url_filter": urls.op5_url_filter,
+    "op6_adaptive_scan": neighbours.op6_adaptive_scan,
     "op7_simhash_components": simhash.op7_simhash_components,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
     "op9_pack_sequences": packing.op9_pack_sequences,
+    "op10_language_spans": langid.op10_language_spans,
 }
 ORACLES = {"op2_curriculum_mix": mixing.ORACLE_SQL}
