@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphrake.llm.common import buckets_for, materialize, prefix_sum, table
+from glyphrake.llm.common import buckets_for, materialize, prefix_sum, table, unused
 
 #: A word; null texts have none.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,6 +115,22 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return copies.orderBy("position", "doc_id", "epoch")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs in training order: each document as often as the mix takes it, with its own columns.
+
+    Texts are dealt once by id to meet their positions and once by range of position.
+    Rows alike in id and text are told apart by number, so that each is placed once.
+    """
+    key, nth = unused(docs, "_text_hash"), unused(docs, "_nth")
+    alike = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
+    rows = docs.withColumn(key, F.xxhash64("text")).withColumn(nth, F.row_number().over(alike))
+    plan = plan_mix(docs.withColumn(key, F.xxhash64("text")), keep=[key], **options).select("doc_id", key, "positions").withColumn(nth, F.row_number().over(alike))
+    plan = plan.where(F.size("positions") > 0).select(F.col("doc_id").alias("_plan_id"), F.col(key).alias("_plan_hash"), F.col(nth).alias("_plan_nth"), "positions")
+    same = F.col("doc_id").eqNullSafe(F.col("_plan_id")) & (F.col(key) == F.col("_plan_hash")) & (F.col(nth) == F.col("_plan_nth"))
+    placed = rows.join(plan, same).select(*docs.columns, F.explode("positions").alias("_position"))
+    return placed.orderBy("_position", "doc_id").select(*docs.columns)
+
+
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     rows = plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))

@@ -266,6 +266,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, d
     return found.join(labels, "node").select("doc_id", "fingerprint", "component_id")
 
 
+def first_of_each(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """docs with one document of each group of near copies: the one with the smallest id.
+
+    similarity is that of sets of shingles (intersection over union).  The angle that
+    goes with it gives the share of bits that may differ; with 256 bits the estimate
+    strays by 2 to 3 bits in a hundred.  Of rows that repeat an id one stays; rows with a
+    null id all stay.
+    """
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    found = near_duplicates(docs, shingle, bits, round(angle * bits), recall)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")

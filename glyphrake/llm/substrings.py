@@ -229,5 +229,15 @@ def _cut(text: str, words: Sequence[bytes], drop: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs with repeated words taken out of text and n_chars set anew; documents of which nothing is left go.
+
+    Documents without repeats keep their text as it is; those without words stay.
+    """
+    rows = remove_repeats(docs, **options).where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
+    new = {"text": F.col("text_kept"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text_kept").cast("long")).otherwise(F.col("n_chars"))}
+    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
