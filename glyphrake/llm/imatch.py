@@ -156,7 +156,13 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     ranges = max(1, min(MOST_RANGES, n // RANGE))
     cuts = sorted({float(x) for x in ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20_000)).first()[0]}) if ranges > 1 else []
     keyed = docs.where("doc_id is not null").withColumn("id_number", F.col("doc_id").cast("double"))
-    ranged = lambda df: Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="id_number", outputCol="place").transform(df).withColumn("place", F.col("place").cast("int")).drop("id_number")
+
+    def ranged(df: DataFrame) -> DataFrame:
+        if not cuts:
+            return df.withColumn("place", F.lit(0)).drop("id_number")
+        bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="id_number", outputCol="place").transform(df)
+        return bucketed.withColumn("place", F.col("place").cast("int")).drop("id_number")
+
     tops = sorted((r["place"], r["top"]) for r in ranged(ids.withColumn("id_number", F.col("doc_id").cast("double"))).groupBy("place").agg(F.max("doc_id").alias("top")).collect())
     follows = [(tops[i - 1][1], place) for i, (place, _) in enumerate(tops)]  # what is before the lowest range wraps around
     halo = docs.sparkSession.createDataFrame(follows, "top long, goes_to int")
