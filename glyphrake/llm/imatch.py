@@ -169,7 +169,7 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     rows = ranged(keyed).join(F.broadcast(halo), F.col("doc_id") == F.col("top"), "left")
     there = F.array(F.struct("place", F.lit(0).alias("extra")), F.struct(F.col("goes_to").alias("place"), F.lit(1).alias("extra")))
     rows = rows.select("doc_id", "text", F.explode(there).alias("there")).select("doc_id", "text", "there.place", "there.extra").where("place is not null")
-    return rows.repartition(max(1, len(tops)), "place").sortWithinPartitions("place", "extra", F.desc("doc_id"), F.xxhash64("text"))
+    return rows.repartitionById(ranges, "place").sortWithinPartitions("place", "extra", F.desc("doc_id"), F.xxhash64("text"))
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
