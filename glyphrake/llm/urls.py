@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from glyphrake.llm.common import pieces_of, table
 
@@ -169,7 +170,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*batch.schema.names, "score"])
 
     plain = rows.select("page_id", "host", "path", "rule", "ruled", "text")
-    scored = plain.mapInArrow(score, plain.schema.add("score", "double"))
+    scored = plain.mapInArrow(score, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= models.bound, "allow").otherwise("block")).alias("verdict"), "score")
 
 
