@@ -121,14 +121,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Texts are dealt once by id to meet their positions and once by range of position.
     Rows alike in id and text are told apart by number, so that each is placed once.
     """
-    key, nth = unused(docs, "_text_hash"), unused(docs, "_nth")
+    key, nth, places, place = (unused(docs, c) for c in ("_text_hash", "_nth", "_places", "_place"))
     alike = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
     rows = docs.withColumn(key, F.xxhash64("text")).withColumn(nth, F.row_number().over(alike))
-    plan = plan_mix(docs.withColumn(key, F.xxhash64("text")), keep=[key], **options).select("doc_id", key, "positions").withColumn(nth, F.row_number().over(alike))
-    plan = plan.where(F.size("positions") > 0).select(F.col("doc_id").alias("_plan_id"), F.col(key).alias("_plan_hash"), F.col(nth).alias("_plan_nth"), "positions")
-    same = F.col("doc_id").eqNullSafe(F.col("_plan_id")) & (F.col(key) == F.col("_plan_hash")) & (F.col(nth) == F.col("_plan_nth"))
-    placed = rows.join(plan, same).select(*docs.columns, F.explode("positions").alias("_position"))
-    return placed.orderBy("_position", "doc_id").select(*docs.columns)
+    plan = plan_mix(docs.withColumn(key, F.xxhash64("text")), keep=[key], **options).where(F.size("positions") > 0).select("doc_id", key, "positions").withColumn(nth, F.row_number().over(alike))
+    plan = plan.select(F.col("doc_id").alias(f"{key}_id"), F.col(key).alias(f"{key}_2"), F.col(nth).alias(f"{nth}_2"), F.col("positions").alias(places))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_2")) & (F.col(nth) == F.col(f"{nth}_2"))
+    placed = rows.join(plan, same).select(*docs.columns, F.explode(places).alias(place))
+    return placed.orderBy(place, "doc_id").select(*docs.columns)
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,19 +179,14 @@ def _removed(texts: Sequence[str], spans: Sequence, windows: Sequence, window: i
     return words, found.begin, found.covered(np.flatnonzero(repeated))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
-    """docs with text_kept, the text without repeated words, n_words, n_removed and kept_sha256.
+OUT = ("text_kept", "n_words", "n_removed", "kept_sha256")
 
-    A word goes if a window of window words that covers it also starts in a document
-    with a smaller doc_id; windows are those of the input.  Kept words stand as they
-    were, with the blanks after them.  Null texts have no words and stay null; short
-    texts have no windows.  Rows with a null doc_id are neither earlier nor later than
-    others and keep all words.  Rows that repeat an id are compared with other ids only.
-    Other columns pass through.
-    """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    prepared = repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others), window, seed_words).select("doc_id", "text", "spans", "windows", *others)
-    out_schema = prepared.select("doc_id", "text", *others).schema.add("text_kept", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+
+def _rewritten(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
+    """doc_id, text, rest (a struct of the other columns) and OUT, whatever the other columns are called."""
+    rest = F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    prepared = repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest")), window, seed_words).select("doc_id", "text", "spans", "windows", "rest")
+    out_schema = prepared.select("doc_id", "text", "rest").schema.add("text_kept", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,11 +202,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED
                     digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                     kept_texts.append(text if not n else _cut(text, own, drop))
             texts_out = pa.array([None if was is None else new for was, new in zip(batch.column(1).to_pylist(), kept_texts)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *batch.columns[4:], texts_out, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], names=out_schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), texts_out, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=out_schema.names)
 
     return prepared.mapInArrow(run, out_schema)
 
 
+def remove_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
+    """docs with text_kept, the text without repeated words, n_words, n_removed and kept_sha256.
+
+    A word goes if a window of window words that covers it also starts in a document
+    with a smaller doc_id; windows are those of the input.  Kept words stand as they
+    were, with the blanks after them.  Null texts have no words and stay null; short
+    texts have no windows.  Rows with a null doc_id are neither earlier nor later than
+    others and keep all words.  Rows that repeat an id are compared with other ids only.
+    Other columns pass through, but for columns of the same names as the new ones.
+    """
+    rows = _rewritten(docs, window, seed_words)
+    return rows.select(*(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in OUT), *OUT)
+
+
 def _cut(text: str, words: Sequence[bytes], drop: np.ndarray) -> str:
     """The text without the dropped words and the blanks after them."""
     raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
@@ -234,9 +243,9 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
     Documents without repeats keep their text as it is; those without words stay.
     """
-    rows = remove_repeats(docs, **options).where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
-    new = {"text": F.col("text_kept"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    rows = _rewritten(docs, options.get("window", WINDOW), options.get("seed_words", SEED_WORDS)).where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
+    new = {"text": F.col("text_kept"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text_kept").cast("long"))}
+    return rows.select(*(F.coalesce(new[c], F.col(f"rest.c{i}")).alias(c) if c in new else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
