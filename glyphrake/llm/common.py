@@ -13,9 +13,12 @@ import uuid
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that Python workers get at a time.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 #: Rows that one bucket of a two-level prefix sum is meant to hold, and the bounds on the number of buckets.
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 2_000, 64, 65_536
 
@@ -37,7 +40,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver found it."""
+    """Let Python workers import this package where the driver found it, and hand them texts in small batches.
+
+    The usual ten thousand rows of long texts would take an executor's memory several
+    times over (in the JVM, on the way and in Python).  A size set by the user stays.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
@@ -91,6 +100,19 @@ def pieces_of(texts: Sequence[str], most_chars: int) -> Iterator[tuple[int, int]
         yield begin, len(texts)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_rows: int = 10_000, most_bytes: int = 24_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a number of rows and bytes, for work that pays by the batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and (sum(b.num_rows for b in held) + batch.num_rows > most_rows or sum(b.nbytes for b in held) + batch.nbytes > most_bytes):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it until df has no such column."""
     taken = {c.lower() for c in df.columns}
