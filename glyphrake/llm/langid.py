@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphrake.llm.common import pieces_of, table
+from glyphrake.llm.common import gathered, pieces_of, table
 
 #: Cells of the trigram table of a language, cost of a switch in nats, added to every cell's count, least share of a script.
 CELLS, SWITCH, SMOOTH, LEAST_SHARE = 1 << 16, 12.0, 0.05, 0.002
@@ -29,10 +29,10 @@ SCRIPTS = (
     (0x08A0, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "other"), (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"),
     (0x0D00, "malayalam"), (0x0D80, "other"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1780, "khmer"), (0x1800, "other"),
     (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1D00, "latin"), (0x1F00, "greek"), (0x2000, "latin"), (0x2DE0, "cyrillic"), (0x2E00, "other"), (0x2E80, "han"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "han"),
-    (0xA000, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0x10000, "other"), (0x20000, "han"), (0x30000, "other"),
+    (0xA000, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0x10000, "other"), (0x20000, "han"),
 )
 SCRIPT_NAMES = tuple(sorted({name for _, name in SCRIPTS}))
-_TABLE = 0x20000
+_TABLE = 0x34000  # beyond it there are no letters
 
 
 @cache
@@ -57,7 +57,7 @@ class Words:
         lower, script = _tables()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         codes = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        small = np.where(codes < _TABLE, lower[np.minimum(codes, _TABLE - 1)], codes * (codes < 0x30000))
+        small = lower[np.minimum(codes, _TABLE - 1)]
         at = np.flatnonzero(small)
         here = small[at].astype(np.uint64)
         hashed = (small[at - 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + here * np.uint64(0xC2B2AE3D27D4EB4F) + small[at + 1].astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
@@ -68,7 +68,7 @@ class Words:
         begin = np.concatenate(([1], 1 + np.cumsum(sizes)))
         self.doc = np.searchsorted(begin, self.first, side="right") - 1
         self.offset = self.first - begin[self.doc]
-        self.script = np.where(codes[self.first] < _TABLE, script[np.minimum(codes[self.first], _TABLE - 1)], SCRIPT_NAMES.index("han"))
+        self.script = script[codes[self.first]]
 
 
 def _fold(key: Column) -> Column:
@@ -87,6 +87,8 @@ class Model:
         self.languages = languages
         self.scores = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * CELLS)).astype(np.float32)
         self.claims = scripts >= LEAST_SHARE * scripts.sum(axis=1, keepdims=True).clip(1) if len(languages) else np.zeros((0, len(SCRIPT_NAMES)), bool)
+        # a script that no language claims leaves them all
+        self.claims |= ~self.claims.any(axis=0)
 
     def score(self, words: Words) -> np.ndarray:
         """Scores of words by language; those that the script rules out get a very low one."""
@@ -165,16 +167,16 @@ def train(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and, if wanted, spans (start and end character, lang) of every document.
 
-    score is the share of the labelled letters that lang_pred has.  Texts that are null
-    or have no letter, or only letters that no learned language uses, are und with score
-    0 and no spans; without training rows all are.  Ties go to the first language by name.
+    score is the share of the letters that lang_pred has.  Texts that are null or have
+    no letter are und with score 0 and no spans; without training rows all are.  Ties go
+    to the first language by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, width = shared.value, len(shared.value.languages)
-        for batch in batches:
+        for batch in gathered(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             scores, doc, letters, offset = [np.zeros((0, width), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for begin, end in pieces_of(texts, CHARS if width < 16 else CHARS // 8):
