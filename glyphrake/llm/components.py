@@ -11,7 +11,8 @@ from glyphrake.llm.common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    # a table of its own, so that Spark can split a hub
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")), "components-least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 

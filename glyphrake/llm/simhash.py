@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphrake.llm.common import materialize, table
+from glyphrake.llm.common import gathered, materialize, table
 from glyphrake.llm.components import connected_components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
@@ -107,10 +107,10 @@ def _finer_keys(rows: DataFrame, bits: int, distance: int) -> DataFrame:
 def _sampled_keys(node: DataFrame, bits: int, distance: int, recall: float, rows: int) -> DataFrame:
     """Keys of sampled bits, in so many tables that a pair at the distance meets in one of them with probability recall.
 
-    A key has two bits fewer than it takes to number the fingerprints, so that chance
+    A key has four bits fewer than it takes to number the fingerprints, so that chance
     neighbours stay a few per key at any size.
     """
-    width = min(48, max(12, math.ceil(math.log2(max(rows, 2))) - 2))
+    width = min(48, max(10, math.ceil(math.log2(max(rows, 2))) - 4))
     meet = (1 - distance / bits) ** width
     tables = math.ceil(math.log(1 - recall) / math.log(1 - meet))
     drawn = np.random.default_rng(20_240_229)
@@ -206,9 +206,7 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool) -> Data
             a, b = _links(node, ring, start, key, distance, chained)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             key = batch.column(3).to_numpy()
             change = np.flatnonzero(key[1:] != key[:-1])
             cut = int(change[-1]) + 1 if len(change) else 0
@@ -245,24 +243,51 @@ def link_fingerprints(nodes: DataFrame, bits: int = BITS, distance: int = DISTAN
     return calm.unionByName(_link_runs(_finer_keys(keys.join(crowded, "key", "left_semi"), bits, distance), bits, distance, True))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None) -> DataFrame:
+def _similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, bits: int, similarity: float) -> DataFrame:
+    """The links whose documents' sets of shingles are similar (intersection over union).
+
+    The first document of a fingerprint stands for it.  Only documents with links have
+    their shingles read; each link meets the two sets by equal joins.
+    """
+    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash-candidates")
+    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(linked, "node").select("node", "fingerprint", "first_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(node, np.unique(_shingle_hashes(text, shingle)).view(np.int64)) for node, fingerprint, text in zip(*(c.to_pylist() for c in batch.columns)) if simhash(text, shingle, bits) == fingerprint]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(wanted, "first_id").select("node", "fingerprint", "text")
+    sets = materialize(texts.mapInArrow(read, "node long, shingles array<long>").dropDuplicates(["node"]), "simhash-shingles")
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id of every document.
 
     component_id is the smallest doc_id that links lead to, the document's own included.
     Texts that are null or have no words have fingerprint zero and link like others.
     Rows with a null id take part and get the component of their fingerprint (null if
     only such rows are in it).  Repeated rows stay.  Only distinct fingerprints are
-    compared, so exact copies cost one row each.
+    compared, so exact copies cost one row each.  With similarity, links between
+    different fingerprints also need that similarity of their sets of shingles.
     """
     found = materialize(fingerprints(docs, shingle, bits), "simhash-fingerprints")
     as_node = F.conv(F.hex("fingerprint"), 16, -10).cast("long") if bits == 64 else F.xxhash64("fingerprint")
     found = found.withColumn("node", as_node)
     nodes = materialize(found.groupBy("node", "fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = connected_components(link_fingerprints(nodes.select("node", "fingerprint"), bits, distance, recall), "simhash-links")
+    links = link_fingerprints(nodes.select("node", "fingerprint"), bits, distance, recall)
+    if similarity is not None:
+        links = _similar(links, nodes, docs, shingle, bits, similarity)
+    roots = connected_components(links, "simhash-links")
     linked = nodes.join(roots, "node").select("node", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = linked.join(least, "root").select("node", "component_id")
-    labels = nodes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    # a table of its own, so that Spark can split a fingerprint that very many documents have
+    labels = materialize(nodes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-labels")
     return found.join(labels, "node").select("doc_id", "fingerprint", "component_id")
 
 
@@ -270,12 +295,13 @@ def first_of_each(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity
     """docs with one document of each group of near copies: the one with the smallest id.
 
     similarity is that of sets of shingles (intersection over union).  The angle that
-    goes with it gives the share of bits that may differ; with 256 bits the estimate
-    strays by 2 to 3 bits in a hundred.  Of rows that repeat an id one stays; rows with a
-    null id all stay.
+    goes with it gives the share of bits that may differ; one standard deviation is added,
+    and what links then is checked on the sets.  Of rows that repeat an id one stays; rows
+    with a null id all stay.
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    found = near_duplicates(docs, shingle, bits, round(angle * bits), recall)
+    distance = int(bits * angle + math.sqrt(bits * angle * (1 - angle)))
+    found = near_duplicates(docs, shingle, bits, distance, recall, similarity)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
