@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphrake.functions.symbols import bits_for, byte_at, log2_floor, modular_add, modular_sub, narrowed, to_bytes
@@ -19,9 +19,10 @@ SEARCHED = ("on", "the", "anan", "é", "zzqx")
 PART_PATTERNS = ("red widget", "red", "e")
 EVENT_KINDS = ("click", "error", "purchase", "signup", "view")
 EVENT_PATTERNS = ((5, 1, 3), (1, 1), (2, 5))
+NATION_SEARCHES = (("prefix", "I"), ("prefix", "AN"), ("suffix", "A"), ("exact", "CHINA"), ("exact", "A"))
 SAMPLE_LEVEL, REACH = 2, 8
 
-_INDEXES: dict[tuple[str, str], PieceIndexWithLocate] = {}
+_INDEXES: dict[tuple[str, str, str], PieceIndexWithLocate] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,19 +30,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Input files may be a single row group: deal the rows to all cores once."""
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+    """Deal the rows of a few-part input (a file of one row group, say) to all cores; larger inputs are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return from_table(_read(spark, sf_dir, "benchmark"), "item_id", "text")
+def _corpus(spark: SparkSession, sf_dir: str, name: str = "benchmark", piece_id: str = "item_id", text: str = "text") -> Corpus:
+    return from_table(_read(spark, sf_dir, name), piece_id, text)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> PieceIndexWithLocate:
-    """The index of the benchmark texts, built once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _index(spark: SparkSession, sf_dir: str, *source: str) -> PieceIndexWithLocate:
+    """The index of a table's texts (the benchmark's), built once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "".join(source[:1]))
     if key not in _INDEXES:
-        _INDEXES[key] = PieceIndexWithLocate(_corpus(spark, sf_dir), SAMPLE_LEVEL)
+        _INDEXES[key] = PieceIndexWithLocate(_corpus(spark, sf_dir, *source), SAMPLE_LEVEL)
     return _INDEXES[key]
 
 
@@ -132,8 +134,8 @@ def extract_until(spark, sf_dir):
 
 def nth_match(spark, sf_dir):
     search = _index(spark, sf_dir).search("tion")
-    numbered = search.matches().withColumn("k", F.row_number().over(Window.orderBy("sa_row")))
-    return numbered.where("k in (1, 4)").select(F.col("k").cast("long").alias("k"), "pos")
+    numbered = transform.numbered(search.matches(), "sa_row", "k")
+    return numbered.where("k in (0, 3)").select((F.col("k") + 1).alias("k"), "pos")
 
 
 def contamination(spark, sf_dir):
@@ -239,6 +241,26 @@ def locate_indexed(spark, sf_dir):
     return placed.select(F.element_at(F.array(*map(F.lit, SEARCHED)), (F.col("pattern_id") + 1).cast("int")).alias("pattern"), "sa_row", "pos")
 
 
+def boundary_indexed(spark, sf_dir):
+    """Prefix, suffix and exact searches through the index: rows of the interval, and matches listed."""
+    index, out = _index(spark, sf_dir, "nation", "n_nationkey", "n_name"), None
+    searches = {"prefix": index.search_prefix, "suffix": index.search_suffix, "exact": index.search_exact}
+    for kind, pattern in NATION_SEARCHES:
+        found = searches[kind](pattern)
+        row = found.rows().agg(F.count("*").alias("match_count"), F.min("piece_id").alias("first_piece"))
+        row = row.select(F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern"), F.lit(found.count()).cast("long").alias("interval_count"), "match_count", "first_piece")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def refine_indexed(spark, sf_dir):
+    """Searching ti, then putting on before it."""
+    index = _index(spark, sf_dir)
+    first = index.search("ti")
+    rows = [("ti", *first.interval), ("onti", *first.search("on").interval)]
+    return spark.createDataFrame(rows, "pattern string, s long, e long").select("pattern", (F.col("e") - F.col("s")).alias("n"))
+
+
 def index_stats(spark, sf_dir):
     corpus = from_table(_read(spark, sf_dir, "documents"), "doc_id", "text")
     return corpus.pieces.agg(F.sum(corpus.body_length() + 1).alias("n"), F.count("*").alias("pieces"), F.sum(corpus.body_length()).alias("payload_bytes"))
@@ -248,7 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         contamination, count_pattern, count_batch, locate, locate_batch, locate_global, piece_ids, search_prefix, search_suffix, search_exact, boundary_counts, refine, extract_forward, extract_backward, extract_until, nth_match,
-        symbol_sequences, char_histogram, c_table, symbol_functions, suffix_types, suffix_array, inverse_suffix_array, bwt, f_column, lf_map, fl_map, sampled_sa, doc_array, row_pieces, bwt_runs, run_bits, run_c_table, sa_interval, locate_indexed, index_stats,
+        symbol_sequences, char_histogram, c_table, symbol_functions, suffix_types, suffix_array, inverse_suffix_array, bwt, f_column, lf_map, fl_map, sampled_sa, doc_array, row_pieces, bwt_runs, run_bits, run_c_table, sa_interval, locate_indexed, boundary_indexed, refine_indexed, index_stats,
     )
 }
 
@@ -340,5 +362,11 @@ ORACLES: dict[str, str] = {
     "run_c_table": f"WITH {_RUNS}, h AS (SELECT head AS c, count(*) AS cnt FROM runs GROUP BY head) SELECT c, cnt, (sum(cnt) OVER (ORDER BY c) - cnt)::BIGINT AS c0, (sum(cnt) OVER (ORDER BY c))::BIGINT AS c1 FROM h",
     "sa_interval": f"WITH {_SUFFIXES} SELECT pattern, count(sa_row) AS n, min(sa_row) AS s FROM (VALUES {_PATTERN_HEX}) v(pattern, h) LEFT JOIN sa ON starts_with(head, h) GROUP BY pattern",
     "locate_indexed": f"WITH {_SUFFIXES} SELECT pattern, sa_row, pos FROM (VALUES {_PATTERN_HEX}) v(pattern, h) JOIN sa ON starts_with(head, h)",
+    "boundary_indexed": " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, '{p}' AS pattern, " + (f"coalesce(sum({_overlapping('n_name', p)}), 0)::BIGINT" if kind == "prefix" else f"count(*) FILTER (ends_with(n_name, '{p}'))") + f" AS interval_count, count(*) FILTER ({cond}) AS match_count, min(n_nationkey) FILTER ({cond})::BIGINT AS first_piece FROM nation"
+        for kind, p in NATION_SEARCHES
+        for cond in [{"prefix": f"starts_with(n_name, '{p}')", "suffix": f"ends_with(n_name, '{p}')", "exact": f"n_name = '{p}'"}[kind]]
+    ),
+    "refine_indexed": "SELECT p AS pattern, sum(" + "len(list_filter(range(1, length(text) - length(p) + 2), lambda i: substr(text, i::INT, length(p)::INT) = p))" + ")::BIGINT AS n FROM benchmark, (VALUES ('ti'), ('onti')) v(p) GROUP BY p",
     "index_stats": "SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS n, count(*) AS pieces, sum(octet_length(encode(text)))::BIGINT AS payload_bytes FROM documents",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphrake.operators.transform import BLOCK
-from glyphrake.session import checkpoint
+from glyphrake.session import settled
 
 
 def pattern_rows(spark: SparkSession, patterns: Sequence[bytes | Sequence[int]]) -> DataFrame:
@@ -36,11 +36,11 @@ def intervals(patterns: DataFrame, block_table: DataFrame, counts: DataFrame, c_
     start gives other first intervals (pattern_id, s, e); symbols that the text does not
     have empty the interval.  An empty pattern keeps its first interval.
     """
-    wanted = checkpoint(patterns.select(F.explode("symbols").alias("c")).distinct(), "pattern-symbols")
-    occ = checkpoint(directory(counts, -(-n // block) or 1, wanted), "pattern-ranks")
+    wanted = settled(patterns.select(F.explode("symbols").alias("c")).distinct(), "pattern-symbols")
+    occ = settled(directory(counts, -(-n // block) or 1, wanted), "pattern-ranks")
     state = patterns.select("pattern_id", "symbols")
     state = state.join(start, "pattern_id") if start is not None else state.withColumn("s", F.lit(0).cast("long")).withColumn("e", F.lit(n).cast("long"))
-    state = checkpoint(state, "pattern-state")
+    state = settled(state, "pattern-state")
     longest = patterns.agg(F.max(F.size("symbols"))).first()[0] or 0
     for done in range(longest):
         open_ = state.where((F.size("symbols") > done) & (F.col("s") < F.col("e")))
@@ -56,7 +56,7 @@ def intervals(patterns: DataFrame, block_table: DataFrame, counts: DataFrame, c_
         active = (F.size("symbols") > done) & (F.col("s") < F.col("e"))
         s = F.when(active, F.coalesce("s2", F.lit(0))).otherwise(F.col("s"))
         e = F.when(active, F.coalesce("e2", F.lit(0))).otherwise(F.col("e"))
-        state = checkpoint(stepped.select("pattern_id", "symbols", s.alias("s"), e.alias("e")), "pattern-state")
+        state = settled(stepped.select("pattern_id", "symbols", s.alias("s"), e.alias("e")), "pattern-state")
     return state.select("pattern_id", "s", F.greatest("s", "e").alias("e"))
 
 
@@ -69,13 +69,14 @@ def rows_of(found: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame
 
 def located_by_walk(rows: DataFrame, sample: DataFrame, back: DataFrame, n: int) -> DataFrame:
     """pattern_id, sa_row, pos by stepping back to the next sampled row: all pending rows step together."""
-    pending = checkpoint(rows.select("pattern_id", "sa_row", F.col("sa_row").alias("at"), F.lit(0).cast("long").alias("steps")), "walk")
+    pending = rows.select("pattern_id", "sa_row", F.col("sa_row").alias("at"), F.lit(0).cast("long").alias("steps"))
+    known, onwards = sample.select(F.col("sa_row").alias("at"), "pos"), back.select(F.col("sa_row").alias("at"), "next_row")
     out = None
     while True:
-        met = pending.join(sample.select(F.col("sa_row").alias("at"), "pos"), "at", "left")
+        # one table a round: rows that met a sampled row, and where the others go
+        met = settled(pending.join(known, "at", "left").join(onwards, "at"), "walk")
         found = met.where("pos is not null").select("pattern_id", "sa_row", F.pmod(F.col("pos") + F.col("steps"), F.lit(n)).alias("pos"))
         out = found if out is None else out.unionByName(found)
-        left = met.where("pos is null").drop("pos").join(back.select(F.col("sa_row").alias("at"), "next_row"), "at")
-        pending = checkpoint(left.select("pattern_id", "sa_row", F.col("next_row").alias("at"), (F.col("steps") + 1).alias("steps")), "walk")
+        pending = met.where("pos is null").select("pattern_id", "sa_row", F.col("next_row").alias("at"), (F.col("steps") + 1).alias("steps"))
         if pending.isEmpty():
             return out

@@ -15,6 +15,16 @@ from glyphrake.session import checkpoint
 BLOCK = 1_024
 
 
+def numbered(rows: DataFrame, order: str, name: str, block: int = 65_536) -> DataFrame:
+    """rows with their number from 0 by a row number column: counted within blocks of it, after the blocks before."""
+    blocked = rows.withColumn("_block", F.floor(F.col(order) / block))
+    counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_block", before.alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1
+    return blocked.withColumn("_inner", inner).join(counts, "_block").withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_block", "_before", "_inner")
+
+
 def transformed(table: DataFrame) -> DataFrame:
     """sa_row, symbol: the symbol before each suffix in order."""
     return table.select("sa_row", F.col("l").alias("symbol"))
@@ -41,9 +51,8 @@ def piece_ends(table: DataFrame) -> DataFrame:
     """k, piece_id: for the k-th terminator among the symbols before, the piece that it ends (the last for row of offset 0)."""
     marks = table.where("l = 0")
     pieces = table.agg(F.max("piece_id")).first()[0]
-    number = F.row_number().over(Window.orderBy("sa_row")) - 1
     last = F.lit(pieces if pieces is not None else 0)
-    return marks.select(number.cast("long").alias("k"), F.when(F.col("pos") == 0, last).otherwise(F.col("piece_id") - 1).alias("piece_id"))
+    return numbered(marks, "sa_row", "k").select("k", F.when(F.col("pos") == 0, last).otherwise(F.col("piece_id") - 1).alias("piece_id"))
 
 
 def first_text_row(table: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphrake.errors import InvalidPatternError, InvalidTextError
@@ -38,6 +38,22 @@ class PlainIndex:
         self.n = corpus.length()
         self.table = checkpoint(suffixes.suffix_table(corpus), "index-suffixes")
 
+    def save(self, path: str) -> None:
+        """Write the suffix table and the corpus; the other tables follow from them."""
+        self.table.write.parquet(f"{path}/suffixes")
+        self.corpus.pieces.write.parquet(f"{path}/pieces")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, max_symbol: int = 255, level: int = 0) -> PlainIndex:
+        """An index from saved tables, of any kind that its corpus allows."""
+        index = cls.__new__(cls)
+        index.corpus, index.level = Corpus(spark.read.parquet(f"{path}/pieces"), max_symbol), level
+        index.pieces, index.n = index.corpus.pieces_count(), index.corpus.length()
+        if not cls.by_piece and index.pieces > 1:
+            raise InvalidTextError("an index of one text can't hold several pieces")
+        index.table = spark.read.parquet(f"{path}/suffixes")
+        return index
+
     @cached_property
     def blocks(self) -> DataFrame:
         """The transform in blocks; kinds that keep runs lay their runs out again block by block."""

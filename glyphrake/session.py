@@ -39,3 +39,13 @@ def checkpoint(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/glyphrake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that settled() brings to the driver at most.
+FEW = 10_000
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df without its lineage: kept in the plan if it has FEW rows at most, else as checkpoint()."""
+    rows = df.limit(FEW + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= FEW else checkpoint(df, label)

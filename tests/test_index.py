@@ -106,6 +106,14 @@ def test_random_pieces_against_plain_search(spark, seed):
         assert sorted(r.pos for r in index.search(pattern).matches().collect()) == naive(text, pattern)
 
 
+def test_saved_index(spark, tmp_path):
+    PieceIndex(from_buffer(spark, b"abra\0cadabra\0")).save(str(tmp_path / "ix"))
+    index = PieceIndexWithLocate.load(spark, str(tmp_path / "ix"), level=1)
+    assert sorted(r.pos for r in index.search("abra").matches().collect()) == [0, 8]
+    with pytest.raises(InvalidTextError):
+        PlainIndex.load(spark, str(tmp_path / "ix"))
+
+
 def test_wide_symbols(spark):
     index = PlainIndexWithLocate(from_buffer(spark, [500, 1, 300, 500, 1, 0], max_symbol=500))
     assert sorted(r.pos for r in index.search([500, 1]).matches().collect()) == [0, 3]
