@@ -148,8 +148,13 @@ def _listed(values: np.ndarray, doc: np.ndarray, lists: Sequence[list[int] | Non
 
 
 def _earlier(rows: DataFrame, key: str) -> DataFrame:
-    """(doc_id, key) of the rows whose key a smaller document has, too."""
+    """(doc_id, key) of the rows whose key a smaller document has, too.
+
+    The first documents are a table of their own: the join then has two plain exchanges,
+    and Spark can split a key that very many documents have.
+    """
     least = rows.groupBy(key).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select(key, "first_id")
+    least = materialize(least, "repeat-first")
     return rows.join(least, key).where("doc_id > first_id").select("doc_id", key)
 
 
@@ -158,6 +163,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
     rows = materialize(_seeds(docs, window, seed_words), "repeat-seeds")
     # seeds that only one document has can't lead anywhere
     shared = rows.groupBy("seed").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), (F.min("span") < F.max("span")).alias("contested")).where("first_id < last_id").select("seed", "contested")
+    shared = materialize(shared, "repeat-shared")
     spans = materialize(rows.join(shared, "seed").select("span", "contested", "doc_id").distinct(), "repeat-spans")
     whole = _earlier(spans.select("span", "doc_id"), "span").groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
     # one document stands for all that have a contested span: the first
