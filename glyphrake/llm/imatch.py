@@ -134,13 +134,9 @@ def likeness(a: str, b: str) -> float:
     """The share of subsets with terms of either text that have the same terms of both; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    same = either = 0
-    for i in range(16, len(a), 4):
-        x, y = a[i : i + 4], b[i : i + 4]
-        if x != "0000" or y != "0000":
-            either += 1
-            same += x == y
-    return same / either if either else 0.0
+    x, y = (np.frombuffer(f[16:].encode("ascii"), "S4") for f in (a, b))
+    same, either = (x == y), (x != b"0000") | (y != b"0000")
+    return float((same & either).sum() / either.sum()) if either.any() else 0.0
 
 
 def in_id_order(docs: DataFrame) -> DataFrame:
@@ -183,10 +179,10 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     Null texts count as empty.  Rows with a null id have no next document: their edited
     text lacks the second half and near_next is 0.  The only row follows itself.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((terms, memberships(terms)))
+    shared = docs.sparkSession.sparkContext.broadcast(Printer(terms, memberships(terms)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        printer, held, rows = Printer(*shared.value), None, []
+        printer, held, rows = shared.value, None, []  # a worker keeps what the printer has looked up
 
         def finish(row: tuple, following: str | None, next_print: str | None) -> None:
             doc_id, text, _, _, own = row
