@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from glyphrake.llm.common import materialize, table
 
-#: Neighbours, share of the lists that a query probes, confidence of the test, columns of a block.
-NEIGHBOURS, PROBED_SHARE, CONFIDENCE, BLOCK = 5, 0.65, 2.5, 16
+#: Neighbours, share of the lists that a query probes and least number of them, confidence of the test, columns of a block.
+NEIGHBOURS, PROBED_SHARE, LEAST_PROBED, CONFIDENCE, BLOCK = 5, 0.65, 40, 2.5, 16
 #: Vectors that centres are fitted on at most, most lists, vectors and queries of a block that meet in a task, rounds of the fit.
 SAMPLE, MOST_LISTS, LIST_ROWS, QUERY_ROWS, ROUNDS = 20_000, 1_024, 4_096, 2_048, 12
 SEED = 20_240_229
@@ -135,7 +135,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, probed_
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("draw"), "vec_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))) if n > SAMPLE else rows
     sample = _matrix(drawn.select("embedding").toArrow().column(0).combine_chunks(), width)
     frame = Frame(sample, max(1, min(MOST_LISTS, round(math.sqrt(n)))))
-    lists, probes = len(frame.centres), max(1, math.ceil(probed_share * len(frame.centres)))
+    lists, probes = len(frame.centres), min(len(frame.centres), max(LEAST_PROBED, math.ceil(probed_share * len(frame.centres))))
     shared = spark.sparkContext.broadcast(frame)
 
     def assign(batches):
