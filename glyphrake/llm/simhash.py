@@ -19,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from glyphrake.llm.common import gathered, materialize, table
 from glyphrake.llm.components import connected_components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
-#: Fingerprints with the same key from which a finer key is used.
-CROWDED = 2_000
+#: Fingerprints with the same key from which a finer key is used, and up to which all pairs are compared.
+CROWDED, COMPARED = 2_000, 48
 
 
 def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -159,42 +160,59 @@ def within(a: np.ndarray, b: np.ndarray, distance: int, start: np.ndarray | None
     return out
 
 
-def _links(node: np.ndarray, ring: np.ndarray, start: np.ndarray, key: np.ndarray, distance: int, chained: bool) -> tuple[np.ndarray, np.ndarray]:
+def _links(node: np.ndarray, ring: np.ndarray, start: np.ndarray, key: np.ndarray, distance: int, chained: bool, crowds: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys that connect just what all links would.
 
     Short runs are compared at each offset at once.  In long runs a search spreads from
     fingerprint to fingerprint over those not reached yet, so that a crowd of near
-    copies costs one pass and yields one link each.
+    copies costs one pass and yields one link each.  Where links have a further test to
+    pass, one each is not enough: with a list of crowds, small groups yield all their
+    links, and the nodes of every larger one are added to the list.
     """
     edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     lengths = np.diff(edges)
     left, right = [], []
-    short = np.repeat(lengths <= 48, lengths)
-    for offset in range(1, min(48, int(lengths.max(initial=0)))):
+    short = np.repeat(lengths <= COMPARED, lengths)
+    for offset in range(1, min(COMPARED, int(lengths.max(initial=0)))):
         i = np.flatnonzero((key[offset:] == key[:-offset]) & short[:-offset])
         if not len(i):
             break
         i = i[within(ring[i], ring[i + offset], distance, start[i] if chained else None)]
         left.append(node[i])
         right.append(node[i + offset])
-    for first, length in zip(edges[:-1][lengths > 48].tolist(), lengths[lengths > 48].tolist()):
+    for first, length in zip(edges[:-1][lengths > COMPARED].tolist(), lengths[lengths > COMPARED].tolist()):
         own_ring, own_node, own_start = ring[first : first + length], node[first : first + length], start[first : first + length]
         waiting = np.arange(length)
         while len(waiting):
-            reached, waiting = [int(waiting[0])], waiting[1:]
+            reached, group, waiting = [int(waiting[0])], [waiting[:1]], waiting[1:]
             while reached and len(waiting):
                 at = reached.pop()
                 hit = within(own_ring[waiting], np.broadcast_to(own_ring[at], (len(waiting), ring.shape[1])), distance, own_start[waiting] if chained else None)
                 new = waiting[hit]
-                left.append(np.full(len(new), own_node[at]))
-                right.append(own_node[new])
+                if crowds is None:
+                    left.append(np.full(len(new), own_node[at]))
+                    right.append(own_node[new])
+                group.append(new)
                 reached.extend(new.tolist())
                 waiting = waiting[~hit]
+            if crowds is not None:
+                members = np.concatenate(group)
+                if len(members) > COMPARED:
+                    crowds.append(np.sort(own_node[members]))
+                elif len(members) > 1:
+                    i, j = (members[x] for x in np.triu_indices(len(members), 1))
+                    hit = within(own_ring[i], own_ring[j], distance, own_start[i] if chained else None)
+                    left.append(own_node[i[hit]])
+                    right.append(own_node[j[hit]])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool) -> DataFrame:
-    """Links (a, b) between nodes with a common key; a key's rows meet in one task, one after the other."""
+def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds: bool = False) -> DataFrame:
+    """Links (a, b) between nodes with a common key; a key's rows meet in one task, one after the other.
+
+    With crowds there is a column crowd: null for links; the rows (node, node, crowd) say
+    who is in a crowd, which goes by its members and so is the same whatever the key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -203,8 +221,14 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool) -> Data
             whole = pa.Table.from_batches(parts).combine_chunks()
             node, start, key = (whole.column(c).to_numpy() for c in ("node", "start", "key"))
             ring = np.frombuffer(b"".join(whole.column("fingerprint").to_pylist()), np.uint8).reshape(len(node), bits // 8)
-            a, b = _links(node, ring, start, key, distance, chained)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found: list[np.ndarray] | None = [] if crowds else None
+            a, b = _links(node, ring, start, key, distance, chained, found)
+            if found is None:
+                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            members = np.concatenate([np.zeros(0, np.int64), *found])
+            crowd = np.repeat(np.array([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in found], np.int64), [len(x) for x in found])
+            crowd = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(crowd, pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, members)), pa.int64()), pa.array(np.concatenate((b, members)), pa.int64()), crowd], names=["a", "b", "crowd"])
 
         for batch in gathered(batches):
             key = batch.column(3).to_numpy()
@@ -220,37 +244,70 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool) -> Data
             yield links(held)
 
     dealt = rows.select("node", "fingerprint", "start", "key").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long" + ", crowd long" * crowds)
 
 
-def link_fingerprints(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None) -> DataFrame:
+def link_fingerprints(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None, crowds: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints (node BIGINT, fingerprint BINARY), enough to connect all that are close.
 
-    Without recall the search is exact.
+    Without recall the search is exact.  With crowds, which _link_runs describes, the links
+    that a crowd needs are still to be found.
     """
     if recall is not None:
-        return _link_runs(_sampled_keys(nodes, bits, distance, recall, nodes.count()), bits, distance, False)
+        return _link_runs(_sampled_keys(nodes, bits, distance, recall, nodes.count()), bits, distance, False, crowds)
     if distance == 0:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), *[F.lit(None).cast("long").alias("crowd")] * crowds).limit(0)
     if exact_run(bits // 8, distance) < 1:
         raise ValueError("the distance leaves no segment that must agree: pass a recall")
     keys = _ring_keys(nodes, bits, distance)
     counts = keys.groupBy("key").count()
     crowded = materialize(counts.where(F.col("count") > CROWDED).select("key"), "simhash-crowded")
-    calm = _link_runs(keys.join(crowded, "key", "left_anti"), bits, distance, True)
+    calm = _link_runs(keys.join(crowded, "key", "left_anti"), bits, distance, True, crowds)
     if crowded.isEmpty():
         return calm
-    return calm.unionByName(_link_runs(_finer_keys(keys.join(crowded, "key", "left_semi"), bits, distance), bits, distance, True))
+    return calm.unionByName(_link_runs(_finer_keys(keys.join(crowded, "key", "left_semi"), bits, distance), bits, distance, True, crowds))
+
+
+def _crowd_links(crowd: pa.Table, similarity: float) -> pa.Table:
+    """Links (a, b) that connect what all similar pairs of a crowd (node, shingles) would.
+
+    A search spreads from set to set over those not reached yet; a set leaves them only
+    when its similarity to the one at hand is confirmed.
+    """
+    node, shingles = crowd.column("node").to_numpy(), crowd.column("shingles").combine_chunks()
+    sizes = pc.list_value_length(shingles).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, value, times = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(node)), sizes)[np.argsort(value, kind="stable")]
+    begin, first = np.cumsum(times) - times, np.cumsum(sizes) - sizes
+    left, right, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.ones(len(node), bool)
+    for seed in range(len(node)):
+        if not waiting[seed]:
+            continue
+        reached, waiting[seed] = [seed], False
+        while reached and waiting.any():
+            at = reached.pop()
+            own = value[first[at] : first[at] + sizes[at]]
+            n = times[own]
+            held = holders[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            common = np.bincount(held, minlength=len(node))
+            new = np.flatnonzero(waiting & (common >= similarity * (sizes + sizes[at] - common)))
+            left.append(np.full(len(new), node[at]))
+            right.append(node[new])
+            reached.extend(new.tolist())
+            waiting[new] = False
+    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
 
 
 def _similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, bits: int, similarity: float) -> DataFrame:
-    """The links whose documents' sets of shingles are similar (intersection over union).
+    """The links whose documents' sets of shingles are similar (intersection over union), and links within crowds.
 
     The first document of a fingerprint stands for it.  Only documents with links have
-    their shingles read; each link meets the two sets by equal joins.
+    their shingles read; each link meets the two sets by equal joins.  The sets of a crowd
+    meet in one task.
     """
-    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash-candidates")
-    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    found = materialize(links.where("a <> b or crowd is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "crowd").distinct(), "simhash-candidates")
+    links, crowds = found.where("crowd is null").select("a", "b"), found.where("crowd is not null").select(F.col("a").alias("node"), "crowd")
+    linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(linked, "node").select("node", "fingerprint", "first_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +319,8 @@ def _similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     sets = materialize(texts.mapInArrow(read, "node long, shingles array<long>").dropDuplicates(["node"]), "simhash-shingles")
     both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    similar = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return similar.unionByName(crowds.join(sets, "node").groupBy("crowd").applyInArrow(lambda crowd: _crowd_links(crowd, similarity), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None, similarity: float | None = None) -> DataFrame:
@@ -279,7 +337,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, d
     as_node = F.conv(F.hex("fingerprint"), 16, -10).cast("long") if bits == 64 else F.xxhash64("fingerprint")
     found = found.withColumn("node", as_node)
     nodes = materialize(found.groupBy("node", "fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    links = link_fingerprints(nodes.select("node", "fingerprint"), bits, distance, recall)
+    links = link_fingerprints(nodes.select("node", "fingerprint"), bits, distance, recall, similarity is not None)
     if similarity is not None:
         links = _similar(links, nodes, docs, shingle, bits, similarity)
     roots = connected_components(links, "simhash-links")
