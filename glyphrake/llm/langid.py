@@ -91,11 +91,12 @@ class Model:
         self.claims |= ~self.claims.any(axis=0)
 
     def score(self, words: Words) -> np.ndarray:
-        """Scores of words by language; those that the script rules out get a very low one."""
-        if not len(words.head):
-            return np.zeros((0, len(self.languages)), np.float32)
-        scores = np.add.reduceat(self.scores[words.cell], words.head, axis=0)
-        return np.where(self.claims.T[words.script], scores, np.float32(-1e6))
+        """Scores of words by language, less that of the best, however long the word; -inf where the script rules a language out."""
+        if not len(words.head) or not self.languages:
+            return np.zeros((len(words.head), len(self.languages)), np.float32)
+        scores = np.add.reduceat(self.scores[words.cell], words.head, axis=0, dtype=np.float64)
+        scores = np.where(self.claims.T[words.script], scores, -np.inf)
+        return (scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, doc: np.ndarray, docs: int, switch: float = SWITCH) -> np.ndarray:
@@ -181,9 +182,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
             scores, doc, letters, offset = [np.zeros((0, width), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for begin, end in pieces_of(texts, CHARS if width < 16 else CHARS // 8):
                 words = Words(texts[begin:end])
-                found = own.score(words)
-                fits = found.max(axis=1, initial=-1e9) > -1e5
-                for all_, x in ((scores, found[fits]), (doc, words.doc[fits] + begin), (letters, words.letters[fits]), (offset, words.offset[fits])):
+                fits = np.full(len(words.head), width > 0)
+                for all_, x in ((scores, own.score(words)[fits]), (doc, words.doc[fits] + begin), (letters, words.letters[fits]), (offset, words.offset[fits])):
                     all_.append(x)
             scores, doc, letters, offset = (np.concatenate(x) for x in (scores, doc, letters, offset))
             labels = viterbi(scores, doc, len(texts), switch) if width else np.zeros(0, np.int16)

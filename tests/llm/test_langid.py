@@ -46,3 +46,16 @@ def test_held_out_accuracy(spark):
     rows = langid.op10_language_spans(spark, TABLES).where("held_out").collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "lang").collect()}
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) > 0.97
+
+
+def test_a_long_unbroken_word_counts(spark):
+    """200,000 letters in one word, seen and unseen, alone and beside others."""
+    ship(spark)
+    rows = [(3 * i, t, lang) for i, (t, lang) in enumerate([("the house by the water was old", "en"), ("вода у старого дома была чистой", "ru"), ("das alte Haus am Wasser war schön", "de")] * 40)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["qxzjk" * 40_000, "водаустарогодома" * 12_500, "漢字假名" * 50_000, "das Haus " + "водаустарогодома" * 12_500]
+    found = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, spans=True).orderBy("doc_id").collect()
+    assert [r.lang_pred in model.languages for r in found] == [True] * 4 and [r.lang_pred for r in found[1::2]] == ["ru", "ru"]
+    assert [r.score for r in found[:3]] == [1.0] * 3
+    assert [[(s.start, s.end) for s in r.spans] for r in found] == [[(0, 200_000)]] * 3 + [[(0, 8), (9, 200_009)]]
+    assert found[3].spans[0].lang == "de"
