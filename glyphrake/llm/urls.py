@@ -152,13 +152,13 @@ def _calibrate(unseen: DataFrame, models: Models) -> float:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages' page_id with host, path, rule, verdict and the score of the model ratio.
 
-    Null URLs and URLs without :// have an empty host and path, fit no rule and are
-    scored as empty.  Without examples of both classes what no rule decides is allowed.
+    Null URLs and URLs without :// have an empty host and path and fit no rule.  The models
+    learn from and score the whole URL, as it is written; null counts as empty.  Without examples of both classes what no rule decides is allowed.
     """
     host, path = host_and_path(F.col("url"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("ruled", verdict)
-    rows = rows.withColumn("text", F.concat("host", "path"))
+    rows = rows.withColumn("text", F.coalesce("url", F.lit("")))
     examples = rows.where("ruled is not null").select("text", (F.col("ruled") == "block").cast("long").alias("side"))
     models = train(examples)
     shared = pages.sparkSession.sparkContext.broadcast(models)

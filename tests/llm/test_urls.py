@@ -39,3 +39,17 @@ def test_unruled_urls_follow_their_likeness(spark):
     assert all((r.rule is None) == (i >= 600) for i, r in got.items())
     right = [got[i].verdict == ("allow" if i < 650 else "block") for i in range(600, 700)]
     assert sum(right) >= 95
+
+
+def test_the_whole_url_is_scored(spark):
+    """Unruled URLs that differ in query, fragment or scheme only, and some without ://."""
+    ship(spark)
+    drawn = random.Random(3)
+    good = lambda: "".join(drawn.choice("aeiou") + drawn.choice("lmnr") for _ in range(5))
+    bad = lambda: "".join(drawn.choice("xqzk") + drawn.choice("0123") for _ in range(5))
+    rows = [(i, f"http://{k}.net/de/?{good()}={good()}") for i, k in enumerate("ab" * 150)] + [(300 + i, f"http://{k}.org/es/?{bad()}={bad()}") for i, k in enumerate("ab" * 150)]
+    for i in range(30):
+        rows += [(600 + 10 * i + k, f.format(x())) for k, (f, x) in enumerate((f, x) for f in ("http://a.info/?{0}={0}", "http://a.info/#{0}{0}", "{0}/{0}") for x in (good, bad))]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame([*rows, (9_999, None)], "page_id long, url string")).collect()}
+    right = [got[i].verdict == ("block" if i % 2 else "allow") for i, _ in rows[600:]]
+    assert len(right) == 180 and sum(right) >= 170 and got[9_999].host == ""
