@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -38,3 +42,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("gone", [("glyphrake/llm", "tests/llm"), ("glyphrake/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_without_the_training_data_operators(tmp_path, gone):
+    """With those folders gone the entry point imports and lists the other queries, whether the pipeline's file stays or not."""
+    root = Path(__file__).resolve().parents[1]
+    for name in ("glyphrake", "tests"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path / name)
+    for name in gone:
+        shutil.rmtree(tmp_path / name) if (tmp_path / name).is_dir() else (tmp_path / name).unlink()
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.catalog.QUERIES) and set(e.oracle_sql()) <= set(e.queries()))"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=120)
+    assert ran.stdout.strip() == "True", ran.stderr
