@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphrake.functions import running
 from glyphrake.functions.symbols import bits_for, byte_at, log2_floor, modular_add, modular_sub, narrowed, to_bytes
 from glyphrake.operators import backward, extract, scan, suffixes, transform
-from glyphrake.plans.index import PieceIndexWithLocate
+from glyphrake.plans.index import KINDS, PieceIndex, PieceIndexWithLocate, PlainIndex, PlainIndexWithLocate, RunIndex, RunIndexWithLocate
+from glyphrake.plans.shards import ShardedIndex
 from glyphrake.sources.corpus import Corpus, from_events, from_table
 
 #: Patterns of the registered queries: plain, overlapping themselves, beyond ASCII, without hits.
@@ -19,10 +21,13 @@ SEARCHED = ("on", "the", "anan", "é", "zzqx")
 PART_PATTERNS = ("red widget", "red", "e")
 EVENT_KINDS = ("click", "error", "purchase", "signup", "view")
 EVENT_PATTERNS = ((5, 1, 3), (1, 1), (2, 5))
-NATION_SEARCHES = (("prefix", "I"), ("prefix", "AN"), ("suffix", "A"), ("exact", "CHINA"), ("exact", "A"))
+NAME_SEARCHES = (("prefix", "red"), ("prefix", "e"), ("suffix", "widget"), ("exact", "red widget"), ("exact", "red"))
+DOCUMENT_SEARCHES = (("prefix", "The "), ("suffix", "."), ("suffix", "on."), ("exact", "the"))
 SAMPLE_LEVEL, REACH = 2, 8
+#: Symbols of chosen_steps_runs: a blank, a frequent letter, one that the texts do not have.
+CHOSEN = (32, 101, 7)
 
-_INDEXES: dict[tuple[str, str, str], PieceIndexWithLocate] = {}
+_INDEXES: dict[tuple, PlainIndex | ShardedIndex] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +44,34 @@ def _corpus(spark: SparkSession, sf_dir: str, name: str = "benchmark", piece_id:
     return from_table(_read(spark, sf_dir, name), piece_id, text)
 
 
-def _index(spark: SparkSession, sf_dir: str, *source: str) -> PieceIndexWithLocate:
-    """The index of a table's texts (the benchmark's), built once per application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, "".join(source[:1]))
+def _one_text(spark: SparkSession, sf_dir: str) -> Corpus:
+    """All benchmark texts, in order of their ids, as the lines of one text."""
+    texts = _read(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("rows"))
+    return from_table(texts.select(F.lit(0).alias("id"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("text")), "id", "text")
+
+
+def _made(spark: SparkSession, sf_dir: str, *kind, build):
+    """An index, built once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, *kind)
     if key not in _INDEXES:
-        _INDEXES[key] = PieceIndexWithLocate(_corpus(spark, sf_dir, *source), SAMPLE_LEVEL)
+        _INDEXES[key] = build()
     return _INDEXES[key]
 
 
+def _index(spark: SparkSession, sf_dir: str, *source: str, kind: type = PieceIndexWithLocate) -> PlainIndex:
+    """The index of a table's texts (the benchmark's); kinds of one text hold them as its lines."""
+    return _made(spark, sf_dir, kind, *source, build=lambda: kind(_corpus(spark, sf_dir, *source) if kind.by_piece else _one_text(spark, sf_dir), SAMPLE_LEVEL))
+
+
+def _shards(spark: SparkSession, sf_dir: str) -> ShardedIndex:
+    return _made(spark, sf_dir, ShardedIndex, build=lambda: ShardedIndex(from_table(_read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), SAMPLE_LEVEL))
+
+
+def _named(patterns: Sequence[str]):
+    """The pattern of a pattern_id."""
+    return F.element_at(F.array(*map(F.lit, patterns)), (F.col("pattern_id") + 1).cast("int")).alias("pattern")
+
+
 def _values(patterns: Sequence[str], name: str = "pattern") -> str:
     return "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(patterns)) + f") AS v(pattern_id, {name})"
 
@@ -63,9 +88,7 @@ def count_batch(spark, sf_dir):
 
 
 def locate(spark, sf_dir):
-    docs = _spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = [scan.locate(docs, "text", p, "doc_id").withColumn("pattern", F.lit(p)) for p in LOCATED]
-    return found[0].unionByName(found[1]).unionByName(found[2]).select("pattern", "doc_id", "byte_pos")
+    return scan.locate(_spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), "text", LOCATED, "doc_id")
 
 
 def locate_batch(spark, sf_dir):
@@ -77,9 +100,9 @@ def locate_batch(spark, sf_dir):
 
 def locate_global(spark, sf_dir):
     corpus = from_table(_read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    places = corpus.with_offsets().select(F.col("piece_id").alias("doc_id"), "offset")
-    found = scan.locate(_spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), "text", "anan", "doc_id")
-    return found.join(places, "doc_id").select(F.lit("anan").alias("pattern"), (F.col("offset") + F.col("byte_pos")).alias("global_pos"))
+    places = corpus.offsets().withColumnRenamed("piece_id", "doc_id")
+    found = scan.locate(_spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), "text", ["anan"], "doc_id")
+    return found.join(places, "doc_id").select("pattern", (F.col("offset") + F.col("byte_pos")).alias("global_pos"))
 
 
 def piece_ids(spark, sf_dir):
@@ -134,16 +157,15 @@ def extract_until(spark, sf_dir):
 
 def nth_match(spark, sf_dir):
     search = _index(spark, sf_dir).search("tion")
-    numbered = transform.numbered(search.matches(), "sa_row", "k")
+    numbered = running.numbered(search.matches(), ["sa_row"], "k")
     return numbered.where("k in (0, 3)").select((F.col("k") + 1).alias("k"), "pos")
 
 
 def contamination(spark, sf_dir):
-    """Benchmark texts inside documents: one pass of an automaton over the bodies."""
-    items = _read(spark, sf_dir, "benchmark").where("text is not null and text <> ''")
-    patterns = [(r["item_id"], bytes(r["body"])) for r in items.select("item_id", F.encode("text", "UTF-8").alias("body")).toLocalIterator()]
+    """Benchmark texts inside documents: one pass over the bodies, whatever the number of texts."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.encode("text", "UTF-8").alias("body"))
     corpus = from_table(_spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
-    found = scan.locate_batch(corpus.pieces, patterns)
+    found = scan.locate_table(corpus.pieces, items)
     return found.select(F.col("pattern_id").alias("item_id"), F.col("piece_id").alias("doc_id"), F.col("piece_pos").alias("byte_pos"))
 
 
@@ -170,7 +192,7 @@ def symbol_functions(spark, sf_dir):
 
 
 def suffix_types(spark, sf_dir):
-    return suffixes.suffix_types(from_table(_read(spark, sf_dir, "nation"), "n_nationkey", "n_name").symbols())
+    return suffixes.suffix_types(_corpus(spark, sf_dir, "part", "p_partkey", "p_name").symbols())
 
 
 def suffix_array(spark, sf_dir):
@@ -226,26 +248,74 @@ def run_c_table(spark, sf_dir):
     return transform.run_counts(_index(spark, sf_dir).runs)
 
 
+def _intervals(index: PlainIndex) -> DataFrame:
+    spark = index.table.sparkSession
+    found = index.intervals(backward.pattern_rows(spark, [p.encode() for p in SEARCHED]))
+    return found.select(_named(SEARCHED), (F.col("e") - F.col("s")).alias("n"), F.when(F.col("e") > F.col("s"), F.col("s")).alias("s"))
+
+
+def _located(index: PlainIndex) -> DataFrame:
+    """Matches through the index, positions by walking to sampled rows."""
+    found = index.intervals(backward.pattern_rows(index.table.sparkSession, [p.encode() for p in SEARCHED]))
+    placed = index.positions(backward.rows_of(found, index.table.select("sa_row")))
+    return placed.select(_named(SEARCHED), "sa_row", "pos")
+
+
 def sa_interval(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    found = backward.intervals(backward.pattern_rows(spark, [p.encode() for p in SEARCHED]), index.blocks, index.block_counts, index.c_table, index.n)
-    return found.select(F.element_at(F.array(*map(F.lit, SEARCHED)), (F.col("pattern_id") + 1).cast("int")).alias("pattern"), (F.col("e") - F.col("s")).alias("n"), F.when(F.col("e") > F.col("s"), F.col("s")).alias("s"))
+    return _intervals(_index(spark, sf_dir))
 
 
 def locate_indexed(spark, sf_dir):
-    """Matches through the index, positions by walking to sampled rows."""
-    index = _index(spark, sf_dir)
-    found = backward.intervals(backward.pattern_rows(spark, [p.encode() for p in SEARCHED]), index.blocks, index.block_counts, index.c_table, index.n)
-    rows = backward.rows_of(found, index.table.select("sa_row"))
-    placed = backward.located_by_walk(rows, index.sample, index.back, index.n)
-    return placed.select(F.element_at(F.array(*map(F.lit, SEARCHED)), (F.col("pattern_id") + 1).cast("int")).alias("pattern"), "sa_row", "pos")
+    return _located(_index(spark, sf_dir))
+
+
+def sa_interval_pieces(spark, sf_dir):
+    """The index of pieces that only counts."""
+    return _intervals(_index(spark, sf_dir, kind=PieceIndex))
+
+
+def sa_interval_plain(spark, sf_dir):
+    return _intervals(_index(spark, sf_dir, kind=PlainIndex))
+
+
+def sa_interval_runs(spark, sf_dir):
+    """Backward search over runs."""
+    return _intervals(_index(spark, sf_dir, kind=RunIndex))
+
+
+def locate_plain(spark, sf_dir):
+    return _located(_index(spark, sf_dir, kind=PlainIndexWithLocate))
+
+
+def locate_runs(spark, sf_dir):
+    """Positions by walking over runs."""
+    return _located(_index(spark, sf_dir, kind=RunIndexWithLocate))
+
+
+def forward_plain(spark, sf_dir):
+    """Reading on from matches in one text: through its end to its beginning."""
+    index = _index(spark, sf_dir, kind=PlainIndexWithLocate)
+    read = index.search(".").forward(REACH)
+    return read.join(index.table, "sa_row").select("pos", _hex("symbols").alias("taken"))
+
+
+def navigate_runs(spark, sf_dir):
+    """Symbol before, first symbol, step back and step forward of every row, all answered by the runs."""
+    index = _index(spark, sf_dir, kind=RunIndex)
+    return backward.navigated(spark.range(index.n).withColumnRenamed("id", "sa_row"), index.navigator)
+
+
+def chosen_steps_runs(spark, sf_dir):
+    """The step for each of a few chosen symbols from every row, by the runs; none for a symbol that the text does not have."""
+    index = _index(spark, sf_dir, kind=RunIndex)
+    return backward.chosen_steps(spark.range(index.n).withColumnRenamed("id", "sa_row"), index.navigator, CHOSEN)
 
 
 def boundary_indexed(spark, sf_dir):
     """Prefix, suffix and exact searches through the index: rows of the interval, and matches listed."""
-    index, out = _index(spark, sf_dir, "nation", "n_nationkey", "n_name"), None
+    index, out = _index(spark, sf_dir, "part", "p_partkey", "p_name"), None
     searches = {"prefix": index.search_prefix, "suffix": index.search_suffix, "exact": index.search_exact}
-    for kind, pattern in NATION_SEARCHES:
+    for kind, pattern in NAME_SEARCHES:
         found = searches[kind](pattern)
         row = found.rows().agg(F.count("*").alias("match_count"), F.min("piece_id").alias("first_piece"))
         row = row.select(F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern"), F.lit(found.count()).cast("long").alias("interval_count"), "match_count", "first_piece")
@@ -253,6 +323,33 @@ def boundary_indexed(spark, sf_dir):
     return out
 
 
+def count_sharded(spark, sf_dir):
+    """Counts in all documents through the index in shards."""
+    found = _shards(spark, sf_dir).count(COUNTED)
+    every = spark.range(len(COUNTED)).withColumnRenamed("id", "pattern_id")
+    return every.join(found, "pattern_id", "left").select(_named(COUNTED), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def locate_sharded(spark, sf_dir):
+    return _shards(spark, sf_dir).locate(LOCATED).select(_named(LOCATED), F.col("piece_id").alias("doc_id"), F.col("piece_pos").alias("byte_pos"))
+
+
+def boundary_sharded(spark, sf_dir):
+    """Documents that begin with, end with or are a pattern, through the index in shards."""
+    index, out = _shards(spark, sf_dir), None
+    for kind, pattern in DOCUMENT_SEARCHES:
+        found = index.locate([pattern], begins=kind != "suffix", ends=kind != "prefix")
+        found = found.select(F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern"), F.col("piece_id").alias("doc_id"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def index_sizes(spark, sf_dir):
+    """Symbols, pieces and bytes kept of every kind of index."""
+    rows = [(kind.__name__, len(index), index.pieces, index.stored_bytes()) for kind in KINDS for index in [_index(spark, sf_dir, kind=kind)]]
+    return spark.createDataFrame(rows, "kind string, n long, pieces long, stored_bytes long")
+
+
 def refine_indexed(spark, sf_dir):
     """Searching ti, then putting on before it."""
     index = _index(spark, sf_dir)
@@ -271,6 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         contamination, count_pattern, count_batch, locate, locate_batch, locate_global, piece_ids, search_prefix, search_suffix, search_exact, boundary_counts, refine, extract_forward, extract_backward, extract_until, nth_match,
         symbol_sequences, char_histogram, c_table, symbol_functions, suffix_types, suffix_array, inverse_suffix_array, bwt, f_column, lf_map, fl_map, sampled_sa, doc_array, row_pieces, bwt_runs, run_bits, run_c_table, sa_interval, locate_indexed, boundary_indexed, refine_indexed, index_stats,
+        sa_interval_pieces, sa_interval_plain, sa_interval_runs, locate_plain, locate_runs, forward_plain, navigate_runs, chosen_steps_runs, count_sharded, locate_sharded, boundary_sharded, index_sizes,
     )
 }
 
@@ -297,11 +395,14 @@ sa AS (
          CASE WHEN pos = 0 THEN 0 ELSE ('0x' || substr(s, (2 * pos - 1)::INT, 2))::INT::BIGINT END AS l,
          ('0x' || substr(s, (2 * pos + 1)::INT, 2))::INT::BIGINT AS f, substr(s, (2 * pos + 1)::INT, 40) AS head
   FROM x)"""
-_RUNS = _SUFFIXES + """,
+_ONE_TEXT = _SUFFIXES.replace("string_agg(hex(encode(text)) || '00', '' ORDER BY item_id)", "hex(encode(string_agg(text, chr(10) ORDER BY item_id))) || '00'")
+_RUN_TABLES = """,
 flagged AS (SELECT sa_row, l, CASE WHEN lag(l) OVER (ORDER BY sa_row) IS NOT DISTINCT FROM l AND sa_row > 0 THEN 0 ELSE 1 END AS starts FROM sa),
 numbered AS (SELECT *, sum(starts) OVER (ORDER BY sa_row) - 1 AS run FROM flagged),
 grouped AS (SELECT run::BIGINT AS run, min(l) AS head, min(sa_row) AS start, count(*) AS len FROM numbered GROUP BY run),
 runs AS (SELECT *, coalesce(sum(len) OVER (ORDER BY head, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f_start FROM grouped)"""
+_RUNS = _SUFFIXES + _RUN_TABLES
+_PART = _SUFFIXES.replace("encode(text)", "encode(p_name)").replace("item_id", "p_partkey").replace("FROM benchmark", "FROM part")
 
 
 def _overlapping(column: str, pattern: str) -> str:
@@ -313,6 +414,14 @@ def _count_sql(patterns: Sequence[str]) -> str:
     return f"WITH RECURSIVE {_places(patterns)} SELECT p.pattern, count(m.place) AS n FROM p LEFT JOIN m ON m.pattern = p.pattern GROUP BY p.pattern"
 
 
+def _interval_sql(suffixes: str) -> str:
+    return f"WITH {suffixes} SELECT pattern, count(sa_row) AS n, min(sa_row) AS s FROM (VALUES {_PATTERN_HEX}) v(pattern, h) LEFT JOIN sa ON starts_with(head, h) GROUP BY pattern"
+
+
+def _located_sql(suffixes: str) -> str:
+    return f"WITH {suffixes} SELECT pattern, sa_row, pos FROM (VALUES {_PATTERN_HEX}) v(pattern, h) JOIN sa ON starts_with(head, h)"
+
+
 _LOCATE_SQL = f"WITH RECURSIVE {_places(LOCATED)} SELECT pattern, doc_id, {_BYTE_POS} AS byte_pos FROM m JOIN documents USING (doc_id)"
 _PATTERN_HEX = ", ".join(f"('{p}', '{p.encode().hex().upper()}')" for p in SEARCHED)
 _TION = "tion".encode().hex().upper()
@@ -347,7 +456,7 @@ ORACLES: dict[str, str] = {
     "char_histogram": f"WITH {_SUFFIXES} SELECT c::BIGINT AS c, count(f) AS cnt FROM range(0, 256) r(c) LEFT JOIN sa ON f = c GROUP BY c",
     "c_table": f"WITH {_SUFFIXES}, h AS (SELECT f AS c, count(*) AS cnt FROM sa GROUP BY f) SELECT c, cnt, (sum(cnt) OVER (ORDER BY c) - cnt)::BIGINT AS c0, (sum(cnt) OVER (ORDER BY c))::BIGINT AS c1 FROM h",
     "symbol_functions": "WITH b AS (SELECT item_id AS piece_id, octet_length(encode(text))::BIGINT AS size, ('0x' || substr(hex(encode(text)), 1, 2))::INT::BIGINT AS first, substr(hex(encode(text)), 1, 2) AS as_byte FROM benchmark) SELECT piece_id, first AS symbol, as_byte, size % 32 AS narrow, floor(log2(size))::BIGINT AS log2, floor(log2(size))::BIGINT + 1 AS bits, (size + first) % 100 AS plus, ((first - size) % 100 + 100) % 100 AS minus FROM b",
-    "suffix_types": "WITH t AS (SELECT string_agg(hex(encode(n_name)) || '00', '' ORDER BY n_nationkey) AS s FROM nation), x AS (SELECT s, unnest(range(0, (length(s) // 2)::BIGINT)) AS pos FROM t), y AS (SELECT pos, substr(s, (2 * pos + 1)::INT, 2) AS c, substr(s, (2 * pos + 1)::INT) AS here, substr(s, (2 * pos + 3)::INT) AS after FROM x), k AS (SELECT pos, CASE WHEN after = '' OR here < after THEN 'S' ELSE 'L' END AS type FROM y) SELECT pos, type, coalesce(type = 'S' AND lag(type) OVER (ORDER BY pos) = 'L', false) AS is_lms FROM k",
+    "suffix_types": f"WITH {_PART}, k AS (SELECT pos, CASE WHEN coalesce(lead(sa_row) OVER (ORDER BY pos) > sa_row, true) THEN 'S' ELSE 'L' END AS type FROM sa) SELECT pos, type, coalesce(type = 'S' AND lag(type) OVER (ORDER BY pos) = 'L', false) AS is_lms FROM k",
     "suffix_array": f"WITH {_SUFFIXES} SELECT sa_row, pos FROM sa",
     "inverse_suffix_array": f"WITH {_SUFFIXES} SELECT pos, sa_row FROM sa",
     "bwt": f"WITH {_SUFFIXES} SELECT sa_row, l AS symbol FROM sa",
@@ -360,13 +469,26 @@ ORACLES: dict[str, str] = {
     "bwt_runs": f"WITH {_RUNS} SELECT run, head, start, len, f_start FROM runs",
     "run_bits": f"WITH {_RUNS} SELECT sa_row, CASE WHEN a.start IS NULL THEN 0 ELSE 1 END AS bit, CASE WHEN b.f_start IS NULL THEN 0 ELSE 1 END AS bit_sorted FROM sa LEFT JOIN runs a ON a.start = sa_row LEFT JOIN runs b ON b.f_start = sa_row",
     "run_c_table": f"WITH {_RUNS}, h AS (SELECT head AS c, count(*) AS cnt FROM runs GROUP BY head) SELECT c, cnt, (sum(cnt) OVER (ORDER BY c) - cnt)::BIGINT AS c0, (sum(cnt) OVER (ORDER BY c))::BIGINT AS c1 FROM h",
-    "sa_interval": f"WITH {_SUFFIXES} SELECT pattern, count(sa_row) AS n, min(sa_row) AS s FROM (VALUES {_PATTERN_HEX}) v(pattern, h) LEFT JOIN sa ON starts_with(head, h) GROUP BY pattern",
-    "locate_indexed": f"WITH {_SUFFIXES} SELECT pattern, sa_row, pos FROM (VALUES {_PATTERN_HEX}) v(pattern, h) JOIN sa ON starts_with(head, h)",
+    "sa_interval": _interval_sql(_SUFFIXES),
+    "locate_indexed": _located_sql(_SUFFIXES),
     "boundary_indexed": " UNION ALL ".join(
-        f"SELECT '{kind}' AS kind, '{p}' AS pattern, " + (f"coalesce(sum({_overlapping('n_name', p)}), 0)::BIGINT" if kind == "prefix" else f"count(*) FILTER (ends_with(n_name, '{p}'))") + f" AS interval_count, count(*) FILTER ({cond}) AS match_count, min(n_nationkey) FILTER ({cond})::BIGINT AS first_piece FROM nation"
-        for kind, p in NATION_SEARCHES
-        for cond in [{"prefix": f"starts_with(n_name, '{p}')", "suffix": f"ends_with(n_name, '{p}')", "exact": f"n_name = '{p}'"}[kind]]
+        f"SELECT '{kind}' AS kind, '{p}' AS pattern, " + (f"coalesce(sum({_overlapping('p_name', p)}), 0)::BIGINT" if kind == "prefix" else f"count(*) FILTER (ends_with(p_name, '{p}'))") + f" AS interval_count, count(*) FILTER ({cond}) AS match_count, min(p_partkey) FILTER ({cond})::BIGINT AS first_piece FROM part"
+        for kind, p in NAME_SEARCHES
+        for cond in [{"prefix": f"starts_with(p_name, '{p}')", "suffix": f"ends_with(p_name, '{p}')", "exact": f"p_name = '{p}'"}[kind]]
     ),
     "refine_indexed": "SELECT p AS pattern, sum(" + "len(list_filter(range(1, length(text) - length(p) + 2), lambda i: substr(text, i::INT, length(p)::INT) = p))" + ")::BIGINT AS n FROM benchmark, (VALUES ('ti'), ('onti')) v(p) GROUP BY p",
     "index_stats": "SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS n, count(*) AS pieces, sum(octet_length(encode(text)))::BIGINT AS payload_bytes FROM documents",
+    "sa_interval_pieces": _interval_sql(_SUFFIXES),
+    "sa_interval_plain": _interval_sql(_ONE_TEXT),
+    "sa_interval_runs": _interval_sql(_ONE_TEXT),
+    "locate_plain": _located_sql(_ONE_TEXT),
+    "locate_runs": _located_sql(_ONE_TEXT),
+    "forward_plain": f"WITH {_ONE_TEXT} SELECT pos, substr(s || s, (2 * pos + 1)::INT, {2 * REACH}) AS taken FROM sa, t WHERE starts_with(head, '2E')",
+    "navigate_runs": f"WITH {_ONE_TEXT} SELECT a.sa_row, a.l AS before, a.f AS first, b.sa_row AS back, c.sa_row AS forward FROM sa a, n, sa b, sa c WHERE b.pos = (a.pos - 1 + n) % n AND c.pos = (a.pos + 1) % n",
+    "chosen_steps_runs": f"WITH {_ONE_TEXT} SELECT sa_row, c::BIGINT AS c, ((SELECT count(*) FROM sa x WHERE x.f < c) + coalesce(sum(CASE WHEN l = c THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY sa_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS step FROM sa, (VALUES {', '.join(f'({c})' for c in CHOSEN[:2])}) v(c)",
+    "count_sharded": _count_sql(COUNTED),
+    "locate_sharded": _LOCATE_SQL,
+    "boundary_sharded": " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{p}' AS pattern, doc_id FROM documents WHERE " + {"prefix": f"starts_with(text, '{p}')", "suffix": f"ends_with(text, '{p}')", "exact": f"text = '{p}'"}[kind] for kind, p in DOCUMENT_SEARCHES),
+    "index_sizes": f"WITH {_ONE_TEXT + _RUN_TABLES}, k AS (SELECT n, (SELECT count(*) FROM runs) AS r, (SELECT count(*) FROM benchmark) AS d, (n + {(1 << SAMPLE_LEVEL) - 1}) // {1 << SAMPLE_LEVEL} AS sampled FROM n) "
+    + " UNION ALL ".join(f"SELECT '{kind.__name__}' AS kind, n, {'d' if kind.by_piece else 1}::BIGINT AS pieces, ({'17 * r' if kind.by_run else 'n'} + 8 * ({'sampled' if kind.locates else 0} + {'d' if kind.by_piece else 0}))::BIGINT AS stored_bytes FROM k" for kind in KINDS),
 }

@@ -1,33 +1,70 @@
-"""Backward search of many patterns at once over the blocked transform.
+"""Backward search of many patterns at once.
 
-A state is a pattern with its interval of rows.  A step takes the next symbol from the
-right: both bounds become the symbol's bucket start plus its rank at the bound, looked
-up in the block of the bound.  All patterns of a batch step together; those whose
-interval is empty drop out.
+A state is a pattern with its interval of rows; a step takes the next symbol from the
+right.  A transform that fits in memory is sent to the tasks, each of which steps its
+share of the patterns.  A larger one stays a table of blocks with a rank directory: then
+all patterns step together by joins, a table of states for each symbol of the longest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphrake.functions.running import running_sum
+from glyphrake.operators.navigate import Navigator
 from glyphrake.operators.transform import BLOCK
-from glyphrake.session import settled
+from glyphrake.session import checkpoint, prepare
 
 
 def pattern_rows(spark: SparkSession, patterns: Sequence[bytes | Sequence[int]]) -> DataFrame:
     """pattern_id, symbols from the caller's patterns."""
-    return spark.createDataFrame([(i, [int(c) for c in p]) for i, p in enumerate(patterns)], "pattern_id long, symbols array<bigint>")
+    ids = pa.array(np.arange(len(patterns)))
+    symbols = pa.array([list(p) for p in patterns], pa.list_(pa.int64()))
+    return spark.createDataFrame(pa.table({"pattern_id": ids, "symbols": symbols}))
+
+
+def with_start(patterns: DataFrame, n: int, start: DataFrame | None) -> DataFrame:
+    """pattern_id, symbols and the first interval: start's (pattern_id, s, e), or all n rows."""
+    rows = patterns.select("pattern_id", "symbols")
+    return rows.join(start, "pattern_id") if start is not None else rows.withColumns({"s": F.lit(0).cast("long"), "e": F.lit(n).cast("long")})
+
+
+def intervals_in_memory(patterns: DataFrame, navigator: Navigator, start: DataFrame | None = None) -> DataFrame:
+    """As intervals(), in one pass over the patterns; the navigator is sent to all tasks."""
+    spark = patterns.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(navigator)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, sizes = batch.column(1).flatten().to_numpy(), pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+            s, e = shared.value.intervals(symbols, sizes, batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(e)], names=["pattern_id", "s", "e"])
+
+    return with_start(patterns, navigator.n, start).mapInArrow(run, "pattern_id long, s long, e long")
 
 
 def directory(counts: DataFrame, block_rows: int, wanted: DataFrame) -> DataFrame:
-    """blk, c, occ: occurrences of the wanted symbols before each block."""
-    own = wanted.select("c").distinct().withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(block_rows, 1) - 1).cast("long"))))
-    dense = own.join(counts, ["blk", "c"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-    before = F.sum("cnt").over(Window.partitionBy("c").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))
-    return dense.select("blk", "c", F.coalesce(before, F.lit(0)).alias("occ"))
+    """blk, c, occ: occurrences of the wanted symbols (a bounded alphabet's, or a batch's) before each block."""
+    spark = counts.sparkSession
+    prepare(spark)
+    symbols = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in wanted.select("c").distinct().collect()), np.int64))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blk, c = batch.column(0).to_numpy(), symbols.value
+            for part in np.array_split(blk, max(1, len(blk) * len(c) >> 16)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(c))), pa.array(np.tile(c, len(part)))], names=["blk", "c"])
+
+    dense = spark.range(max(block_rows, 1)).mapInArrow(every, "blk long, c long").join(counts, ["blk", "c"], "left")
+    dense = checkpoint(dense.select("blk", "c", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt")), "ranks")
+    return running_sum(dense, ["blk"], "cnt", "occ", by="c", label="ranks").select("blk", "c", "occ")
 
 
 def intervals(patterns: DataFrame, block_table: DataFrame, counts: DataFrame, c_table: DataFrame, n: int, start: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -36,11 +73,9 @@ def intervals(patterns: DataFrame, block_table: DataFrame, counts: DataFrame, c_
     start gives other first intervals (pattern_id, s, e); symbols that the text does not
     have empty the interval.  An empty pattern keeps its first interval.
     """
-    wanted = settled(patterns.select(F.explode("symbols").alias("c")).distinct(), "pattern-symbols")
-    occ = settled(directory(counts, -(-n // block) or 1, wanted), "pattern-ranks")
-    state = patterns.select("pattern_id", "symbols")
-    state = state.join(start, "pattern_id") if start is not None else state.withColumn("s", F.lit(0).cast("long")).withColumn("e", F.lit(n).cast("long"))
-    state = settled(state, "pattern-state")
+    wanted = patterns.select(F.explode("symbols").alias("c")).distinct()
+    occ = directory(counts, -(-n // block) or 1, wanted)
+    state = checkpoint(with_start(patterns, n, start), "pattern-state")
     longest = patterns.agg(F.max(F.size("symbols"))).first()[0] or 0
     for done in range(longest):
         open_ = state.where((F.size("symbols") > done) & (F.col("s") < F.col("e")))
@@ -56,7 +91,7 @@ def intervals(patterns: DataFrame, block_table: DataFrame, counts: DataFrame, c_
         active = (F.size("symbols") > done) & (F.col("s") < F.col("e"))
         s = F.when(active, F.coalesce("s2", F.lit(0))).otherwise(F.col("s"))
         e = F.when(active, F.coalesce("e2", F.lit(0))).otherwise(F.col("e"))
-        state = settled(stepped.select("pattern_id", "symbols", s.alias("s"), e.alias("e")), "pattern-state")
+        state = checkpoint(stepped.select("pattern_id", "symbols", s.alias("s"), e.alias("e")), "pattern-state")
     return state.select("pattern_id", "s", F.greatest("s", "e").alias("e"))
 
 
@@ -67,6 +102,52 @@ def rows_of(found: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame
     return full.join(rows, "_blk").where("sa_row >= s and sa_row < e").drop("_blk", "s", "e")
 
 
+def located_in_memory(rows: DataFrame, navigator: Navigator, sample: np.ndarray, level: int) -> DataFrame:
+    """rows (its sa_row) with pos, by stepping back to sampled rows in the tasks."""
+    prepare(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast((navigator, sample))
+    at, schema = rows.columns.index("sa_row"), rows.select("*", F.lit(0).cast("long").alias("pos")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.positions(batch.column(at).to_numpy(), known, level))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def navigated(rows: DataFrame, navigator: Navigator) -> DataFrame:
+    """sa_row, before, first, back, forward: the symbols before and at a suffix, and the rows a symbol earlier and later."""
+    prepare(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(navigator)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            columns = (at, own.symbols[own.before(at)], own.symbols[own.first(at)], own.back(at), own.forward(at))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["sa_row", "before", "first", "back", "forward"])
+
+    return rows.select("sa_row").mapInArrow(run, "sa_row long, before long, first long, back long, forward long")
+
+
+def chosen_steps(rows: DataFrame, navigator: Navigator, symbols: Sequence[int]) -> DataFrame:
+    """sa_row, c, step: the row that each chosen symbol put before a row's suffix leads to; none for symbols that the text does not have."""
+    prepare(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast((navigator, np.array(symbols, np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, chosen = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for c, code in zip(chosen.tolist(), own.code(chosen).tolist()):
+                if code >= 0:
+                    step = own.bucket(np.full(len(at), code), at)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), c)), pa.array(step, pa.int64())], names=["sa_row", "c", "step"])
+
+    return rows.select("sa_row").mapInArrow(run, "sa_row long, c long, step long")
+
+
 def located_by_walk(rows: DataFrame, sample: DataFrame, back: DataFrame, n: int) -> DataFrame:
     """pattern_id, sa_row, pos by stepping back to the next sampled row: all pending rows step together."""
     pending = rows.select("pattern_id", "sa_row", F.col("sa_row").alias("at"), F.lit(0).cast("long").alias("steps"))
@@ -74,7 +155,7 @@ def located_by_walk(rows: DataFrame, sample: DataFrame, back: DataFrame, n: int)
     out = None
     while True:
         # one table a round: rows that met a sampled row, and where the others go
-        met = settled(pending.join(known, "at", "left").join(onwards, "at"), "walk")
+        met = checkpoint(pending.join(known, "at", "left").join(onwards, "at"), "walk")
         found = met.where("pos is not null").select("pattern_id", "sa_row", F.pmod(F.col("pos") + F.col("steps"), F.lit(n)).alias("pos"))
         out = found if out is None else out.unionByName(found)
         pending = met.where("pos is null").select("pattern_id", "sa_row", F.col("next_row").alias("at"), (F.col("steps") + 1).alias("steps"))

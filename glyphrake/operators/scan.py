@@ -2,22 +2,30 @@
 
 One or a few literal patterns become expressions that stay inside generated code.  A
 batch of patterns goes through an automaton that finds them all, overlaps included, in
-one pass; very large batches go in blocks of a checked size.
+one pass; very large batches go in blocks of a checked size.  A table of longer patterns
+is found by anchors: each pattern is known by one of its byte n-grams, texts are hashed
+at every place, and where an anchor is found the whole pattern is compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphrake.errors import InvalidPatternError
 from glyphrake.functions.matching import count_in_text, segments_before
+from glyphrake.session import checkpoint, prepare
 
-#: Bytes of patterns that one automaton is built from.
-BATCH_BYTES = 16_000_000
+#: Bytes of patterns that one automaton is built from, and parts of a text that are summed up at a time.
+BATCH_BYTES, CHUNK = 16_000_000, 64
+#: Bytes of an anchor, patterns whose anchors are sent to all tasks at a time, bytes of text hashed at a time (and longer patterns' lengths more), cells that say which anchors may be there.
+ANCHOR, ANCHORS, STRETCH, CELLS = 24, 1_000_000, 1 << 20, 1 << 22
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+_POWERS: list[np.ndarray] = []
 
 
 def count(rows: DataFrame, text: str, patterns: Sequence[str]) -> DataFrame:
@@ -27,24 +35,38 @@ def count(rows: DataFrame, text: str, patterns: Sequence[str]) -> DataFrame:
     return sums.select(F.explode(pairs).alias("x")).select("x.pattern", "x.n")
 
 
-def locate(rows: DataFrame, text: str, pattern: str, *keep: str) -> DataFrame:
-    """keep's columns (which must tell rows apart) and byte_pos of every occurrence in a STRING column, by cutting before each."""
-    if not pattern:
-        every = F.sequence(F.lit(0).cast("long"), F.octet_length(text).cast("long"))
-        return rows.select(*keep, F.explode(every).alias("byte_pos"))
-    parts = segments_before(F.col(text), pattern)
+def _sums_before(sizes: Column, start: Column) -> Column:
+    """start plus the sum of the array's members before each."""
+    held = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("seen"))
+    return F.aggregate(sizes, held, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))["seen"]
+
+
+def _begins(parts: Column) -> Column:
+    """Byte offsets of the parts of a text.
+
+    A running sum copies its array at every step, so the parts are summed up in chunks:
+    the work grows with the number of parts, not its square.
+    """
     sizes = F.transform(parts, lambda x: F.octet_length(x).cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("seen"))
-    # a running sum of the parts' sizes: where each part but the first begins
-    begins = F.aggregate(sizes, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))["seen"]
-    hits = F.filter(begins, lambda at, i: (i > 0) | F.startswith(F.col(text), F.lit(pattern)))
-    found = rows.where(F.contains(F.col(text), F.lit(pattern)))
-    small = F.size(parts) <= 64
-    # the running sum copies its array, so pieces with many hits go part by part; keep tells pieces apart
-    many = found.where(~small).select(*keep, F.startswith(F.col(text), F.lit(pattern)).alias("_starts"), F.posexplode(F.transform(parts, lambda x: F.octet_length(x).cast("long"))).alias("_k", "_size"))
-    begin = F.coalesce(F.sum("_size").over(Window.partitionBy(*keep).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    many = many.withColumn("byte_pos", begin).where((F.col("_k") > 0) | F.col("_starts"))
-    return found.where(small).select(*keep, F.explode(hits).alias("byte_pos")).unionByName(many.select(*keep, F.col("byte_pos").cast("long")))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK)))
+    starts = _sums_before(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0).cast("long"))
+    return F.flatten(F.zip_with(chunks, starts, _sums_before))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Byte offsets of a pattern in a STRING column, overlaps included, by cutting before each occurrence."""
+    if not pattern:
+        return F.sequence(F.lit(0).cast("long"), F.octet_length(text).cast("long"))
+    begins = _begins(segments_before(text, pattern))
+    hits = F.filter(begins, lambda at, i: (i > 0) | F.startswith(text, F.lit(pattern)))
+    return F.when(F.contains(text, F.lit(pattern)), hits)
+
+
+def locate(rows: DataFrame, text: str, patterns: Sequence[str], *keep: str) -> DataFrame:
+    """keep's columns, pattern and byte_pos of every occurrence of a few patterns in a STRING column: one pass for all."""
+    found = F.array(*(F.struct(F.lit(p).alias("pattern"), places(F.col(text), p).alias("places")) for p in patterns))
+    hits = rows.select(*keep, F.explode(found).alias("x")).select(*keep, "x.pattern", F.explode("x.places").alias("byte_pos"))
+    return hits
 
 
 def starting_with(rows: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -125,6 +147,117 @@ def _automaton_pass(pieces: DataFrame, patterns: list[tuple[int, bytes]]) -> Dat
     return pieces.mapInArrow(run, "pattern_id long, piece_id long, piece_pos long")
 
 
+class _Hashes:
+    """Polynomial hashes of any stretch of some bytes, modulo 2^64."""
+
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
+        if not _POWERS or len(_POWERS[0]) <= n:
+            _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 16), b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        power, self._inverse = _POWERS
+        self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)))
+
+    def of(self, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        h = (self._sums[first + size] - self._sums[first]) * self._inverse[first]
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pattern_id, anchor, at, size, whole: the n-gram of each pattern with the smallest hash, its place, and the whole pattern's length and hash."""
+    for batch in batches:
+        out: list[list[int]] = [[], [], [], []]
+        for body in batch.column(1):
+            raw = np.frombuffer(body.as_buffer(), np.uint8)
+            hashes = _Hashes(raw)
+            grams = hashes.of(np.arange(len(raw) - ANCHOR + 1), ANCHOR)
+            at = int(grams.argmin())
+            for column, x in zip(out, (grams[at].view(np.int64), at, len(raw), hashes.of(np.array([0]), len(raw))[0].view(np.int64))):
+                column.append(int(x))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["pattern_id", "anchor", "at", "size", "whole"])
+
+
+def locate_table(pieces: DataFrame, patterns: DataFrame, piece_id: str = "piece_id", body: str = "body") -> DataFrame:
+    """pattern_id, piece_id, piece_pos of every occurrence in BINARY bodies of a table of patterns (pattern_id, body).
+
+    Patterns of ANCHOR bytes or more are found by anchors: four numbers for each pattern
+    are sent to the tasks, in blocks of ANCHORS patterns with one pass each.  What is found by
+    hash is compared with the pattern, byte by byte.  Shorter patterns go through
+    locate_batch.  Null and empty patterns are found nowhere.
+    """
+    spark = pieces.sparkSession
+    prepare(spark)
+    patterns = patterns.select(F.col("pattern_id").cast("long").alias("pattern_id"), "body").where("body is not null and octet_length(body) > 0")
+    known = checkpoint(patterns.where(F.octet_length("body") >= ANCHOR).mapInArrow(_anchors, "pattern_id long, anchor long, at long, size long, whole long"), "anchors")
+    texts = pieces.select(F.col(piece_id).cast("long").alias("piece_id"), F.col(body).alias("body"))
+    longs, out = known.count(), None
+    blocks = -(-longs // ANCHORS)
+    block = F.pmod(F.xxhash64("anchor"), F.lit(max(blocks, 1)))
+    for i in range(blocks):
+        found = _anchored(texts, known.where(block == i).toArrow())
+        out = found if out is None else out.unionByName(found)
+    if out is not None:
+        out = out.join(patterns.withColumnRenamed("body", "wanted"), "pattern_id").where(F.col("seen") == F.col("wanted")).select("pattern_id", "piece_id", "piece_pos")
+    # shorter patterns have few bytes each, so that a block of them is many patterns
+    short = [(r["pattern_id"], bytes(r["body"])) for r in patterns.where(F.octet_length("body") < ANCHOR).toLocalIterator()]
+    if short or out is None:
+        found = locate_batch(texts, short) if short else texts.limit(0).select(F.col("piece_id").alias("pattern_id"), "piece_id", F.col("piece_id").alias("piece_pos"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _anchored(texts: DataFrame, known: pa.Table) -> DataFrame:
+    """pattern_id, piece_id, piece_pos, seen: stretches with the hashes of patterns."""
+    columns = [known.column(c).to_numpy() for c in ("anchor", "pattern_id", "at", "size", "whole")]
+    order = np.argsort(columns[0], kind="stable")
+    shared = texts.sparkSession.sparkContext.broadcast([x[order] for x in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, ids, at, size, whole = shared.value
+        cells = np.zeros(CELLS, bool)
+        cells[(anchors.view(np.uint64) >> np.uint64(42)).astype(np.int64)] = True
+
+        longest = int(size.max(initial=0))
+
+        def search(stretches: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+            pieces, bases, limits, bodies = zip(*stretches)
+            raw = np.frombuffer(b"".join(bodies), np.uint8)
+            ends = np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)))
+            hashes = _Hashes(raw)
+            grams = hashes.of(np.arange(max(len(raw) - ANCHOR + 1, 0)), ANCHOR)
+            places = np.flatnonzero(cells[(grams >> np.uint64(42)).astype(np.int64)])
+            own = grams[places].view(np.int64)
+            lo, hi = np.searchsorted(anchors, own), np.searchsorted(anchors, own, side="right")
+            # every pattern of an anchor, with the place where it would begin
+            times = hi - lo
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+            places = np.repeat(places, times)
+            begin, end = places - at[nth], places - at[nth] + size[nth]
+            piece = np.searchsorted(ends, places, side="right")
+            first = ends[piece] - np.array([len(x) for x in bodies], np.int64)[piece]
+            fits = (begin >= first) & (end <= ends[piece]) & (begin - first < np.array(limits)[piece])
+            begin, end, nth, piece, first = (x[fits] for x in (begin, end, nth, piece, first))
+            same = hashes.of(begin, size[nth]).view(np.int64) == whole[nth] if len(begin) else np.zeros(0, bool)
+            begin, end, nth, piece, first = (x[same] for x in (begin, end, nth, piece, first))
+            seen = [raw[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(ids[nth]), pa.array(np.array(pieces, np.int64)[piece]), pa.array(begin - first + np.array(bases, np.int64)[piece]), pa.array(seen, pa.binary())], names=["pattern_id", "piece_id", "piece_pos", "seen"])
+
+        for batch in batches:
+            stretches, held = [], 0
+            for piece, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                whole_body = body.as_py() or b""
+                # a long text goes in stretches that overlap by the longest pattern; a match counts where it begins
+                for base in range(0, len(whole_body), STRETCH):
+                    stretches.append((piece, base, STRETCH, whole_body[base : base + STRETCH + longest]))
+                    held += len(stretches[-1][3])
+                    if held >= STRETCH:
+                        yield search(stretches)
+                        stretches, held = [], 0
+            if stretches:
+                yield search(stretches)
+
+    return texts.where("piece_id is not null").mapInArrow(run, "pattern_id long, piece_id long, piece_pos long, seen binary")
+
+
 def counted_symbols(pieces: DataFrame, patterns: Sequence[Sequence[int]], piece_id: str = "piece_id", body: str = "body") -> DataFrame:
     """piece_id, pattern_id, n for ARRAY bodies: occurrences of symbol sequences, pieces without any left out."""
     cells = F.array(*(F.struct(F.lit(i).cast("long").alias("pattern_id"), occurrences(F.col(body), p).alias("n")) for i, p in enumerate(patterns)))

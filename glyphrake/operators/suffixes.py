@@ -1,21 +1,32 @@
 """Suffix order of a corpus by prefix doubling, and what follows from it.
 
 A suffix's rank is the first row of the bucket of suffixes that agree on the symbols
-seen so far.  Since the rank is a row already, a round needs no global order: rows are
-ranked within their bucket by the rank of the suffix some symbols on, and the number of
-symbols doubles.  Buckets of one row are finished and leave the rounds.
+seen so far.  A round splits every bucket by the rank of the suffix that begins where
+those symbols end.  Only suffixes that share a bucket take part in a round and are
+written again; a suffix alone in its bucket is written once.  Rows before a suffix are
+counted over distinct pairs of ranks, so that no task holds a bucket, however many
+suffixes are in it.  Texts of LOCAL symbols or fewer are sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphrake.session import checkpoint
-from glyphrake.sources.corpus import Corpus
+from glyphrake.functions.running import running_sum
+from glyphrake.operators.navigate import PACKED, packed_keys, sorted_suffixes
+from glyphrake.session import checkpoint, prepare
+from glyphrake.sources.corpus import ROWS, Corpus, values_of
 
-#: Symbols in a block of the text, and symbols of a byte alphabet that fit in one BIGINT key.
-BLOCK, PACKED = 4_096, 7
+#: Symbols that one task sorts or navigates in memory, and symbols of an alphabet whose buckets one task adds up.
+LOCAL, FEW_SYMBOLS = 1 << 22, 1 << 16
+TABLE = "sa_row long, pos long, piece_id long, piece_pos long, f long, l long"
 
 
 def symbol_counts(symbols: DataFrame, column: str = "c", up_to: int | None = None) -> DataFrame:
@@ -26,92 +37,144 @@ def symbol_counts(symbols: DataFrame, column: str = "c", up_to: int | None = Non
     return symbols.sparkSession.range(up_to + 1).withColumnRenamed("id", "c").join(counts, "c", "left").select("c", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
 
 
-def bucket_bounds(counts: DataFrame) -> DataFrame:
+def bucket_bounds(counts: DataFrame, max_symbol: int = 255) -> DataFrame:
     """counts with c0, the symbols smaller than c, and c1, those up to c.  One row per symbol of the alphabet."""
+    if max_symbol > FEW_SYMBOLS:
+        return running_sum(checkpoint(counts, "symbols"), ["c"], "cnt", "c0").select("c", "cnt", "c0", (F.col("c0") + F.col("cnt")).alias("c1"))
     running = F.sum("cnt").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return counts.withColumn("c1", running).withColumn("c0", F.col("c1") - F.col("cnt")).select("c", "cnt", "c0", "c1")
 
 
-def with_following(symbols: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
-    """symbols with c1 .. c<reach>, the symbols after each (null past the end).
+def suffix_types(symbols: DataFrame) -> DataFrame:
+    """pos, type, is_lms: S where the next different symbol is larger, and at the end; else L.
 
-    Blocks of the text are windows of their own; the first symbols of a block are lent
-    to the block before, so that no window spans the text.
+    is_lms: an S with an L on its left, that is with a larger symbol before it.
+    Neighbouring places share a partition, which knows the next different symbol of all
+    but its last run; for that run the driver looks at the first symbols of the
+    partitions after it, two numbers each.
     """
-    home, lent = F.floor(F.col("pos") / block), F.col("pos") % block < reach
-    both = F.when(lent & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    rows = symbols.withColumn("_block", F.explode(both))
-    order = Window.partitionBy("_block").orderBy("pos")
-    rows = rows.withColumns({f"c{i}": F.lead("c", i).over(order) for i in range(1, reach + 1)})
-    return rows.where(F.col("_block") == F.floor(F.col("pos") / block)).drop("_block")
+    spark = symbols.sparkSession
+    prepare(spark)
+    names = ["part", "pos", "c", "l", "following"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, last = TaskContext.get().partitionId(), [], None
+        # the last run of what was read so far waits for what comes
+        for batch in batches:
+            c = batch.column(1).to_numpy()
+            goes_on = not len(c) or (last in (None, c[0]) and (c == c[0]).all())
+            last = c[-1] if len(c) else last
+            held.append(batch)
+            if not goes_on:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                c = whole.column(1).to_numpy()
+                turns = np.flatnonzero(c[1:] != c[:-1]) + 1
+                yield out(part, whole.slice(0, turns[-1]), np.repeat(c[turns], np.diff(turns, prepend=0)))
+                held = [whole.slice(turns[-1])]
+        for batch in held:
+            yield out(part, batch, None)
+
+    def out(part: int, batch: pa.RecordBatch, following: np.ndarray | None) -> pa.RecordBatch:
+        then = pa.array(following) if following is not None else pa.nulls(batch.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int64)), *batch.columns, then], names=names)
+
+    dealt = symbols.select("pos", "c", "l").repartitionByRange("pos").sortWithinPartitions("pos")
+    rows = checkpoint(dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names)), "suffix-types")
+    edges = rows.groupBy("part").agg(F.min_by("c", "pos").alias("first"), F.max_by("c", "pos").alias("last"), F.min(F.when(F.col("following").isNotNull(), F.struct("pos", "following")))["following"].alias("turn")).collect()
+    after, then, ends = None, None, []
+    for r in sorted(edges, key=lambda r: -r["part"]):
+        # after: the first symbol of the partitions that follow; then: the next different one
+        ends.append((r["part"], after if after != r["last"] else then))
+        if r["turn"] is not None:
+            after, then = r["first"], r["turn"]
+        elif r["first"] != after:
+            after, then = r["first"], after
+    ends = F.broadcast(spark.createDataFrame(ends, "part long, after long"))
+    larger = F.coalesce("following", "after")
+    kind = F.when(larger.isNull() | (larger > F.col("c")), "S").otherwise("L")
+    typed = rows.join(ends, "part").select("pos", "c", "l", kind.alias("type"))
+    return typed.select("pos", "type", ((F.col("type") == "S") & (F.col("l") > F.col("c")) & (F.col("pos") > 0)).alias("is_lms"))
 
 
-def suffix_types(symbols: DataFrame, block: int = BLOCK) -> DataFrame:
-    """pos, type, is_lms: S where the next different symbol is larger, and at the end; else L.
+def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pos, key, depth: the symbols up to the piece's end, PACKED of a byte alphabet at most, as one number."""
+    for batch in batches:
+        held, size = [], 0
+        for offset, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            wide = isinstance(body, (pa.ListScalar, pa.LargeListScalar))
+            c = np.append(values_of(body).astype(np.int64), 0)
+            place = np.arange(len(c))
+            depth = np.ones(len(c), np.int64) if wide else np.minimum(PACKED, len(c) - place)
+            held.append((place + offset, c if wide else packed_keys(c), depth))
+            size += len(c)
+            if size >= ROWS:
+                yield from _out(held)
+                held, size = [], 0
+        yield from _out(held)
 
-    A block knows the next different symbol unless its last run goes on; the first
-    different symbol of the blocks after it is carried back over one row per block.
-    """
-    rows = symbols.withColumn("_block", F.floor(F.col("pos") / block))
-    order = Window.partitionBy("_block").orderBy("pos")
-    rows = rows.withColumn("_next", F.lead("c").over(order))
-    turn = F.min(F.when(F.col("_next") != F.col("c"), F.struct("pos", F.col("_next").alias("c"))))["c"]
-    edge = rows.groupBy("_block").agg(F.min_by("c", "pos").alias("_first"), F.max_by("c", "pos").alias("_last"), turn.alias("_turn"))
-    back = Window.orderBy("_block")
-    # the first change in a block, seen from the end of the block before
-    change = F.when(F.col("_first") != F.lag("_last").over(back), F.col("_first")).otherwise(F.col("_turn"))
-    edge = edge.withColumn("_change", change)
-    edge = edge.withColumn("_after", F.first("_change", ignorenulls=True).over(back.rowsBetween(1, Window.unboundedFollowing)))
-    rows = rows.join(edge.select("_block", "_after"), "_block")
-    following = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    different = F.first(F.when(F.col("_next") != F.col("c"), F.col("_next")), ignorenulls=True).over(following)
-    larger = F.coalesce(different, F.col("_after"))
-    kind = F.when(larger.isNull() | (larger > F.col("c")), "S").otherwise("L")
-    typed = rows.select("pos", "c", kind.alias("type"))
-    left = typed.select((F.col("pos") + 1).alias("pos"), F.col("type").alias("_left"))
-    lms = (F.col("type") == "S") & (F.col("_left") == "L")
-    return typed.join(left, "pos", "left").select("pos", "type", F.coalesce(lms, F.lit(False)).alias("is_lms"))
+
+def _out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    columns = [np.concatenate(x) for x in zip(*held)]
+    for at in range(0, len(columns[0]) if columns else 0, ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS]) for x in columns], names=["pos", "key", "depth"])
 
 
 def suffix_ranks(corpus: Corpus) -> DataFrame:
     """pos, sa_row of every suffix of the whole text, in lexicographic order of symbols.
 
     Plain order of the text with its terminators: suffixes go on through terminators, and
-    the one at the end is the shortest.  Every round is written to the shared folder.
+    the one at the end is the shortest.  depth is how many symbols the suffixes of a
+    bucket are known to share; buckets differ in it, since the first keys end where
+    pieces end.  Rounds grow with the logarithm of the longest repeated passage.
     """
-    symbols = corpus.symbols()
-    if not corpus.wide and corpus.max_symbol <= 255:
-        wide = with_following(symbols.select("pos", "c"), PACKED - 1)
-        key: Column = F.lit(0).cast("long")
-        for name in ["c", *(f"c{i}" for i in range(1, PACKED))]:
-            key = key * 257 + F.coalesce(F.col(name) + 1, F.lit(0))
-        keyed = checkpoint(wide.select("pos", F.col("c").alias("head"), key.alias("key")), "suffix-keys")
-        seen = PACKED
-    else:
-        keyed, seen = checkpoint(symbols.select("pos", F.col("c").alias("head"), F.col("c").alias("key")), "suffix-keys"), 1
-    # rows before a key: all of smaller first symbols, then of smaller keys with the same first symbol
-    per_key = keyed.groupBy("head", "key").agg(F.count("*").alias("n"))
-    heads = bucket_bounds(per_key.groupBy(F.col("head").alias("c")).agg(F.sum("n").alias("cnt"))).select(F.col("c").alias("head"), "c0")
-    inner = F.sum("n").over(Window.partitionBy("head").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    starts = per_key.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(heads, "head").select("key", (F.col("c0") + F.col("_inner")).alias("r"), (F.col("n") == 1).alias("done"))
-    ranks = checkpoint(keyed.select("pos", "key").join(starts, "key").select("pos", "r", "done"), "suffix-ranks")
-    while not ranks.where("not done").isEmpty():
-        further = ranks.select((F.col("pos") - seen).alias("pos"), F.col("r").alias("r2"))
-        open_ = ranks.where("not done").select("pos", "r").join(further, "pos", "left").select("pos", "r", F.coalesce("r2", F.lit(-1)).alias("r2"))
-        split = open_.select("pos", (F.col("r") + F.rank().over(Window.partitionBy("r").orderBy("r2")) - 1).alias("r"))
-        split = split.withColumn("done", F.count("*").over(Window.partitionBy("r")) == 1)
-        ranks = checkpoint(ranks.where("done").unionByName(split), "suffix-ranks")
-        seen *= 2
-    return ranks.select("pos", F.col("r").alias("sa_row"))
-
-
-def suffix_table(corpus: Corpus) -> DataFrame:
+    prepare(corpus.pieces.sparkSession)
+    keyed = checkpoint(corpus.with_offsets().select("offset", "body").mapInArrow(_first_keys, "pos long, key long, depth long"), "suffix-keys")
+    counts = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")), "suffix-counts")
+    starts = running_sum(counts, ["key"], "n", "r", label="suffix-starts")
+    state = checkpoint(keyed.join(starts, "key").select("pos", "r", "depth", (F.col("n") == 1).alias("done")), "suffix-ranks")
+    finished: list[DataFrame] = []
+    while True:
+        finished.append(state.where("done").select("pos", "r"))
+        open_ = state.where("not done").select("pos", "r", "depth")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, finished).select("pos", F.col("r").alias("sa_row"))
+        known = reduce(DataFrame.unionByName, [x.withColumn("depth", F.lit(0).cast("long")) for x in finished], open_)
+        known = known.select(F.col("pos").alias("_at"), F.col("r").alias("r2"), F.col("depth").alias("more"))
+        pairs = open_.withColumn("_at", F.col("pos") + F.col("depth")).join(known, "_at", "left")
+        pairs = checkpoint(pairs.select("pos", "r", F.coalesce("r2", F.lit(-1).cast("long")).alias("r2"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "suffix-pairs")
+        counts = checkpoint(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")), "suffix-counts")
+        inner = running_sum(counts, ["r2"], "n", "inner", by="r", label="suffix-starts")
+        state = checkpoint(pairs.join(inner, ["r", "r2"]).select("pos", (F.col("r") + F.col("inner")).alias("r"), "depth", (F.col("n") == 1).alias("done")), "suffix-ranks")
+
+
+def _sorted_in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffix table of a text that fits in memory, from its pieces in order."""
+    bodies, ids = [], []
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        bodies += [np.append(values_of(x).astype(np.int64), 0) for x in batch.column(1)]
+    if not ids:
+        return
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    text = np.concatenate(bodies)
+    order = sorted_suffixes(text)
+    piece_ids, starts = np.repeat(np.array(ids), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = np.concatenate(([0], text[:-1]))
+    for at in range(0, len(order), ROWS):
+        pos = order[at : at + ROWS]
+        columns = (np.arange(at, at + len(pos)), pos, piece_ids[pos], pos - starts[pos], text[pos], before[pos])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in TABLE.split(", ")])
+
+
+def suffix_table(corpus: Corpus, n: int | None = None) -> DataFrame:
     """sa_row, pos, piece_id, piece_pos, f, l: the suffixes in order with first symbol and the symbol before."""
+    if (corpus.length() if n is None else n) <= LOCAL:
+        prepare(corpus.pieces.sparkSession)
+        whole = corpus.in_order().repartition(1).sortWithinPartitions("piece_id", "_tie").select("piece_id", "body")
+        return whole.mapInArrow(_sorted_in_memory, TABLE)
     symbols = checkpoint(corpus.symbols(), "suffix-symbols")
-    ranks = suffix_ranks(corpus)
-    before = symbols.select((F.col("pos") + 1).alias("pos"), F.col("c").alias("l"))
-    rows = ranks.join(symbols, "pos").join(before, "pos", "left")
-    return rows.select("sa_row", "pos", "piece_id", "piece_pos", F.col("c").alias("f"), F.coalesce("l", F.lit(0)).alias("l"))
+    rows = suffix_ranks(corpus).join(symbols, "pos")
+    return rows.select("sa_row", "pos", "piece_id", "piece_pos", F.col("c").alias("f"), "l")
 
 
 def inverse(table: DataFrame) -> DataFrame:
@@ -127,8 +190,3 @@ def sample_level(n: int, level: int) -> int:
 def sampled(table: DataFrame, n: int, level: int) -> DataFrame:
     """sa_row, pos of every row whose number is a multiple of two to the level."""
     return table.where(F.col("sa_row") % (1 << sample_level(n, level)) == 0).select("sa_row", "pos")
-
-
-def sample_lookup(sample: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (sa_row) with pos, null where the sample does not have the row."""
-    return rows.join(sample, "sa_row", "left")

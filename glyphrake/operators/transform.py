@@ -5,26 +5,22 @@ table is a suffix table: sa_row, pos, piece_id, piece_pos, f, l.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphrake.functions.running import numbered, running_sum
 from glyphrake.operators.suffixes import bucket_bounds, symbol_counts
-from glyphrake.session import checkpoint
+from glyphrake.session import checkpoint, prepare
 
-#: Rows in a block of the rank directory, and in a block for numbering runs.
+#: Rows in a block of the rank directory.
 BLOCK = 1_024
 
 
-def numbered(rows: DataFrame, order: str, name: str, block: int = 65_536) -> DataFrame:
-    """rows with their number from 0 by a row number column: counted within blocks of it, after the blocks before."""
-    blocked = rows.withColumn("_block", F.floor(F.col(order) / block))
-    counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_block", before.alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1
-    return blocked.withColumn("_inner", inner).join(counts, "_block").withColumn(name, (F.col("_before") + F.col("_inner")).cast("long")).drop("_block", "_before", "_inner")
-
-
 def transformed(table: DataFrame) -> DataFrame:
     """sa_row, symbol: the symbol before each suffix in order."""
     return table.select("sa_row", F.col("l").alias("symbol"))
@@ -48,39 +44,75 @@ def step_forward(table: DataFrame, n: int, through_ends: bool = True) -> DataFra
 
 
 def piece_ends(table: DataFrame) -> DataFrame:
-    """k, piece_id: for the k-th terminator among the symbols before, the piece that it ends (the last for row of offset 0)."""
-    marks = table.where("l = 0")
-    pieces = table.agg(F.max("piece_id")).first()[0]
-    last = F.lit(pieces if pieces is not None else 0)
-    return numbered(marks, "sa_row", "k").select("k", F.when(F.col("pos") == 0, last).otherwise(F.col("piece_id") - 1).alias("piece_id"))
+    """k, piece_id: for the k-th terminator among the symbols before, the piece that it ends.
+
+    The row of the whole text follows the last piece; any other beginning of a piece
+    follows the piece before, by place in the text.
+    """
+    begins = numbered(checkpoint(table.where("piece_pos = 0").select("pos", "piece_id", "sa_row"), "piece-begins"), ["pos"], "at")
+    before = begins.select((F.col("at") + 1).alias("at"), F.col("piece_id").alias("ended"))
+    last = begins.agg(F.max_by("piece_id", "at")).first()[0]
+    ended = begins.join(before, "at", "left").select("sa_row", F.coalesce("ended", F.lit(last)).alias("piece_id"))
+    return numbered(checkpoint(ended, "piece-ends"), ["sa_row"], "k").select("k", "piece_id")
 
 
-def first_text_row(table: DataFrame) -> DataFrame:
-    """The row of the whole text."""
-    return table.where("pos = 0").select("sa_row")
+def first_text_row(table: DataFrame) -> int:
+    """The row of the whole text (0 if there is none)."""
+    row = table.where("pos = 0").select("sa_row").first()
+    return row[0] if row else 0
 
 
-def runs(table: DataFrame, block: int = 65_536) -> DataFrame:
+def runs(table: DataFrame) -> DataFrame:
     """run, head, start, len, f_start: maximal runs of equal symbols before suffixes.
 
-    f_start is where the run's rows begin once runs are sorted by head.  Run numbers are
-    counted within blocks of rows and added up over blocks.
+    f_start is where the run's rows begin once runs are sorted by head.  Neighbouring
+    rows share a partition, which finds its runs in one pass; where a run goes on in the
+    next partition, the driver adds the parts up, a number per partition.
     """
-    rows = table.select("sa_row", "l", F.floor(F.col("sa_row") / block).alias("_block"))
-    edge = rows.groupBy("_block").agg(F.max_by("l", "sa_row").alias("_edge")).select((F.col("_block") + 1).alias("_block"), "_edge")
-    order = Window.partitionBy("_block").orderBy("sa_row")
-    rows = rows.withColumn("_before", F.lag("l").over(order)).join(edge, "_block", "left")
-    heads = checkpoint(rows.where(F.coalesce("_before", "_edge").isNull() | (F.coalesce("_before", "_edge") != F.col("l"))).select(F.col("sa_row").alias("start"), F.col("l").alias("head"), "_block"), "runs")
-    n = table.count()
-    per_block = heads.groupBy("_block").agg(F.count("*").alias("_n"), F.min("start").alias("_first"))
-    all_blocks = Window.orderBy("_block")
-    per_block = per_block.select("_block", F.coalesce(F.sum("_n").over(all_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.coalesce(F.lead("_first").over(all_blocks), F.lit(n)).alias("_end"))
-    order = Window.partitionBy("_block").orderBy("start")
-    numbered = heads.withColumn("_inner", F.row_number().over(order) - 1).withColumn("_next", F.lead("start").over(order)).join(per_block, "_block")
-    numbered = numbered.select((F.col("_before") + F.col("_inner")).cast("long").alias("run"), "head", "start", (F.coalesce("_next", "_end") - F.col("start")).alias("len"))
-    heads_before = bucket_bounds(numbered.groupBy(F.col("head").alias("c")).agg(F.sum("len").alias("cnt"))).select(F.col("c").alias("head"), "c0")
-    inner = F.coalesce(F.sum("len").over(Window.partitionBy("head").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.withColumn("_in_head", inner).join(heads_before, "head").select("run", "head", "start", "len", (F.col("c0") + F.col("_in_head")).alias("f_start"))
+    spark = table.sparkSession
+    prepare(spark)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, start, head, size = TaskContext.get().partitionId(), 0, None, 0
+
+        def out(starts: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), part, np.int64)), pa.array(starts), pa.array(heads), pa.array(sizes)], names=["part", "start", "head", "len"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            turns = np.flatnonzero(np.concatenate(([head is not None and c[0] != head], c[1:] != c[:-1])))
+            if head is None:
+                start, head = rows[0], c[0]
+            edges = np.concatenate(([-size], turns))
+            if len(turns):
+                yield out(np.concatenate(([start], rows[turns[:-1]])), np.concatenate(([head], c[turns[:-1]])), np.diff(edges))
+                start, head, size = rows[turns[-1]], c[turns[-1]], len(c) - int(turns[-1])
+            else:
+                size += len(c)
+        if head is not None:
+            yield out(np.array([start]), np.array([head]), np.array([size]))
+
+    dealt = table.select("sa_row", "l").repartitionByRange("sa_row").sortWithinPartitions("sa_row")
+    parts = checkpoint(dealt.mapInArrow(find, "part long, start long, head long, len long"), "run-parts")
+    edges = parts.groupBy("part").agg(F.min(F.struct("start", "head", "len")).alias("first"), F.max(F.struct("start", "head")).alias("last")).collect()
+    joined, longer, last = [], {}, None
+    for r in sorted(edges, key=lambda r: r["part"]):
+        if last is not None and r["first"]["head"] == last["head"]:
+            joined.append((r["first"]["start"],))
+            longer[last["start"]] = longer.get(last["start"], 0) + r["first"]["len"]
+            if r["last"]["start"] == r["first"]["start"]:
+                continue  # the whole partition belongs to the run before
+        last = r["last"]
+    whole = parts.select("head", "start", "len")
+    if joined:
+        # a row per partition at most
+        whole = whole.join(F.broadcast(spark.createDataFrame(joined, "start long")), "start", "left_anti")
+        whole = whole.join(F.broadcast(spark.createDataFrame(list(longer.items()), "start long, more long")), "start", "left")
+        whole = whole.select("head", "start", (F.col("len") + F.coalesce("more", F.lit(0))).alias("len"))
+    in_order = numbered(checkpoint(whole, "runs"), ["start"], "run")
+    return running_sum(in_order, ["head", "start"], "len", "f_start").select("run", "head", "start", "len", "f_start")
 
 
 def run_bits(run_table: DataFrame, sorted_by_head: bool = False) -> DataFrame:
@@ -90,9 +122,9 @@ def run_bits(run_table: DataFrame, sorted_by_head: bool = False) -> DataFrame:
     return rows.select((F.col("_first") + F.col("_i")).alias("sa_row"), F.when(F.col("_i") == 0, 1).otherwise(0).alias("bit"))
 
 
-def run_counts(run_table: DataFrame) -> DataFrame:
+def run_counts(run_table: DataFrame, max_symbol: int = 255) -> DataFrame:
     """c, cnt, c0, c1 over runs: how many runs have each head."""
-    return bucket_bounds(symbol_counts(run_table, "head"))
+    return bucket_bounds(symbol_counts(run_table, "head"), max_symbol)
 
 
 def blocks(table: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -1,7 +1,10 @@
 """Indexes over a corpus: what each kind offers, and searches that can be refined.
 
-An index is a set of tables written to the shared folder.  Searching keeps intervals of
-rows of the suffix table; matches and positions are DataFrames.
+An index is a set of tables in the shared folder.  Searching keeps intervals of rows of
+the suffix table; matches and positions are DataFrames.  Up to LOCAL symbols the
+transform (its runs, for kinds that keep runs) is held in memory as well, and steps are
+binary searches there; beyond, steps are joins with the tables.  For many documents see
+``shards``.
 """
 
 from __future__ import annotations
@@ -10,18 +13,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphrake.errors import InvalidPatternError, InvalidTextError
 from glyphrake.operators import backward, extract, suffixes, transform
+from glyphrake.operators.navigate import Navigator, Runs, Transform
+from glyphrake.operators.suffixes import LOCAL
 from glyphrake.session import checkpoint
 from glyphrake.sources.corpus import Corpus
 
 Pattern = bytes | str | Sequence[int]
 
 
-def _symbols(pattern: Pattern) -> list[int]:
+def symbols_in(pattern: Pattern) -> list[int]:
     return list(pattern.encode()) if isinstance(pattern, str) else [int(c) for c in pattern]
 
 
@@ -31,36 +37,37 @@ class PlainIndex:
     locates, by_piece, by_run = False, False, False
 
     def __init__(self, corpus: Corpus, level: int = 0):
-        self.corpus, self.level = corpus, level
-        self.pieces = corpus.pieces_count()
+        self.corpus = corpus
+        self.n, self.pieces = corpus.measured()
+        self._check_pieces()
+        self.level = suffixes.sample_level(self.n, level)
+        self.table = checkpoint(suffixes.suffix_table(corpus, self.n), "index-suffixes")
+
+    def _check_pieces(self) -> None:
         if not self.by_piece and self.pieces > 1:
             raise InvalidTextError("an index of one text can't hold several pieces")
-        self.n = corpus.length()
-        self.table = checkpoint(suffixes.suffix_table(corpus), "index-suffixes")
 
     def save(self, path: str) -> None:
-        """Write the suffix table and the corpus; the other tables follow from them."""
+        """Write the suffix table, the corpus and what describes the index; the other tables follow from them."""
         self.table.write.parquet(f"{path}/suffixes")
         self.corpus.pieces.write.parquet(f"{path}/pieces")
+        about = [(type(self).__name__, self.n, self.pieces, self.level, self.corpus.max_symbol)]
+        self.table.sparkSession.createDataFrame(about, "kind string, n long, pieces long, level int, max_symbol long").write.parquet(f"{path}/about")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, max_symbol: int = 255, level: int = 0) -> PlainIndex:
-        """An index from saved tables, of any kind that its corpus allows."""
+    def load(cls, spark: SparkSession, path: str, level: int | None = None) -> PlainIndex:
+        """An index from saved tables, of any kind that its corpus allows; its own level unless another is wanted."""
+        about = spark.read.parquet(f"{path}/about").first()
         index = cls.__new__(cls)
-        index.corpus, index.level = Corpus(spark.read.parquet(f"{path}/pieces"), max_symbol), level
-        index.pieces, index.n = index.corpus.pieces_count(), index.corpus.length()
-        if not cls.by_piece and index.pieces > 1:
-            raise InvalidTextError("an index of one text can't hold several pieces")
+        index.corpus, index.n, index.pieces = Corpus(spark.read.parquet(f"{path}/pieces"), about["max_symbol"]), about["n"], about["pieces"]
+        index._check_pieces()
+        index.level = about["level"] if level is None else suffixes.sample_level(index.n, level)
         index.table = spark.read.parquet(f"{path}/suffixes")
         return index
 
     @cached_property
     def blocks(self) -> DataFrame:
-        """The transform in blocks; kinds that keep runs lay their runs out again block by block."""
-        if not self.by_run:
-            return checkpoint(transform.blocks(self.table), "index-blocks")
-        laid = self.runs.select("head", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("sa_row"))
-        return checkpoint(transform.blocks(laid.withColumnRenamed("head", "l")), "index-blocks")
+        return checkpoint(transform.blocks(self.table), "index-blocks")
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -72,7 +79,7 @@ class PlainIndex:
 
     @cached_property
     def c_table(self) -> DataFrame:
-        return checkpoint(suffixes.bucket_bounds(suffixes.symbol_counts(self.table, "f")), "index-symbols")
+        return checkpoint(suffixes.bucket_bounds(suffixes.symbol_counts(self.table, "f"), self.corpus.max_symbol), "index-symbols")
 
     @cached_property
     def sample(self) -> DataFrame:
@@ -82,13 +89,48 @@ class PlainIndex:
     def back(self) -> DataFrame:
         return checkpoint(transform.step_back(self.table, self.n), "index-steps")
 
+    @property
+    def in_memory(self) -> bool:
+        return self.n <= LOCAL
+
+    @cached_property
+    def navigator(self) -> Navigator:
+        """The transform in memory; only for an index of LOCAL symbols at most."""
+        if not self.in_memory:
+            raise MemoryError("the transform of this index stays in tables")
+        start = transform.first_text_row(self.table)
+        if self.by_run:
+            runs = self.runs.select("start", "head").toArrow().sort_by("start")
+            return Runs(runs.column("head").to_numpy(), runs.column("start").to_numpy(), self.n, start)
+        rows = self.table.select("sa_row", "l").toArrow().sort_by("sa_row")
+        return Transform(rows.column("l").to_numpy(), start)
+
+    @cached_property
+    def _sample_in_memory(self) -> np.ndarray:
+        return self.sample.toArrow().sort_by("sa_row").column("pos").to_numpy()
+
     def __len__(self) -> int:
         return self.n
 
     def stored_bytes(self) -> int:
-        """Bytes of the blocks' symbols and, where positions are kept, of the sample (eight each)."""
-        kept = self.blocks.agg(F.sum(F.size("payload"))).first()[0] or 0
-        return 8 * (kept + (self.sample.count() if self.locates else 0))
+        """Bytes of what the kind keeps: a row's symbol (or a run's head, start and place by head), sampled positions, pieces' ends."""
+        symbol = -(-self.corpus.max_symbol.bit_length() // 8)
+        kept = self.runs.count() * (symbol + 16) if self.by_run else self.n * symbol
+        sampled = -(-self.n >> self.level) if self.locates else 0
+        return kept + 8 * (sampled + (self.pieces if self.by_piece else 0))
+
+    def intervals(self, patterns: DataFrame, start: DataFrame | None = None) -> DataFrame:
+        """pattern_id, s, e of many patterns (pattern_id, symbols) at once."""
+        if self.in_memory:
+            return backward.intervals_in_memory(patterns, self.navigator, start)
+        return backward.intervals(patterns, self.blocks, self.block_counts, self.c_table, self.n, start)
+
+    def positions(self, rows: DataFrame) -> DataFrame:
+        """pattern_id, sa_row, pos of rows (pattern_id, sa_row), through the sampled positions."""
+        rows = rows.select("pattern_id", "sa_row")
+        if self.in_memory:
+            return backward.located_in_memory(rows, self.navigator, self._sample_in_memory, self.level)
+        return backward.located_by_walk(rows, self.sample, self.back, self.n)
 
     def _search(self, pattern: Pattern, start: tuple[int, int], boundary: bool) -> Search:
         return Search(self, (), start, boundary).search(pattern)
@@ -102,7 +144,7 @@ class PlainIndexWithLocate(PlainIndex):
 
 
 class RunIndex(PlainIndex):
-    """As PlainIndex, from the runs of the transform."""
+    """As PlainIndex, over the runs of the transform."""
 
     by_run = True
 
@@ -130,6 +172,9 @@ class PieceIndexWithLocate(PieceIndex):
     locates = True
 
 
+KINDS = (PlainIndex, PlainIndexWithLocate, RunIndex, RunIndexWithLocate, PieceIndex, PieceIndexWithLocate)
+
+
 @dataclass(frozen=True)
 class Search:
     """A pattern's interval of rows.  Searching again puts symbols before the pattern."""
@@ -141,15 +186,18 @@ class Search:
 
     def search(self, pattern: Pattern) -> Search:
         """The search for pattern followed by this search's pattern; first rows and boundary stay."""
-        symbols = _symbols(pattern)
+        symbols = symbols_in(pattern)
         if self.index.by_piece and 0 in symbols:
             raise InvalidPatternError("a terminator means nothing in a corpus of pieces")
         if not symbols or self.interval[0] >= self.interval[1]:
             return replace(self, pattern=(*symbols, *self.pattern))
-        own, spark = self.index, self.index.table.sparkSession
-        rows = backward.pattern_rows(spark, [symbols])
-        start = spark.createDataFrame([(0, *self.interval)], "pattern_id long, s long, e long")
-        s, e = backward.intervals(rows, own.blocks, own.block_counts, own.c_table, own.n, start).select("s", "e").first()
+        own = self.index
+        if own.in_memory:
+            s, e = (int(x[0]) for x in own.navigator.intervals(np.array(symbols, np.int64), *(np.array([x]) for x in (len(symbols), *self.interval))))
+        else:
+            spark = own.table.sparkSession
+            start = spark.createDataFrame([(0, *self.interval)], "pattern_id long, s long, e long")
+            s, e = own.intervals(backward.pattern_rows(spark, [symbols]), start).select("s", "e").first()
         return replace(self, pattern=(*symbols, *self.pattern), interval=(s, e))
 
     def count(self) -> int:
@@ -165,13 +213,13 @@ class Search:
         rows = self.rows()
         if not self.index.locates:
             return rows.select("sa_row").orderBy("sa_row")
-        found = backward.located_by_walk(rows.select(F.lit(0).cast("long").alias("pattern_id"), "sa_row"), self.index.sample, self.index.back, self.index.n).select("sa_row", "pos")
+        found = self.index.positions(rows.select(F.lit(0).cast("long").alias("pattern_id"), "sa_row")).select("sa_row", "pos")
         if self.index.by_piece:
-            found = found.join(self.index.table.select("sa_row", "piece_id"), "sa_row")
+            found = found.join(rows.select("sa_row", "piece_id"), "sa_row")
         return found.orderBy("sa_row")
 
     def forward(self, k: int) -> DataFrame:
-        """sa_row, symbols: up to k symbols from each match on."""
+        """sa_row, symbols: up to k symbols from each match on; in a corpus of pieces no further than the piece."""
         read = extract.around(self.rows(), self._symbols(), self.index.n, k, False, ("sa_row",))
         return (read.withColumn("symbols", extract.until("symbols", 0)) if self.index.by_piece else read).orderBy("sa_row")
 
@@ -181,12 +229,3 @@ class Search:
 
     def _symbols(self) -> DataFrame:
         return self.index.table.select("pos", F.col("f").alias("c"))
-
-
-def choose(patterns: int, corpus_bytes: int, indexed: bool) -> str:
-    """scan or index: an index pays once a batch is so large that its steps cost less than passes over the text.
-
-    The automaton makes one pass for a whole batch, so without an index at hand a scan
-    always wins; with one, small batches of short patterns are cheaper by steps.
-    """
-    return "index" if indexed and corpus_bytes > 64_000_000 and patterns < 10_000 else "scan"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,37 +17,46 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Rows that Python workers get at a time.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
-def session(master: str | None = None, **settings: str) -> SparkSession:
-    """A session with SETTINGS; pass others by name with _ for the dots."""
-    builder = SparkSession.builder.appName("glyphrake")
-    if master:
-        builder = builder.master(master)
-    for key, value in (SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver found it, and hand them texts in small batches.
 
+    The usual ten thousand rows of long texts would take an executor's memory several
+    times over (in the JVM, on the way and in Python).  A size set by the user stays.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
-def checkpoint(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder of the session and read it back: lineage ends there.
 
-    The folder is spark.checkpoint.dir; only where that is unset a temporary one is used.
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder: spark.checkpoint.dir.
+
+    Where that is unset and Spark runs on this machine alone, a temporary folder is made
+    and removed at exit; on a cluster it would be a different folder for every machine.
     """
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.environ.get("GLYPHRAKE_SCRATCH")
-    if not folder:
-        folder = os.environ["GLYPHRAKE_SCRATCH"] = tempfile.mkdtemp(prefix="glyphrake-")
-    path = f"{folder.rstrip('/')}/glyphrake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.environ.get("GLYPHRAKE_SCRATCH")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import atexit
 
+        found = os.environ["GLYPHRAKE_SCRATCH"] = tempfile.mkdtemp(prefix="glyphrake-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found.rstrip("/")
 
-#: Rows that settled() brings to the driver at most.
-FEW = 10_000
 
+def checkpoint(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """df without its lineage: kept in the plan if it has FEW rows at most, else as checkpoint()."""
-    rows = df.limit(FEW + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= FEW else checkpoint(df, label)
+    A lost executor costs a reread of the table, never the passes before it.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/glyphrake/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

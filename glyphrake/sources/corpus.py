@@ -7,25 +7,31 @@ body, or the members of an ARRAY<BIGINT> body for wider alphabets.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from glyphrake.errors import InvalidTextError
+from glyphrake.functions.running import running_sum
 from glyphrake.functions.symbols import symbols_of
+from glyphrake.session import prepare
 
-#: Pieces whose lengths are added up in one task; sums of such blocks are added up before.
-BLOCK = 4_096
-#: The largest symbol that a BIGINT can hold.
-LARGEST = 2**63 - 1
+#: The largest symbol that a BIGINT can hold, and rows of symbols that are handed on at a time.
+LARGEST, ROWS = 2**63 - 1, 1 << 16
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """pieces: piece_id BIGINT, body BINARY or ARRAY<BIGINT>.  max_symbol bounds the alphabet."""
+    """pieces: piece_id BIGINT, body BINARY or ARRAY<BIGINT>.  max_symbol bounds the alphabet.
+
+    Pieces stand in order of their ids; those that share an id are pieces of their own,
+    in order of a hash of their bodies.
+    """
 
     pieces: DataFrame
     max_symbol: int = 255
@@ -37,6 +43,25 @@ class Corpus:
     def body_length(self) -> Column:
         return F.size("body").cast("long") if self.wide else F.octet_length("body").cast("long")
 
+    def measured(self) -> tuple[int, int]:
+        """Symbols of the whole text, terminators included, and pieces: one pass that also checks every symbol."""
+        if self.wide:
+            zero, above = F.exists("body", lambda x: x.isNull() | (x <= 0)), F.exists("body", lambda x: x > self.max_symbol)
+        else:
+            zero = F.contains("body", F.lit(bytearray(1)))
+            above = F.lit(False) if self.max_symbol >= 255 else F.exists(symbols_of(F.col("body")), lambda x: x > self.max_symbol)
+        row = self.pieces.agg(F.sum(self.body_length() + 1).alias("n"), F.count("*").alias("pieces"), F.count_if(zero).alias("zero"), F.count_if(above).alias("above")).first()
+        if row["zero"]:
+            raise InvalidTextError(f"{row['zero']} pieces hold the terminator 0 or a negative symbol")
+        if row["above"]:
+            raise InvalidTextError(f"{row['above']} pieces hold symbols above the largest of the alphabet, {self.max_symbol}")
+        return row["n"] or 0, row["pieces"]
+
+    def checked(self) -> Corpus:
+        """This corpus if every symbol is between 1 and max_symbol."""
+        self.measured()
+        return self
+
     def length(self) -> int:
         """Symbols of the whole text, terminators included."""
         return self.pieces.agg(F.sum(self.body_length() + 1)).first()[0] or 0
@@ -44,36 +69,53 @@ class Corpus:
     def pieces_count(self) -> int:
         return self.pieces.count()
 
+    def in_order(self) -> DataFrame:
+        """pieces with _size (terminator included) and _tie, by which those of one id are told apart."""
+        return self.pieces.withColumns({"_size": self.body_length() + 1, "_tie": F.xxhash64("body")})
+
     def with_offsets(self) -> DataFrame:
-        """pieces with offset, the place of each piece's first symbol in the whole text.
+        """pieces with offset, the place of each piece's first symbol in the whole text."""
+        return running_sum(self.in_order(), ["piece_id", "_tie"], "_size", "offset", label="offsets").drop("_size", "_tie")
 
-        Lengths are added up within blocks of neighbouring ids; the sums of the blocks
-        are few and go first, so no task sees all pieces.
-        """
-        sized = self.pieces.withColumn("_size", self.body_length() + 1).withColumn("_block", F.floor(F.col("piece_id") / BLOCK))
-        sums = sized.groupBy("_block").agg(F.sum("_size").alias("_sum"))
-        before = F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-        sums = sums.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
-        inner = F.sum("_size").over(Window.partitionBy("_block").orderBy("piece_id").rowsBetween(Window.unboundedPreceding, -1))
-        placed = sized.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(sums, "_block")
-        return placed.withColumn("offset", F.col("_before") + F.col("_inner")).drop("_size", "_block", "_before", "_inner")
+    def offsets(self) -> DataFrame:
+        """piece_id, offset of every piece: bodies stay where they are."""
+        return running_sum(self.in_order().select("piece_id", "_tie", "_size"), ["piece_id", "_tie"], "_size", "offset", label="offsets").select("piece_id", "offset")
 
     def symbols(self) -> DataFrame:
-        """One row per symbol of the whole text: pos, c, piece_id, piece_pos; terminators have c 0."""
-        body = F.col("body") if self.wide else symbols_of(F.col("body"))
-        with_end = F.concat(body, F.array(F.lit(0).cast("long")))
-        rows = self.with_offsets().select("piece_id", "offset", F.posexplode(with_end).alias("piece_pos", "c"))
-        return rows.select((F.col("offset") + F.col("piece_pos")).alias("pos"), "c", "piece_id", F.col("piece_pos").cast("long").alias("piece_pos"))
+        """One row per symbol of the whole text: pos, c, l, piece_id, piece_pos.
 
-    def checked(self) -> Corpus:
-        """This corpus if every symbol is between 1 and max_symbol; one pass over the bodies."""
-        body = F.col("body") if self.wide else symbols_of(F.col("body"))
-        worst = self.pieces.agg(F.min(F.array_min(body)).alias("least"), F.max(F.array_max(body)).alias("most")).first()
-        if worst["least"] is not None and worst["least"] <= 0:
-            raise InvalidTextError("a piece holds the terminator 0 or a negative symbol")
-        if worst["most"] is not None and worst["most"] > self.max_symbol:
-            raise InvalidTextError(f"symbol {worst['most']} is above the largest of the alphabet, {self.max_symbol}")
-        return self
+        l is the symbol before (0 at the very beginning); terminators have c 0.
+        """
+        prepare(self.pieces.sparkSession)
+        return self.with_offsets().select("piece_id", "offset", "body").mapInArrow(_symbol_rows, "pos long, c long, l long, piece_id long, piece_pos long")
+
+
+def values_of(body: pa.Scalar) -> np.ndarray:
+    """The symbols of a body: unsigned bytes, or 64-bit integers."""
+    if isinstance(body, (pa.ListScalar, pa.LargeListScalar)):
+        return body.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(body.as_buffer(), np.uint8)
+
+
+def _symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("pos", "c", "l", "piece_id", "piece_pos")
+    for batch in batches:
+        held, size = [], 0
+        for piece, offset, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            c = np.append(values_of(body).astype(np.int64), 0)
+            place = np.arange(len(c))
+            held.append((place + offset, c, np.concatenate(([0], c[:-1])), np.full(len(c), piece), place))
+            size += len(c)
+            if size >= ROWS:
+                yield from _cut(held, names)
+                held, size = [], 0
+        yield from _cut(held, names)
+
+
+def _cut(held: list[tuple[np.ndarray, ...]], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    columns = [np.concatenate(x) for x in zip(*held)]
+    for at in range(0, len(columns[0]) if columns else 0, ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS]) for x in columns], names=list(names))
 
 
 def _alphabet(max_symbol: int) -> int:
@@ -85,7 +127,8 @@ def _alphabet(max_symbol: int) -> int:
 def from_table(rows: DataFrame, piece_id: str, text: str, max_symbol: int = 255) -> Corpus:
     """A piece per row: UTF-8 bytes of a STRING, a BINARY as it is, or an ARRAY of integers.
 
-    Rows with a null id or body are no pieces; empty bodies are.
+    Rows with a null id or body are no pieces; empty bodies are.  Bodies must not hold the
+    terminator: indexes check that when they are built.
     """
     kind = dict(rows.dtypes)[text]
     body = F.encode(F.col(text), "UTF-8") if kind == "string" else F.col(text).cast("array<bigint>") if kind.startswith("array") else F.col(text)

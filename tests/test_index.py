@@ -2,11 +2,16 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from glyphrake.errors import InvalidPatternError, InvalidTextError
-from glyphrake.operators import suffixes, transform
-from glyphrake.plans.index import PieceIndex, PieceIndexWithLocate, PlainIndex, PlainIndexWithLocate, RunIndex, RunIndexWithLocate, choose
+from glyphrake.functions.running import numbered, running_sum
+from glyphrake.operators import backward, suffixes, transform
+from glyphrake.operators.navigate import Runs, Transform, sorted_suffixes
+from glyphrake.plans import index as index_module
+from glyphrake.plans.index import PieceIndex, PieceIndexWithLocate, PlainIndex, PlainIndexWithLocate, RunIndex, RunIndexWithLocate
+from glyphrake.plans.shards import ShardedIndex
 from glyphrake.sources.corpus import from_buffer, from_table, validated
 
 LOREM = (
@@ -92,23 +97,141 @@ def test_kinds_differ_in_what_they_offer(spark):
         assert hasattr(index, "search_prefix") == kind.by_piece
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_random_pieces_against_plain_search(spark, seed):
+def drawn_bodies(seed, alphabet=b"abc", most=30, pieces=12):
     drawn = random.Random(seed)
-    bodies = [bytes(drawn.choice(b"abc") for _ in range(drawn.randint(0, 30))) for _ in range(12)]
-    bodies[0] = bodies[0] or b"a"
-    bodies[-1] = bodies[-1] or b"b"
+    bodies = [bytes(drawn.choice(alphabet) for _ in range(drawn.choice([0, 1, drawn.randint(0, most)]))) for _ in range(pieces)]
+    bodies[0], bodies[-1] = bodies[0] or b"a", bodies[-1] or b"b"
+    return drawn, bodies
+
+
+def wanted(bodies, pattern, kind):
+    """(piece, place) of all occurrences, or of those that begin, end or make up a piece."""
+    fits = {"any": lambda b, i: True, "prefix": lambda b, i: i == 0, "suffix": lambda b, i: i + len(pattern) == len(b), "exact": lambda b, i: b == pattern}[kind]
+    return sorted((p, i) for p, b in enumerate(bodies) for i in naive(b, pattern) if fits(b, i))
+
+
+@pytest.fixture
+def in_tables(monkeypatch):
+    """Nothing counts as small enough for memory."""
+    monkeypatch.setattr(suffixes, "LOCAL", 0)
+    monkeypatch.setattr(index_module, "LOCAL", 0)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_random_pieces_against_plain_search(spark, seed):
+    drawn, bodies = drawn_bodies(seed, b"ab" if seed % 2 else b"abcd")
     text = b"".join(b + b"\0" for b in bodies)
     index = PieceIndexWithLocate(from_buffer(spark, text), drawn.randint(0, 3))
-    order = sorted(range(len(text)), key=lambda i: text[i:])
-    assert [r.pos for r in index.table.orderBy("sa_row").collect()] == order
-    for pattern in (b"a", b"aa", b"cab"):
-        assert sorted(r.pos for r in index.search(pattern).matches().collect()) == naive(text, pattern)
+    begins = [sum(len(b) + 1 for b in bodies[:i]) for i in range(len(bodies))]
+    assert [r.pos for r in index.table.orderBy("sa_row").collect()] == sorted(range(len(text)), key=lambda i: text[i:])
+    searches = {"any": index.search, "prefix": index.search_prefix, "suffix": index.search_suffix, "exact": index.search_exact}
+    for kind, search in searches.items():
+        for pattern in (drawn.choice([b"a", b"ab", b"ba"]), bodies[drawn.randrange(12)][:3] or b"b"):
+            got = search(pattern).matches().collect()
+            assert sorted((r.piece_id, r.pos - begins[r.piece_id]) for r in got) == wanted(bodies, pattern, kind)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tables_answer_as_memory_does(spark, seed, in_tables):
+    """Suffix order by rounds, steps by joins, positions by walking: all through tables."""
+    drawn, bodies = drawn_bodies(seed)
+    bodies[3] = bodies[5] = b"abc" * 20  # a long repeated passage takes several rounds
+    text = b"".join(b + b"\0" for b in bodies)
+    index = PieceIndexWithLocate(from_buffer(spark, text), seed)
+    assert [r.pos for r in index.table.orderBy("sa_row").collect()] == sorted(range(len(text)), key=lambda i: text[i:])
+    patterns = [b"a", b"abcabc", b"cab", b"zz", b""]
+    rows = backward.pattern_rows(spark, patterns)
+    got = {r.pattern_id: (r.s, r.e) for r in index.intervals(rows).collect()}
+    counts = [len(naive(text, p)) for p in patterns[:-1]] + [len(text)]
+    assert [got[i][1] - got[i][0] for i in range(5)] == counts
+    found = index.positions(backward.rows_of(index.intervals(rows.where("pattern_id < 3")), index.table.select("sa_row")))
+    assert sorted((r.pattern_id, r.pos) for r in found.collect()) == [(i, at) for i in range(3) for at in naive(text, patterns[i])]
+
+
+def test_wide_symbols_in_tables(spark, in_tables):
+    index = PlainIndexWithLocate(from_buffer(spark, [500, 1, 300, 500, 1, 500, 1, 0], max_symbol=500))
+    assert sorted(r.pos for r in index.search([500, 1]).matches().collect()) == [0, 3, 5]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_navigators_agree_with_the_text(seed):
+    """Both kinds, texts of one and of many pieces: every step from every row."""
+    _, bodies = drawn_bodies(seed, b"aab", 40, 1 + 5 * (seed % 2))
+    text = np.frombuffer(b"".join(b + b"\0" for b in bodies), np.uint8).astype(np.int64)
+    order, n = sorted_suffixes(text), len(text)
+    row = np.empty(n, np.int64)
+    row[order] = np.arange(n)
+    before = text[order - 1]
+    starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+    for own in (Transform(before, int(row[0])), Runs(before[starts], starts, n, int(row[0]))):
+        rows = np.arange(n)
+        assert (own.symbols[own.before(rows)] == before).all() and (own.symbols[own.first(rows)] == text[order]).all()
+        assert (own.back(rows) == row[(order - 1) % n]).all() and (own.forward(rows) == row[(order + 1) % n]).all()
+        for c in own.symbols:
+            at = np.arange(n + 1)
+            want = (text < c).sum() + np.concatenate(([0], np.cumsum(before == c)))
+            assert (own.bucket(np.full(n + 1, own.code(np.array([c]))[0]), at) == want).all()
+        for level in range(3):
+            assert (own.positions(rows, order[:: 1 << level], level) == order).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shards_against_plain_search(spark, seed):
+    drawn, bodies = drawn_bodies(seed, b"ab", 25, 40)
+    rows = spark.createDataFrame([(7 * i, bytearray(b)) for i, b in enumerate(bodies)], "id long, body binary")
+    index = ShardedIndex(from_table(rows, "id", "body"), level=seed, shard=60)
+    assert index.table.count() >= 3 and index.stored_bytes() > 0
+    patterns = [b"a", b"ab", b"bba", b"abab", bodies[0], b"x"]
+    for kind in ("any", "prefix", "suffix", "exact"):
+        got = index.locate(patterns, kind in ("prefix", "exact"), kind in ("suffix", "exact")).collect()
+        assert sorted((r.pattern_id, r.piece_id // 7, r.piece_pos) for r in got) == sorted((i, *x) for i, p in enumerate(patterns) for x in wanted(bodies, p, kind))
+    assert {r.pattern_id: r.n for r in index.count(patterns).collect()} == {i: len(w) for i, p in enumerate(patterns) if (w := wanted(bodies, p, "any"))}
+    with pytest.raises(InvalidPatternError):
+        index.count([b"a\0"])
+
+
+def test_saved_shards_and_wide_symbols(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [700, 2, 700]), (2, []), (3, [2, 700])], "id long, body array<int>")
+    ShardedIndex(from_table(rows, "id", "body", max_symbol=700), shard=4).save(str(tmp_path / "ix"))
+    index = ShardedIndex.load(spark, str(tmp_path / "ix"))
+    assert sorted(tuple(r) for r in index.locate([[700], [2, 700]]).collect()) == [(0, 1, 0), (0, 1, 2), (0, 3, 1), (1, 1, 1), (1, 3, 0)]
+
+
+def test_running_sums_of_hot_groups(spark):
+    """A group that holds most rows is split over partitions and summed up all the same."""
+    drawn = random.Random(6)
+    rows = [(0 if drawn.random() < 0.7 else drawn.randint(1, 5), i, drawn.randint(0, 9)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "g long, i long, v long").repartition(8)
+    want, held = [], {}
+    for g, i, v in sorted(rows):
+        want.append((g, i, held.get(g, 0)))
+        held[g] = held.get(g, 0) + v
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running_sum(df, ["i"], "v", "before", by="g")
+        assert sorted((r.g, r.i, r.before) for r in got.collect()) == want
+        assert got.inputFiles() and len(got.inputFiles()) > 1
+        assert sorted((r.i, r.k) for r in numbered(df, ["i"], "k").collect()) == [(i, i) for i in range(3_000)]
+        # runs and types that go on from partition to partition
+        text = b"a" * 300 + b"b" * 500 + b"ab" * 20 + b"c" * 400 + b"\0"
+        corpus = from_buffer(spark, text)
+        index = RunIndex(corpus)
+        bwt = [r.l for r in index.table.orderBy("sa_row").collect()]
+        starts = [i for i in range(len(bwt)) if not i or bwt[i] != bwt[i - 1]]
+        runs = index.runs.orderBy("run").collect()
+        assert [(r.run, r["head"], r.start, r.len) for r in runs] == [(k, bwt[i], i, j - i) for k, (i, j) in enumerate(zip(starts, starts[1:] + [len(bwt)]))]
+        kinds = ["S"] * len(text)
+        for i in range(len(text) - 2, -1, -1):
+            kinds[i] = "S" if text[i] < text[i + 1] or (text[i] == text[i + 1] and kinds[i + 1] == "S") else "L"
+        assert [r.type for r in suffixes.suffix_types(corpus.symbols()).orderBy("pos").collect()] == kinds
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_saved_index(spark, tmp_path):
     PieceIndex(from_buffer(spark, b"abra\0cadabra\0")).save(str(tmp_path / "ix"))
     index = PieceIndexWithLocate.load(spark, str(tmp_path / "ix"), level=1)
+    assert (index.level, index.corpus.max_symbol, index.pieces) == (1, 255, 2)
     assert sorted(r.pos for r in index.search("abra").matches().collect()) == [0, 8]
     with pytest.raises(InvalidTextError):
         PlainIndex.load(spark, str(tmp_path / "ix"))
@@ -120,12 +243,21 @@ def test_wide_symbols(spark):
     assert index.search([7]).count() == 0
 
 
-@pytest.mark.parametrize("text", [b"nozero", b"toomanyzeros\0\0", b"\0starting_with_zero\0", b"x"])
+@pytest.mark.parametrize("text", [b"unended", b"two\0ends\0\0", b"\0begins with one", b"q"])
 def test_invalid_texts(spark, text):
     with pytest.raises(InvalidTextError, match="invalid text"):
         from_buffer(spark, text)
 
 
+@pytest.mark.parametrize("kind, bodies, most, why", [("binary", [bytearray(b"ab"), bytearray(b"a\0b")], 255, "terminator"), ("string", ["ok", "a\0b"], 255, "terminator"), ("binary", [bytearray(b"\x05\x09")], 8, "above"), ("array<int>", [[1, 0, 2]], 9, "terminator"), ("array<int>", [[3, -1]], 9, "terminator"), ("array<int>", [[1, 10]], 9, "above"), ("array<int>", [[1, None]], 9, "terminator")])
+def test_invalid_tables(spark, kind, bodies, most, why):
+    """What can't be a symbol inside a table's bodies is an error for every kind of index."""
+    corpus = from_table(spark.createDataFrame(list(enumerate(bodies)), f"id long, body {kind}"), "id", "body", max_symbol=most)
+    for build in (PieceIndex, PieceIndexWithLocate, ShardedIndex, lambda c: c.checked()):
+        with pytest.raises(InvalidTextError, match=why):
+            build(corpus)
+
+
 def test_other_texts(spark):
     validated(b"", 255)
     validated(b"\0", 255)
@@ -138,12 +270,12 @@ def test_other_texts(spark):
     assert from_buffer(spark, b"").length() == 0
 
 
-@pytest.mark.parametrize("text", [b"mmiissiissiippii\0", b"m\0\0a\0", b"aaaaaaaaaaaaaab\0", b"bbbbbbbbbbbbbbb\0"])
-def test_types_within_small_blocks(spark, text):
+@pytest.mark.parametrize("text", [b"ccaabbaabbaadd\0", b"m\0\0a\0", b"aaaaaaaaaaaaaab\0", b"bbbbbbbbbbbbbbb\0"])
+def test_types(spark, text):
     kinds, n = ["S"] * len(text), len(text)
     for i in range(n - 2, -1, -1):
         kinds[i] = "S" if (text[i], kinds[i + 1]) < (text[i + 1], "L") and text[i] < text[i + 1] or (text[i] == text[i + 1] and kinds[i + 1] == "S") else "L"
-    rows = suffixes.suffix_types(from_buffer(spark, text).symbols(), block=4).orderBy("pos").collect()
+    rows = suffixes.suffix_types(from_buffer(spark, text).symbols()).orderBy("pos").collect()
     assert [r.type for r in rows] == kinds
     assert [r.is_lms for r in rows] == [i > 0 and kinds[i] == "S" and kinds[i - 1] == "L" for i in range(n)]
 
@@ -161,5 +293,8 @@ def test_null_rows_are_no_pieces(spark):
     corpus.checked()
 
 
-def test_choice():
-    assert choose(10, 1_000, False) == "scan" and choose(10, 10**9, True) == "index"
+def test_repeated_ids_are_pieces_of_their_own(spark):
+    index = PieceIndexWithLocate(from_table(spark.createDataFrame([(1, "ab"), (1, "ab"), (1, "b"), (0, "a")], "id long, t string"), "id", "t"))
+    assert (index.pieces, index.n) == (4, 10)
+    assert sorted(r.piece_id for r in index.search("b").matches().collect()) == [1, 1, 1]
+    assert [r.piece_id for r in index.search_exact("b").matches().collect()] == [1]

@@ -1,5 +1,7 @@
 """Scanning against plain search, and on streams."""
 
+import random
+
 import pytest
 
 from glyphrake.functions.matching import count_in_text, places_in_bytes
@@ -32,10 +34,39 @@ def test_count_of_the_empty_pattern(rows):
 
 @pytest.mark.parametrize("pattern", PATTERNS)
 def test_locate(rows, pattern):
-    got = sorted((r.id, r.byte_pos) for r in scan.locate(rows, "text", pattern, "id").collect())
+    got = sorted((r.id, r.byte_pos) for r in scan.locate(rows, "text", [pattern, "zzz"], "id").collect())
     assert got == [(i, at) for i, t in enumerate(TEXTS) for at in naive(t, pattern)]
 
 
+def test_locate_is_one_scan(rows, spark, tmp_path):
+    rows.write.parquet(str(tmp_path / "t"))
+    plan = scan.locate(spark.read.parquet(str(tmp_path / "t")), "text", PATTERNS, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_table_of_patterns(rows, spark, monkeypatch):
+    """Long patterns by anchors (some with one anchor in common), short ones by automaton, texts in stretches, blocks of anchors."""
+    drawn = random.Random(9)
+    word = lambda n: "".join(drawn.choice("abé ") for _ in range(n))
+    texts = [word(drawn.randint(0, 900)) for _ in range(40)] + ["xy" * 200, None]
+    patterns = [t[a : a + drawn.randint(1, 120)] for t in texts[:40] if t for a in [drawn.randrange(len(t))]] + ["xy" * 12, "xy" * 30, "no such text in any of them at all", "", None]
+    pieces = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select(F.col("id").alias("piece_id"), F.encode("t", "UTF-8").alias("body"))
+    table = spark.createDataFrame(list(enumerate(patterns)), "id long, t string").select(F.col("id").alias("pattern_id"), F.encode("t", "UTF-8").alias("body"))
+    want = sorted((k, i, at) for k, p in enumerate(patterns) if p for i, t in enumerate(texts) if t for at in naive(t, p))
+    assert sorted(tuple(r) for r in scan.locate_table(pieces, table).collect()) == want
+    monkeypatch.setattr(scan, "ANCHORS", 20)
+    assert sorted(tuple(r) for r in scan.locate_table(pieces, table).collect()) == want
+    assert scan.locate_table(pieces, table.limit(0)).count() == 0
+
+
+def test_stretches_of_a_long_text(spark):
+    pattern = "the pattern that lies across the border"
+    texts = ["x" * (scan.STRETCH - 10) + pattern + "y" * scan.STRETCH + pattern]
+    pieces = spark.createDataFrame([(1, bytearray(texts[0].encode()))], "piece_id long, body binary")
+    table = spark.createDataFrame([(5, bytearray(pattern.encode()))], "pattern_id long, body binary")
+    assert sorted(r.piece_pos for r in scan.locate_table(pieces, table).collect()) == naive(texts[0], pattern)
+
+
 def test_batch_and_byte_scan(rows):
     pieces = rows.select(F.col("id").alias("piece_id"), F.encode("text", "UTF-8").alias("body"))
     want = sorted((k, i, at) for k, p in enumerate(PATTERNS) for i, t in enumerate(TEXTS) for at in naive(t, p))
