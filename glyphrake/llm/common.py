@@ -1,57 +1,24 @@
 """Helpers shared by the training-data operators.
 
-Scratch tables are written to the folder named in ``spark.checkpoint.dir``, which
-every executor and the driver can reach.  They cut lineage: a lost executor only
-costs a reread of the table, never of the passes before it.
+Scratch tables (materialize) go to the folder named in ``spark.checkpoint.dir``, which
+every executor and the driver can reach.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that Python workers get at a time.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+from glyphrake.session import checkpoint as materialize  # noqa: F401
+from glyphrake.session import prepare as ship
+
 #: Rows that one bucket of a two-level prefix sum is meant to hold, and the bounds on the number of buckets.
 ROWS_PER_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 2_000, 64, 65_536
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where the session names none (tests, local use)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.environ.get("GLYPHRAKE_SCRATCH")
-    if not found:
-        found = os.environ["GLYPHRAKE_SCRATCH"] = tempfile.mkdtemp(prefix="glyphrake-")
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/glyphrake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver found it, and hand them texts in small batches.
-
-    The usual ten thousand rows of long texts would take an executor's memory several
-    times over (in the JVM, on the way and in Python).  A size set by the user stays.
-    """
-    if spark.conf.get(BATCH, "10000") == "10000":
-        spark.conf.set(BATCH, str(BATCH_ROWS))
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of an input table."""
     ship(spark)
