@@ -22,14 +22,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphrake.llm.common import table
+from glyphrake.llm.common import materialize, table
 
 #: Share of documents that a term of the lexicon is in, at least and at most, and the least number of documents.
 LEAST_SHARE, MOST_SHARE, LEAST_DOCUMENTS = 1e-4, 0.05, 2
 #: Subsets, and the shares of the lexicon that they have, dealt in turn.
 SUBSETS, SHARES = 64, tuple(2.0**-i for i in range(2, 13))
 #: Terms that a worker counts or remembers before it starts anew, documents in a range of ids, and most ranges.
-REMEMBERED, RANGE, MOST_RANGES = 250_000, 1_500, 2_048
+REMEMBERED, RANGE, MOST_RANGES = 250_000, 1_500, 65_536
+#: Terms of a lexicon at most: 16 bytes each are sent to all tasks.
+MOST_TERMS = 4_000_000
 TERM = re.compile(r"\w+")
 
 
@@ -45,7 +47,9 @@ def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float
     """Sorted hashes of the terms in the band, from the document frequencies of all documents.
 
     A term needs least_share of the documents, so the lexicon has at most 1 / least_share
-    times as many terms as a document has on average, at any number of documents.
+    times as many terms as a document has on average, at any number of documents.  Where
+    documents are so long that this is above MOST_TERMS, the lower edge of the band is
+    doubled until the lexicon is below.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +70,10 @@ def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float
     n = docs.count()
     least, most = max(LEAST_DOCUMENTS, least_share * n), max(LEAST_DOCUMENTS, most_share * n)
     sums = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    kept = sums.where((F.col("n") >= least) & (F.col("n") <= most)).select("term").toArrow()
+    band = materialize(sums.where((F.col("n") >= least) & (F.col("n") <= most)), "imatch-band")
+    while band.where(F.col("n") >= least).count() > MOST_TERMS:
+        least *= 2
+    kept = band.where(F.col("n") >= least).select("term").toArrow()
     return np.sort(kept.column("term").to_numpy().view(np.uint64))
 
 
@@ -144,13 +151,14 @@ def in_id_order(docs: DataFrame) -> DataFrame:
 
     Rows are dealt by range of ids, in order within it; the first document of the next
     range (of the first range for the last) comes along as an extra row.  Bounds come
-    from quantiles, and the driver holds two numbers for each of a limited number of
-    ranges.  Rows with a null id are in no range.
+    from quantiles, and the driver holds two numbers for each of MOST_RANGES ranges at
+    most.  A range is sorted on disk and read from there in order, so that its size needs
+    no memory.  Rows with a null id are in no range.
     """
     ids = docs.where("doc_id is not null").select("doc_id")
     n = ids.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE))
-    cuts = sorted({float(x) for x in ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20_000)).first()[0]}) if ranges > 1 else []
+    cuts = sorted({float(x) for x in ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(20_000, 4 * ranges))).first()[0]}) if ranges > 1 else []
     keyed = docs.where("doc_id is not null").withColumn("id_number", F.col("doc_id").cast("double"))
 
     def ranged(df: DataFrame) -> DataFrame:
@@ -176,6 +184,8 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
     The edited text has the last half of the characters replaced by as many of the next
     document (by descending id; the first after the last; among equal ids by text hash).
+    A text without any term of the lexicon is known by all its terms, so that short texts
+    have fingerprints at all; one term of the lexicon put into such a text changes it whole.
     Null texts count as empty.  Rows with a null id have no next document: their edited
     text lacks the second half and near_next is 0.  The only row follows itself.
     """
@@ -211,5 +221,6 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts: see edited_fingerprints()."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return edited_fingerprints(docs, lexicon(docs))

@@ -209,6 +209,7 @@ def _spans(doc: np.ndarray, labels: np.ndarray, offset: np.ndarray, letters: np.
 
 
 def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out: see identify()."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = identify(docs, train(docs))
     return found.select("doc_id", held_out(found).alias("held_out"), "lang_pred", "score")

@@ -118,23 +118,29 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs in training order: each document as often as the mix takes it, with its own columns.
 
-    Texts are dealt once by id to meet their positions and once by range of position.
-    Rows alike in id and text are told apart by number, so that each is placed once.
+    Texts are dealt once by id, source and text to meet their positions and once by range of
+    position.  Rows alike in all three are told apart by number, in order of their other
+    columns, so that each is placed once.  The order of rows is the training order, and files
+    written from them have it, in the files by name and in the rows of each.
     """
-    key, nth, places, place = (unused(docs, c) for c in ("_text_hash", "_nth", "_places", "_place"))
-    alike = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
-    rows = docs.withColumn(key, F.xxhash64("text")).withColumn(nth, F.row_number().over(alike))
-    plan = plan_mix(docs.withColumn(key, F.xxhash64("text")), keep=[key], **options).where(F.size("positions") > 0).select("doc_id", key, "positions").withColumn(nth, F.row_number().over(alike))
-    plan = plan.select(F.col("doc_id").alias(f"{key}_id"), F.col(key).alias(f"{key}_2"), F.col(nth).alias(f"{nth}_2"), F.col("positions").alias(places))
-    same = F.col("doc_id").eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_2")) & (F.col(nth) == F.col(f"{nth}_2"))
+    key, nth, places, place, rest = (unused(docs, c) for c in ("_text_hash", "_nth", "_places", "_place", "_rest"))
+    keyed = docs.withColumns({key: F.xxhash64("text"), rest: F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))})
+    alike = Window.partitionBy("doc_id", "source", key)
+    plan = plan_mix(keyed, keep=[key, rest], **options).withColumn(nth, F.row_number().over(alike.orderBy(rest, "positions")))
+    plan = plan.where(F.size("positions") > 0).select(*(F.col(c).alias(f"{key}_{i}") for i, c in enumerate(("doc_id", "source", key, nth))), F.col("positions").alias(places))
+    rows = keyed.withColumn(nth, F.row_number().over(alike.orderBy(rest)))
+    same = F.lit(True)
+    for i, c in enumerate(("doc_id", "source", key, nth)):
+        same = same & F.col(c).eqNullSafe(F.col(f"{key}_{i}"))
     placed = rows.join(plan, same).select(*docs.columns, F.explode(places).alias(place))
     return placed.orderBy(place, "doc_id").select(*docs.columns)
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: words taken of each and the training positions of its copies; see plan_mix()."""
     plan = plan_mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    rows = plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
-    return rows.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+    rows = plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(F.get("positions", F.lit(i)).alias(f"position_{i + 1}") for i in range(MOST_REPEATS)))
+    return rows.orderBy(F.col("position_1").asc_nulls_last(), "doc_id")
 
 
 def _inverse_sql(knots: Sequence[tuple[float, float]]) -> str:
@@ -168,8 +174,11 @@ streamed AS (
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY order_key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + size / 2.0::DOUBLE AS middle
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 copied AS (
-  SELECT *, CASE WHEN size > 0 THEN greatest(0, ceil((target - middle) / source_size)) ELSE 0 END::BIGINT AS copies, middle / target AS u FROM streamed)
+  SELECT *, CASE WHEN size > 0 THEN greatest(0, ceil((target - middle) / source_size)) ELSE 0 END::BIGINT AS copies FROM streamed),
+nth AS (SELECT copied.*, i, (i * source_size + middle) / target AS u FROM copied, range(0, 3) r(i)),
+placed AS (
+  SELECT *, CASE WHEN i < copies THEN CASE kind {' '.join(f'WHEN {i} THEN {_inverse_sql(k)}' for i, k in enumerate(SCHEDULES))} END END AS position FROM nth)
 SELECT doc_id, size, source_size, target, copies * size AS taken,
-       CASE WHEN copies > 0 THEN CASE kind {' '.join(f'WHEN {i} THEN {_inverse_sql(k)}' for i, k in enumerate(SCHEDULES))} END END AS first_position
-FROM copied
+       max(position) FILTER (i = 0) AS position_1, max(position) FILTER (i = 1) AS position_2, max(position) FILTER (i = 2) AS position_3
+FROM placed GROUP BY doc_id, source, order_key, size, source_size, target, copies, middle
 """

@@ -365,5 +365,6 @@ def first_of_each(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit fingerprints of all documents and the groups that two bits of difference link: see near_duplicates()."""
     rows = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")

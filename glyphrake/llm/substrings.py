@@ -168,10 +168,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
     whole = _earlier(spans.select("span", "doc_id"), "span").groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
     # one document stands for all that have a contested span: the first
     stand_in = spans.where("contested").groupBy("span").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    windows = materialize(_contested(docs.select("doc_id", "text").join(stand_in.hint("shuffle_hash"), "doc_id"), window, seed_words).distinct(), "repeat-windows")
+    windows = materialize(_contested(docs.select("doc_id", "text").join(stand_in, "doc_id"), window, seed_words).distinct(), "repeat-windows")
     single = _earlier(windows, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("windows"))
     found = whole.join(single, "doc_id", "full_outer").withColumnRenamed("doc_id", "found_id")
-    return docs.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("found_id"), "left").drop("found_id")
+    return docs.join(found, F.col("doc_id") == F.col("found_id"), "left").drop("found_id")
 
 
 def _removed(texts: Sequence[str], spans: Sequence, windows: Sequence, window: int, seed_words: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -188,8 +188,11 @@ def _removed(texts: Sequence[str], spans: Sequence, windows: Sequence, window: i
 OUT = ("text_kept", "n_words", "n_removed", "kept_sha256")
 
 
-def _rewritten(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
-    """doc_id, text, rest (a struct of the other columns) and OUT, whatever the other columns are called."""
+def _rewritten(docs: DataFrame, window: int, seed_words: int, texts_out: bool = True) -> DataFrame:
+    """doc_id, text, rest (a struct of the other columns) and OUT, whatever the other columns are called.
+
+    Without texts_out text_kept is null: nothing is rebuilt that nobody reads.
+    """
     rest = F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     prepared = repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest")), window, seed_words).select("doc_id", "text", "spans", "windows", "rest")
     out_schema = prepared.select("doc_id", "text", "rest").schema.add("text_kept", "string").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
@@ -206,9 +209,9 @@ def _rewritten(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
                     counts.append(len(own))
                     removed.append(n)
                     digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                    kept_texts.append(text if not n else _cut(text, own, drop))
-            texts_out = pa.array([None if was is None else new for was, new in zip(batch.column(1).to_pylist(), kept_texts)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), texts_out, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=out_schema.names)
+                    kept_texts.append(None if not texts_out else text if not n else _cut(text, own, drop))
+            rebuilt = pa.array([new if there else None for there, new in zip(batch.column(1).is_valid().to_pylist(), kept_texts)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), rebuilt, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=out_schema.names)
 
     return prepared.mapInArrow(run, out_schema)
 
@@ -255,4 +258,5 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    """Words of all documents, those that earlier documents have in windows of 50, and a digest of the rest: see remove_repeats()."""
+    return _rewritten(table(spark, sf_dir, "documents", "doc_id", "text"), WINDOW, SEED_WORDS, texts_out=False).select("doc_id", "n_words", "n_removed", "kept_sha256")

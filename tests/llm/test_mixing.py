@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphrake.llm import mixing
+from glyphrake.llm import mixing, packing
 
 
 def test_inverse_of_the_integral(spark):
@@ -53,3 +53,31 @@ def test_hot_source_and_order(spark):
 def test_no_python_on_the_main_path(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")
     assert "Python" not in mixing.plan_mix(docs)._jdf.queryExecution().toString()
+
+
+def test_one_id_in_two_sources(spark):
+    """Rows alike but for their source are placed as often as the plan says for each source."""
+    schema = "doc_id long, text string, source string, extra long"
+    rows = [(1, "a b c", "x", 1), (1, "a b c", "y", 2), (1, "a b c", None, 3)] * 3 + [(i, "w " * (i % 5 + 1), "x" if i % 4 else "y", i) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, schema)
+    plan, got = {}, {}
+    for r in mixing.plan_mix(docs).collect():
+        plan[r.doc_id, r.source] = plan.get((r.doc_id, r.source), 0) + r.copies
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+        assert r.doc_id > 1 or {"x": 1, "y": 2, None: 3}[r.source] == r.extra
+    assert got == {k: n for k, n in plan.items() if n}
+
+
+def test_rows_and_files_follow_the_schedule(spark, tmp_path):
+    """The order of mixed documents, also once written and read, is that of the positions: fading sources come early, rising ones late."""
+    docs = spark.range(900).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "concat('s', id % 3) as source")
+    order = [(r.doc_id, r.epoch) for r in mixing.mix_sources(docs).collect()]
+    mixed = mixing.mixed_documents(docs)
+    assert [r.doc_id for r in mixed.collect()] == [d for d, _ in order]
+    mixed.write.parquet(str(tmp_path / "m"))
+    placed = packing.file_order(spark.read.parquet(str(tmp_path / "m"))).orderBy("place").collect()
+    assert [r.doc_id for r in placed] == [d for d, _ in order]
+    third = len(order) // 3
+    share = lambda part, kind: sum(d % 3 == kind for d, _ in part) / len(part)
+    assert share(order[:third], 0) > 1.5 * share(order[-third:], 0) and share(order[-third:], 2) > 1.5 * share(order[:third], 2)

@@ -47,9 +47,41 @@ def test_patterns_hold_the_histogram(seed):
     patterns = packing.shortest_pack_first(histogram, 64)
     assert all(sum(p) <= 64 and count > 0 for p, count in patterns)
     assert {n: sum(p.count(n) * count for p, count in patterns) for n in histogram} == histogram
-    for length in histogram:
-        ranks = sorted((a, b) for n, a, b, _, _ in packing.pattern_slots(patterns) if n == length)
-        assert ranks[0][0] == 0 and ranks[-1][1] == histogram[length] and all(x[1] == y[0] for x, y in zip(ranks, ranks[1:]))
+
+
+def test_places_of_all_sequences(spark):
+    ship(spark)
+    patterns = [((9, 5, 2), 3), ((8, 8), 2), ((16,), 1)]
+    rows = packing.laid_out(spark, patterns).collect()
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r.packed, []).append((r.slot_offset, r.slot_length, r.moment))
+    assert [tuple(x[1] for x in sorted(by_sequence[i])) for i in range(6)] == [(9, 5, 2)] * 3 + [(8, 8)] * 2 + [(16,)]
+    assert all(sum(x[1] for x in sorted(own)[:k]) == own_at for own in by_sequence.values() for k, (own_at, _, _) in enumerate(sorted(own)))
+    assert [by_sequence[i][0][2] / packing.MOMENTS for i in range(6)] == pytest.approx([1 / 6, 1 / 2, 5 / 6, 1 / 4, 3 / 4, 1 / 2])
+    assert packing.laid_out(spark, []).count() == 0
+
+
+def test_sequences_follow_the_documents(spark, tmp_path):
+    """Read from files in order: early documents are in early sequences, whatever their lengths."""
+    ship(spark)
+    drawn = random.Random(3)
+    docs = [(i, " ".join(drawn.choice(["alpha", "beta", "gamma"]) for _ in range(drawn.choice([1, 30, 200, 200, 700, 2_000])))) for i in range(1_500)]
+    drawn_ids = list(range(1_500))
+    drawn.shuffle(drawn_ids)
+    spark.createDataFrame([(drawn_ids[i], t, i) for i, t in docs], "doc_id long, text string, nth long").repartitionByRange(5, "nth").sortWithinPartitions("nth").write.parquet(str(tmp_path / "d"))
+    rows = packing.pack_documents(spark.read.parquet(str(tmp_path / "d")), in_order=True).collect()
+    where = {d: i for i, d in enumerate(drawn_ids)}
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.position, r.start)) if r.start == 0] == drawn_ids
+    last = max(r.sequence_id for r in rows)
+    assert sorted({r.sequence_id for r in rows}) == list(range(last + 1))
+    off = [abs(where[r.doc_id] / 1_500 - r.sequence_id / last) for r in rows]
+    assert sum(off) / len(off) < 0.03 and max(off) < 0.2
+
+
+def test_a_text_of_over_a_million_characters(spark, tokenizer):
+    text = "alpha beta " * 100_000
+    assert len(text) >= packing.LONG_TEXT and packing.encoder(packing.tokenizer_files()).encode(text) == ids_of(tokenizer, text)
 
 
 def test_little_padding():
