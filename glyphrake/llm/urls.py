@@ -5,25 +5,33 @@ smoothed from order to order by the number of different continuations.  A URL's
 is the difference of their log likelihoods per character; the bound between accepted
 and rejected is calibrated on URLs that neither model has seen.  URLs that rules
 decide are the examples.
+
+The models are a table of all grams (a context and the character after it) of all URLs,
+which grows with them; it is joined with the URLs' grams and never sent around.  Only the
+values of the most frequent grams, whose number is bounded by their share, are sent to
+the tasks, which spares most rows of the join.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from glyphrake.llm.common import pieces_of, table
+from glyphrake.llm.common import materialize, table
 
 #: (verdict, host, path) of the registered query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Longest context, cells of a table, bins and width of the calibration, fold for calibration, characters scored at a time.
-ORDER, CELLS, BINS, WIDTH, FOLDS, CHARS = 4, 1 << 16, 2_001, 4.0, 5, 1_000_000
+#: Longest context, bins and width of the calibration, fold for calibration, grams that a worker counts before it hands them on.
+ORDER, BINS, WIDTH, FOLDS, HELD = 4, 2_001, 4.0, 5, 200_000
+#: A gram that makes up this share of all is sent to the tasks: there are no more than the inverse.
+FREQUENT = 1 / 50_000
+#: What stands before and after a URL, and the probability of any character before anything is known.
+EDGE, UNIFORM = "\n", 1 / 256
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,101 +53,97 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return rule, verdict
 
 
-def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every character of the texts: its text, and by order the hashes of its context and of context and character."""
-    pad = "\n" * ORDER
-    codes = np.frombuffer((pad + pad.join(f"{x}\n" for x in texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    at = np.arange(len(doc)) + (doc + 1) * ORDER
-    context, grams, contexts = np.full(len(at), 0x243F6A8885A308D3, np.uint64), [], []
-    for k in range(ORDER + 1):
-        if k:
-            context = (context ^ codes[at - k]) * np.uint64(0x9E3779B97F4A7C15)
-            context ^= context >> np.uint64(29)
-        contexts.append(context.copy())
-        gram = (context ^ (codes[at] + np.uint64(0x5851F42D))) * np.uint64(0xD6E8FEB86659FD93)
-        grams.append(gram ^ (gram >> np.uint64(32)))
-    return doc, np.stack(contexts), np.stack(grams)
-
-
-def _cell(x: np.ndarray) -> np.ndarray:
-    return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64)
-
-
-@dataclass
-class Models:
-    """Counts by class, order and cell (grams, contexts, different continuations), and the bound between the classes."""
-
-    grams: np.ndarray
-    contexts: np.ndarray
-    kinds: np.ndarray
-    bound: float = 0.0
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood as accepted less that as rejected, per character (with the end)."""
-        if not texts:
-            return np.zeros(0)
-        doc, contexts, grams = _contexts(texts)
-        logs = []
-        for side in range(2):
-            p = np.full(len(doc), 1 / 256)
-            for k in range(ORDER + 1):
-                c, g = _cell(contexts[k]), _cell(grams[k])
-                n, t = self.contexts[side, k, c], self.kinds[side, k, c]
-                p = np.where(n > 0, (np.minimum(self.grams[side, k, g], n) + t * p) / np.maximum(n + t, 1), p)
-            logs.append(np.bincount(doc, weights=np.log(p), minlength=len(texts)))
-        return (logs[0] - logs[1]) / np.bincount(doc, minlength=len(texts))
-
-
-def train(examples: DataFrame) -> Models:
-    """Models from (text, accepted, page key): four folds of five for the counts, the fifth for the bound.
-
-    All examples count.  The driver gets tables of a fixed number of cells, whatever the
-    number of URLs.
-    """
+def grams_of(text: str) -> list[str]:
+    """Every character of the text and its end, each after the ORDER characters before it."""
+    padded = EDGE * ORDER + text + EDGE
+    return [padded[i : i + ORDER + 1] for i in range(len(text) + 1)]
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """gram, n, n0, n1: how often each gram occurs in all URLs, and in examples of either side (texts: text, side or null, times)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Counter[str]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for side, found in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([side] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["gram", "side", "n"])
+            held.clear()
+
         for batch in batches:
-            texts, sides = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-            for begin, end in pieces_of(texts, CHARS):
-                doc, contexts, grams = _contexts(texts[begin:end])
-                side = sides[begin:end][doc]
-                for k in range(ORDER + 1):
-                    rows, n = np.unique(np.stack([side, contexts[k].view(np.int64), grams[k].view(np.int64)]), axis=1, return_counts=True)
-                    cells = [_cell(rows[i].view(np.uint64)) for i in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(np.full(len(n), k)), pa.array(cells[0]), pa.array(rows[2]), pa.array(cells[1]), pa.array(n)], names=["side", "k", "context", "gram", "cell", "n"])
-
-    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS))
-    seen = examples.where(fold != 0).select("text", "side")
-    grams = seen.mapInArrow(count, "side long, k long, context long, gram long, cell long, n long").groupBy("side", "k", "context", "gram", "cell").agg(F.sum("n").alias("n"))
-    out = Models(*(np.zeros((2, ORDER + 1, CELLS)) for _ in range(3)))
-    both = grams.groupBy("side", "k", F.lit(0).alias("what"), F.col("context").alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).unionByName(grams.groupBy("side", "k", F.lit(1).alias("what"), "cell").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("kinds"))).toArrow()
-    side, k, what, cell, n, kinds = (both.column(c).to_numpy() for c in ("side", "k", "what", "cell", "n", "kinds"))
-    of = what == 0
-    out.contexts[side[of], k[of], cell[of]], out.kinds[side[of], k[of], cell[of]] = n[of], kinds[of]
-    out.grams[side[~of], k[~of], cell[~of]] = n[~of]
-    out.bound = _calibrate(examples.where(fold == 0).select("text", "side"), out)
-    return out
-
-
-def _calibrate(unseen: DataFrame, models: Models) -> float:
-    """The bound with the fewest errors, each class counting as a whole; the middle of the best bins."""
-    shared = unseen.sparkSession.sparkContext.broadcast(models)
-
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BINS), np.int64)
+            for text, side, times in zip(*(c.to_pylist() for c in batch.columns)):
+                own = held.setdefault(-1 if side is None else side, Counter())
+                for gram in grams_of(text):
+                    own[gram] += times
+            if sum(map(len, held.values())) > HELD:
+                yield from out()
+        yield from out()
+
+    found = texts.select("text", "side", "times").mapInArrow(count, "gram string, side int, n long")
+    sides = [F.coalesce(F.sum(F.when(F.col("side") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in (0, 1)]
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), *sides)
+
+
+def gram_values(grams: DataFrame) -> DataFrame:
+    """gram, n, value: the log probability of its last character after the others as accepted less that as rejected.
+
+    grams: gram, n, n0, n1.  Shorter contexts follow from longer ones by leaving out the
+    first character.  Order by order, a gram's counts meet those of its context (the
+    grams with one context are as many as there are characters) and the probability that
+    the next shorter context gives.
+    """
+    levels = [grams.select("gram", "n0", "n1")]
+    for _ in range(ORDER):
+        shorter = levels[0].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        levels.insert(0, shorter)
+    before = None
+    for k, level in enumerate(levels):
+        context = Window.partitionBy(F.expr(f"substring(gram, 1, {k})"))
+        level = level.withColumns({f"{what}{i}": x for i in (0, 1) for what, x in (("all", F.sum(f"n{i}").over(context)), ("kinds", F.count_if(F.col(f"n{i}") > 0).over(context)))})
+        if before is not None:
+            level = level.join(before, F.expr("substring(gram, 2)") == F.col("tail"))
+        p = [F.col(f"q{i}") if before is not None else F.lit(UNIFORM) for i in (0, 1)]
+        new = [F.when(F.col(f"all{i}") > 0, (F.col(f"n{i}") + F.col(f"kinds{i}") * p[i]) / (F.col(f"all{i}") + F.col(f"kinds{i}"))).otherwise(p[i]) for i in (0, 1)]
+        before = level.select(F.col("gram").alias("tail"), *(x.alias(f"q{i}") for i, x in enumerate(new)))
+    return grams.join(before, F.col("gram") == F.col("tail")).select("gram", "n", (F.ln("q0") - F.ln("q1")).alias("value"))
+
+
+def scores(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """key, score of every text (text, key): the values of its grams, per character with the end.
+
+    Values of frequent grams are added up where the text is; the others' by a join.
+    """
+    spark = texts.sparkSession
+    total = values.agg(F.sum("n")).first()[0] or 0
+    frequent = values.where(F.col("n") >= FREQUENT * total).select("gram", "value").toArrow()
+    shared = spark.sparkContext.broadcast(dict(zip(frequent.column("gram").to_pylist(), frequent.column("value").to_pylist())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            texts, sides = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-            for begin, end in pieces_of(texts, CHARS):
-                place = np.clip(np.round((shared.value.scores(texts[begin:end]) / WIDTH + 1) / 2 * (BINS - 1)), 0, BINS - 1).astype(np.int64)
-                np.add.at(sums, (sides[begin:end], place), 1)
-        side, place = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(place), pa.array(sums[side, place])], names=["side", "place", "n"])
-
-    found = unseen.mapInArrow(bins, "side long, place long, n long").groupBy("side", "place").agg(F.sum("n").alias("n")).toArrow()
+            sums, sizes, rest = [], [], []
+            for text in batch.column(0).to_pylist():
+                own = grams_of(text)
+                found = [known.get(g) for g in own]
+                sums.append(float(sum(v for v in found if v is not None)))
+                sizes.append(len(own))
+                rest.append(list(Counter(g for g, v in zip(own, found) if v is None).items()))
+            kind = pa.list_(pa.struct([("gram", pa.string()), ("times", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64()), pa.array([[{"gram": g, "times": n} for g, n in x] for x in rest], kind)], names=["key", "value", "chars", "rest"])
+
+    found = materialize(texts.select("text", "key").mapInArrow(run, "key string, value double, chars long, rest array<struct<gram:string,times:bigint>>"), "url-sums")
+    rare = found.select("key", F.explode("rest").alias("x")).select("key", "x.gram", "x.times")
+    rare = rare.join(values.select("gram", F.col("value").alias("own")), "gram").select("key", (F.col("own") * F.col("times")).alias("value"), F.lit(0).cast("long").alias("chars"))
+    # the order of a sum is not fixed: what it changes is rounded off
+    return found.select("key", "value", "chars").unionByName(rare).groupBy("key").agg(F.round(F.sum("value") / F.sum("chars"), 9).alias("score"))
+
+
+def calibrated(scored: DataFrame) -> float:
+    """The bound with the fewest errors on (side, score), each class counting as a whole; the middle of the best bins."""
+    place = F.least(F.greatest(F.round((F.col("score") / WIDTH + 1) / 2 * (BINS - 1)), F.lit(0)), F.lit(BINS - 1)).cast("int")
     grid = np.zeros((2, BINS))
-    grid[found.column("side").to_numpy(), found.column("place").to_numpy()] = found.column("n").to_numpy()
+    for r in scored.groupBy("side", place.alias("place")).agg(F.sum("times").alias("n")).collect():
+        grid[r["side"], r["place"]] = r["n"]
     if not grid.sum(axis=1).all():
         return 0.0
     grid /= grid.sum(axis=1, keepdims=True)
@@ -152,27 +156,29 @@ def _calibrate(unseen: DataFrame, models: Models) -> float:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages' page_id with host, path, rule, verdict and the score of the model ratio.
 
-    Null URLs and URLs without :// have an empty host and path and fit no rule.  The models
-    learn from and score the whole URL, as it is written; null counts as empty.  Without examples of both classes what no rule decides is allowed.
+    Null URLs and URLs without :// have an empty host and path and fit no rule.  The
+    models learn from and score the whole URL, as it is written; null counts as empty.
+    Four folds of five of the ruled URLs are counted, as often as they occur; the fifth
+    sets the bound.  Equal URLs have equal scores.  Without examples of both classes what
+    no rule decides is allowed.  Repeated rows stay; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("ruled", verdict)
     rows = rows.withColumn("text", F.coalesce("url", F.lit("")))
-    examples = rows.where("ruled is not null").select("text", (F.col("ruled") == "block").cast("long").alias("side"))
-    models = train(examples)
-    shared = pages.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            scores = [shared.value.scores(texts[begin:end]) for begin, end in pieces_of(texts, CHARS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*batch.schema.names, "score"])
-
-    plain = rows.select("page_id", "host", "path", "rule", "ruled", "text")
-    scored = plain.mapInArrow(score, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= models.bound, "allow").otherwise("block")).alias("verdict"), "score")
+    # a key of 128 bits stands for the text
+    rows = rows.withColumn("key", F.md5("text")).drop("url")
+    side = (F.col("ruled") == "block").cast("int")
+    texts = materialize(rows.groupBy("text", "key", side.alias("side")).agg(F.count("*").alias("times")), "url-texts")
+    seen = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)) != 0
+    values = materialize(gram_values(materialize(_counted(texts.withColumn("side", F.when(seen, F.col("side")))), "url-grams")), "url-values")
+    scored = materialize(texts.join(scores(texts, values), "key").select("key", "score", "times", F.when(~seen, F.col("side")).alias("side")), "url-scores")
+    examples = texts.where(seen & F.col("side").isNotNull()).groupBy("side").count().count()
+    bound = calibrated(scored.where("side is not null")) if examples == 2 else 0.0
+    judged = F.when(F.col("score") >= bound, "allow").otherwise("block") if examples == 2 else F.lit("allow")
+    return rows.join(scored.select("key", "score"), "key").select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' URLs by rule or by model: see judge()."""
     return judge(table(spark, sf_dir, "pages", "page_id", "url"))

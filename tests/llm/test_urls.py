@@ -53,3 +53,56 @@ def test_the_whole_url_is_scored(spark):
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([*rows, (9_999, None)], "page_id long, url string")).collect()}
     right = [got[i].verdict == ("block" if i % 2 else "allow") for i, _ in rows[600:]]
     assert len(right) == 180 and sum(right) >= 170 and got[9_999].host == ""
+
+
+def plain_scores(rows):
+    """The models in dictionaries of real contexts: url -> score of (url, side or None) pairs."""
+    import math
+
+    counts = [{}, {}]
+    for url, side in rows:
+        if side is not None:
+            padded = "\n" * 4 + url + "\n"
+            for i in range(4, len(padded)):
+                for k in range(5):
+                    own = counts[side].setdefault(padded[i - k : i], {})
+                    own[padded[i]] = own.get(padded[i], 0) + 1
+
+    def probability(side, before, char):
+        p = 1 / 256
+        for k in range(5):
+            own = counts[side].get(before[4 - k :])
+            if own:
+                n, kinds = sum(own.values()), len(own)
+                p = (own.get(char, 0) + kinds * p) / (n + kinds)
+        return p
+
+    out = {}
+    for url, _ in rows:
+        padded = "\n" * 4 + url + "\n"
+        logs = [math.log(probability(0, padded[i - 4 : i], padded[i])) - math.log(probability(1, padded[i - 4 : i], padded[i])) for i in range(4, len(padded))]
+        out[url] = sum(logs) / len(logs)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0, 1 / 300, 2])
+def test_scores_against_dictionaries(spark, frequent, monkeypatch):
+    """With all, some and none of the grams sent to the tasks; grams of any alphabet keep apart."""
+    ship(spark)
+    monkeypatch.setattr(urls, "FREQUENT", frequent)
+    drawn = random.Random(7)
+    rows = [("".join(drawn.choice("abcé漢/.") for _ in range(drawn.randint(0, 25))), drawn.choice([0, 1, None])) for _ in range(120)]
+    rows = list({u: (u, s) for u, s in rows}.values())
+    rows += [rows[0]] * 3
+    texts = spark.createDataFrame(rows, "text string, side int").groupBy("text", "side").agg(F.count("*").alias("times")).withColumn("key", F.md5("text"))
+    got = urls.scores(texts, urls.gram_values(urls._counted(texts)))
+    want = plain_scores(rows)
+    found = {r.text: r.score for r in texts.join(got, "key").collect()}
+    assert set(found) == set(want) and all(abs(found[u] - want[u]) < 1e-8 for u in want)
+
+
+def test_the_bound_splits_what_it_has_seen(spark):
+    rows = [(0, 0.5, 3), (0, 0.1, 1), (1, -0.2, 2), (1, -0.9, 5)]
+    bound = urls.calibrated(spark.createDataFrame(rows, "side int, score double, times long"))
+    assert -0.2 < bound <= 0.1
+    assert urls.calibrated(spark.createDataFrame(rows[:2], "side int, score double, times long")) == 0.0
