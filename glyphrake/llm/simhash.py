@@ -21,15 +21,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphrake.llm.common import gathered, materialize, table
+from glyphrake.llm.common import gathered, materialize, table, unused
 from glyphrake.llm.components import connected_components
 
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
 #: Fingerprints with the same key from which a finer key is used, and up to which all pairs are compared.
 CROWDED, COMPARED = 2_000, 48
+#: Of sampled keys: the fingerprints that one is meant to have (as a power of two), those that meet in one matrix, and rows of a key that are held at a time.
+KEY_BITS, MATRIX, RUN_ROWS = 8, 1_024, 2_000_000
+#: Members of a crowd whose sets of shingles meet in one task, and those nearest to its middle that meet all of them.
+CROWD, HUBS = 1_000, 32
 
 
 def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -108,10 +112,11 @@ def _finer_keys(rows: DataFrame, bits: int, distance: int) -> DataFrame:
 def _sampled_keys(node: DataFrame, bits: int, distance: int, recall: float, rows: int) -> DataFrame:
     """Keys of sampled bits, in so many tables that a pair at the distance meets in one of them with probability recall.
 
-    A key has four bits fewer than it takes to number the fingerprints, so that chance
-    neighbours stay a few per key at any size.
+    A key has KEY_BITS bits fewer than it takes to number the fingerprints: some hundred
+    strangers share it at any size, which is cheap to compare, and the fewer bits of a
+    key, the fewer tables it takes.
     """
-    width = min(48, max(10, math.ceil(math.log2(max(rows, 2))) - 4))
+    width = min(48, max(10, math.ceil(math.log2(max(rows, 2))) - KEY_BITS))
     meet = (1 - distance / bits) ** width
     tables = math.ceil(math.log(1 - recall) / math.log(1 - meet))
     drawn = np.random.default_rng(20_240_229)
@@ -160,14 +165,97 @@ def within(a: np.ndarray, b: np.ndarray, distance: int, start: np.ndarray | None
     return out
 
 
-def _links(node: np.ndarray, ring: np.ndarray, start: np.ndarray, key: np.ndarray, distance: int, chained: bool, crowds: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _close(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether fingerprints of 64-bit words are within the distance; the words are the ring's segments."""
+    diff = np.bitwise_count(a ^ b).astype(np.int16)
+    size, total = diff.shape[-1], diff.sum(axis=-1)
+    # some chain of two must keep its budgets
+    return ((diff * size <= distance) & ((diff + np.roll(diff, -1, axis=-1)) * size <= 2 * distance)).any(axis=-1) & (total <= distance)
+
+
+def _spread(words: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Groups of more than one fingerprint that links within the distance connect."""
+    n, groups = len(words), []
+    close = _close(words[:, None], words[None], distance) if n <= MATRIX else None
+    waiting = np.ones(n, bool)
+    if close is not None:
+        np.fill_diagonal(close, False)
+        waiting = close.any(axis=1)
+    for seed in range(n):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        group, reached = [seed], [seed]
+        while reached:
+            if close is not None:
+                new = np.flatnonzero(close[reached].any(axis=0) & waiting)
+                reached = []
+            else:
+                left = np.flatnonzero(waiting)
+                new = left[_close(words[left], words[reached.pop()], distance)]
+            waiting[new] = False
+            group += new.tolist()
+            reached += new.tolist()
+        if len(group) > 1:
+            groups.append(np.array(group))
+    return groups
+
+
+def _chunks(node: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """The nodes of a crowd in chunks of CROWD, each with the HUBS that are nearest to the crowd's middle.
+
+    What many members are like is in the middle, so hubs connect chunks.  Smaller crowds
+    are whole.
+    """
+    if len(node) <= CROWD + HUBS:
+        return [np.sort(node)]
+    bits = np.zeros(words.shape[1] * 64, np.int64)
+    for at in range(0, len(words), 65_536):
+        bits += np.unpackbits(words[at : at + 65_536].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    middle = np.packbits(2 * bits > len(words)).view(np.uint64)
+    away = np.bitwise_count(words ^ middle).sum(axis=1)
+    order = np.lexsort((node, away))
+    hubs, rest = order[:HUBS], order[HUBS:]
+    rest = rest[np.lexsort(words[rest].T)]
+    return [np.sort(node[np.concatenate((hubs, rest[at : at + CROWD]))]) for at in range(0, len(rest), CROWD)]
+
+
+def _sampled_links(node: np.ndarray, words: np.ndarray, key: np.ndarray, distance: int, crowds: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys; of groups larger than COMPARED one link each, or with a list of crowds their chunks."""
+    edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    lengths = np.diff(edges)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    short = np.repeat(lengths <= COMPARED, lengths)
+    for offset in range(1, min(COMPARED, int(lengths[lengths <= COMPARED].max(initial=0)))):
+        i = np.flatnonzero((key[offset:] == key[:-offset]) & short[:-offset])
+        if not len(i):
+            break
+        i = i[_close(words[i], words[i + offset], distance)]
+        left.append(node[i])
+        right.append(node[i + offset])
+    for first, length in zip(edges[:-1][lengths > COMPARED].tolist(), lengths[lengths > COMPARED].tolist()):
+        own_words, own_node = words[first : first + length], node[first : first + length]
+        for members in _spread(own_words, distance):
+            if len(members) <= COMPARED:
+                i, j = (members[x] for x in np.triu_indices(len(members), 1))
+                hit = _close(own_words[i], own_words[j], distance)
+                i, j = i[hit], j[hit]
+            elif crowds is None:
+                i, j = members[1:], np.broadcast_to(members[:1], len(members) - 1)
+            else:
+                crowds += _chunks(own_node[members], own_words[members])
+                continue
+            left.append(own_node[i])
+            right.append(own_node[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _links(node: np.ndarray, ring: np.ndarray, start: np.ndarray, key: np.ndarray, distance: int, chained: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys that connect just what all links would.
 
     Short runs are compared at each offset at once.  In long runs a search spreads from
     fingerprint to fingerprint over those not reached yet, so that a crowd of near
-    copies costs one pass and yields one link each.  Where links have a further test to
-    pass, one each is not enough: with a list of crowds, small groups yield all their
-    links, and the nodes of every larger one are added to the list.
+    copies costs one pass and yields one link each.
     """
     edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     lengths = np.diff(edges)
@@ -184,32 +272,23 @@ def _links(node: np.ndarray, ring: np.ndarray, start: np.ndarray, key: np.ndarra
         own_ring, own_node, own_start = ring[first : first + length], node[first : first + length], start[first : first + length]
         waiting = np.arange(length)
         while len(waiting):
-            reached, group, waiting = [int(waiting[0])], [waiting[:1]], waiting[1:]
+            reached, waiting = [int(waiting[0])], waiting[1:]
             while reached and len(waiting):
                 at = reached.pop()
                 hit = within(own_ring[waiting], np.broadcast_to(own_ring[at], (len(waiting), ring.shape[1])), distance, own_start[waiting] if chained else None)
                 new = waiting[hit]
-                if crowds is None:
-                    left.append(np.full(len(new), own_node[at]))
-                    right.append(own_node[new])
-                group.append(new)
+                left.append(np.full(len(new), own_node[at]))
+                right.append(own_node[new])
                 reached.extend(new.tolist())
                 waiting = waiting[~hit]
-            if crowds is not None:
-                members = np.concatenate(group)
-                if len(members) > COMPARED:
-                    crowds.append(np.sort(own_node[members]))
-                elif len(members) > 1:
-                    i, j = (members[x] for x in np.triu_indices(len(members), 1))
-                    hit = within(own_ring[i], own_ring[j], distance, own_start[i] if chained else None)
-                    left.append(own_node[i[hit]])
-                    right.append(own_node[j[hit]])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
 def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds: bool = False) -> DataFrame:
     """Links (a, b) between nodes with a common key; a key's rows meet in one task, one after the other.
 
+    Chained keys are few enough to be held as a whole.  A sampled key may have any number of
+    rows: they are taken RUN_ROWS at a time, each time with the first of them again.
     With crowds there is a column crowd: null for links; the rows (node, node, crowd) say
     who is in a crowd, which goes by its members and so is the same whatever the key.
     """
@@ -222,7 +301,7 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds:
             node, start, key = (whole.column(c).to_numpy() for c in ("node", "start", "key"))
             ring = np.frombuffer(b"".join(whole.column("fingerprint").to_pylist()), np.uint8).reshape(len(node), bits // 8)
             found: list[np.ndarray] | None = [] if crowds else None
-            a, b = _links(node, ring, start, key, distance, chained, found)
+            a, b = _links(node, ring, start, key, distance, True) if chained else _sampled_links(node, ring.view(np.uint64), key, distance, found)
             if found is None:
                 return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             members = np.concatenate([np.zeros(0, np.int64), *found])
@@ -240,6 +319,9 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds:
             elif cut:
                 yield links([batch.slice(0, cut)])
             held.append(batch.slice(cut))
+            if not chained and sum(x.num_rows for x in held) > RUN_ROWS:
+                yield links(held)
+                held = [pa.Table.from_batches(held).slice(0, CROWD).combine_chunks().to_batches()[0]]
         if held:
             yield links(held)
 
@@ -250,22 +332,24 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds:
 def link_fingerprints(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None, crowds: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints (node BIGINT, fingerprint BINARY), enough to connect all that are close.
 
-    Without recall the search is exact.  With crowds, which _link_runs describes, the links
-    that a crowd needs are still to be found.
+    Without recall the search is exact.  With recall and crowds, which _link_runs
+    describes, the links that a crowd needs are still to be found.
     """
     if recall is not None:
         return _link_runs(_sampled_keys(nodes, bits, distance, recall, nodes.count()), bits, distance, False, crowds)
+    if crowds:
+        raise ValueError("crowds come from sampled keys: pass a recall")
     if distance == 0:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), *[F.lit(None).cast("long").alias("crowd")] * crowds).limit(0)
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     if exact_run(bits // 8, distance) < 1:
         raise ValueError("the distance leaves no segment that must agree: pass a recall")
     keys = _ring_keys(nodes, bits, distance)
     counts = keys.groupBy("key").count()
     crowded = materialize(counts.where(F.col("count") > CROWDED).select("key"), "simhash-crowded")
-    calm = _link_runs(keys.join(crowded, "key", "left_anti"), bits, distance, True, crowds)
+    calm = _link_runs(keys.join(crowded, "key", "left_anti"), bits, distance, True)
     if crowded.isEmpty():
         return calm
-    return calm.unionByName(_link_runs(_finer_keys(keys.join(crowded, "key", "left_semi"), bits, distance), bits, distance, True, crowds))
+    return calm.unionByName(_link_runs(_finer_keys(keys.join(crowded, "key", "left_semi"), bits, distance), bits, distance, True))
 
 
 def _crowd_links(crowd: pa.Table, similarity: float) -> pa.Table:
@@ -302,8 +386,8 @@ def _similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     """The links whose documents' sets of shingles are similar (intersection over union), and links within crowds.
 
     The first document of a fingerprint stands for it.  Only documents with links have
-    their shingles read; each link meets the two sets by equal joins.  The sets of a crowd
-    meet in one task.
+    their shingles read; each link meets the two sets by equal joins.  The sets of a
+    chunk of a crowd (see _chunks) meet in one task.
     """
     found = materialize(links.where("a <> b or crowd is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "crowd").distinct(), "simhash-candidates")
     links, crowds = found.where("crowd is null").select("a", "b"), found.where("crowd is not null").select(F.col("a").alias("node"), "crowd")
@@ -354,14 +438,21 @@ def first_of_each(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity
 
     similarity is that of sets of shingles (intersection over union).  The angle that
     goes with it gives the share of bits that may differ; one standard deviation is added,
-    and what links then is checked on the sets.  Of rows that repeat an id one stays; rows
-    with a null id all stay.
+    and what links then is checked on the sets.  Of rows that repeat an id one stays, the
+    first by hash of its text and then of all its columns; rows with a null id all stay.
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     distance = int(bits * angle + math.sqrt(bits * angle * (1 - angle)))
     found = near_duplicates(docs, shingle, bits, distance, recall, similarity)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    keep = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("again")), "simhash-kept")
+    once = docs.join(keep.where("not again").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    again = keep.where("again").select("doc_id")
+    if again.isEmpty():
+        return once
+    nth = unused(docs, "_nth")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))
+    first = docs.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return once.unionByName(first.select(*docs.columns))
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,3 +126,42 @@ def test_star_of_edited_copies(spark):
     want = {find(i) for i in sets}
     kept = {r.doc_id for r in simhash.first_of_each(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")).collect()}
     assert want <= kept and len(kept) <= len(want) + 20
+
+
+@pytest.mark.parametrize("rows", [2_000_000, 700])
+def test_a_huge_crowd_of_different_fingerprints(spark, rows, monkeypatch):
+    """Thousands of different copies of one text and of another, in chunks and in runs that don't fit: two stay."""
+    ship(spark)
+    monkeypatch.setattr(simhash, "RUN_ROWS", rows)
+    monkeypatch.setattr(simhash, "CROWD", 300)
+    drawn, docs = random.Random(5), []
+    for k in range(2):
+        words = [f"w{k}x{i}" for i in range(300)]
+        for i in range(1_500):
+            own = list(words)
+            for at in drawn.sample(range(300), 2):
+                own[at] = f"edit{i}"
+            docs.append((2 * i + k, " ".join(own)))
+    strangers = [(10_000 + i, " ".join(f"s{drawn.randrange(10**6)}" for _ in range(80))) for i in range(500)]
+    kept = {r.doc_id for r in simhash.first_of_each(spark.createDataFrame(docs + strangers, "doc_id long, text string")).collect()}
+    assert {i for i, _ in strangers} <= kept
+    assert {0, 1} <= kept and len(kept) <= 502 + 15
+
+
+def test_chunks_share_their_hubs():
+    drawn = np.random.default_rng(2)
+    middle = drawn.integers(0, 2**63, 4, dtype=np.uint64)
+    words = np.repeat(middle[None], 5_000, axis=0)
+    for _ in range(6):
+        words[np.arange(5_000), drawn.integers(0, 4, 5_000)] ^= np.uint64(1) << drawn.integers(0, 64, 5_000).astype(np.uint64)
+    words[77] = middle
+    chunks = simhash._chunks(np.arange(5_000), words)
+    assert all(len(c) <= simhash.CROWD + simhash.HUBS and 77 in c for c in chunks)
+    assert set(np.concatenate(chunks).tolist()) == set(range(5_000))
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """One row of an id stays, the same whatever the order of rows."""
+    rows = [(1, "a first text of some words", "x"), (1, "another text with other words", "x"), (1, "another text with other words", "y"), (2, "a third one", "z"), (None, "a third one", "z")]
+    found = [sorted((tuple(r) for r in simhash.first_of_each(spark.createDataFrame(order, "doc_id long, text string, more string")).collect()), key=repr) for order in (rows, rows[::-1])]
+    assert found[0] == found[1] and sorted(str(r[0]) for r in found[0]) == ["1", "2", "None"]
