@@ -437,12 +437,12 @@ def first_of_each(docs: DataFrame, shingle: int = 5, bits: int = 256, similarity
     """docs with one document of each group of near copies: the one with the smallest id.
 
     similarity is that of sets of shingles (intersection over union).  The angle that
-    goes with it gives the share of bits that may differ; one standard deviation is added,
+    goes with it gives the share of bits that may differ; two standard deviations are added,
     and what links then is checked on the sets.  Of rows that repeat an id one stays, the
     first by hash of its text and then of all its columns; rows with a null id all stay.
     """
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    distance = int(bits * angle + math.sqrt(bits * angle * (1 - angle)))
+    distance = int(bits * angle + 2 * math.sqrt(bits * angle * (1 - angle)))
     found = near_duplicates(docs, shingle, bits, distance, recall, similarity)
     keep = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("again")), "simhash-kept")
     once = docs.join(keep.where("not again").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
