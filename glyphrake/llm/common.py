@@ -7,7 +7,9 @@ every executor and the driver can reach.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,3 +88,62 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Beyond this code point there are no letters; bits of one in a gram; cells of a table in which the grams of some text are numbered.
+LAST_LETTER, LETTER_BITS, GRAM_CELLS = 0x34000, 21, 1 << 22
+
+
+@cache
+def small_letters() -> np.ndarray:
+    """The small letter of every code point, 0 for what is no letter."""
+    out = np.zeros(LAST_LETTER, np.uint32)
+    for c in range(LAST_LETTER):
+        char = chr(c)
+        if char.isalpha():
+            small = char.lower()
+            out[c] = ord(small) if len(small) == 1 else c
+    return out
+
+
+def gram_key(a, b, c):
+    """Three code points (0: no letter) as one number."""
+    return (a << 2 * LETTER_BITS) | (b << LETTER_BITS) | c
+
+
+def distinct_grams(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of three arrays of code points, sorted, and the number of each place's among them."""
+    used = np.zeros(LAST_LETTER, bool)
+    for x in (a, b, c):
+        used[x] = True
+    letters = np.flatnonzero(used)
+    k = len(letters)
+    if k**3 > GRAM_CELLS:
+        return np.unique(gram_key(a.astype(np.int64), b.astype(np.int64), c.astype(np.int64)), return_inverse=True)
+    number = np.cumsum(used) - 1
+    cells = (number[a] * k + number[b]) * k + number[c]
+    there = np.zeros(k**3, bool)
+    there[cells] = True
+    found = np.flatnonzero(there)
+    nth = np.zeros(k**3, np.int32)
+    nth[found] = np.arange(len(found))
+    return gram_key(letters[found // (k * k)], letters[found // k % k], letters[found % k]), nth[cells]
+
+
+class GramCounts:
+    """Counts of grams that a worker adds up; summed() gives each gram once."""
+
+    def __init__(self):
+        self._keys, self._counts, self._held = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self._keys.append(keys)
+        self._counts.append(counts)
+        self._held += len(keys)
+        if self._held > 2_000_000:
+            keys, counts = self.summed()
+            self._keys, self._counts, self._held = [keys], [counts], min(len(keys), 1_000_000)
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *self._keys]), return_inverse=True)
+        return keys, np.bincount(at, weights=np.concatenate([np.zeros(0, np.int64), *self._counts]), minlength=len(keys)).astype(np.int64)

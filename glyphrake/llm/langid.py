@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphrake.llm.common import gathered, pieces_of, table
+from glyphrake.llm.common import LAST_LETTER, GramCounts, distinct_grams, gathered, materialize, pieces_of, small_letters, table
 
-#: Cells of the trigram table of a language, cost of a switch in nats, added to every cell's count, least share of a script.
-CELLS, SWITCH, SMOOTH, LEAST_SHARE = 1 << 16, 12.0, 0.05, 0.002
+#: Cost of a switch in nats, added to every trigram's count, least share of a script.
+SWITCH, SMOOTH, LEAST_SHARE = 12.0, 0.05, 0.002
+#: Numbers of the most frequent trigrams (one for each language) that are sent to all tasks, at most.
+ENTRIES = 4_000_000
 #: Characters scored at a time.
 CHARS = 1_000_000
 UNKNOWN = "und"
@@ -32,36 +34,28 @@ SCRIPTS = (
     (0xA000, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0x10000, "other"), (0x20000, "han"),
 )
 SCRIPT_NAMES = tuple(sorted({name for _, name in SCRIPTS}))
-_TABLE = 0x34000  # beyond it there are no letters
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code point (0: not a letter) and script number, by code point below _TABLE."""
-    lower, script = np.zeros(_TABLE, np.uint32), np.zeros(_TABLE, np.int8)
-    for c in range(_TABLE):
-        char = chr(c)
-        if char.isalpha():
-            small = char.lower()
-            lower[c] = ord(small) if len(small) == 1 else c
+def _scripts() -> np.ndarray:
+    """The number of the script of every code point."""
+    out = np.zeros(LAST_LETTER, np.int8)
     starts = [s for s, _ in SCRIPTS]
-    for (s, name), e in zip(SCRIPTS, [*starts[1:], _TABLE]):
-        script[min(s, _TABLE) : min(e, _TABLE)] = SCRIPT_NAMES.index(name)
-    return lower, script
+    for (s, name), e in zip(SCRIPTS, [*starts[1:], LAST_LETTER]):
+        out[min(s, LAST_LETTER) : min(e, LAST_LETTER)] = SCRIPT_NAMES.index(name)
+    return out
 
 
 class Words:
-    """Runs of letters of some texts, with a trigram cell for every letter."""
+    """Runs of letters of some texts.  keys: their different trigrams; gram: the number of every letter's among them."""
 
     def __init__(self, texts: list[str]):
-        lower, script = _tables()
+        lower, script = small_letters(), _scripts()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         codes = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        small = lower[np.minimum(codes, _TABLE - 1)]
+        small = lower[np.minimum(codes, LAST_LETTER - 1)]
         at = np.flatnonzero(small)
-        here = small[at].astype(np.uint64)
-        hashed = (small[at - 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + here * np.uint64(0xC2B2AE3D27D4EB4F) + small[at + 1].astype(np.uint64) * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
-        self.cell = (hashed >> np.uint64(48)).astype(np.int64)
+        self.keys, self.gram = distinct_grams(small[at - 1], small[at], small[at + 1])
         head = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1))[: len(at)])
         self.head, self.letters = head, np.diff(np.concatenate((head, [len(at)])))
         self.first = at[head]
@@ -81,20 +75,43 @@ def held_out(docs: DataFrame) -> Column:
 
 
 class Model:
-    """Log probabilities of trigram cells by language, and the languages of each script."""
+    """Log probabilities of trigrams by language, and the languages of each script.
+
+    keys (sorted) and counts: the most frequent trigrams and how often each language has
+    them.  totals: trigrams of each language; kinds: different ones in all.  complete:
+    whether there are no others than keys.
+    """
 
-    def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
-        self.languages = languages
-        self.scores = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * CELLS)).astype(np.float32)
+    def __init__(self, languages: list[str], keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, kinds: int, scripts: np.ndarray, complete: bool = True):
+        self.languages, self.keys, self.complete = languages, keys, complete
+        self._norm = np.log(totals + SMOOTH * (kinds + 1))
+        # the last row is that of a trigram that was never seen
+        self.scores = self.scored(np.concatenate((counts.reshape(len(keys), len(languages)), np.zeros((1, len(languages))))))
         self.claims = scripts >= LEAST_SHARE * scripts.sum(axis=1, keepdims=True).clip(1) if len(languages) else np.zeros((0, len(SCRIPT_NAMES)), bool)
         # a script that no language claims leaves them all
         self.claims |= ~self.claims.any(axis=0)
 
-    def score(self, words: Words) -> np.ndarray:
-        """Scores of words by language, less that of the best, however long the word; -inf where the script rules a language out."""
+    def scored(self, counts: np.ndarray) -> np.ndarray:
+        return (np.log(counts + SMOOTH) - self._norm).astype(np.float32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each trigram; the last for those not there."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[at] == keys, at, len(self.keys)) if len(self.keys) else np.full(len(keys), 0)
+
+    def score(self, words: Words, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Scores of words by language, less that of the best, however long the word; -inf where the script rules a language out.
+
+        more: sorted keys of rarer trigrams and their scores.
+        """
         if not len(words.head) or not self.languages:
             return np.zeros((len(words.head), len(self.languages)), np.float32)
-        scores = np.add.reduceat(self.scores[words.cell], words.head, axis=0, dtype=np.float64)
+        values = self.scores[self.find(words.keys)]
+        if more is not None and len(more[0]):
+            at = np.minimum(np.searchsorted(more[0], words.keys), len(more[0]) - 1)
+            there = more[0][at] == words.keys
+            values[there] = more[1][at[there]]
+        scores = np.add.reduceat(values[words.gram], words.head, axis=0, dtype=np.float64)
         scores = np.where(self.claims.T[words.script], scores, -np.inf)
         return (scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
 
@@ -134,68 +151,125 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, docs: int, switch: float = SWIT
     return labels
 
 
-def train(docs: DataFrame) -> Model:
-    """Trigram counts by language over all training rows: text and lang of rows that are not held out.
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the table of all trigrams: key, counts (by language in order of name).
 
-    A task sends one row per language and cell that it has seen; the driver gets the
-    sums, a fixed number of cells for each language.
+    Trigrams of all training rows are counted: text and lang of rows that are not held
+    out.  The table grows with the corpus and stays where it is; the driver gets the most
+    frequent trigrams, as many as ENTRIES allows, and a few numbers for each language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, np.ndarray] = {}
+        found: dict[str, GramCounts] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
-                own = [t for t, x in zip(texts, langs) if x == lang]
-                sums = found.setdefault(lang, np.zeros(CELLS + len(SCRIPT_NAMES), np.int64))
+                own, sums = [t for t, x in zip(texts, langs) if x == lang], found.setdefault(lang, GramCounts())
                 for begin, end in pieces_of(own, CHARS):
                     words = Words(own[begin:end])
-                    sums[:CELLS] += np.bincount(words.cell, minlength=CELLS)
-                    sums[CELLS:] += np.bincount(words.script, weights=words.letters, minlength=len(SCRIPT_NAMES)).astype(np.int64)
+                    sums.add(words.keys, np.bincount(words.gram, minlength=len(words.keys)))
+                    # letters of a script have keys below 0
+                    sums.add(-1 - np.arange(len(SCRIPT_NAMES)), np.bincount(words.script, weights=words.letters, minlength=len(SCRIPT_NAMES)).astype(np.int64))
         for lang, sums in found.items():
-            cells = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(sums[cells])], names=["lang", "cell", "n"])
+            keys, counts = sums.summed()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
 
     rows = docs.where(~held_out(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sums = rows.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    langs, cells, n = sums.column("lang").to_pylist(), sums.column("cell").to_numpy(), sums.column("n").to_numpy()
-    languages = sorted(set(langs))
-    grid = np.zeros((CELLS + len(SCRIPT_NAMES), len(languages)))
-    grid[cells, np.searchsorted(np.array(languages), np.array(langs))] = n if len(languages) else 0
-    return Model(languages, grid[:CELLS], grid[CELLS:].T)
-
-
-def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = False) -> DataFrame:
+    found = materialize(rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "language-counts")
+    per_script = found.where("key < 0 and n > 0").collect()
+    languages = sorted(r["lang"] for r in found.where("key < 0").select("lang").distinct().collect())
+    scripts, totals = np.zeros((len(languages), len(SCRIPT_NAMES))), np.zeros(len(languages))
+    for r in per_script:
+        scripts[languages.index(r["lang"]), -1 - r["key"]] = r["n"]
+    # languages without a letter in their texts are not learned
+    learned = scripts.sum(axis=1) > 0
+    languages, scripts, totals = [x for x, k in zip(languages, learned) if k], scripts[learned], totals[learned]
+    counts = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in languages]
+    grams = materialize(found.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n"), F.array(*counts).cast("array<bigint>").alias("counts")), "language-grams")
+    for r in found.where("key >= 0").groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        totals[languages.index(r["lang"])] = r["n"]
+    kinds = grams.count()
+    # a trigram with this share of all is sent: there are no more than the inverse
+    share = max(len(languages), 1) / ENTRIES
+    often = grams.where(F.col("n") >= share * totals.sum()).select("key", "counts").toArrow().sort_by("key")
+    matrix = often.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64) if len(often) else np.zeros(0)
+    return Model(languages, often.column("key").to_numpy(), matrix, totals, kinds, scripts, len(often) == kinds), grams.select("key", "counts")
+
+
+def identify(docs: DataFrame, trained: tuple[Model, DataFrame], switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and, if wanted, spans (start and end character, lang) of every document.
 
     score is the share of the letters that lang_pred has.  Texts that are null or have
     no letter are und with score 0 and no spans; without training rows all are.  Ties go
-    to the first language by name.
+    to the first language by name.  Repeated rows stay; an empty table gives no rows.
+
+    Documents whose trigrams are all among the frequent ones are labelled where they are.
+    The others' rarer trigrams are joined with the table of all trigrams first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, grams = trained
+    spark = docs.sparkSession
+    shared, width = spark.sparkContext.broadcast(model), len(model.languages)
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, width = shared.value, len(shared.value.languages)
+    later = not model.complete
+
+    def labelled(ids: pa.Array, texts: list[str], more: tuple[np.ndarray, np.ndarray] | None) -> tuple[list[pa.Array], list[np.ndarray]]:
+        """The columns of the result, and the rarer trigrams of each document."""
+        own = shared.value
+        scores, doc, letters, offset = [np.zeros((0, width), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rare: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        for begin, end in pieces_of(texts, CHARS if width < 16 else CHARS // 8):
+            words = Words(texts[begin:end])
+            for all_, x in ((scores, own.score(words, more)), (doc, words.doc + begin), (letters, words.letters), (offset, words.offset)):
+                all_.append(x)
+            if later and more is None and width:
+                unknown = own.find(words.keys) == len(own.keys)
+                at = np.flatnonzero(unknown[words.gram])
+                if len(at):
+                    whose = np.repeat(words.doc, words.letters)[at] + begin
+                    for i in np.unique(whose).tolist():
+                        rare[i] = np.unique(words.keys[words.gram[at[whose == i]]])
+        scores, doc, letters, offset = (np.concatenate(x) for x in (scores, doc, letters, offset))
+        if not width:
+            doc = letters = np.zeros(0, np.int64)
+        labels = viterbi(scores, doc, len(texts), switch) if width else np.zeros(0, np.int16)
+        sums = np.bincount(doc * max(width, 1) + labels, weights=letters, minlength=len(texts) * max(width, 1)).reshape(len(texts), -1)
+        total, best = sums.sum(axis=1), sums.argmax(axis=1)
+        pred = [own.languages[b] if t else UNKNOWN for b, t in zip(best.tolist(), total.tolist())]
+        out = [ids, pa.array(pred, pa.string()), pa.array(sums.max(axis=1) / total.clip(1))]
+        if spans:
+            out.append(pa.array(_spans(doc, labels, offset, letters, len(texts), own.languages), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+        return out, rare
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            scores, doc, letters, offset = [np.zeros((0, width), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for begin, end in pieces_of(texts, CHARS if width < 16 else CHARS // 8):
-                words = Words(texts[begin:end])
-                fits = np.full(len(words.head), width > 0)
-                for all_, x in ((scores, own.score(words)[fits]), (doc, words.doc[fits] + begin), (letters, words.letters[fits]), (offset, words.offset[fits])):
-                    all_.append(x)
-            scores, doc, letters, offset = (np.concatenate(x) for x in (scores, doc, letters, offset))
-            labels = viterbi(scores, doc, len(texts), switch) if width else np.zeros(0, np.int16)
-            sums = np.bincount(doc * max(width, 1) + labels, weights=letters, minlength=len(texts) * max(width, 1)).reshape(len(texts), -1)
-            total, best = sums.sum(axis=1), sums.argmax(axis=1)
-            pred = [own.languages[b] if t else UNKNOWN for b, t in zip(best.tolist(), total.tolist())]
-            out = [batch.column(0), pa.array(pred, pa.string()), pa.array(sums.max(axis=1) / total.clip(1))]
-            if spans:
-                out.append(pa.array(_spans(doc, labels, offset, letters, len(texts), own.languages), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+            out, rare = labelled(batch.column(0), texts, None)
+            names = [x.split()[0] for x in ("doc_id", "lang_pred", "score", "spans")][: len(out)]
+            if later:
+                out += [pa.array([t if len(r) else None for t, r in zip(texts, rare)], pa.string()), pa.array(rare, pa.list_(pa.int64()))]
+                names += ["text", "rare"]
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in gathered(batches):
+            held = batch.column(2).flatten()
+            keys, at = np.unique(held.field("key").to_numpy(zero_copy_only=False).astype(np.int64), return_index=True)
+            counts = held.field("counts").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), width)
+            out, _ = labelled(batch.column(0), [x or "" for x in batch.column(1).to_pylist()], (keys, own.scored(counts)))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "spans"][: len(out)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    if not later:
+        return rows.mapInArrow(first, schema)
+    found = materialize(rows.mapInArrow(first, schema + ", text string, rare array<long>"), "language-first").withColumn("text_key", F.md5("text"))
+    done = found.where("text is null").drop("text", "rare", "text_key")
+    open_ = found.where("text is not null").select("doc_id", "text", "text_key", "rare")
+    wanted = open_.select("text_key", F.explode("rare").alias("key")).distinct()
+    known = materialize(wanted.join(grams, "key").groupBy("text_key").agg(F.collect_list(F.struct("key", "counts")).alias("known")), "language-rare")
+    none = F.array().cast("array<struct<key:bigint,counts:array<bigint>>>")
+    again = open_.join(known, "text_key", "left").select("doc_id", "text", F.coalesce("known", none).alias("known"))
+    return done.unionByName(again.mapInArrow(second, schema))
 
 
 def _spans(doc: np.ndarray, labels: np.ndarray, offset: np.ndarray, letters: np.ndarray, docs: int, languages: list[str]) -> list[list[dict]]:
