@@ -33,7 +33,7 @@ CROWDED, COMPARED = 2_000, 48
 #: Of sampled keys: the fingerprints that one is meant to have (as a power of two), those that meet in one matrix, and rows of a key that are held at a time.
 KEY_BITS, MATRIX, RUN_ROWS = 8, 1_024, 2_000_000
 #: Members of a crowd whose sets of shingles meet in one task, and those nearest to its middle that meet all of them.
-CROWD, HUBS = 1_000, 32
+CROWD, HUBS = 400, 32
 
 
 def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
