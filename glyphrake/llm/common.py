@@ -111,23 +111,27 @@ def gram_key(a, b, c):
     return (a << 2 * LETTER_BITS) | (b << LETTER_BITS) | c
 
 
-def distinct_grams(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different grams of three arrays of code points, sorted, and the number of each place's among them."""
+def distinct_grams(letters: np.ndarray, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of an array of code points, sorted, and the number of each place's among them.
+
+    A gram is a code point with those before and after it; at says where (not at the ends).
+    """
     used = np.zeros(LAST_LETTER, bool)
-    for x in (a, b, c):
-        used[x] = True
-    letters = np.flatnonzero(used)
-    k = len(letters)
+    used[letters] = True
+    known = np.flatnonzero(used)
+    k = len(known)
     if k**3 > GRAM_CELLS:
-        return np.unique(gram_key(a.astype(np.int64), b.astype(np.int64), c.astype(np.int64)), return_inverse=True)
-    number = np.cumsum(used) - 1
-    cells = (number[a] * k + number[b]) * k + number[c]
+        code = letters.astype(np.int64)
+        return np.unique(gram_key(code[:-2], code[1:-1], code[2:])[at if isinstance(at, slice) else at - 1], return_inverse=True)
+    code = (np.cumsum(used, dtype=np.int32) - 1)[letters]
+    cells = (code[:-2] * k + code[1:-1]) * k + code[2:]
+    cells = cells[at if isinstance(at, slice) else at - 1]
     there = np.zeros(k**3, bool)
     there[cells] = True
     found = np.flatnonzero(there)
     nth = np.zeros(k**3, np.int32)
     nth[found] = np.arange(len(found))
-    return gram_key(letters[found // (k * k)], letters[found // k % k], letters[found % k]), nth[cells]
+    return gram_key(known[found // (k * k)], known[found // k % k], known[found % k]), nth[cells]
 
 
 class GramCounts:

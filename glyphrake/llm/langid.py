@@ -55,7 +55,7 @@ class Words:
         codes = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         small = lower[np.minimum(codes, LAST_LETTER - 1)]
         at = np.flatnonzero(small)
-        self.keys, self.gram = distinct_grams(small[at - 1], small[at], small[at + 1])
+        self.keys, self.gram = distinct_grams(small, at)
         head = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1))[: len(at)])
         self.head, self.letters = head, np.diff(np.concatenate((head, [len(at)])))
         self.first = at[head]
