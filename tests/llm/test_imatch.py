@@ -63,3 +63,48 @@ def test_likeness():
     assert imatch.likeness(a, a) == 1
     assert imatch.likeness(a, "e" * 16 + "0001" + "0002" + "0000" * 2) == 0.5
     assert imatch.likeness(a, "e" * 16 + "0000" * 4) == 0
+
+
+def plain_fingerprint(text, lexicon):
+    """The method in plain numbers: sorted distinct terms of the lexicon, hashed whole and by subset."""
+    import re
+
+    import xxhash
+
+    def mix(x):
+        x = (x ^ (x >> 31)) * 0x7FB5D329728EA185 % 2**64
+        x = (x ^ (x >> 27)) * 0x81DADEF4BC2DD44D % 2**64
+        return x ^ (x >> 33)
+
+    terms = set(re.findall(r"\w+", text.lower()))
+    own = sorted(xxhash.xxh64_intdigest(t.encode()) for t in (terms & lexicon or terms))
+    if not own:
+        return "0" * (16 + 4 * imatch.SUBSETS)
+    digest = lambda hashes: xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little") for h in hashes))
+    out = [f"{digest(own):016x}"]
+    for k in range(imatch.SUBSETS):
+        drawn = [h for h in own if mix(h ^ ((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) < int(imatch.SHARES[k % len(imatch.SHARES)] * 2**64)]
+        out.append(f"{digest(drawn) % 65_535 + 1:04x}" if drawn else "0000")
+    return "".join(out)
+
+
+def test_fingerprints_against_a_plain_version(rows, texts):
+    df = Counter(w for t in texts.values() for w in set(t.split()))
+    n = len(texts)
+    lexicon = {w for w, c in df.items() if max(2, imatch.LEAST_SHARE * n) <= c <= max(2, imatch.MOST_SHARE * n)}
+    order = sorted(texts, reverse=True)
+    for i, doc_id in enumerate(order):
+        text, following = texts[doc_id], texts[order[(i + 1) % len(order)]]
+        half = len(text) // 2
+        assert rows[doc_id].fingerprint == plain_fingerprint(text, lexicon)
+        assert rows[doc_id].edited_fingerprint == plain_fingerprint(text[: len(text) - half] + following[:half], lexicon)
+
+
+def test_the_lexicon_is_bounded(spark, monkeypatch):
+    """Above the bound the lower edge of the band rises until the lexicon is below."""
+    ship(spark)
+    docs = spark.createDataFrame([(i, " ".join(f"t{k}" for k in range(200) if i % (k // 20 + 2) == 0)) for i in range(300)], "doc_id long, text string")
+    whole = imatch.lexicon(docs, 0.0, 1.0)
+    monkeypatch.setattr(imatch, "MOST_TERMS", 50)
+    some = imatch.lexicon(docs, 0.0, 1.0)
+    assert len(whole) == 200 and 0 < len(some) <= 50 and set(some.tolist()) <= set(whole.tolist())
