@@ -21,7 +21,7 @@ from glyphrake.errors import InvalidPatternError, InvalidTextError
 from glyphrake.operators import backward, extract, suffixes, transform
 from glyphrake.operators.navigate import Navigator, Runs, Transform
 from glyphrake.operators.suffixes import LOCAL
-from glyphrake.session import checkpoint
+from glyphrake.session import checkpoint, passing
 from glyphrake.sources.corpus import Corpus
 
 Pattern = bytes | str | Sequence[int]
@@ -41,7 +41,8 @@ class PlainIndex:
         self.n, self.pieces = corpus.measured()
         self._check_pieces()
         self.level = suffixes.sample_level(self.n, level)
-        self.table = checkpoint(suffixes.suffix_table(corpus, self.n), "index-suffixes")
+        with passing(corpus.pieces.sparkSession) as keep:
+            self.table = keep(suffixes.suffix_table(corpus, self.n), "index-suffixes")
 
     def _check_pieces(self) -> None:
         if not self.by_piece and self.pieces > 1:
@@ -71,7 +72,8 @@ class PlainIndex:
 
     @cached_property
     def runs(self) -> DataFrame:
-        return checkpoint(transform.runs(self.table), "index-runs")
+        with passing(self.table.sparkSession) as keep:
+            return keep(transform.runs(self.table), "index-runs")
 
     @cached_property
     def block_counts(self) -> DataFrame:

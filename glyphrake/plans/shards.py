@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from glyphrake.errors import InvalidPatternError
 from glyphrake.operators.navigate import Transform, sorted_suffixes
 from glyphrake.plans.index import Pattern, symbols_in
-from glyphrake.session import checkpoint, prepare
+from glyphrake.session import passing, prepare
 from glyphrake.sources.corpus import Corpus, values_of
 
 #: Symbols of a shard (a longer piece is a shard of its own), bytes of patterns that are sent to all tasks at once, matches handed on at a time.
@@ -75,8 +75,9 @@ class ShardedIndex:
         self.n, self.pieces = corpus.measured()
         spark, wide = corpus.pieces.sparkSession, corpus.wide
         prepare(spark)
-        dealt = corpus.with_offsets().withColumn("shard", F.expr(f"offset div {shard}"))
-        self.table = checkpoint(dealt.groupBy("shard").applyInArrow(lambda key, pieces: _built(key, pieces, level, wide), TABLE), "index-shards")
+        with passing(spark) as keep:
+            dealt = corpus.with_offsets().withColumn("shard", F.expr(f"offset div {shard}"))
+            self.table = keep(dealt.groupBy("shard").applyInArrow(lambda key, pieces: _built(key, pieces, level, wide), TABLE), "index-shards")
 
     def save(self, path: str) -> None:
         self.table.write.parquet(f"{path}/shards")

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written so far.
+_WRITTEN: list[str] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """For work whose result is written as a table: what it writes on the way is removed at its end.
+
+    The block gets a function like checkpoint(), whose tables stay.
+    """
+    begin, kept = len(_WRITTEN), set()
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = checkpoint(df, label)
+        kept.add(_WRITTEN[-1])
+        return out
+
+    yield keep
+    for name in _WRITTEN[begin:]:
+        if name not in kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN[begin:] = [x for x in _WRITTEN[begin:] if x in kept]
+
+
 def checkpoint(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there.
 
@@ -59,4 +86,5 @@ def checkpoint(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/glyphrake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

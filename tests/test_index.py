@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from glyphrake import session
 from glyphrake.errors import InvalidPatternError, InvalidTextError
 from glyphrake.functions.running import numbered, running_sum
 from glyphrake.operators import backward, suffixes, transform
@@ -298,3 +299,10 @@ def test_repeated_ids_are_pieces_of_their_own(spark):
     assert (index.pieces, index.n) == (4, 10)
     assert sorted(r.piece_id for r in index.search("b").matches().collect()) == [1, 1, 1]
     assert [r.piece_id for r in index.search_exact("b").matches().collect()] == [1]
+
+
+def test_what_is_written_on_the_way_is_removed(spark, in_tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    index = PlainIndexWithLocate(from_buffer(spark, b"abracadabra abracadabra\0"))
+    assert [x.name.rsplit("-", 1)[0] for x in (tmp_path / "glyphrake").iterdir()] == ["index-suffixes"]
+    assert sorted(r.pos for r in index.search("abra").matches().collect()) == [0, 7, 12, 19]
