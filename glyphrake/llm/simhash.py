@@ -204,8 +204,8 @@ def _spread(words: np.ndarray, distance: int) -> list[np.ndarray]:
 def _chunks(node: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     """The nodes of a crowd in chunks of CROWD, each with the HUBS that are nearest to the crowd's middle.
 
-    What many members are like is in the middle, so hubs connect chunks.  Smaller crowds
-    are whole.
+    What many members are like is in the middle, so hubs connect chunks (_across finds what
+    they leave apart).  Smaller crowds are whole.
     """
     if len(node) <= CROWD + HUBS:
         return [np.sort(node)]
@@ -220,8 +220,13 @@ def _chunks(node: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     return [np.sort(node[np.concatenate((hubs, rest[at : at + CROWD]))]) for at in range(0, len(rest), CROWD)]
 
 
-def _sampled_links(node: np.ndarray, words: np.ndarray, key: np.ndarray, distance: int, crowds: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys; of groups larger than COMPARED one link each, or with a list of crowds their chunks."""
+def _name(members: np.ndarray) -> int:
+    """A number for a set of nodes, handed in sorted."""
+    return xxhash.xxh64_intdigest(members.tobytes()) >> 1
+
+
+def _sampled_links(node: np.ndarray, words: np.ndarray, key: np.ndarray, distance: int, crowds: list[list[np.ndarray]] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys; of groups larger than COMPARED one link each, or with a list of crowds the chunks of each."""
     edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     lengths = np.diff(edges)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -243,7 +248,7 @@ def _sampled_links(node: np.ndarray, words: np.ndarray, key: np.ndarray, distanc
             elif crowds is None:
                 i, j = members[1:], np.broadcast_to(members[:1], len(members) - 1)
             else:
-                crowds += _chunks(own_node[members], own_words[members])
+                crowds.append(_chunks(own_node[members], own_words[members]))
                 continue
             left.append(own_node[i])
             right.append(own_node[j])
@@ -289,8 +294,9 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds:
 
     Chained keys are few enough to be held as a whole.  A sampled key may have any number of
     rows: they are taken RUN_ROWS at a time, each time with the first of them again.
-    With crowds there is a column crowd: null for links; the rows (node, node, crowd) say
-    who is in a crowd, which goes by its members and so is the same whatever the key.
+    With crowds there are columns crowd and split: null for links; the rows (node, node,
+    crowd, split) say who is in a crowd or in a chunk of one, and split which crowd a chunk
+    is of.  Both go by their members and so are the same whatever the key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,14 +306,20 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds:
             whole = pa.Table.from_batches(parts).combine_chunks()
             node, start, key = (whole.column(c).to_numpy() for c in ("node", "start", "key"))
             ring = np.frombuffer(b"".join(whole.column("fingerprint").to_pylist()), np.uint8).reshape(len(node), bits // 8)
-            found: list[np.ndarray] | None = [] if crowds else None
+            found: list[list[np.ndarray]] | None = [] if crowds else None
             a, b = _links(node, ring, start, key, distance, True) if chained else _sampled_links(node, ring.view(np.uint64), key, distance, found)
             if found is None:
                 return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            members = np.concatenate([np.zeros(0, np.int64), *found])
-            crowd = np.repeat(np.array([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in found], np.int64), [len(x) for x in found])
-            crowd = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(crowd, pa.int64())])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, members)), pa.int64()), pa.array(np.concatenate((b, members)), pa.int64()), crowd], names=["a", "b", "crowd"])
+            members, crowd, split = [np.zeros(0, np.int64)], [None] * len(a), [None] * len(a)
+            for chunks in found:
+                own = _name(np.unique(np.concatenate(chunks))) if len(chunks) > 1 else None
+                for chunk in chunks:
+                    members.append(chunk)
+                    crowd += [_name(chunk)] * len(chunk)
+                    split += [own] * len(chunk)
+            member = np.concatenate(members)
+            columns = [np.concatenate((a, member)), np.concatenate((b, member)), crowd, split]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "crowd", "split"])
 
         for batch in gathered(batches):
             key = batch.column(3).to_numpy()
@@ -326,7 +338,7 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds:
             yield links(held)
 
     dealt = rows.select("node", "fingerprint", "start", "key").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long" + ", crowd long" * crowds)
+    return dealt.mapInArrow(run, "a long, b long" + ", crowd long, split long" * crowds)
 
 
 def link_fingerprints(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None, crowds: bool = False) -> DataFrame:
@@ -382,15 +394,60 @@ def _crowd_links(crowd: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
 
 
+def _meet(block: pa.Table, similarity: float) -> pa.Table:
+    """Links (a, b) from the rows that ask to similar rows that don't and have another root: one to each root."""
+    asks = block.column("asks").combine_chunks()
+    asking, asked = block.filter(asks), block.filter(pc.invert(asks))
+    node, root, shingles = asked.column("node").to_numpy(), asked.column("root").to_numpy(), asked.column("shingles").combine_chunks()
+    sizes = pc.list_value_length(shingles).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, value, times = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    holders, begin = np.repeat(np.arange(len(node)), sizes)[np.argsort(value, kind="stable")], np.cumsum(times) - times
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for one, own_root, own in zip(asking.column("node").to_pylist(), asking.column("root").to_pylist(), asking.column("shingles")):
+        own = own.values.to_numpy()
+        at = np.flatnonzero(np.isin(values, own, assume_unique=True))
+        n = times[at]
+        held = holders[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        common = np.bincount(held, minlength=len(node))
+        hit = np.flatnonzero((root != own_root) & (common >= similarity * (sizes + len(own) - common)))
+        _, first = np.unique(root[hit], return_index=True)
+        left.append(np.full(len(first), one))
+        right.append(node[hit[first]])
+    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def _across(similar: DataFrame, split: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members of crowds (node, split) that no chunk of the crowd has together.
+
+    similar are the links so far.  Members that they connect to most of the crowd need no
+    more; the others, few where the hubs are the originals, meet all members in blocks of
+    about CROWD by CROWD sets.  Crowds of one and the same main group count as one, so
+    that what several keys found is compared once.
+    """
+    roots = connected_components(similar, "simhash-within")
+    placed = materialize(split.join(roots, "node", "left").select("node", "split", F.coalesce("root", "node").alias("root")), "simhash-placed")
+    main = placed.groupBy("split", "root").count().groupBy("split").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    members = materialize(placed.join(main, "split").select("main", "node", "root").distinct(), "simhash-members")
+    apart = F.col("root") != F.col("main")
+    tally = materialize(members.groupBy("main").agg(F.ceil(F.count("*") / CROWD).alias("blocks"), F.ceil(F.count_if(apart) / CROWD).alias("strips")).where("strips > 0"), "simhash-tally")
+    if tally.isEmpty():
+        return similar.limit(0)
+    dealt = members.join(tally, "main").join(sets, "node")
+    place, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    asked = dealt.select("main", F.pmod(place, "blocks").alias("block"), F.explode(F.sequence(zero, F.col("strips") - 1)).alias("strip"), F.lit(False).alias("asks"), "node", "root", "shingles")
+    asking = dealt.where(apart).select("main", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.pmod(place, "strips").alias("strip"), F.lit(True).alias("asks"), "node", "root", "shingles")
+    return asked.unionByName(asking).groupBy("main", "block", "strip").applyInArrow(lambda block: _meet(block, similarity), "a long, b long")
+
+
 def _similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, bits: int, similarity: float) -> DataFrame:
     """The links whose documents' sets of shingles are similar (intersection over union), and links within crowds.
 
     The first document of a fingerprint stands for it.  Only documents with links have
     their shingles read; each link meets the two sets by equal joins.  The sets of a
-    chunk of a crowd (see _chunks) meet in one task.
+    chunk of a crowd (see _chunks) meet in one task; _across finds the links between chunks.
     """
-    found = materialize(links.where("a <> b or crowd is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "crowd").distinct(), "simhash-candidates")
-    links, crowds = found.where("crowd is null").select("a", "b"), found.where("crowd is not null").select(F.col("a").alias("node"), "crowd")
+    found = materialize(links.where("a <> b or crowd is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "crowd", "split").distinct(), "simhash-candidates")
+    links, crowds = found.where("crowd is null").select("a", "b"), found.where("crowd is not null").select(F.col("a").alias("node"), "crowd").distinct()
     linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(linked, "node").select("node", "fingerprint", "first_id")
 
@@ -404,7 +461,12 @@ def _similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     similar = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-    return similar.unionByName(crowds.join(sets, "node").groupBy("crowd").applyInArrow(lambda crowd: _crowd_links(crowd, similarity), "a long, b long"))
+    similar = similar.unionByName(crowds.join(sets, "node").groupBy("crowd").applyInArrow(lambda crowd: _crowd_links(crowd, similarity), "a long, b long"))
+    split = found.where("split is not null").select(F.col("a").alias("node"), "split").distinct()
+    if split.isEmpty():
+        return similar
+    similar = materialize(similar, "simhash-similar")
+    return similar.unionByName(_across(similar, split, sets, similarity))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None, similarity: float | None = None) -> DataFrame:

@@ -160,6 +160,53 @@ def test_chunks_share_their_hubs():
     assert set(np.concatenate(chunks).tolist()) == set(range(5_000))
 
 
+def _sets(spark, rows):
+    return spark.createDataFrame(rows, "node long, shingles array<long>")
+
+
+@pytest.mark.parametrize("crowd", [7, 400])
+def test_links_between_chunks(spark, crowd, monkeypatch):
+    """Whatever the chunks have connected, the links between them connect what all similar pairs would."""
+    ship(spark)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    drawn, rows = random.Random(11), []
+    for k in range(30):
+        for i in range(1 + k % 4):  # copies of a variant are 0.8 alike and more, variants are not
+            rows.append((100 * k + i, sorted({*range(60), *range(1_000 * (k + 1), 1_000 * (k + 1) + 30), -100 * k - i - 1})))
+    rows.append((9_000, list(range(60))))
+    drawn.shuffle(rows)
+    split = [(n, 1 + n % 2) for n, _ in rows] + [(n, 3) for n, _ in rows]
+    known = [(a, b) for a, _ in rows for b, _ in rows if a > b and a // 100 == b // 100 and drawn.random() < 0.3]
+    links = spark.createDataFrame(known, "a long, b long")
+    found = simhash._across(links, spark.createDataFrame(split, "node long, split long"), _sets(spark, rows), 0.8)
+    by_node, roots = dict(rows), {r.node: r.root for r in connected_components(links.unionByName(found)).collect()}
+    for a in by_node:
+        for b in by_node:
+            alike = 10 * len({*by_node[a]} & {*by_node[b]}) >= 8 * len({*by_node[a]} | {*by_node[b]})
+            assert (roots.get(a, a) == roots.get(b, b)) == alike, (a, b)
+
+
+def test_links_between_chunks_of_nothing(spark):
+    links = spark.createDataFrame([], "a long, b long")
+    assert simhash._across(links, spark.createDataFrame([], "node long, split long"), _sets(spark, []), 0.8).count() == 0
+
+
+def test_pairs_in_a_crowd_that_no_hub_is_like(spark):
+    """Thousands of variants of one text, each twice: of every two one goes."""
+    ship(spark)
+    drawn, docs, pairs = random.Random(6), [], 2_000
+    base = [f"w{i}" for i in range(150)]
+    for k in range(pairs):
+        own = list(base)
+        own[60:74] = [f"v{k}x{i}" for i in range(14)]  # a variant is 0.78 like another, and 0.93 like its copy
+        copy = list(own)
+        copy[drawn.choice((10, 20, 30, 40, 90, 100, 110, 120))] = f"copy{k}"
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(copy))]
+    kept = {r.doc_id for r in simhash.first_of_each(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    both = sum(2 * k in kept and 2 * k + 1 in kept for k in range(pairs))
+    assert both == 0
+
+
 def test_repeated_ids_with_different_texts(spark):
     """One row of an id stays, the same whatever the order of rows."""
     rows = [(1, "a first text of some words", "x"), (1, "another text with other words", "x"), (1, "another text with other words", "y"), (2, "a third one", "z"), (None, "a third one", "z")]
