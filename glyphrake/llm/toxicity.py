@@ -11,10 +11,12 @@ beginnings.
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import math
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from glyphrake.llm.common import LAST_LETTER, LETTER_BITS, GramCounts, distinct_grams, gram_key, materialize, pieces_of, small_letters, table, unused
 
@@ -32,7 +34,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 COST_LOOKALIKE, COST_DROPPED, COST_STRAY, COST_KEPT, COST_REPEAT, COST_BLANK = 0.8, 6.0, 1.0, 3.0, 0.6, 0.3
 #: At most so many labelled rows with either label are fitted on; the draw follows from the id.
 SAMPLE = {1: 5_000, 0: 10_000}
-#: Trigrams of the character model that are sent to tasks at most, rounds of the fit, ridge on weights, rows that a feature needs, remembered tokens.
+#: Counts of the character model that are sent to tasks at most (the rest is joined), rounds of the fit, ridge on weights, rows that a feature needs, remembered tokens.
 MOST_GRAMS, ROUNDS, RIDGE, LEAST_DOCUMENTS, REMEMBERED = 4_000_000, 400, 0.2, 2, 300_000
 THRESHOLD = 0.7
 #: Lengths of word beginnings that count as features.
@@ -45,47 +47,104 @@ def _letter(char: str) -> int:
     return int(small_letters()[ord(char)]) if ord(char) < LAST_LETTER else 0
 
 
+#: In the place of a gram's first letter: its count stands for the last two letters, the first two, the last one, the middle one.
+LAST_TWO, FIRST_TWO, LAST, MIDDLE = range(1 << LETTER_BITS - 1, (1 << LETTER_BITS - 1) + 4)
+
+
+class Lacking(LookupError):
+    """A count is wanted that was not sent along with the model."""
+
+
 class CharacterModel:
     """Costs (negative log probabilities) of a letter after two others; 0 stands for no letter.
 
     Probabilities mix trigrams, bigrams and single letters.  keys (sorted) and counts are
-    those of trigrams of letters as they are; costs are remembered once taken.
+    those of trigrams of letters as they are, and of their parts; total is that of all
+    trigrams, letters the number of different last ones.  Costs are remembered once taken.
+
+    rarer is the table (key, n) of the counts that are not among keys; None if there are
+    no others.  It stays with the driver: a task that needs one of them gets Lacking.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self._three = keys, counts
-        self._two, self._one = self._left(keys & ((1 << 2 * LETTER_BITS) - 1)), self._left(keys & ((1 << LETTER_BITS) - 1))
-        # what follows a context
-        self._after_two, self._after_one = self._left(keys >> LETTER_BITS), self._left((keys >> LETTER_BITS) & ((1 << LETTER_BITS) - 1))
-        self._total, self._kinds, self._known = float(counts.sum()), len(self._one[0]) + 1, {}
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, letters: int, rarer: DataFrame | None = None):
+        self.keys, self.counts, self.rarer, self.complete = keys, counts, rarer, rarer is None
+        self._total, self._kinds, self._known, self._more = float(total), letters + 1, {}, {}
 
-    def _left(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(part, return_inverse=True)
-        return keys, np.bincount(at, weights=self._three[1], minlength=len(keys))
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rarer": None}
+
+    def completed(self, more: dict[int, int]) -> CharacterModel:
+        """The model with more counts; grams that are not among these either never occur."""
+        out = copy.copy(self)
+        out.complete, out._more, out._known = True, more, {}
+        return out
+
+    def sent(self, key: int) -> bool:
+        at = int(np.searchsorted(self.keys, key))
+        return at < len(self.keys) and int(self.keys[at]) == key
+
+    def _of(self, key: int) -> float:
+        at = int(np.searchsorted(self.keys, key))
+        if at < len(self.keys) and self.keys[at] == key:
+            return float(self.counts[at])
+        if not self.complete:
+            raise Lacking(key)
+        return float(self._more.get(key, 0))
 
     @staticmethod
-    def _of(grams: tuple[np.ndarray, np.ndarray], key: int) -> float:
-        at = int(np.searchsorted(grams[0], key))
-        return float(grams[1][at]) if at < len(grams[0]) and grams[0][at] == key else 0.0
+    def parts(a: int, b: int, c: int) -> tuple[int, ...]:
+        """Keys of the counts that the cost of c after a and b is made of."""
+        return gram_key(a, b, c), gram_key(FIRST_TWO, a, b), gram_key(LAST_TWO, b, c), gram_key(MIDDLE, 0, b), gram_key(LAST, 0, c)
 
     def cost(self, a: int, b: int, c: int) -> float:
         key = gram_key(a, b, c)
         found = self._known.get(key)
         if found is None:
-            p1 = (self._of(self._one, c) + 1) / (self._total + self._kinds)
-            p2 = (self._of(self._two, gram_key(0, b, c)) + 20 * p1) / (self._of(self._after_one, b) + 20)
-            found = -math.log((self._of(self._three, key) + 20 * p2) / (self._of(self._after_two, gram_key(0, a, b)) + 20))
+            three, first_two, last_two, middle, last = map(self._of, self.parts(a, b, c))
+            p1 = (last + 1) / (self._total + self._kinds)
+            p2 = (last_two + 20 * p1) / (middle + 20)
+            found = -math.log((three + 20 * p2) / (first_two + 20))
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
             self._known[key] = found
         return found
 
 
+class Asked:
+    """Stands in for a model that is not complete and notes the keys that it lacks.
+
+    A search goes through the same letters whatever they cost, so one round finds all.
+    """
+
+    def __init__(self, model: CharacterModel):
+        self._model, self._known, self.keys = model, {}, set()
+
+    def cost(self, a: int, b: int, c: int) -> float:
+        found = self._known.get((a, b, c))
+        if found is None:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            found = self._known[a, b, c] = tuple(x for x in CharacterModel.parts(a, b, c) if not self._model.sent(x))
+        self.keys.update(found)
+        return 0.0
+
+
+def _with_parts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams and their counts, then their parts and theirs."""
+    one, two = (1 << LETTER_BITS) - 1, (1 << 2 * LETTER_BITS) - 1
+    all_keys, all_counts = [keys], [counts]
+    for kind, part in ((LAST_TWO, keys & two), (FIRST_TWO, keys >> LETTER_BITS), (LAST, keys & one), (MIDDLE, (keys >> LETTER_BITS) & one)):
+        found, at = np.unique(part, return_inverse=True)
+        all_keys.append(found | (kind << 2 * LETTER_BITS))
+        all_counts.append(np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64))
+    return np.concatenate(all_keys), np.concatenate(all_counts)
+
+
 def character_model(docs: DataFrame) -> CharacterModel:
     """The model from the trigrams of all documents, each with its count.
 
-    The table of trigrams grows with the corpus.  Tasks get as many as MOST_GRAMS, 16 bytes
-    each; beyond that the rarest are left to bigrams, as those that never occur are.
+    The table of counts grows with the corpus and stays where it is.  Tasks get the
+    greatest ones, as many as MOST_GRAMS, 16 bytes each; settled() joins the others.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +156,22 @@ def character_model(docs: DataFrame) -> CharacterModel:
                 small = letters[np.minimum(codes, LAST_LETTER - 1)]
                 keys, at = distinct_grams(small, slice(None))
                 sums.add(keys, np.bincount(at, minlength=len(keys)))
-        keys, counts = sums.summed()
+        keys, counts = _with_parts(*sums.summed())
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
     grams = materialize(docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "toxic-grams")
-    least = 1
-    while grams.where(F.col("n") >= least).count() > MOST_GRAMS:
-        least *= 2
+    # by the number of binary digits of a count: how many, the sum of whole trigrams, the different last letters
+    kind = F.shiftright("key", 2 * LETTER_BITS)
+    by_size = grams.groupBy(F.length(F.bin("n")).alias("digits")).agg(F.count("*").alias("grams"), F.sum(F.when(kind < LAST_TWO, F.col("n"))).alias("total"), F.count(F.when(kind == LAST, 1)).alias("letters")).collect()
+    digits, held = max((r["digits"] for r in by_size), default=0), 0
+    there = {r["digits"]: r["grams"] for r in by_size}
+    while digits and held + there.get(digits, 0) <= MOST_GRAMS:
+        held += there.get(digits, 0)
+        digits -= 1
+    # counts of so many digits or fewer stay
+    least = 1 << digits
     found = grams.where(F.col("n") >= least).toArrow().sort_by("key")
-    return CharacterModel(found.column("key").to_numpy(), found.column("n").to_numpy())
+    return CharacterModel(found.column("key").to_numpy(), found.column("n").to_numpy(), sum(r["total"] or 0 for r in by_size), sum(r["letters"] for r in by_size), grams.where(F.col("n") < least) if digits else None)
 
 
 #: A letter next to a look-alike, or signs between letters; two equal letters; pieces of up to so many signs with any blanks between them.
@@ -185,7 +251,7 @@ class Reader:
     """
 
     def __init__(self, model: CharacterModel, wanted: frozenset[int] | None = None, outlines: frozenset[str] | None = None):
-        self.model, self.wanted, self.outlines, self.known, self.useless = model, wanted, outlines, {}, set()
+        self.model, self.wanted, self.outlines, self.known, self.useless, self.open = model, wanted, outlines, {}, set(), set()
         # beginnings of what is wanted (HEAD letters, or all of them where there are fewer), with the lengths of what begins so
         self.heads: dict[str, list[int]] = {}
         for n, head in sorted({(len(x), x[:HEAD]) for x in outlines or ()}):
@@ -257,12 +323,19 @@ class Reader:
         tokens.update(" ".join(m.group(0).split()) for m in SPACED.finditer(text))
         return tokens
 
-    def read(self, text: str) -> set[int]:
+    def parted(self, text: str) -> tuple[set[int], set[str]]:
+        """Features of the text, and the tokens whose features need counts that the model lacks."""
         known, useless, out = self.known, self.useless, set()
-        for token in self.tokens(text) - useless:
+        tokens = self.tokens(text) - useless
+        later = tokens & self.open
+        for token in tokens - later if later else tokens:
             found = known.get(token)
             if found is None:
-                found = self.features(token)
+                try:
+                    found = self.features(token)
+                except Lacking:
+                    later.add(token)
+                    continue
                 if not found:
                     useless.add(token)
                     continue
@@ -272,14 +345,66 @@ class Reader:
             out.update(found)
         if len(useless) >= REMEMBERED:
             useless.clear()
-        return out
+        self.open |= later
+        if len(self.open) >= REMEMBERED:
+            self.open.clear()
+        return out, later
+
+    def read(self, text: str) -> set[int]:
+        """Features of the text, by a complete model."""
+        found, later = self.parted(text)
+        if later:
+            raise Lacking(min(later))
+        return found
 
-    def outlined(self, text: str) -> set[str]:
-        """Outlines of the wanted words and word beginnings of the text."""
-        words = {w for token in self.tokens(text) for w in self.words(token)}
+    def outlined(self, token: str) -> tuple[str, ...]:
+        """Outlines of the wanted words and word beginnings of the token."""
+        words = self.words(token)
         out = {outline(w) for w in words if _hash("=", w) in self.wanted}
         out |= {outline(w[:n]) for w in words for n in BEGINNINGS if len(w) > n and _hash("^", w[:n]) in self.wanted}
-        return out - {""}  # words of signs alone are tokens as well
+        return tuple(sorted(out - {""}))  # words of signs alone are tokens as well
+
+
+def settled(tokens: DataFrame, reader: Callable[[], Reader], rarer: DataFrame, features: bool = True) -> DataFrame:
+    """(token, found) of the tokens (each once): features, or outlines, by the counts that were not sent as well.
+
+    What a token's search asks for is joined with the table of the rarer counts by plain
+    joins, which Spark can split.  Tokens of which nothing comes are left out.
+    """
+
+    def work(own: Reader, token: str) -> tuple:
+        return own.features(token) if features else own.outlined(token)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = copy.copy(reader())
+        own.model = asked = Asked(own.model)
+        for batch in batches:
+            keys = []
+            for token in batch.column(0).to_pylist():
+                asked.keys = set()
+                work(own, token)
+                keys.append(sorted(asked.keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["token", "keys"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = copy.copy(reader())
+        model = own.model
+        for batch in batches:
+            held = batch.column(1).flatten()
+            more = dict(zip(held.field("key").to_pylist(), held.field("n").to_pylist()))
+            own.model = model.completed(more)
+            names, found = [], []
+            for token in batch.column(0).to_pylist():
+                if out := work(own, token):
+                    names.append(token)
+                    found.append(out)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.list_(pa.int64() if features else pa.string()))], names=["token", "found"])
+
+    asked = materialize(tokens.distinct().mapInArrow(ask, "token string, keys array<long>"), "toxic-asked")
+    known = asked.select("token", F.explode("keys").alias("key")).join(rarer, "key").groupBy("token").agg(F.collect_list(F.struct("key", "n")).alias("known"))
+    none = F.array().cast("array<struct<key:bigint,n:bigint>>")
+    again = asked.select("token").join(known, "token", "left").select("token", F.coalesce("known", none).alias("known"))
+    return again.mapInArrow(answer, f"token string, found array<{'long' if features else 'string'}>")
 
 
 def held_out(docs: DataFrame):
@@ -328,12 +453,19 @@ def fit(sample: DataFrame, model: CharacterModel, rounds: int = ROUNDS) -> Class
         reader = Reader(shared.value)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted(reader.read(text))
+                found, later = map(sorted, reader.parted(text))
                 row = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-                n = len(found) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([toxic] * n, pa.int32()), pa.array([-1, *found], pa.int64())], names=["row", "toxic", "feature"])
-
-    rows = materialize(sample.select("text", "toxic").mapInArrow(read, "row long, toxic int, feature long").groupBy("row", "feature").agg(F.max("toxic").alias("toxic")), "toxic-features")
+                n = len(found) + 1 + len(later)
+                features, tokens = [-1, *found] + [None] * len(later), [None] * (n - len(later)) + later
+                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([toxic] * n, pa.int32()), pa.array(features, pa.int64()), pa.array(tokens, pa.string())], names=["row", "toxic", "feature", "token"])
+
+    rows = sample.select("text", "toxic").mapInArrow(read, "row long, toxic int, feature long, token string")
+    if not model.complete:
+        rows = materialize(rows, "toxic-tokens")
+        open_ = rows.where("token is not null").select("row", "toxic", "token")
+        more = open_.join(settled(open_.select("token"), lambda: Reader(shared.value), model.rarer), "token").select("row", "toxic", F.explode("found").alias("feature"))
+        rows = rows.where("token is null").select("row", "toxic", "feature").unionByName(more)
+    rows = materialize(rows.groupBy("row", "feature").agg(F.max("toxic").alias("toxic")), "toxic-features")
     everyone = rows.where("feature = -1").select("row", "toxic").toArrow()
     ids, y = everyone.column("row").to_numpy(), everyone.column("toxic").to_numpy().astype(float)
     if not len(y) or not y.sum():
@@ -363,14 +495,23 @@ def fit(sample: DataFrame, model: CharacterModel, rounds: int = ROUNDS) -> Class
     wanted = sample.sparkSession.sparkContext.broadcast(frozenset(kept))
 
     def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, found = Reader(shared.value, wanted.value), set()
+        reader, found, later = Reader(shared.value, wanted.value), set(), set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found |= reader.outlined(text)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["outline"])
+                for token in reader.tokens(text) - later:
+                    try:
+                        found.update(reader.outlined(token))
+                    except Lacking:
+                        later.add(token)
+        yield pa.RecordBatch.from_arrays([pa.array([*sorted(found), *[None] * len(later)], pa.string()), pa.array([*[None] * len(found), *sorted(later)], pa.string())], names=["outline", "token"])
 
     # every feature that has a weight comes from rows with label 1
-    found = sample.where("toxic = 1").select("text").mapInArrow(outlines, "outline string").distinct().toArrow()
+    found = sample.where("toxic = 1").select("text").mapInArrow(outlines, "outline string, token string")
+    if not model.complete:
+        found = materialize(found, "toxic-outlines")
+        more = settled(found.where("token is not null").select("token"), lambda: Reader(shared.value, wanted.value), model.rarer, features=False)
+        found = found.where("token is null").select("outline").unionByName(more.select(F.explode("found").alias("outline")))
+    found = found.select("outline").distinct().toArrow()
     return Classifier(kept, float(constant), frozenset(found.column("outline").to_pylist()))
 
 
@@ -393,19 +534,49 @@ def _regress(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int,
     return weights, float(constant)
 
 
-def score(docs: DataFrame, model: CharacterModel, classifier: Classifier) -> DataFrame:
-    """docs with the score of every whole text as a last column.  Null texts count as empty: the score of no evidence."""
-    shared, name = docs.sparkSession.sparkContext.broadcast((Reader(model, frozenset(classifier.weights), classifier.outlines), classifier)), unused(docs, "score")
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    place = docs.columns.index("text")
+def score(docs: DataFrame, model: CharacterModel, classifier: Classifier, kept: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (all by default) with the score of every whole text as a last column.
+
+    Null texts count as empty: the score of no evidence.  Where the model has counts that
+    were not sent, texts that need them are written with what is known of them; the rest
+    of their features is joined by token.
+    """
+    context = docs.sparkSession.sparkContext
+    shared, own = context.broadcast(Reader(model, frozenset(classifier.weights), classifier.outlines)), context.broadcast(classifier)
+    complete, name, kept = model.complete, unused(docs, "score"), docs.columns if kept is None else kept
+    # of a text that is not yet done: features, the tokens that have yet to be read, and what equal texts share
+    features, tokens, key, more = (unused(docs, f"_{name}_{x}") for x in ("features", "tokens", "key", "more"))
+    schema = StructType([*(docs.schema[c] for c in kept), StructField(name, DoubleType())])
+    place, places, width = docs.columns.index("text"), [docs.columns.index(c) for c in kept], len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, own = shared.value  # a worker keeps what the reader remembers
+        reader = shared.value  # a worker keeps what the reader remembers
         for batch in batches:
-            scores = [own.score(reader.read(x.as_py() or "")) for x in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
+            texts = [x.as_py() or "" for x in batch.column(place)]
+            found = [reader.parted(x) for x in texts]
+            columns = [*(batch.column(i) for i in places), pa.array([None if later else own.value.score(x) for x, later in found], pa.float64())]
+            if not complete:
+                columns.append(pa.array([sorted(x) if later else None for x, later in found], pa.list_(pa.int64())))
+                columns.append(pa.array([sorted(later) or None for _, later in found], pa.list_(pa.string())))
+                columns.append(pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() if later else None for t, (_, later) in zip(texts, found)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=written.names)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [own.value.score({*x, *y}) for x, y in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(scores, pa.float64())], names=schema.names)
+
+    written = schema
+    if complete:
+        return docs.mapInArrow(run, schema)
+    written = StructType([*schema, StructField(features, ArrayType(LongType())), StructField(tokens, ArrayType(StringType())), StructField(key, StringType())])
+    first = materialize(docs.mapInArrow(run, written), "toxic-first")
+    open_ = first.where(F.col(tokens).isNotNull())
+    asked = open_.select(F.col(key).alias("text_key"), F.explode(tokens).alias("token")).distinct()
+    found = asked.join(settled(asked.select("token"), lambda: shared.value, model.rarer), "token").select("text_key", F.explode("found").alias("feature"))
+    found = found.groupBy("text_key").agg(F.collect_set("feature").alias(more)).withColumnRenamed("text_key", key)
+    again = open_.join(found, key, "left").select(*kept, features, F.coalesce(more, F.array().cast("array<bigint>")))
+    return first.where(F.col(tokens).isNull()).select(*kept, name).unionByName(again.mapInArrow(last, schema))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[CharacterModel, Classifier]:
@@ -427,7 +598,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     score of a text without evidence.  Null ids are scored, never learned from.  Without
     labels of both kinds no text has evidence.  Repeated ids are scored row by row.
     """
-    rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), *learn(docs, labels))
+    rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), *learn(docs, labels), kept=["doc_id"])
     return rows.select("doc_id", held_out(rows).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -1,6 +1,7 @@
 """Restoring hidden words, and held-out accuracy of the classifier."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +145,22 @@ def test_costs_against_dictionaries(spark):
     assert sum(math.exp(-model.cost(ord("a"), ord("b"), c)) for c in one) + math.exp(-model.cost(ord("a"), ord("b"), 5)) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_counts_that_are_not_sent_are_joined(spark, corpus, monkeypatch, most):
+    """Scores by whole counts, however few of them go to the tasks; copies, null ids and odd texts among the rows."""
+    docs, labels, _ = corpus
+    odd = [(0, CALM[0] + " n1tw1t"), (0, CALM[0] + " n1tw1t"), (None, "r 0 t t e r"), (None, None), (5_000, ""), (5_001, "bl0ckh3ad " * 2_000), (5_002, "漢1字 éa0 .. !!!!!!")]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    rows = lambda: Counter((r.doc_id, r.held_out, r.predicted, round(r.score, 9)) for r in toxicity.toxicity(docs, labels).collect())
+    whole = rows()
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", most)
+    assert sum(whole.values()) == 907 and rows() == whole
+    model = toxicity.character_model(docs)
+    assert len(model.keys) <= most and model.rarer.count() > 300
+    with pytest.raises(toxicity.Lacking):
+        toxicity.restore("q1z", model)
+
+
 def test_classifier_against_plain_steps():
     """The fit comes to where a plain descent comes to."""
     drawn = np.random.default_rng(0)
