@@ -68,15 +68,15 @@ class CharacterModel:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, letters: int, rarer: DataFrame | None = None):
         self.keys, self.counts, self.rarer, self.complete = keys, counts, rarer, rarer is None
-        self._total, self._kinds, self._known, self._more = float(total), letters + 1, {}, {}
+        self._total, self._kinds, self._known, self.more = float(total), letters + 1, {}, {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"rarer": None}
 
-    def completed(self, more: dict[int, int]) -> CharacterModel:
-        """The model with more counts; grams that are not among these either never occur."""
+    def completed(self) -> CharacterModel:
+        """The model for searches all of whose other counts are put in more first; what is not there either never occurs."""
         out = copy.copy(self)
-        out.complete, out._more, out._known = True, more, {}
+        out.complete, out._known = True, {}
         return out
 
     def sent(self, key: int) -> bool:
@@ -89,7 +89,7 @@ class CharacterModel:
             return float(self.counts[at])
         if not self.complete:
             raise Lacking(key)
-        return float(self._more.get(key, 0))
+        return float(self.more.get(key, 0))
 
     @staticmethod
     def parts(a: int, b: int, c: int) -> tuple[int, ...]:
@@ -372,9 +372,6 @@ def settled(tokens: DataFrame, reader: Callable[[], Reader], rarer: DataFrame, f
     joins, which Spark can split.  Tokens of which nothing comes are left out.
     """
 
-    def work(own: Reader, token: str) -> tuple:
-        return own.features(token) if features else own.outlined(token)
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy.copy(reader())
         own.model = asked = Asked(own.model)
@@ -382,20 +379,19 @@ def settled(tokens: DataFrame, reader: Callable[[], Reader], rarer: DataFrame, f
             keys = []
             for token in batch.column(0).to_pylist():
                 asked.keys = set()
-                work(own, token)
+                own.words(token)
                 keys.append(sorted(asked.keys))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["token", "keys"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy.copy(reader())
-        model = own.model
+        own.model = own.model.completed()
         for batch in batches:
             held = batch.column(1).flatten()
-            more = dict(zip(held.field("key").to_pylist(), held.field("n").to_pylist()))
-            own.model = model.completed(more)
+            own.model.more = dict(zip(held.field("key").to_pylist(), held.field("n").to_pylist()))
             names, found = [], []
             for token in batch.column(0).to_pylist():
-                if out := work(own, token):
+                if out := own.features(token) if features else own.outlined(token):
                     names.append(token)
                     found.append(out)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.list_(pa.int64() if features else pa.string()))], names=["token", "found"])

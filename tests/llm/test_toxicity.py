@@ -161,6 +161,22 @@ def test_counts_that_are_not_sent_are_joined(spark, corpus, monkeypatch, most):
         toxicity.restore("q1z", model)
 
 
+def test_pipeline_drops_by_whole_counts(spark, corpus, docs_of, tmp_path, monkeypatch):
+    """The first stage keeps the same rows, with all their columns, however few counts go to the tasks."""
+    import corpus_pipeline
+
+    docs, labels, _ = corpus
+    odd = [(1, "go n.i.t.w.i.t"), (1, "go n.i.t.w.i.t"), (None, None), (None, " river ".join(map(" ".join, RUDE))), (5_000, "")]
+    odd += [(6_000 + i, f"{w[:k]}{w[k] * 5}{w[k + 1:]}") for i, (w, k) in enumerate((w, k) for w in RUDE for k in range(len(w)))]
+    odd += [(7_000 + i, " ".join(CALM[i])) for i in range(len(CALM))]
+    docs = docs_of(spark, [*docs.collect(), *odd])
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = lambda: Counter(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect())
+    whole = kept()
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 0)
+    assert sum(whole.values()) > 500 and kept() == whole
+
+
 def test_classifier_against_plain_steps():
     """The fit comes to where a plain descent comes to."""
     drawn = np.random.default_rng(0)
