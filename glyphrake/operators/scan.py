@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphrake.errors import InvalidPatternError
-from glyphrake.functions.matching import count_in_text, segments_before
+from glyphrake.functions.matching import count_in_text, segments_before, sums_before
 from glyphrake.session import checkpoint, prepare
 
-#: Bytes of patterns that one automaton is built from, and parts of a text that are summed up at a time.
-BATCH_BYTES, CHUNK = 16_000_000, 64
+#: Bytes of patterns that one automaton is built from.
+BATCH_BYTES = 16_000_000
 #: Bytes of an anchor, patterns whose anchors are sent to all tasks at a time, bytes of text hashed at a time (and longer patterns' lengths more), cells that say which anchors may be there.
 ANCHOR, ANCHORS, STRETCH, CELLS = 24, 1_000_000, 1 << 20, 1 << 22
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -35,29 +35,11 @@ def count(rows: DataFrame, text: str, patterns: Sequence[str]) -> DataFrame:
     return sums.select(F.explode(pairs).alias("x")).select("x.pattern", "x.n")
 
 
-def _sums_before(sizes: Column, start: Column) -> Column:
-    """start plus the sum of the array's members before each."""
-    held = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("seen"))
-    return F.aggregate(sizes, held, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["seen"], F.array(acc["at"])).alias("seen")))["seen"]
-
-
-def _begins(parts: Column) -> Column:
-    """Byte offsets of the parts of a text.
-
-    A running sum copies its array at every step, so the parts are summed up in chunks:
-    the work grows with the number of parts, not its square.
-    """
-    sizes = F.transform(parts, lambda x: F.octet_length(x).cast("long"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda i: F.slice(sizes, i * CHUNK + 1, F.lit(CHUNK)))
-    starts = _sums_before(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0).cast("long"))
-    return F.flatten(F.zip_with(chunks, starts, _sums_before))
-
-
 def places(text: Column, pattern: str) -> Column:
     """Byte offsets of a pattern in a STRING column, overlaps included, by cutting before each occurrence."""
     if not pattern:
         return F.sequence(F.lit(0).cast("long"), F.octet_length(text).cast("long"))
-    begins = _begins(segments_before(text, pattern))
+    begins = sums_before(F.transform(segments_before(text, pattern), lambda x: F.octet_length(x).cast("long")))
     hits = F.filter(begins, lambda at, i: (i > 0) | F.startswith(text, F.lit(pattern)))
     return F.when(F.contains(text, F.lit(pattern)), hits)
 

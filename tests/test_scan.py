@@ -99,3 +99,18 @@ def test_stream_equals_batch(spark, tmp_path):
     query = hits_per_piece(stream, "id", "text", ["aa", "b"]).writeStream.format("memory").queryName("hits").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.sql("select * from hits").collect()) == [(1, "aa", 2), (2, "b", 1)]
+
+
+def test_regex_matches(spark):
+    """Starts, ends and groups as the standard library finds them, characters beyond 16 bits included."""
+    import random
+    import re
+
+    from glyphrake.functions.matching import regex_matches
+
+    drawn, pattern = random.Random(4), "(a+)(b?)"
+    texts = ["", "zzz", None, "aab", "🙂aa🙂b", *("".join(drawn.choices("aab🙂é \n", k=drawn.randint(0, 400))) for _ in range(60))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", regex_matches(F.col("t"), pattern, 1, 2).alias("m")).collect()
+    for r in rows:
+        want = None if r.t is None else [(m.start(), m.end(), m[0], m[1], m[2]) for m in re.finditer(pattern, r.t)]
+        assert (r.m if r.m is None else [tuple(x) for x in r.m]) == want
