@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphrake.llm import imatch, langid, mixing, neighbours, packing, sharding, simhash, substrings, toxicity, urls
+from glyphrake.llm import imatch, langid, mixing, neighbours, packing, secrets, sharding, simhash, substrings, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
     "op9_pack_sequences": packing.op9_pack_sequences,
     "op10_language_spans": langid.op10_language_spans,
+    "op11_secret_scan": secrets.op11_secret_scan,
 }
-ORACLES = {"op2_curriculum_mix": mixing.ORACLE_SQL}
+ORACLES = {"op2_curriculum_mix": mixing.ORACLE_SQL, "op11_secret_scan": secrets.ORACLE_SQL}
