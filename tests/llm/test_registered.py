@@ -12,7 +12,7 @@ TABLES = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1": "doc_id held_out score predicted", "op2": "doc_id size source_size target taken", "op3": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4": "doc_id n_words n_removed kept_sha256",
     "op5": "page_id host path rule verdict", "op6": "query_id rank vec_id score", "op7": "doc_id fingerprint component_id", "op8": "doc_id size text_crc32 law shard slot grown_shard",
-    "op9": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op10": "doc_id held_out lang_pred score", "op11": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op9": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op10": "doc_id held_out lang_pred score", "op11": "doc_id n_assign n_access n_hex base_sha256 spans", "op12": "vec_id code error label_error codebooks_sha256",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
