@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphrake.llm import codes, imatch, langid, mixing, neighbours, packing, secrets, sharding, simhash, substrings, toxicity, urls
+from glyphrake.llm import alignment, codes, imatch, langid, mixing, neighbours, packing, secrets, sharding, simhash, substrings, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_language_spans": langid.op10_language_spans,
     "op11_secret_scan": secrets.op11_secret_scan,
     "op12_vector_codes": codes.op12_vector_codes,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLES = {"op2_curriculum_mix": mixing.ORACLE_SQL, "op11_secret_scan": secrets.ORACLE_SQL, "op12_vector_codes": codes.ORACLE_SQL}

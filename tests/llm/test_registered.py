@@ -13,6 +13,7 @@ COLUMNS = {
     "op1": "doc_id held_out score predicted", "op2": "doc_id size source_size target taken", "op3": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4": "doc_id n_words n_removed kept_sha256",
     "op5": "page_id host path rule verdict", "op6": "query_id rank vec_id score", "op7": "doc_id fingerprint component_id", "op8": "doc_id size text_crc32 law shard slot grown_shard",
     "op9": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op10": "doc_id held_out lang_pred score", "op11": "doc_id n_assign n_access n_hex base_sha256 spans", "op12": "vec_id code error label_error codebooks_sha256",
+    "op13": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
@@ -28,7 +29,7 @@ def test_columns_and_rows(spark, documents, name):
     rows = catalog.QUERIES[name](spark, TABLES)
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(rows.columns)
     n = rows.count()
-    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op7", "op8", "op10", "op11"):
+    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op7", "op8", "op10", "op11", "op13"):
         assert n == documents.count() and rows.select("doc_id").distinct().count() == documents.select("doc_id").distinct().count()
     else:
         assert n > 0
