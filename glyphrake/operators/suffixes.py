@@ -1,11 +1,13 @@
-"""Suffix order of a corpus by prefix doubling, and what follows from it.
-
-A suffix's rank is the first row of the bucket of suffixes that agree on the symbols
-seen so far.  A round splits every bucket by the rank of the suffix that begins where
-those symbols end.  Only suffixes that share a bucket take part in a round and are
-written again; a suffix alone in its bucket is written once.  Rows before a suffix are
-counted over distinct pairs of ranks, so that no task holds a bucket, however many
-suffixes are in it.  Texts of LOCAL symbols or fewer are sorted in one task.
+"""Suffix order of a corpus, and what follows from it.
+
+The text is shortened to the names of its stretches until it is short (see ``induced``);
+the short text is ordered by prefix doubling.  There a suffix's rank is the first row of
+the bucket of suffixes that agree on the symbols seen so far.  A round splits every bucket
+by the rank of the suffix that begins where those symbols end.  Only suffixes that share a
+bucket take part in a round and are written again; a suffix alone in its bucket is written
+once.  Rows before a suffix are counted over distinct pairs of ranks, so that no task holds
+a bucket, however many suffixes are in it.  Texts of most_in_memory symbols or fewer (none,
+if it is 0) are sorted in one task.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphrake.functions.running import running_sum
+from glyphrake.operators.induced import SHORT, suffix_order
 from glyphrake.operators.navigate import PACKED, packed_keys, sorted_suffixes
 from glyphrake.session import checkpoint, prepare
 from glyphrake.sources.corpus import ROWS, Corpus, values_of
@@ -119,7 +122,7 @@ def _out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS]) for x in columns], names=["pos", "key", "depth"])
 
 
-def suffix_ranks(corpus: Corpus) -> DataFrame:
+def doubled_ranks(corpus: Corpus) -> DataFrame:
     """pos, sa_row of every suffix of the whole text, in lexicographic order of symbols.
 
     Plain order of the text with its terminators: suffixes go on through terminators, and
@@ -166,9 +169,17 @@ def _sorted_in_memory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in TABLE.split(", ")])
 
 
-def suffix_table(corpus: Corpus, n: int | None = None) -> DataFrame:
+def suffix_ranks(corpus: Corpus, short: int = SHORT) -> DataFrame:
+    """pos, sa_row of every suffix of the whole text, by way of shorter texts."""
+    n, pieces = corpus.measured()
+    if n <= short or n == pieces:
+        return doubled_ranks(corpus)
+    return suffix_order(checkpoint(corpus.with_offsets().select("offset", "body"), "suffix-pieces"), n, corpus.max_symbol, doubled_ranks, short)
+
+
+def suffix_table(corpus: Corpus, n: int | None = None, most_in_memory: int | None = None) -> DataFrame:
     """sa_row, pos, piece_id, piece_pos, f, l: the suffixes in order with first symbol and the symbol before."""
-    if (corpus.length() if n is None else n) <= LOCAL:
+    if (corpus.length() if n is None else n) <= (LOCAL if most_in_memory is None else most_in_memory):
         prepare(corpus.pieces.sparkSession)
         whole = corpus.in_order().repartition(1).sortWithinPartitions("piece_id", "_tie").select("piece_id", "body")
         return whole.mapInArrow(_sorted_in_memory, TABLE)
