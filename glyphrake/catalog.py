@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from glyphrake.functions import running
 from glyphrake.functions.symbols import bits_for, byte_at, log2_floor, modular_add, modular_sub, narrowed, to_bytes
-from glyphrake.operators import backward, extract, scan, suffixes, transform
+from glyphrake.operators import backward, extract, lookup, scan, suffixes, transform
+from glyphrake.operators.bits import WaveletMatrix
 from glyphrake.plans.index import KINDS, PieceIndex, PieceIndexWithLocate, PlainIndex, PlainIndexWithLocate, RunIndex, RunIndexWithLocate
 from glyphrake.plans.shards import ShardedIndex
 from glyphrake.sources.corpus import Corpus, from_events, from_table
@@ -23,6 +24,9 @@ EVENT_KINDS = ("click", "error", "purchase", "signup", "view")
 EVENT_PATTERNS = ((5, 1, 3), (1, 1), (2, 5))
 NAME_SEARCHES = (("prefix", "red"), ("prefix", "e"), ("suffix", "widget"), ("exact", "red widget"), ("exact", "red"))
 DOCUMENT_SEARCHES = (("prefix", "The "), ("suffix", "."), ("suffix", "on."), ("exact", "the"))
+DOCUMENTS = ("documents", "doc_id", "text")
+#: What is put before the matches of each of some patterns, at once.
+REFINED = (("ti", ("on", "a", "zzqx")), ("e", ("th", "qu", "")), ("né", ("an",)))
 SAMPLE_LEVEL, REACH = 2, 8
 #: Symbols of chosen_steps_runs: a blank, a frequent letter, one that the texts do not have.
 CHOSEN = (32, 101, 7)
@@ -44,12 +48,6 @@ def _corpus(spark: SparkSession, sf_dir: str, name: str = "benchmark", piece_id:
     return from_table(_read(spark, sf_dir, name), piece_id, text)
 
 
-def _one_text(spark: SparkSession, sf_dir: str) -> Corpus:
-    """All benchmark texts, in order of their ids, as the lines of one text."""
-    texts = _read(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("rows"))
-    return from_table(texts.select(F.lit(0).alias("id"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("text")), "id", "text")
-
-
 def _made(spark: SparkSession, sf_dir: str, *kind, build):
     """An index, built once per application and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, *kind)
@@ -59,8 +57,13 @@ def _made(spark: SparkSession, sf_dir: str, *kind, build):
 
 
 def _index(spark: SparkSession, sf_dir: str, *source: str, kind: type = PieceIndexWithLocate) -> PlainIndex:
-    """The index of a table's texts (the benchmark's); kinds of one text hold them as its lines."""
-    return _made(spark, sf_dir, kind, *source, build=lambda: kind(_corpus(spark, sf_dir, *source) if kind.by_piece else _one_text(spark, sf_dir), SAMPLE_LEVEL))
+    """The index of a table's texts (the benchmark's), in tables; kinds of one text take terminators for symbols like others."""
+    base = _made(spark, sf_dir, PieceIndexWithLocate, *source, build=lambda: PieceIndexWithLocate(_corpus(spark, sf_dir, *source), SAMPLE_LEVEL, most_in_memory=0))
+    return base if kind is PieceIndexWithLocate else _made(spark, sf_dir, kind, *source, build=lambda: base.as_kind(kind))
+
+
+def _documents(spark: SparkSession, sf_dir: str, kind: type = PieceIndexWithLocate) -> PlainIndex:
+    return _index(spark, sf_dir, *DOCUMENTS, kind=kind)
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> ShardedIndex:
@@ -149,9 +152,9 @@ def extract_backward(spark, sf_dir):
 
 
 def extract_until(spark, sf_dir):
-    """From each match on, up to the next blank and no further than REACH symbols."""
+    """From each match on, up to the next blank or the end of the piece, however far."""
     index = _index(spark, sf_dir)
-    read = index.search("tion").forward(REACH).withColumn("symbols", extract.until("symbols", 32))
+    read = index.search("tion").forward_until(32)
     return read.join(index.table, "sa_row").select("pos", _hex("symbols").alias("taken"))
 
 
@@ -302,25 +305,27 @@ def forward_plain(spark, sf_dir):
 def navigate_runs(spark, sf_dir):
     """Symbol before, first symbol, step back and step forward of every row, all answered by the runs."""
     index = _index(spark, sf_dir, kind=RunIndex)
-    return backward.navigated(spark.range(index.n).withColumnRenamed("id", "sa_row"), index.navigator)
+    return index.navigated(spark.range(index.n).withColumnRenamed("id", "sa_row"))
 
 
 def chosen_steps_runs(spark, sf_dir):
     """The step for each of a few chosen symbols from every row, by the runs; none for a symbol that the text does not have."""
     index = _index(spark, sf_dir, kind=RunIndex)
-    return backward.chosen_steps(spark.range(index.n).withColumnRenamed("id", "sa_row"), index.navigator, CHOSEN)
+    known = index.runs.where(F.col("head").isin(*CHOSEN)).select(F.col("head").alias("key")).distinct().collect()
+    asked = spark.range(index.n).select(F.col("id").alias("at"), F.explode(F.array(*(F.lit(r["key"]) for r in known))).alias("key"))
+    return lookup.stepped(asked, index.steps).select(F.col("at").alias("sa_row"), F.col("key").alias("c"), F.col("moved").alias("step"))
 
 
 def boundary_indexed(spark, sf_dir):
-    """Prefix, suffix and exact searches through the index: rows of the interval, and matches listed."""
-    index, out = _index(spark, sf_dir, "part", "p_partkey", "p_name"), None
-    searches = {"prefix": index.search_prefix, "suffix": index.search_suffix, "exact": index.search_exact}
-    for kind, pattern in NAME_SEARCHES:
-        found = searches[kind](pattern)
-        row = found.rows().agg(F.count("*").alias("match_count"), F.min("piece_id").alias("first_piece"))
-        row = row.select(F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern"), F.lit(found.count()).cast("long").alias("interval_count"), "match_count", "first_piece")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Prefix, suffix and exact searches through the index, all at once: rows of the interval, and matches listed."""
+    index = _index(spark, sf_dir, "part", "p_partkey", "p_name")
+    # what ends a piece has its terminator after it; what begins one has a terminator before it
+    found = index.intervals(backward.pattern_rows(spark, [p.encode() + b"\0" * (kind != "prefix") for kind, p in NAME_SEARCHES]))
+    begins = F.col("pattern_id").isin(*(i for i, (kind, _) in enumerate(NAME_SEARCHES) if kind != "suffix"))
+    rows = backward.rows_of(found, index.table).where(~begins | (F.col("l") == 0))
+    listed = rows.groupBy("pattern_id").agg(F.count("*").alias("match_count"), F.min("piece_id").alias("first_piece"))
+    kinds = _named([kind for kind, _ in NAME_SEARCHES]).alias("kind")
+    return found.join(listed, "pattern_id", "left").select(kinds, _named([p for _, p in NAME_SEARCHES]), (F.col("e") - F.col("s")).alias("interval_count"), F.coalesce("match_count", F.lit(0)).alias("match_count"), "first_piece")
 
 
 def count_sharded(spark, sf_dir):
@@ -350,12 +355,78 @@ def index_sizes(spark, sf_dir):
     return spark.createDataFrame(rows, "kind string, n long, pieces long, stored_bytes long")
 
 
+def _refined(index: PlainIndex) -> DataFrame:
+    """Searches, and what is put before their matches: all at once."""
+    spark = index.table.sparkSession
+    first = index.intervals(backward.pattern_rows(spark, [p.encode() for p, _ in REFINED])).withColumnRenamed("pattern_id", "search_id")
+    pairs = [(s, p, more) for s, (p, all_) in enumerate(REFINED) for more in all_]
+    rows = spark.createDataFrame([(i, s, list(more.encode())) for i, (s, _, more) in enumerate(pairs)], "pattern_id long, search_id long, symbols array<bigint>")
+    return index.refined(first, rows).select(_named([more + p for _, p, more in pairs]), (F.col("e") - F.col("s")).alias("n"))
+
+
 def refine_indexed(spark, sf_dir):
-    """Searching ti, then putting on before it."""
-    index = _index(spark, sf_dir)
-    first = index.search("ti")
-    rows = [("ti", *first.interval), ("onti", *first.search("on").interval)]
-    return spark.createDataFrame(rows, "pattern string, s long, e long").select("pattern", (F.col("e") - F.col("s")).alias("n"))
+    return _refined(_index(spark, sf_dir))
+
+
+# -- the same over all documents ------------------------------------------------
+
+
+def intervals_documents(spark, sf_dir):
+    return _intervals(_documents(spark, sf_dir))
+
+
+def intervals_documents_runs(spark, sf_dir):
+    """Backward search over the runs of all documents' transform."""
+    return _intervals(_documents(spark, sf_dir, RunIndexWithLocate))
+
+
+def _placed(index: PlainIndex, pieces: PieceIndex) -> DataFrame:
+    """Matches through the index: positions by walks, pieces by the ones before them."""
+    found = index.intervals(backward.pattern_rows(index.table.sparkSession, [p.encode() for p in LOCATED]))
+    placed = pieces.placed(index.positions(backward.rows_of(found, index.table.select("sa_row"))))
+    return placed.select(_named(LOCATED), F.col("piece_id").alias("doc_id"), F.col("piece_pos").alias("byte_pos"))
+
+
+def locate_documents(spark, sf_dir):
+    return _placed(_documents(spark, sf_dir), _documents(spark, sf_dir))
+
+
+def locate_documents_runs(spark, sf_dir):
+    """Positions by walking over runs."""
+    return _placed(_documents(spark, sf_dir, RunIndexWithLocate), _documents(spark, sf_dir))
+
+
+def refine_documents(spark, sf_dir):
+    return _refined(_documents(spark, sf_dir))
+
+
+def until_documents(spark, sf_dir):
+    """From each match on to the next full stop or the end of the document."""
+    index = _documents(spark, sf_dir)
+    read = index.search(LOCATED[1]).forward_until(46)
+    return index.placed(read.join(index.table.select("sa_row", "pos"), "sa_row")).select(F.col("piece_id").alias("doc_id"), F.col("piece_pos").alias("byte_pos"), F.size("symbols").cast("long").alias("taken"))
+
+
+def suffix_order_documents(spark, sf_dir):
+    """For each document the least row of its suffixes, their sum, and that of rows times places: the order of all suffixes, digested."""
+    weighted = F.sum((F.col("sa_row") * F.col("piece_pos")).cast("decimal(38,0)"))
+    return _documents(spark, sf_dir).table.groupBy(F.col("piece_id").alias("doc_id")).agg(F.count("*").alias("n"), F.min("sa_row").alias("least"), F.sum("sa_row").alias("rows"), F.pmod(weighted, F.lit(1_000_000_007)).cast("long").alias("weighted"))
+
+
+def piece_bits(spark, sf_dir):
+    """The k-th terminator of all documents, and the terminators before it, by the bit vector of their places."""
+    index = _documents(spark, sf_dir)
+    asked = spark.range(index.pieces).withColumnRenamed("id", "k")
+    return index.ends.access(index.ends.rank(index.ends.select(asked, "k", "place"), "place", "before"), "place")
+
+
+def wavelet_documents(spark, sf_dir):
+    """At each document's end: blanks before it, the symbol there, and the first e after it, by a wavelet matrix of the whole text."""
+    index = _documents(spark, sf_dir)
+    matrix = _made(spark, sf_dir, "wavelet", build=lambda: WaveletMatrix.build(index.corpus.symbols().select(F.col("pos").alias("at"), "c"), index.n, 255))
+    rows = index.numbered_pieces.select(F.col("piece_id").alias("doc_id"), (F.col("end") - 1).alias("place"), F.lit(32).cast("long").alias("blank"), F.lit(101).cast("long").alias("e")).where("place >= 0")
+    found = matrix.access(matrix.rank(matrix.rank(rows, "blank", "place", "blanks"), "e", "place", "es"), "place", "symbol")
+    return matrix.select(found, "e", "es", "next_e").select("doc_id", "blanks", "symbol", "next_e")
 
 
 def index_stats(spark, sf_dir):
@@ -369,6 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contamination, count_pattern, count_batch, locate, locate_batch, locate_global, piece_ids, search_prefix, search_suffix, search_exact, boundary_counts, refine, extract_forward, extract_backward, extract_until, nth_match,
         symbol_sequences, char_histogram, c_table, symbol_functions, suffix_types, suffix_array, inverse_suffix_array, bwt, f_column, lf_map, fl_map, sampled_sa, doc_array, row_pieces, bwt_runs, run_bits, run_c_table, sa_interval, locate_indexed, boundary_indexed, refine_indexed, index_stats,
         sa_interval_pieces, sa_interval_plain, sa_interval_runs, locate_plain, locate_runs, forward_plain, navigate_runs, chosen_steps_runs, count_sharded, locate_sharded, boundary_sharded, index_sizes,
+        intervals_documents, intervals_documents_runs, locate_documents, locate_documents_runs, refine_documents, until_documents, suffix_order_documents, piece_bits, wavelet_documents,
     )
 }
 
@@ -395,13 +467,22 @@ sa AS (
          CASE WHEN pos = 0 THEN 0 ELSE ('0x' || substr(s, (2 * pos - 1)::INT, 2))::INT::BIGINT END AS l,
          ('0x' || substr(s, (2 * pos + 1)::INT, 2))::INT::BIGINT AS f, substr(s, (2 * pos + 1)::INT, 40) AS head
   FROM x)"""
-_ONE_TEXT = _SUFFIXES.replace("string_agg(hex(encode(text)) || '00', '' ORDER BY item_id)", "hex(encode(string_agg(text, chr(10) ORDER BY item_id))) || '00'")
 _RUN_TABLES = """,
 flagged AS (SELECT sa_row, l, CASE WHEN lag(l) OVER (ORDER BY sa_row) IS NOT DISTINCT FROM l AND sa_row > 0 THEN 0 ELSE 1 END AS starts FROM sa),
 numbered AS (SELECT *, sum(starts) OVER (ORDER BY sa_row) - 1 AS run FROM flagged),
 grouped AS (SELECT run::BIGINT AS run, min(l) AS head, min(sa_row) AS start, count(*) AS len FROM numbered GROUP BY run),
 runs AS (SELECT *, coalesce(sum(len) OVER (ORDER BY head, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f_start FROM grouped)"""
 _RUNS = _SUFFIXES + _RUN_TABLES
+_BYTES = f"""
+b AS (SELECT doc_id, unnest(h) AS h, generate_subscripts(h, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)) || '00', '..') AS h FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+g AS MATERIALIZED (SELECT doc_id, i, row_number() OVER w - 1 AS pos, h AS c, h || {' || '.join(f"coalesce(lead(h, {k}) OVER w, '')" for k in range(1, 8))} AS h FROM b WINDOW w AS (ORDER BY doc_id, i))"""
+#: Ranks by ever longer beginnings, until all differ.
+_ORDER = """
+r(k, pos, row) AS (
+  SELECT 8::BIGINT, pos, rank() OVER (ORDER BY h) - 1 FROM g
+  UNION ALL
+  SELECT a.k * 2, a.pos, rank() OVER (ORDER BY a.row, coalesce(b.row, -1)) - 1 FROM r a LEFT JOIN r b ON b.pos = a.pos + a.k WHERE (SELECT count(DISTINCT row) FROM r) < (SELECT count(*) FROM r)),
+o AS (SELECT pos, row FROM r WHERE k = (SELECT max(k) FROM r))"""
 _PART = _SUFFIXES.replace("encode(text)", "encode(p_name)").replace("item_id", "p_partkey").replace("FROM benchmark", "FROM part")
 
 
@@ -418,6 +499,10 @@ def _interval_sql(suffixes: str) -> str:
     return f"WITH {suffixes} SELECT pattern, count(sa_row) AS n, min(sa_row) AS s FROM (VALUES {_PATTERN_HEX}) v(pattern, h) LEFT JOIN sa ON starts_with(head, h) GROUP BY pattern"
 
 
+def _documents_interval_sql() -> str:
+    return f"WITH {_BYTES}, n AS (SELECT pattern, count(*) FILTER (starts_with(g.h, v.h)) AS n, count(*) FILTER (g.h < v.h) AS s FROM g, (VALUES {_PATTERN_HEX}) v(pattern, h) GROUP BY pattern) SELECT pattern, n, CASE WHEN n > 0 THEN s END AS s FROM n"
+
+
 def _located_sql(suffixes: str) -> str:
     return f"WITH {suffixes} SELECT pattern, sa_row, pos FROM (VALUES {_PATTERN_HEX}) v(pattern, h) JOIN sa ON starts_with(head, h)"
 
@@ -450,7 +535,7 @@ ORACLES: dict[str, str] = {
     "refine": _count_sql(["onti", "ti"]),
     "extract_forward": f"WITH {_SUFFIXES} SELECT item_id AS piece_id, pos - first AS piece_pos, hex(array_slice(encode(text), (pos - first + 1)::BIGINT, (pos - first + {REACH})::BIGINT)) AS taken FROM sa JOIN (SELECT item_id, first, text, first + octet_length(encode(text)) AS last FROM pieces JOIN benchmark USING (item_id)) b ON pos BETWEEN first AND last WHERE starts_with(head, '{_TION}')",
     "extract_backward": f"WITH {_SUFFIXES} SELECT pos, {' || '.join(f'substr(s || s, (2 * (n + pos - {j}) + 1)::INT, 2)' for j in range(1, REACH + 1))} AS before FROM sa, t, n WHERE starts_with(head, '{_TION}')",
-    "extract_until": f"WITH {_SUFFIXES}, bytes AS (SELECT pos, unnest(range(0, {REACH})) AS j, substr(head, 1, {2 * REACH}) AS h FROM sa WHERE starts_with(head, '{_TION}')), cut AS (SELECT pos, h, min(CASE WHEN substr(h, (2 * j + 1)::INT, 2) IN ('20', '00', '') THEN j END) AS stop FROM bytes GROUP BY pos, h) SELECT pos, substr(h, 1, (2 * coalesce(stop, {REACH}))::INT) AS taken FROM cut",
+    "extract_until": f"WITH {_SUFFIXES}, h AS (SELECT sa.pos, regexp_extract_all(substr(s, (2 * sa.pos + 1)::INT), '..') AS l FROM sa, t WHERE starts_with(head, '{_TION}')) SELECT pos, array_to_string(l[1 : least(coalesce(nullif(list_position(l, '20'), 0), len(l)), list_position(l, '00')) - 1], '') AS taken FROM h",
     "nth_match": f"WITH {_SUFFIXES}, k AS (SELECT row_number() OVER (ORDER BY sa_row) AS k, pos FROM sa WHERE starts_with(head, '{_TION}')) SELECT k, pos FROM k WHERE k IN (1, 4)",
     "symbol_sequences": f"WITH s AS (SELECT user_id, ts, {_EVENT_NUMBER} AS k0 FROM events WHERE user_id IS NOT NULL), e AS (SELECT user_id, k0, lead(k0, 1) OVER w AS k1, lead(k0, 2) OVER w AS k2 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts)) {_EVENT_SQL}",
     "char_histogram": f"WITH {_SUFFIXES} SELECT c::BIGINT AS c, count(f) AS cnt FROM range(0, 256) r(c) LEFT JOIN sa ON f = c GROUP BY c",
@@ -476,19 +561,28 @@ ORACLES: dict[str, str] = {
         for kind, p in NAME_SEARCHES
         for cond in [{"prefix": f"starts_with(p_name, '{p}')", "suffix": f"ends_with(p_name, '{p}')", "exact": f"p_name = '{p}'"}[kind]]
     ),
-    "refine_indexed": "SELECT p AS pattern, sum(" + "len(list_filter(range(1, length(text) - length(p) + 2), lambda i: substr(text, i::INT, length(p)::INT) = p))" + ")::BIGINT AS n FROM benchmark, (VALUES ('ti'), ('onti')) v(p) GROUP BY p",
+    "refine_indexed": "SELECT p AS pattern, sum(" + "len(list_filter(range(1, length(text) - length(p) + 2), lambda i: substr(text, i::INT, length(p)::INT) = p))" + f")::BIGINT AS n FROM benchmark, (VALUES {', '.join(f"('{more + p}')" for p, all_ in REFINED for more in all_)}) v(p) GROUP BY p",
     "index_stats": "SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS n, count(*) AS pieces, sum(octet_length(encode(text)))::BIGINT AS payload_bytes FROM documents",
     "sa_interval_pieces": _interval_sql(_SUFFIXES),
-    "sa_interval_plain": _interval_sql(_ONE_TEXT),
-    "sa_interval_runs": _interval_sql(_ONE_TEXT),
-    "locate_plain": _located_sql(_ONE_TEXT),
-    "locate_runs": _located_sql(_ONE_TEXT),
-    "forward_plain": f"WITH {_ONE_TEXT} SELECT pos, substr(s || s, (2 * pos + 1)::INT, {2 * REACH}) AS taken FROM sa, t WHERE starts_with(head, '2E')",
-    "navigate_runs": f"WITH {_ONE_TEXT} SELECT a.sa_row, a.l AS before, a.f AS first, b.sa_row AS back, c.sa_row AS forward FROM sa a, n, sa b, sa c WHERE b.pos = (a.pos - 1 + n) % n AND c.pos = (a.pos + 1) % n",
-    "chosen_steps_runs": f"WITH {_ONE_TEXT} SELECT sa_row, c::BIGINT AS c, ((SELECT count(*) FROM sa x WHERE x.f < c) + coalesce(sum(CASE WHEN l = c THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY sa_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS step FROM sa, (VALUES {', '.join(f'({c})' for c in CHOSEN[:2])}) v(c)",
+    "sa_interval_plain": _interval_sql(_SUFFIXES),
+    "sa_interval_runs": _interval_sql(_SUFFIXES),
+    "locate_plain": _located_sql(_SUFFIXES),
+    "locate_runs": _located_sql(_SUFFIXES),
+    "forward_plain": f"WITH {_SUFFIXES} SELECT pos, substr(s || s, (2 * pos + 1)::INT, {2 * REACH}) AS taken FROM sa, t WHERE starts_with(head, '2E')",
+    "navigate_runs": f"WITH {_SUFFIXES} SELECT a.sa_row, a.l AS before, a.f AS first, b.sa_row AS back, c.sa_row AS forward FROM sa a, n, sa b, sa c WHERE b.pos = (a.pos - 1 + n) % n AND c.pos = (a.pos + 1) % n",
+    "chosen_steps_runs": f"WITH {_SUFFIXES} SELECT sa_row, c::BIGINT AS c, ((SELECT count(*) FROM sa x WHERE x.f < c) + coalesce(sum(CASE WHEN l = c THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY sa_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS step FROM sa, (VALUES {', '.join(f'({c})' for c in CHOSEN[:2])}) v(c)",
     "count_sharded": _count_sql(COUNTED),
     "locate_sharded": _LOCATE_SQL,
     "boundary_sharded": " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{p}' AS pattern, doc_id FROM documents WHERE " + {"prefix": f"starts_with(text, '{p}')", "suffix": f"ends_with(text, '{p}')", "exact": f"text = '{p}'"}[kind] for kind, p in DOCUMENT_SEARCHES),
-    "index_sizes": f"WITH {_ONE_TEXT + _RUN_TABLES}, k AS (SELECT n, (SELECT count(*) FROM runs) AS r, (SELECT count(*) FROM benchmark) AS d, (n + {(1 << SAMPLE_LEVEL) - 1}) // {1 << SAMPLE_LEVEL} AS sampled FROM n) "
-    + " UNION ALL ".join(f"SELECT '{kind.__name__}' AS kind, n, {'d' if kind.by_piece else 1}::BIGINT AS pieces, ({'17 * r' if kind.by_run else 'n'} + 8 * ({'sampled' if kind.locates else 0} + {'d' if kind.by_piece else 0}))::BIGINT AS stored_bytes FROM k" for kind in KINDS),
+    "index_sizes": f"WITH {_RUNS}, k AS (SELECT n, (SELECT count(*) FROM runs) AS r, (SELECT count(*) FROM benchmark) AS d, (n + {(1 << SAMPLE_LEVEL) - 1}) // {1 << SAMPLE_LEVEL} AS sampled FROM n) "
+    + " UNION ALL ".join(f"SELECT '{kind.__name__}' AS kind, n, d AS pieces, ({'17 * r' if kind.by_run else 'n'} + 8 * ({'sampled' if kind.locates else 0} + {'d' if kind.by_piece else 0}))::BIGINT AS stored_bytes FROM k" for kind in KINDS),
+    "intervals_documents": _documents_interval_sql(),
+    "intervals_documents_runs": _documents_interval_sql(),
+    "locate_documents": _LOCATE_SQL,
+    "locate_documents_runs": _LOCATE_SQL,
+    "refine_documents": _count_sql([more + p for p, all_ in REFINED for more in all_]),
+    "until_documents": f"WITH RECURSIVE {_places(LOCATED[1:2])}, f AS (SELECT doc_id, {_BYTE_POS} AS byte_pos, substr(text, place::INT) AS r FROM m JOIN documents USING (doc_id)) SELECT doc_id, byte_pos, octet_length(encode(CASE WHEN contains(r, '.') THEN substr(r, 1, instr(r, '.') - 1) ELSE r END))::BIGINT AS taken FROM f",
+    "suffix_order_documents": f"WITH RECURSIVE {_BYTES}, {_ORDER} SELECT doc_id, count(*) AS n, min(row) AS least, sum(row)::BIGINT AS rows, (sum(row::HUGEINT * i) % 1000000007)::BIGINT AS weighted FROM o JOIN g USING (pos) GROUP BY doc_id",
+    "piece_bits": "WITH p AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS k, (sum(octet_length(encode(text)) + 1) OVER (ORDER BY doc_id) - 1)::BIGINT AS place FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) SELECT k, place, k AS before, 1::BIGINT AS bit FROM p",
+    "wavelet_documents": f"WITH {_BYTES}, c AS (SELECT doc_id, i, pos, ('0x' || c)::INT::BIGINT AS c, sum(CASE WHEN c = '20' THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blanks, min(CASE WHEN c = '65' THEN pos END) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_e, lead(c) OVER (ORDER BY pos) AS after FROM g) SELECT doc_id, coalesce(blanks, 0)::BIGINT AS blanks, c AS symbol, next_e FROM c WHERE after = '00' AND pos >= 0",
 }

@@ -33,7 +33,8 @@ def asof(queries: DataFrame, table: DataFrame, keys: Sequence[str], columns: Seq
     asked = queries.withColumns({"_later": F.lit(not strict), "_entry": F.lit(False)})
     both = asked.unionByName(entries, allowMissingColumns=True)
     own = queries.columns
-    schema = StructType([*(StructField(f.name, f.dataType) for f in queries.schema), *(StructField(k, LongType()) for k in kept), StructField("_part", LongType()), StructField("_state", LongType())])
+    # a key that is narrower on one side is as wide as on the other from here on
+    schema = StructType([*(StructField(c, both.schema[c].dataType) for c in own), *(StructField(k, LongType()) for k in kept), StructField("_part", LongType()), StructField("_state", LongType())])
     at_entry, at_own, at_kept = both.columns.index("_entry"), [both.columns.index(c) for c in own], [both.columns.index(k) for k in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,8 @@
-"""Backward search of many patterns at once.
+"""Backward search of many patterns at once by a transform that fits in memory.
 
 A state is a pattern with its interval of rows; a step takes the next symbol from the
-right.  A transform that fits in memory is sent to the tasks, each of which steps its
-share of the patterns.  A larger one stays a table of blocks with a rank directory: then
-all patterns step together by joins, a table of states for each symbol of the longest.
+right.  The transform is sent to the tasks, each of which steps its share of the patterns.
+What stays in tables is in ``lookup``.
 """
 
 from __future__ import annotations
@@ -16,10 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphrake.functions.running import running_sum
 from glyphrake.operators.navigate import Navigator
 from glyphrake.operators.transform import BLOCK
-from glyphrake.session import checkpoint, prepare
+from glyphrake.session import prepare
 
 
 def pattern_rows(spark: SparkSession, patterns: Sequence[bytes | Sequence[int]]) -> DataFrame:
@@ -50,51 +48,6 @@ def intervals_in_memory(patterns: DataFrame, navigator: Navigator, start: DataFr
     return with_start(patterns, navigator.n, start).mapInArrow(run, "pattern_id long, s long, e long")
 
 
-def directory(counts: DataFrame, block_rows: int, wanted: DataFrame) -> DataFrame:
-    """blk, c, occ: occurrences of the wanted symbols (a bounded alphabet's, or a batch's) before each block."""
-    spark = counts.sparkSession
-    prepare(spark)
-    symbols = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in wanted.select("c").distinct().collect()), np.int64))
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blk, c = batch.column(0).to_numpy(), symbols.value
-            for part in np.array_split(blk, max(1, len(blk) * len(c) >> 16)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(c))), pa.array(np.tile(c, len(part)))], names=["blk", "c"])
-
-    dense = spark.range(max(block_rows, 1)).mapInArrow(every, "blk long, c long").join(counts, ["blk", "c"], "left")
-    dense = checkpoint(dense.select("blk", "c", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt")), "ranks")
-    return running_sum(dense, ["blk"], "cnt", "occ", by="c", label="ranks").select("blk", "c", "occ")
-
-
-def intervals(patterns: DataFrame, block_table: DataFrame, counts: DataFrame, c_table: DataFrame, n: int, start: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """pattern_id, s, e for every pattern: the rows whose suffixes start with it (s = e if there are none).
-
-    start gives other first intervals (pattern_id, s, e); symbols that the text does not
-    have empty the interval.  An empty pattern keeps its first interval.
-    """
-    wanted = patterns.select(F.explode("symbols").alias("c")).distinct()
-    occ = directory(counts, -(-n // block) or 1, wanted)
-    state = checkpoint(with_start(patterns, n, start), "pattern-state")
-    longest = patterns.agg(F.max(F.size("symbols"))).first()[0] or 0
-    for done in range(longest):
-        open_ = state.where((F.size("symbols") > done) & (F.col("s") < F.col("e")))
-        c = F.element_at("symbols", -(done + 1))
-        bounds = open_.select("pattern_id", c.alias("c"), F.explode(F.array(F.struct(F.lit("s").alias("which"), F.col("s").alias("i")), F.struct(F.lit("e").alias("which"), F.col("e").alias("i")))).alias("b"))
-        # a bound at the very end looks into the last block
-        blk = F.least(F.floor(F.col("b.i") / block), F.lit((n - 1) // block if n else 0))
-        bounds = bounds.select("pattern_id", "c", "b.which", "b.i", blk.alias("blk"))
-        there = bounds.join(c_table.select("c", "c0"), "c").join(occ, ["blk", "c"]).join(block_table, "blk")
-        inside = F.size(F.filter(F.slice("payload", F.lit(1), (F.col("i") - F.col("blk") * block).cast("int")), lambda x: x == F.col("c")))
-        moved = there.groupBy("pattern_id").agg(F.max(F.when(F.col("which") == "s", F.col("c0") + F.col("occ") + inside)).alias("s2"), F.max(F.when(F.col("which") == "e", F.col("c0") + F.col("occ") + inside)).alias("e2"))
-        stepped = state.join(moved, "pattern_id", "left")
-        active = (F.size("symbols") > done) & (F.col("s") < F.col("e"))
-        s = F.when(active, F.coalesce("s2", F.lit(0))).otherwise(F.col("s"))
-        e = F.when(active, F.coalesce("e2", F.lit(0))).otherwise(F.col("e"))
-        state = checkpoint(stepped.select("pattern_id", "symbols", s.alias("s"), e.alias("e")), "pattern-state")
-    return state.select("pattern_id", "s", F.greatest("s", "e").alias("e"))
-
-
 def rows_of(found: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of the suffix table in each pattern's interval, by equal joins on blocks of rows."""
     full = found.where("s < e").select("pattern_id", "s", "e", F.explode(F.sequence(F.floor(F.col("s") / block), F.floor((F.col("e") - 1) / block))).alias("_blk"))
@@ -146,18 +99,3 @@ def chosen_steps(rows: DataFrame, navigator: Navigator, symbols: Sequence[int])
                     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), c)), pa.array(step, pa.int64())], names=["sa_row", "c", "step"])
 
     return rows.select("sa_row").mapInArrow(run, "sa_row long, c long, step long")
-
-
-def located_by_walk(rows: DataFrame, sample: DataFrame, back: DataFrame, n: int) -> DataFrame:
-    """pattern_id, sa_row, pos by stepping back to the next sampled row: all pending rows step together."""
-    pending = rows.select("pattern_id", "sa_row", F.col("sa_row").alias("at"), F.lit(0).cast("long").alias("steps"))
-    known, onwards = sample.select(F.col("sa_row").alias("at"), "pos"), back.select(F.col("sa_row").alias("at"), "next_row")
-    out = None
-    while True:
-        # one table a round: rows that met a sampled row, and where the others go
-        met = checkpoint(pending.join(known, "at", "left").join(onwards, "at"), "walk")
-        found = met.where("pos is not null").select("pattern_id", "sa_row", F.pmod(F.col("pos") + F.col("steps"), F.lit(n)).alias("pos"))
-        out = found if out is None else out.unionByName(found)
-        pending = met.where("pos is null").select("pattern_id", "sa_row", F.col("next_row").alias("at"), (F.col("steps") + 1).alias("steps"))
-        if pending.isEmpty():
-            return out

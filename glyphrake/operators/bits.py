@@ -62,24 +62,29 @@ class BitVector:
         words = running_sum(counted, ["word"], "count", "before", label="bits").select("word", "bits", "before")
         return cls(words, n, counted.agg(F.sum("count")).first()[0])
 
+    def _looked_up(self, queries: DataFrame, at: str) -> DataFrame:
+        """queries with the _bits of a place's word and the ones _before it."""
+        words = self.words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"), F.col("before").alias("_before"))
+        return queries.withColumn("_word", _word(F.col(at))).join(words, "_word")
+
     def access(self, queries: DataFrame, at: str, name: str = "bit") -> DataFrame:
         """queries with the bit at a place."""
-        found = queries.withColumn("_word", _word(F.col(at))).join(self.words.withColumnRenamed("word", "_word"), "_word")
-        return found.select(*queries.columns, F.col("bits").bitwiseAND(_shifted(F.lit(1).cast("long"), _bit(F.col(at)))).alias("_b")).withColumn(name, (F.col("_b") != 0).cast("long")).drop("_b")
+        there = F.col("_bits").bitwiseAND(_shifted(F.lit(1).cast("long"), _bit(F.col(at)))) != 0
+        return self._looked_up(queries, at).select(*queries.columns, there.cast("long").alias(name))
 
     def rank(self, queries: DataFrame, at: str, name: str = "rank", bit: int = 1) -> DataFrame:
         """queries with how many bits before a place (up to n) are 1, or 0."""
-        found = queries.withColumn("_word", _word(F.col(at))).join(self.words.withColumnRenamed("word", "_word"), "_word")
-        ones = F.col("before") + _ones_below(F.col("bits"), F.col(at))
-        return found.select(*queries.columns, (ones if bit else F.col(at) - ones).alias(name))
+        ones = F.col("_before") + _ones_below(F.col("_bits"), F.col(at))
+        return self._looked_up(queries, at).select(*queries.columns, (ones if bit else F.col(at) - ones).alias(name))
 
     def select(self, queries: DataFrame, nth: str, name: str = "at", bit: int = 1) -> DataFrame:
         """queries with the place of the nth 1 (or 0), from 0; null where there are fewer."""
         bits = F.col("bits") if bit else F.bitwise_not("bits")
-        words = self.words.select("word", bits.alias("bits"), (F.col("before") if bit else F.col("word") * WORD - F.col("before")).alias("before"))
+        before = F.col("before") if bit else F.col("word") * WORD - F.col("before")
+        words = self.words.select(before.alias("_count"), F.col("word").alias("_last"), bits.alias("_b"), before.alias("_n"), F.col("word").alias("_w"))
         # of words that begin with the same count the last one has the bit
-        asked = queries.withColumns({"before": F.col(nth), "word": F.lit(2**62)})
-        found = asof(asked, checkpoint(words.withColumns({"_w": F.col("word"), "_b": F.col("bits"), "_n": F.col("before")}), "bits-select"), ["before", "word"], ["_w", "_b", "_n"], label="bits-found")
+        asked = queries.withColumns({"_count": F.col(nth), "_last": F.lit(2**62)})
+        found = asof(asked, words, ["_count", "_last"], ["_w", "_b", "_n"], label="bits-found")
         inside = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("shiftright", F.col("_b"), i).bitwiseAND(F.lit(1)) == 1), (F.col(nth) - F.col("_n") + 1).cast("int"))
         there = (F.col(nth) >= 0) & (F.col(nth) < (self.ones if bit else self.n - self.ones))
         return found.select(*queries.columns, F.when(there, F.col("_w") * WORD + F.when(there, inside)).alias(name))

@@ -7,9 +7,17 @@ stops before the terminator in a corpus of pieces and wraps around otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphrake.session import checkpoint
+
+#: Symbols that are read of a match in the first round of an open-ended reading.
+FIRST_REACH = 16
+
 
 def around(matches: DataFrame, symbols: DataFrame, n: int, k: int, backward: bool, keys: tuple[str, ...]) -> DataFrame:
     """keys, symbols: up to k symbols from each match on (or before it, nearest first), by joining places with symbols."""
@@ -31,3 +39,27 @@ def until(symbols_column: str, stop: int):
     """The symbols before the first stop symbol (all, if there is none)."""
     at = F.array_position(symbols_column, F.lit(stop).cast("long"))
     return F.when(at > 0, F.slice(symbols_column, F.lit(1), (at - 1).cast("int"))).otherwise(F.col(symbols_column))
+
+
+def read_until(matches: DataFrame, symbols: DataFrame, n: int, stops: Sequence[int], keys: tuple[str, ...], backward: bool = False) -> DataFrame:
+    """keys, symbols: from each match (keys, pos) on, or before it, until the first of some symbols; around the text once, if it has none of them.
+
+    A match that has not met a stop reads on, twice as far as in the round before: rounds
+    are logarithmic in the longest reading, and no match reads over three times too much.
+    """
+    open_ = checkpoint(matches.select(*keys, F.col("pos").alias("_origin"), F.lit(0).cast("long").alias("_done")), "read-open")
+    parts, reach, taken = [], FIRST_REACH, 0
+    while not open_.isEmpty():
+        own = min(reach, n - taken)
+        origin = F.col("_origin") + F.col("_done") if not backward else F.col("_origin") - F.col("_done")
+        read = around(open_.withColumn("pos", F.pmod(origin, F.lit(n))), symbols, n, own, backward, (*keys, "_origin", "_done"))
+        at = F.array_position("_c", F.lit(True)) - 1
+        flagged = read.withColumn("_c", F.transform("symbols", lambda x: x.isin(*stops)))
+        rows = checkpoint(flagged.select(*keys, "_origin", "_done", at.alias("_at"), F.when(at >= 0, F.slice("symbols", F.lit(1), at.cast("int"))).otherwise(F.col("symbols")).alias("symbols")), "read-part")
+        parts.append(rows.select(*keys, "_done", "symbols"))
+        taken, reach = taken + own, reach * 2
+        open_ = rows.where("_at < 0").select(*keys, "_origin", (F.col("_done") + own).alias("_done")).where(F.lit(taken < n))
+    if not parts:
+        return matches.select(*keys, F.array().cast("array<bigint>").alias("symbols"))
+    joined = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_done", "symbols"))).alias("_parts"))
+    return joined.select(*keys, F.flatten(F.transform("_parts", lambda x: x["symbols"])).alias("symbols"))

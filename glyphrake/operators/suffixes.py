@@ -99,7 +99,7 @@ def suffix_types(symbols: DataFrame) -> DataFrame:
     return typed.select("pos", "type", ((F.col("type") == "S") & (F.col("l") > F.col("c")) & (F.col("pos") > 0)).alias("is_lms"))
 
 
-def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """pos, key, depth: the symbols up to the piece's end, PACKED of a byte alphabet at most, as one number."""
     for batch in batches:
         held, size = [], 0
@@ -131,7 +131,7 @@ def doubled_ranks(corpus: Corpus) -> DataFrame:
     pieces end.  Rounds grow with the logarithm of the longest repeated passage.
     """
     prepare(corpus.pieces.sparkSession)
-    keyed = checkpoint(corpus.with_offsets().select("offset", "body").mapInArrow(_first_keys, "pos long, key long, depth long"), "suffix-keys")
+    keyed = checkpoint(corpus.with_offsets().select("offset", "body").mapInArrow(first_keys, "pos long, key long, depth long"), "suffix-keys")
     counts = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")), "suffix-counts")
     starts = running_sum(counts, ["key"], "n", "r", label="suffix-starts")
     state = checkpoint(keyed.join(starts, "key").select("pos", "r", "depth", (F.col("n") == 1).alias("done")), "suffix-ranks")

@@ -17,7 +17,7 @@ from glyphrake.functions.running import numbered, running_sum
 from glyphrake.operators.suffixes import bucket_bounds, symbol_counts
 from glyphrake.session import checkpoint, prepare
 
-#: Rows in a block of the rank directory.
+#: Rows of a block, by which intervals of rows are joined.
 BLOCK = 1_024
 
 
@@ -125,14 +125,3 @@ def run_bits(run_table: DataFrame, sorted_by_head: bool = False) -> DataFrame:
 def run_counts(run_table: DataFrame, max_symbol: int = 255) -> DataFrame:
     """c, cnt, c0, c1 over runs: how many runs have each head."""
     return bucket_bounds(symbol_counts(run_table, "head"), max_symbol)
-
-
-def blocks(table: DataFrame, block: int = BLOCK) -> DataFrame:
-    """blk, payload: the symbols before the suffixes of a block of rows, in order."""
-    rows = table.groupBy(F.floor(F.col("sa_row") / block).alias("blk")).agg(F.array_sort(F.collect_list(F.struct("sa_row", "l"))).alias("_rows"))
-    return rows.select("blk", F.transform("_rows", lambda x: x["l"]).alias("payload"))
-
-
-def block_counts(block_table: DataFrame) -> DataFrame:
-    """blk, c, cnt: how often each symbol is in a block (only those that are)."""
-    return block_table.select("blk", F.explode("payload").alias("c")).groupBy("blk", "c").agg(F.count("*").alias("cnt"))

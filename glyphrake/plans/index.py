@@ -1,26 +1,28 @@
 """Indexes over a corpus: what each kind offers, and searches that can be refined.
 
 An index is a set of tables in the shared folder.  Searching keeps intervals of rows of
-the suffix table; matches and positions are DataFrames.  Up to LOCAL symbols the
-transform (its runs, for kinds that keep runs) is held in memory as well, and steps are
-binary searches there; beyond, steps are joins with the tables.  For many documents see
-``shards``.
+the suffix table; matches and positions are DataFrames.  Up to most_in_memory symbols
+(LOCAL, unless the caller says otherwise) the transform (its runs, for kinds that keep
+runs) is held in memory as well, and steps are binary searches there; beyond, steps are
+as-of joins with the tables.  For many documents see ``shards``, too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphrake.errors import InvalidPatternError, InvalidTextError
-from glyphrake.operators import backward, extract, suffixes, transform
+from glyphrake.functions.running import numbered, running_sum
+from glyphrake.operators import backward, extract, lookup, suffixes, transform
+from glyphrake.operators.bits import BitVector, WaveletMatrix
 from glyphrake.operators.navigate import Navigator, Runs, Transform
-from glyphrake.operators.suffixes import LOCAL
+from glyphrake.operators.suffixes import LOCAL, first_keys
 from glyphrake.session import checkpoint, passing
 from glyphrake.sources.corpus import Corpus
 
@@ -36,16 +38,29 @@ class PlainIndex:
 
     locates, by_piece, by_run = False, False, False
 
-    def __init__(self, corpus: Corpus, level: int = 0):
-        self.corpus = corpus
+    def __init__(self, corpus: Corpus, level: int = 0, most_in_memory: int | None = None, inner_ends: bool = False):
+        """level: every 2^level-th row keeps its position.  most_in_memory: see the module; 0 keeps everything in tables.
+
+        inner_ends: a kind of one text takes several pieces, whose terminators are symbols
+        like others there.
+        """
+        self.corpus, self.most_in_memory, self.inner_ends = corpus, most_in_memory, inner_ends
         self.n, self.pieces = corpus.measured()
         self._check_pieces()
         self.level = suffixes.sample_level(self.n, level)
         with passing(corpus.pieces.sparkSession) as keep:
-            self.table = keep(suffixes.suffix_table(corpus, self.n), "index-suffixes")
+            self.table = keep(suffixes.suffix_table(corpus, self.n, most_in_memory), "index-suffixes")
+
+    def as_kind(self, kind: type) -> PlainIndex:
+        """Another kind of index of the same text, over the same suffix table."""
+        index = kind.__new__(kind)
+        for name in ("corpus", "most_in_memory", "n", "pieces", "level", "table"):
+            setattr(index, name, getattr(self, name))
+        index.inner_ends = True
+        return index
 
     def _check_pieces(self) -> None:
-        if not self.by_piece and self.pieces > 1:
+        if not self.by_piece and self.pieces > 1 and not self.inner_ends:
             raise InvalidTextError("an index of one text can't hold several pieces")
 
     def save(self, path: str) -> None:
@@ -61,23 +76,36 @@ class PlainIndex:
         about = spark.read.parquet(f"{path}/about").first()
         index = cls.__new__(cls)
         index.corpus, index.n, index.pieces = Corpus(spark.read.parquet(f"{path}/pieces"), about["max_symbol"]), about["n"], about["pieces"]
+        index.most_in_memory, index.inner_ends = None, False
         index._check_pieces()
         index.level = about["level"] if level is None else suffixes.sample_level(index.n, level)
         index.table = spark.read.parquet(f"{path}/suffixes")
         return index
 
-    @cached_property
-    def blocks(self) -> DataFrame:
-        return checkpoint(transform.blocks(self.table), "index-blocks")
-
     @cached_property
     def runs(self) -> DataFrame:
         with passing(self.table.sparkSession) as keep:
             return keep(transform.runs(self.table), "index-runs")
 
     @cached_property
-    def block_counts(self) -> DataFrame:
-        return checkpoint(transform.block_counts(self.blocks), "index-counts")
+    def _grams(self) -> tuple[DataFrame, DataFrame]:
+        """First symbols of suffixes, and steps back by as many."""
+        with passing(self.table.sparkSession) as keep:
+            rows = checkpoint(lookup.gram_rows(self.corpus, self.table, first_keys), "index-gram-rows")
+            return keep(lookup.gram_starts(rows), "index-grams"), keep(lookup.gram_steps(rows, self.n), "index-gram-steps")
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        """Steps back by one symbol: an entry for each row, or for each run."""
+        if self.by_run:
+            return lookup.run_steps(self.runs)
+        with passing(self.table.sparkSession) as keep:
+            return keep(lookup.symbol_steps(self.table), "index-symbol-steps")
+
+    @cached_property
+    def matrix(self) -> WaveletMatrix:
+        """The transform as a wavelet matrix: any symbol's count before any row, its places, and the symbol of a row."""
+        return WaveletMatrix.build(self.table.select(F.col("sa_row").alias("at"), F.col("l").alias("c")), self.n, self.corpus.max_symbol)
 
     @cached_property
     def c_table(self) -> DataFrame:
@@ -89,18 +117,32 @@ class PlainIndex:
 
     @cached_property
     def back(self) -> DataFrame:
-        return checkpoint(transform.step_back(self.table, self.n), "index-steps")
+        """sa_row, next_row: one symbol back."""
+        with passing(self.table.sparkSession) as keep:
+            if self.by_run:
+                rows = self.table.sparkSession.range(self.n).withColumnRenamed("id", "sa_row")
+                return keep(lookup.run_navigation(rows, self.runs, self.start_row).select("sa_row", F.col("back").alias("next_row")), "index-back")
+            return keep(transform.step_back(self.table, self.n), "index-back")
+
+    @cached_property
+    def start_row(self) -> int:
+        return transform.first_text_row(self.table)
+
+    @cached_property
+    def walks(self) -> DataFrame:
+        with passing(self.table.sparkSession) as keep:
+            return keep(lookup.walks(self.back, self.level), "index-walks")
 
     @property
     def in_memory(self) -> bool:
-        return self.n <= LOCAL
+        return self.n <= (LOCAL if self.most_in_memory is None else self.most_in_memory)
 
     @cached_property
     def navigator(self) -> Navigator:
         """The transform in memory; only for an index of LOCAL symbols at most."""
         if not self.in_memory:
             raise MemoryError("the transform of this index stays in tables")
-        start = transform.first_text_row(self.table)
+        start = self.start_row
         if self.by_run:
             runs = self.runs.select("start", "head").toArrow().sort_by("start")
             return Runs(runs.column("head").to_numpy(), runs.column("start").to_numpy(), self.n, start)
@@ -125,14 +167,35 @@ class PlainIndex:
         """pattern_id, s, e of many patterns (pattern_id, symbols) at once."""
         if self.in_memory:
             return backward.intervals_in_memory(patterns, self.navigator, start)
-        return backward.intervals(patterns, self.blocks, self.block_counts, self.c_table, self.n, start)
+        rows = backward.with_start(patterns, self.n, start)
+        inner = F.exists(F.slice("symbols", F.lit(1), F.greatest(F.size("symbols") - 1, F.lit(0))), lambda x: x == 0)
+        by_grams = F.lit(start is None and not self.by_run and not self.corpus.wide) & (F.size("symbols") > 0) & ~inner
+        rows = checkpoint(rows.withColumn("by_grams", by_grams), "search-patterns")
+        found = [lookup.gram_intervals(rows.where("by_grams"), *self._grams)] if not rows.where("by_grams").isEmpty() else []
+        if not found or not rows.where("not by_grams").isEmpty():
+            found.append(lookup.intervals(rows.where("not by_grams"), self.steps, self.corpus.max_symbol))
+        return reduce(DataFrame.unionByName, found)
+
+    def refined(self, searches: DataFrame, patterns: DataFrame) -> DataFrame:
+        """pattern_id, s, e of many searches at once: patterns (pattern_id, search_id, symbols) put before searches' intervals (search_id, s, e)."""
+        start = patterns.select("pattern_id", "search_id").join(searches.select("search_id", "s", "e"), "search_id").select("pattern_id", "s", "e")
+        return self.intervals(patterns.select("pattern_id", "symbols"), start)
 
     def positions(self, rows: DataFrame) -> DataFrame:
         """pattern_id, sa_row, pos of rows (pattern_id, sa_row), through the sampled positions."""
         rows = rows.select("pattern_id", "sa_row")
         if self.in_memory:
             return backward.located_in_memory(rows, self.navigator, self._sample_in_memory, self.level)
-        return backward.located_by_walk(rows, self.sample, self.back, self.n)
+        return lookup.located(rows, self.walks, self.sample, self.n)
+
+    def navigated(self, rows: DataFrame) -> DataFrame:
+        """rows (sa_row) with before, first, back, forward: symbols and steps, around the text.  By runs, for kinds that keep them."""
+        if self.in_memory:
+            return backward.navigated(rows, self.navigator)
+        if self.by_run:
+            return lookup.run_navigation(rows, self.runs, self.start_row)
+        onwards = transform.step_forward(self.table, self.n).withColumnRenamed("next_row", "forward")
+        return rows.join(self.table.select("sa_row", F.col("l").alias("before"), F.col("f").alias("first")), "sa_row").join(self.back.withColumnRenamed("next_row", "back"), "sa_row").join(onwards, "sa_row")
 
     def _search(self, pattern: Pattern, start: tuple[int, int], boundary: bool) -> Search:
         return Search(self, (), start, boundary).search(pattern)
@@ -160,6 +223,24 @@ class PieceIndex(PlainIndex):
 
     by_piece = True
 
+    @cached_property
+    def numbered_pieces(self) -> DataFrame:
+        """piece, piece_id, begin: pieces in order with the place of their first symbol."""
+        with passing(self.table.sparkSession) as keep:
+            offsets = self.corpus.in_order().select("piece_id", "_tie", "_size")
+            placed = running_sum(checkpoint(offsets, "piece-sizes"), ["piece_id", "_tie"], "_size", "begin", label="piece-begins")
+            return keep(numbered(placed, ["begin"], "piece", label="piece-numbers").select("piece", "piece_id", "begin", (F.col("begin") + F.col("_size") - 1).alias("end")), "index-pieces")
+
+    @cached_property
+    def ends(self) -> BitVector:
+        """A bit for each symbol of the text: is it a terminator?  Ones before a place number its piece."""
+        return BitVector.build(self.numbered_pieces.select(F.col("end").alias("at"), F.lit(1).alias("bit")), self.n)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows (its pos) with piece_id and piece_pos, by the ones before each place."""
+        found = self.ends.rank(rows, "pos", "piece").join(self.numbered_pieces.select("piece", "piece_id", "begin"), "piece")
+        return found.select(*rows.columns, "piece_id", (F.col("pos") - F.col("begin")).alias("piece_pos"))
+
     def search_prefix(self, pattern: Pattern) -> Search:
         return self._search(pattern, (0, self.n), True)
 
@@ -225,6 +306,15 @@ class Search:
         read = extract.around(self.rows(), self._symbols(), self.index.n, k, False, ("sa_row",))
         return (read.withColumn("symbols", extract.until("symbols", 0)) if self.index.by_piece else read).orderBy("sa_row")
 
+    def forward_until(self, stop: int) -> DataFrame:
+        """sa_row, symbols: from each match on until a symbol, however far; in a corpus of pieces no further than the piece."""
+        stops = (stop, 0) if self.index.by_piece else (stop,)
+        return extract.read_until(self.rows().select("sa_row", "pos"), self._symbols(), self.index.n, stops, ("sa_row",)).orderBy("sa_row")
+
+    def backward_until(self, stop: int) -> DataFrame:
+        """sa_row, symbols: before each match, nearest first, until a symbol, however far, through the ends of pieces."""
+        return extract.read_until(self.rows().select("sa_row", "pos"), self._symbols(), self.index.n, (stop,), ("sa_row",), backward=True).orderBy("sa_row")
+
     def backward(self, k: int) -> DataFrame:
         """sa_row, symbols: the k symbols before each match, nearest first."""
         return extract.around(self.rows(), self._symbols(), self.index.n, k, True, ("sa_row",)).orderBy("sa_row")
