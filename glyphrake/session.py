@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,29 +54,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables written so far.
-_WRITTEN: list[str] = []
+#: The tables that the innermost passing() block of this thread has written.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """For work whose result is written as a table: what it writes on the way is removed at its end.
+    """For work whose result is written as a table: what it writes on the way is removed at its end, also if it fails.
 
-    The block gets a function like checkpoint(), whose tables stay.
+    The block gets a function like checkpoint(), whose tables stay.  Tables of other threads
+    are not touched, nor those that a block inside this one keeps.
     """
-    begin, kept = len(_WRITTEN), set()
+    own: list[str] = []
+    outer = _WRITTEN.set(own)
 
     def keep(df: DataFrame, label: str) -> DataFrame:
-        out = checkpoint(df, label)
-        kept.add(_WRITTEN[-1])
-        return out
-
-    yield keep
-    for name in _WRITTEN[begin:]:
-        if name not in kept:
+        inner = _WRITTEN.set(None)
+        try:
+            return checkpoint(df, label)
+        finally:
+            _WRITTEN.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _WRITTEN.reset(outer)
+        for name in own:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _WRITTEN[begin:] = [x for x in _WRITTEN[begin:] if x in kept]
 
 
 def checkpoint(df: DataFrame, label: str) -> DataFrame:
@@ -85,6 +91,7 @@ def checkpoint(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/glyphrake/{label}-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)  # a failed write leaves a folder, too
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

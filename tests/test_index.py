@@ -306,3 +306,28 @@ def test_what_is_written_on_the_way_is_removed(spark, in_tables, tmp_path, monke
     index = PlainIndexWithLocate(from_buffer(spark, b"abracadabra abracadabra\0"))
     assert [x.name.rsplit("-", 1)[0] for x in (tmp_path / "glyphrake").iterdir()] == ["index-suffixes"]
     assert sorted(r.pos for r in index.search("abra").matches().collect()) == [0, 7, 12, 19]
+
+
+def test_passing_keeps_what_is_kept(spark, tmp_path, monkeypatch):
+    """An inner block's table stays, so does another thread's; a block that fails leaves nothing."""
+    from threading import Thread
+
+    monkeypatch.setattr(session, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    rows, others = spark.range(3), []
+    with session.passing(spark) as keep:
+        session.checkpoint(rows, "way")
+        with session.passing(spark) as inner:
+            session.checkpoint(rows, "inner-way")
+            kept_inside = inner(rows, "inner-kept")
+        kept = keep(rows, "kept")
+        thread = Thread(target=lambda: others.append(session.checkpoint(rows, "thread")))
+        thread.start()
+        thread.join()
+    left = lambda: sorted(x.name.rsplit("-", 1)[0] for x in (tmp_path / "glyphrake").iterdir())
+    assert left() == ["inner-kept", "kept", "thread"]
+    assert kept.count() == kept_inside.count() == others[0].count() == 3
+    with pytest.raises(ValueError):
+        with session.passing(spark) as keep:
+            session.checkpoint(rows, "way")
+            raise ValueError
+    assert left() == ["inner-kept", "kept", "thread"]
