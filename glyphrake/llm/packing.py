@@ -2,8 +2,8 @@
 
 Documents are cut at the sequence length; every full piece is a sequence of its own.
 What remains of each document is packed by histogram: lengths go longest first, each
-into the packing pattern with the least room that still fits (patterns are kept by
-room and count, so the work depends on the number of lengths and not of documents).
+into the shortest pack, the one with the most room, if it fits there (packing patterns are
+kept by room and count, so the work depends on the number of lengths and not of documents).
 Patterns are then joined back to documents by rank: the places that a length has in all
 sequences and the pieces of that length meet in order, and so sequences follow the order
 of the documents.
@@ -105,34 +105,29 @@ def tokenize_pieces(docs: DataFrame, files: tuple[str, str], sequence: int = SEQ
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns (lengths in order, longest first) and how many sequences have each.
 
-    Lengths are placed longest first.  A length goes to the patterns with the least
-    room that still holds it, as many as there are, then to the next; what finds no
-    pattern starts new sequences.  A pattern of which only some sequences take the
-    length is split in two, so that each step adds one pattern at most.
+    Lengths are placed longest first, each piece into the pack with the most room; where
+    not even that one holds the length, all pieces left of it start packs of their own.  Of
+    packs with the same room the latest come first.  A step gives a piece each to as many
+    packs of a pattern as there are pieces left; a pattern of which only some packs take
+    the length is split in two, so that each step adds one pattern at most.
     """
     by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    most = 0
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left > 0:
-            room = next((r for r in range(length, capacity) if by_room.get(r)), None)
-            if room is None:
-                # as many copies as fit side by side, then one sequence with the rest
-                side = capacity // length
-                whole, rest = divmod(left, side)
-                for times, count in ((side, whole), (rest, 1)):
-                    if times and count:
-                        by_room.setdefault(capacity - times * length, []).append(((length,) * times, count))
-                left = 0
+            while most and not by_room.get(most):
+                most -= 1
+            if most < length:
+                by_room.setdefault(capacity - length, []).append(((length,), left))
+                most, left = capacity - length, 0
                 continue
-            pattern, count = by_room[room].pop()
-            side = min(room // length, max(1, -(-left // count)))
-            used = min(count, left // side) or 1
-            if used * side > left:
-                side, used = left, 1
+            pattern, count = by_room[most].pop()
+            used = min(count, left)
             if used < count:
-                by_room[room].append((pattern, count - used))
-            by_room.setdefault(room - length * side, []).append((pattern + (length,) * side, used))
-            left -= used * side
+                by_room[most].append((pattern, count - used))
+            by_room.setdefault(most - length, []).append((pattern + (length,), used))
+            left -= used
     return [x for room in sorted(by_room) for x in by_room[room] if x[1]]
 
 

@@ -3,6 +3,7 @@
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -49,6 +50,38 @@ def test_patterns_hold_the_histogram(seed):
     assert {n: sum(p.count(n) * count for p, count in patterns) for n in histogram} == histogram
 
 
+def one_at_a_time(histogram, capacity):
+    """Each piece into the pack with the most room, the latest of those; packs that a length starts wait for the next length."""
+    packs = []  # (room, when it came to that room, lengths)
+    clock = 0
+    for length in sorted(histogram, reverse=True):
+        started = []
+        for _ in range(histogram[length]):
+            clock += 1
+            best = max(packs, default=None)
+            if best is None or best[0] < length:
+                started.append((capacity - length, clock, (length,)))
+            else:
+                packs.remove(best)
+                packs.append((best[0] - length, clock, (*best[2], length)))
+        packs += started
+    return Counter(p for _, _, p in packs)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_patterns_against_one_piece_at_a_time(seed):
+    drawn = random.Random(seed)
+    histogram = {drawn.randint(1, 63): drawn.randint(1, 30) for _ in range(drawn.randint(1, 25))}
+    got = Counter()
+    for pattern, count in packing.shortest_pack_first(histogram, 64):
+        got[pattern] += count
+    assert got == one_at_a_time(histogram, 64)
+
+
+def test_the_shortest_pack_comes_first():
+    assert sorted(packing.shortest_pack_first({900: 1, 600: 1, 100: 1}, 1_024)) == [((600, 100), 1), ((900,), 1)]
+
+
 def test_places_of_all_sequences(spark):
     ship(spark)
     patterns = [((9, 5, 2), 3), ((8, 8), 2), ((16,), 1)]
