@@ -1,6 +1,7 @@
 """Recall and scores against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from glyphrake.llm import neighbours
@@ -66,3 +67,17 @@ def test_repeated_rows(spark):
     crowd = spark.range(3_000).selectExpr("id as vec_id", "array(1.0, if(id < 2990, 0.5, 0.001 * id)) as embedding")
     for r in neighbours.nearest(crowd, crowd.where("vec_id in (0, 2, 2000)")).groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).collect():
         assert r.ids == sorted([x for x in range(6) if x != r.query_id][:5])
+
+
+def test_vectors_of_any_magnitude(spark):
+    """Cosines of very large and very small vectors are those of the directions."""
+    ship(spark)
+    same = [(50, 1e200), (100, 1e-200), (150, 1.0), (200, 1e308), (250, 5e-324)]
+    rows = [(i, [m, m, 0.0, 0.0]) for i, m in same] + [(i, [1.0, -float(i), 0.5, 2.0]) for i in range(1, 6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), probed_share=1.0).collect()
+    ids = [i for i, _ in same]
+    for query in ids:
+        own = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == query)
+        assert {x[1] for x in own[:4]} == {i for i in ids if i != query}
+        assert all(x[2] == pytest.approx(1, abs=1e-12) for x in own[:4])
