@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ LEAST_SHARE, MOST_SHARE, LEAST_DOCUMENTS = 1e-4, 0.05, 2
 SUBSETS, SHARES = 64, tuple(2.0**-i for i in range(2, 13))
 #: Terms that a worker counts or remembers before it starts anew, documents in a range of ids, and most ranges.
 REMEMBERED, RANGE, MOST_RANGES = 250_000, 1_500, 65_536
-#: Terms of a lexicon at most: 16 bytes each are sent to all tasks.
+#: Rows that a worker hands on at a time, and ranges of documents without an id.
+HANDED_ON, UNPLACED = 500, 256
+#: Terms of a lexicon that are sent to all tasks, the most frequent ones, 16 bytes each; the others are joined.
 MOST_TERMS = 4_000_000
 TERM = re.compile(r"\w+")
 
@@ -43,13 +46,21 @@ def _term_hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
 
 
-def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> np.ndarray:
-    """Sorted hashes of the terms in the band, from the document frequencies of all documents.
+@dataclass(frozen=True)
+class Lexicon:
+    """sent: sorted hashes of the most frequent terms of the band; rest: the other terms' hashes (term BIGINT), or none."""
+
+    sent: np.ndarray
+    rest: DataFrame | None = None
+
+
+def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> Lexicon:
+    """The terms in the band, from the document frequencies of all documents.
 
     A term needs least_share of the documents, so the lexicon has at most 1 / least_share
     times as many terms as a document has on average, at any number of documents.  Where
-    documents are so long that this is above MOST_TERMS, the lower edge of the band is
-    doubled until the lexicon is below.
+    that is above MOST_TERMS, the most frequent terms are sent and the others stay a table;
+    fingerprints are the same whatever is sent.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +82,20 @@ def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float
     least, most = max(LEAST_DOCUMENTS, least_share * n), max(LEAST_DOCUMENTS, most_share * n)
     sums = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     band = materialize(sums.where((F.col("n") >= least) & (F.col("n") <= most)), "imatch-band")
-    while band.where(F.col("n") >= least).count() > MOST_TERMS:
-        least *= 2
-    kept = band.where(F.col("n") >= least).select("term").toArrow()
-    return np.sort(kept.column("term").to_numpy().view(np.uint64))
+    if band.count() <= MOST_TERMS:
+        kept, rest = band, None
+    else:
+        # the frequency from which on few enough terms are left
+        by_size = {r["n"]: r["count"] for r in band.groupBy("n").count().orderBy(F.desc("n")).limit(max(MOST_TERMS, 1)).collect()} if MOST_TERMS else {}
+        edge, held = None, 0
+        for n_, terms in sorted(by_size.items(), reverse=True):
+            held += terms
+            if held > MOST_TERMS:
+                break
+            edge = n_
+        frequent = F.col("n") >= edge if edge is not None else F.lit(False)
+        kept, rest = band.where(frequent), band.where(~frequent).select("term")
+    return Lexicon(np.sort(kept.select("term").toArrow().column("term").to_numpy().view(np.uint64)), rest)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,17 +114,38 @@ def memberships(hashes: np.ndarray) -> np.ndarray:
 
 
 class Printer:
-    """Fingerprints texts; remembers the places of terms in the lexicon."""
+    """Fingerprints texts; remembers the places of terms in the lexicon.
+
+    more: further terms of the lexicon, which the texts at hand may have.
+    """
 
     def __init__(self, terms: np.ndarray, masks: np.ndarray):
         self.terms, self.masks, self.known = terms, masks, {}
+        self.more = self.more_masks = np.zeros(0, np.uint64)
         self.bits = (np.uint64(1) << np.arange(SUBSETS, dtype=np.uint64))[:, None]
 
+    def take(self, more: np.ndarray) -> None:
+        self.more, self.more_masks = more, memberships(more)
+        self.known.clear()
+
     def _look_up(self, new: list[str]) -> None:
-        hashes = np.fromiter(map(_term_hash, new), np.uint64, len(new))
-        at = np.minimum(np.searchsorted(self.terms, hashes), max(len(self.terms) - 1, 0))
-        there = self.terms[at] == hashes if len(self.terms) else np.zeros(len(new), bool)
-        self.known.update(zip(new, np.where(there, at, -1).tolist()))
+        hashes, found = np.fromiter(map(_term_hash, new), np.uint64, len(new)), np.full(len(new), -1)
+        for begin, terms in ((0, self.terms), (len(self.terms), self.more)):
+            if len(terms):
+                at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+                found = np.where(terms[at] == hashes, at + begin, found)
+        self.known.update(zip(new, found.tolist()))
+
+    def unknown(self, text: str) -> np.ndarray:
+        """Hashes of the text's terms that are not in the lexicon so far."""
+        words = _terms(text)
+        new = [w for w in words if w not in self.known]
+        if new:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                new = list(words)
+            self._look_up(new)
+        return np.fromiter((_term_hash(w) for w in words if self.known[w] < 0), np.uint64)
 
     def _lexicon_terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes and masks of the text's terms in the lexicon; of all its terms if it has none of them."""
@@ -118,7 +160,12 @@ class Printer:
         places.discard(-1)
         if places:
             at = np.array(sorted(places))
-            return self.terms[at], self.masks[at]
+            if at[-1] < len(self.terms):
+                return self.terms[at], self.masks[at]
+            own, further = at[at < len(self.terms)], at[at >= len(self.terms)] - len(self.terms)
+            hashes, masks = np.concatenate((self.terms[own], self.more[further])), np.concatenate((self.masks[own], self.more_masks[further]))
+            order = np.argsort(hashes)
+            return hashes[order], masks[order]
         hashes = np.array(sorted(map(_term_hash, words)), np.uint64)
         return hashes, memberships(hashes)
 
@@ -176,10 +223,53 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     return rows.repartitionById(ranges, "place").sortWithinPartitions("place", "extra", F.desc("doc_id"), F.xxhash64("text"))
 
 
+def _edited(text: str, following: str | None) -> str:
+    half = len(text) // 2
+    return text[: len(text) - half] + (following or "")[:half]
+
+
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, int, int, bytes | None]]:
+    """doc_id, text, place, extra and terms of each row."""
+    for batch in batches:
+        terms = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * batch.num_rows
+        for doc_id, text, place, extra, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), terms):
+            yield doc_id, text.as_py() or "", place, extra, own
+
+
+def _terms_of_ranges(rows: DataFrame, words: Lexicon) -> DataFrame:
+    """place, terms: the terms of the lexicon's rest that texts or edited texts of a range of documents have, packed."""
+    shared = rows.sparkSession.sparkContext.broadcast(Printer(words.sent, np.zeros(len(words.sent), np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        printer, held, found, at = shared.value, None, [], None
+
+        def out() -> pa.RecordBatch:
+            terms = np.unique(np.concatenate(found)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), at, np.int32)), pa.array(terms)], names=["place", "term"])
+
+        for doc_id, text, place, extra, _ in _in_turn(batches):
+            if place != at or sum(map(len, found)) > REMEMBERED:
+                if found:
+                    yield out()
+                found, at = [], place
+            if held and held[1] == place and not held[2]:
+                found.append(printer.unknown(_edited(held[0], text)))
+            if doc_id is None:
+                found.append(printer.unknown(_edited(text, None)))
+            found.append(printer.unknown(text))
+            held = (text, place, extra or doc_id is None)
+        if found:
+            yield out()
+
+    asked = rows.mapInArrow(run, "place int, term long").distinct()
+    there = asked.join(words.rest, "term").groupBy("place").agg(F.collect_list("term").alias("found"))
+    return materialize(there, "imatch-ranges").select("place", F.col("found").alias("terms"))
+
+
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, words: Lexicon) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are.
 
     The edited text has the last half of the characters replaced by as many of the next
@@ -188,36 +278,61 @@ def edited_fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     have fingerprints at all; one term of the lexicon put into such a text changes it whole.
     Null texts count as empty.  Rows with a null id have no next document: their edited
     text lacks the second half and near_next is 0.  The only row follows itself.
+
+    Where a part of the lexicon stays a table, each range of documents is told first which
+    of its terms are there: that takes one more pass over the texts, and as many terms as a
+    range of documents has stand before its documents.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Printer(terms, memberships(terms)))
+    shared = docs.sparkSession.sparkContext.broadcast(Printer(words.sent, memberships(words.sent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         printer, held, rows = shared.value, None, []  # a worker keeps what the printer has looked up
+        if len(printer.more):
+            printer.take(np.zeros(0, np.uint64))
+        told = None
 
         def finish(row: tuple, following: str | None, next_print: str | None) -> None:
             doc_id, text, _, _, own = row
-            half = len(text) // 2
-            edited = text[: len(text) - half] + (following or "")[:half]
+            edited = _edited(text, following)
             edited_print = own if edited == text else printer.fingerprint(edited)
             rows.append((doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, edited_print, likeness(own, edited_print), likeness(own, next_print) if next_print else 0.0))
 
-        for batch in batches:
-            for doc_id, text, place, extra in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                text = text.as_py() or ""
-                if doc_id is None:
-                    finish((None, text, place, extra, printer.fingerprint(text)), None, None)
-                    continue
-                own = held[4] if held and held[1] == text else printer.fingerprint(text)
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x) if i > 1 else pa.array(x, pa.int64()) for i, x in enumerate(zip(*rows))], names=[x.split()[0] for x in OUT.split(", ")])
+            rows.clear()
+            return batch
+
+        for doc_id, text, place, extra, terms in _in_turn(batches):
+            if terms is not None:  # the range's terms stand before its documents
+                printer.take(np.sort(np.array(terms, np.int64).view(np.uint64)))
+                told = place
+                continue
+            if told is not None and place != told:
+                printer.take(np.zeros(0, np.uint64))
+                told = None
+            if doc_id is None:
+                finish((None, text, place, extra, printer.fingerprint(text)), None, None)
+            else:
+                own = held[4] if held and held[1] == text and held[2] == place else printer.fingerprint(text)
                 if held and held[2] == place and not held[3]:
                     finish(held, text, own)
                 held = (doc_id, text, place, extra, own)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) if i > 1 else pa.array(x, pa.int64()) for i, x in enumerate(zip(*rows))], names=[x.split()[0] for x in OUT.split(", ")])
-                rows.clear()
+            if len(rows) >= HANDED_ON:
+                yield out()
+        if rows:
+            yield out()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    unplaced = docs.where("doc_id is null").withColumns({"place": F.lit(-1), "extra": F.lit(0)})
-    return in_id_order(docs).mapInArrow(run, OUT).unionByName(unplaced.mapInArrow(run, OUT))
+    # documents without an id are ranges by hash, so that any number of them is spread
+    unplaced = docs.where("doc_id is null").withColumns({"place": (-1 - F.pmod(F.xxhash64("text"), F.lit(UNPLACED))).cast("int"), "extra": F.lit(0)})
+    placed = in_id_order(docs)
+    if words.rest is None:
+        return placed.mapInArrow(run, OUT).unionByName(unplaced.mapInArrow(run, OUT))
+    unplaced = unplaced.repartition("place").sortWithinPartitions("place")
+    told = _terms_of_ranges(placed, words).unionByName(_terms_of_ranges(unplaced, words))
+    head = told.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "place", F.lit(-1).alias("extra"), "terms")
+    every = placed.unionByName(unplaced).withColumn("terms", F.lit(None).cast("array<bigint>")).unionByName(head)
+    return every.repartition("place").sortWithinPartitions("place", "extra", F.desc("doc_id"), F.xxhash64("text")).mapInArrow(run, OUT)
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_lexicon_is_the_band(spark, texts):
     df = Counter(w for t in texts.values() for w in set(t.split()))
     n = len(texts)
     want = {imatch._term_hash(w) for w, c in df.items() if max(2, 0.02 * n) <= c <= 0.3 * n}
-    assert set(imatch.lexicon(docs, 0.02, 0.3).tolist()) == want
+    assert set(imatch.lexicon(docs, 0.02, 0.3).sent.tolist()) == want
 
 
 def test_edited_texts_and_neighbours(rows, texts):
@@ -100,11 +100,18 @@ def test_fingerprints_against_a_plain_version(rows, texts):
         assert rows[doc_id].edited_fingerprint == plain_fingerprint(text[: len(text) - half] + following[:half], lexicon)
 
 
-def test_the_lexicon_is_bounded(spark, monkeypatch):
-    """Above the bound the lower edge of the band rises until the lexicon is below."""
-    ship(spark)
-    docs = spark.createDataFrame([(i, " ".join(f"t{k}" for k in range(200) if i % (k // 20 + 2) == 0)) for i in range(300)], "doc_id long, text string")
-    whole = imatch.lexicon(docs, 0.0, 1.0)
-    monkeypatch.setattr(imatch, "MOST_TERMS", 50)
-    some = imatch.lexicon(docs, 0.0, 1.0)
-    assert len(whole) == 200 and 0 < len(some) <= 50 and set(some.tolist()) <= set(whole.tolist())
+@pytest.mark.parametrize("most", [0, 60])
+def test_terms_that_are_not_sent_are_joined(spark, monkeypatch, most):
+    """Whatever part of the lexicon is sent, fingerprints and likenesses are the same; without ids, too."""
+    monkeypatch.setattr(imatch, "RANGE", 20)
+    drawn = random.Random(8)
+    texts = {7 * i - 50: " ".join(f"w{int(drawn.paretovariate(0.6))}" for _ in range(drawn.randint(5, 80))) for i in range(150)}
+    texts[900] = texts[-50]
+    docs = spark.createDataFrame([*texts.items(), (None, texts[-50]), (None, texts[-43]), (None, None)], "doc_id long, text string").repartition(4)
+    columns = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    read = lambda words: sorted((tuple([r.doc_id, *(r[c] for c in columns)]) for r in imatch.edited_fingerprints(docs, words).collect()), key=repr)
+    whole = imatch.lexicon(docs)
+    monkeypatch.setattr(imatch, "MOST_TERMS", most)
+    some = imatch.lexicon(docs)
+    assert whole.rest is None and len(whole.sent) > 100 and len(some.sent) <= most and len(some.sent) + some.rest.count() == len(whole.sent)
+    assert read(some) == read(whole)
