@@ -30,7 +30,7 @@ from glyphrake.llm.components import connected_components
 SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 2
 #: Fingerprints with the same key from which a finer key is used, and up to which all pairs are compared.
 CROWDED, COMPARED = 2_000, 48
-#: Of sampled keys: the fingerprints that one is meant to have (as a power of two), those that meet in one matrix, and rows of a key that are held at a time.
+#: Of sampled keys: the fingerprints that one is meant to have (as a power of two), those that meet in one matrix, and rows that a key may have before it is divided.
 KEY_BITS, MATRIX, RUN_ROWS = 8, 1_024, 2_000_000
 #: Members of a crowd whose sets of shingles meet in one task, and those nearest to its middle that meet all of them.
 CROWD, HUBS = 400, 32
@@ -292,8 +292,8 @@ def _links(node: np.ndarray, ring: np.ndarray, start: np.ndarray, key: np.ndarra
 def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds: bool = False) -> DataFrame:
     """Links (a, b) between nodes with a common key; a key's rows meet in one task, one after the other.
 
-    Chained keys are few enough to be held as a whole.  A sampled key may have any number of
-    rows: they are taken RUN_ROWS at a time, each time with the first of them again.
+    Keys are few enough to be held as a whole: chained ones by what they leave open, sampled
+    ones by _in_parts().
     With crowds there are columns crowd and split: null for links; the rows (node, node,
     crowd, split) say who is in a crowd or in a chunk of one, and split which crowd a chunk
     is of.  Both go by their members and so are the same whatever the key.
@@ -331,9 +331,6 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds:
             elif cut:
                 yield links([batch.slice(0, cut)])
             held.append(batch.slice(cut))
-            if not chained and sum(x.num_rows for x in held) > RUN_ROWS:
-                yield links(held)
-                held = [pa.Table.from_batches(held).slice(0, CROWD).combine_chunks().to_batches()[0]]
         if held:
             yield links(held)
 
@@ -341,6 +338,26 @@ def _link_runs(rows: DataFrame, bits: int, distance: int, chained: bool, crowds:
     return dealt.mapInArrow(run, "a long, b long" + ", crowd long, split long" * crowds)
 
 
+def _in_parts(rows: DataFrame, n: int) -> DataFrame:
+    """rows of n fingerprints in which a sampled key of more than RUN_ROWS is a key for each two parts of it.
+
+    Parts go by hash and have RUN_ROWS / 2 rows on average; any two rows of the key meet
+    under one of its new keys, so no link is lost.  Rows grow by the number of parts, for
+    such keys alone.
+    """
+    if n <= RUN_ROWS:  # no key can have more
+        return rows
+    rows = materialize(rows, "simhash-keys")
+    counts = rows.groupBy("key").count().where(F.col("count") > RUN_ROWS)
+    large = materialize(counts.select("key", F.ceil(F.col("count") * 2 / RUN_ROWS).cast("long").alias("parts")), "simhash-large-keys")
+    if large.isEmpty():
+        return rows
+    part = F.pmod(F.xxhash64(F.lit("part"), "node"), F.col("parts"))
+    divided = rows.join(large, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> other")
+    divided = divided.withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).select(rows.columns)
+    return rows.join(large, "key", "left_anti").select(rows.columns).unionByName(divided)
+
+
 def link_fingerprints(nodes: DataFrame, bits: int = BITS, distance: int = DISTANCE, recall: float | None = None, crowds: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints (node BIGINT, fingerprint BINARY), enough to connect all that are close.
 
@@ -348,7 +365,8 @@ def link_fingerprints(nodes: DataFrame, bits: int = BITS, distance: int = DISTAN
     describes, the links that a crowd needs are still to be found.
     """
     if recall is not None:
-        return _link_runs(_sampled_keys(nodes, bits, distance, recall, nodes.count()), bits, distance, False, crowds)
+        n = nodes.count()
+        return _link_runs(_in_parts(_sampled_keys(nodes, bits, distance, recall, n), n), bits, distance, False, crowds)
     if crowds:
         raise ValueError("crowds come from sampled keys: pass a recall")
     if distance == 0:

@@ -148,6 +148,36 @@ def test_a_huge_crowd_of_different_fingerprints(spark, rows, monkeypatch):
     assert {0, 1} <= kept and len(kept) <= 502 + 15
 
 
+def test_a_divided_key_loses_no_link(spark, monkeypatch):
+    """Keys of more than three fingerprints in parts: what is connected is the same."""
+    ship(spark)
+    drawn = np.random.default_rng(4)
+    base = drawn.integers(0, 256, (300, 32), dtype=np.uint8)
+    base[150:] = base[0] ^ (drawn.random((150, 32)) < 0.3) * drawn.integers(0, 256, (150, 32), dtype=np.uint8)
+    near = base.copy()
+    near[np.arange(300), drawn.integers(0, 32, 300)] ^= 1
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(np.concatenate((base, near)))]
+    nodes = spark.createDataFrame(rows, "node long, fingerprint binary")
+
+    def connected(run_rows):
+        monkeypatch.setattr(simhash, "RUN_ROWS", run_rows)
+        parent = list(range(600))
+
+        def find(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for r in simhash.link_fingerprints(nodes, 256, 12, 0.99).collect():
+            parent[find(r.a)] = find(r.b)
+        return [find(i) for i in range(600)]
+
+    whole, parts = connected(2_000_000), connected(3)
+    same = lambda x: {tuple(j for j in range(600) if x[j] == x[i]) for i in range(600)}
+    assert same(parts) == same(whole) and sum(whole[i] == whole[i + 300] for i in range(300)) > 290
+
+
 def test_chunks_share_their_hubs():
     drawn = np.random.default_rng(2)
     middle = drawn.integers(0, 2**63, 4, dtype=np.uint64)
