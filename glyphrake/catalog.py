@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from glyphrake.operators import backward, extract, lookup, scan, suffixes, trans
 from glyphrake.operators.bits import WaveletMatrix
 from glyphrake.plans.index import KINDS, PieceIndex, PieceIndexWithLocate, PlainIndex, PlainIndexWithLocate, RunIndex, RunIndexWithLocate
 from glyphrake.plans.shards import ShardedIndex
+from glyphrake.session import checkpoint
 from glyphrake.sources.corpus import Corpus, from_events, from_table
+from glyphrake.sources.dictionary import Dictionary
 
 #: Patterns of the registered queries: plain, overlapping themselves, beyond ASCII, without hits.
 COUNTED = ("on", "the", "Is", "anan", "eé", "zzqx")
@@ -177,6 +180,19 @@ def symbol_sequences(spark, sf_dir):
     return scan.counted_symbols(corpus.pieces, EVENT_PATTERNS).withColumnRenamed("piece_id", "user_id")
 
 
+def unsigned_sequences(spark, sf_dir):
+    """The same sequences over all users, their symbols beyond 63 bits, through a dictionary and the index of their codes."""
+    symbol = lambda c: (F.lit(Decimal(2**63)) + F.lit(c).cast("decimal(20,0)") * F.lit(Decimal(2**40))).cast("decimal(20,0)")
+    number = F.create_map(*(x for i, name in enumerate(EVENT_KINDS, 1) for x in (F.lit(name), symbol(i))))
+    events = _read(spark, sf_dir, "events").where("user_id is not null")
+    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", number[F.col("event_type")].alias("c")))).alias("seen")).select("user_id", F.transform("seen", lambda x: x["c"]).alias("body"))
+    rows = checkpoint(rows, "unsigned-rows")
+    dictionary = Dictionary.of(rows, "body")
+    index = PieceIndex(dictionary.corpus(rows, "user_id", "body"), most_in_memory=0)
+    patterns = spark.createDataFrame([(i, list(p)) for i, p in enumerate(EVENT_PATTERNS)], "pattern_id long, p array<long>").select("pattern_id", F.transform("p", symbol).alias("symbols"))
+    return index.intervals(dictionary.patterns(patterns)).select("pattern_id", (F.col("e") - F.col("s")).alias("n"))
+
+
 # -- building -----------------------------------------------------------------
 
 
@@ -438,7 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         contamination, count_pattern, count_batch, locate, locate_batch, locate_global, piece_ids, search_prefix, search_suffix, search_exact, boundary_counts, refine, extract_forward, extract_backward, extract_until, nth_match,
-        symbol_sequences, char_histogram, c_table, symbol_functions, suffix_types, suffix_array, inverse_suffix_array, bwt, f_column, lf_map, fl_map, sampled_sa, doc_array, row_pieces, bwt_runs, run_bits, run_c_table, sa_interval, locate_indexed, boundary_indexed, refine_indexed, index_stats,
+        symbol_sequences, unsigned_sequences, char_histogram, c_table, symbol_functions, suffix_types, suffix_array, inverse_suffix_array, bwt, f_column, lf_map, fl_map, sampled_sa, doc_array, row_pieces, bwt_runs, run_bits, run_c_table, sa_interval, locate_indexed, boundary_indexed, refine_indexed, index_stats,
         sa_interval_pieces, sa_interval_plain, sa_interval_runs, locate_plain, locate_runs, forward_plain, navigate_runs, chosen_steps_runs, count_sharded, locate_sharded, boundary_sharded, index_sizes,
         intervals_documents, intervals_documents_runs, locate_documents, locate_documents_runs, refine_documents, until_documents, suffix_order_documents, piece_bits, wavelet_documents,
     )
@@ -538,6 +554,7 @@ ORACLES: dict[str, str] = {
     "extract_until": f"WITH {_SUFFIXES}, h AS (SELECT sa.pos, regexp_extract_all(substr(s, (2 * sa.pos + 1)::INT), '..') AS l FROM sa, t WHERE starts_with(head, '{_TION}')) SELECT pos, array_to_string(l[1 : least(coalesce(nullif(list_position(l, '20'), 0), len(l)), list_position(l, '00')) - 1], '') AS taken FROM h",
     "nth_match": f"WITH {_SUFFIXES}, k AS (SELECT row_number() OVER (ORDER BY sa_row) AS k, pos FROM sa WHERE starts_with(head, '{_TION}')) SELECT k, pos FROM k WHERE k IN (1, 4)",
     "symbol_sequences": f"WITH s AS (SELECT user_id, ts, {_EVENT_NUMBER} AS k0 FROM events WHERE user_id IS NOT NULL), e AS (SELECT user_id, k0, lead(k0, 1) OVER w AS k1, lead(k0, 2) OVER w AS k2 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts)) {_EVENT_SQL}",
+    "unsigned_sequences": f"WITH s AS (SELECT user_id, ts, {_EVENT_NUMBER} AS k0 FROM events WHERE user_id IS NOT NULL), e AS (SELECT user_id, k0, lead(k0, 1) OVER w AS k1, lead(k0, 2) OVER w AS k2 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts)), p AS ({_EVENT_SQL}) SELECT v.pattern_id::BIGINT AS pattern_id, coalesce(sum(n), 0)::BIGINT AS n FROM range({len(EVENT_PATTERNS)}) v(pattern_id) LEFT JOIN p USING (pattern_id) GROUP BY v.pattern_id",
     "char_histogram": f"WITH {_SUFFIXES} SELECT c::BIGINT AS c, count(f) AS cnt FROM range(0, 256) r(c) LEFT JOIN sa ON f = c GROUP BY c",
     "c_table": f"WITH {_SUFFIXES}, h AS (SELECT f AS c, count(*) AS cnt FROM sa GROUP BY f) SELECT c, cnt, (sum(cnt) OVER (ORDER BY c) - cnt)::BIGINT AS c0, (sum(cnt) OVER (ORDER BY c))::BIGINT AS c1 FROM h",
     "symbol_functions": "WITH b AS (SELECT item_id AS piece_id, octet_length(encode(text))::BIGINT AS size, ('0x' || substr(hex(encode(text)), 1, 2))::INT::BIGINT AS first, substr(hex(encode(text)), 1, 2) AS as_byte FROM benchmark) SELECT piece_id, first AS symbol, as_byte, size % 32 AS narrow, floor(log2(size))::BIGINT AS log2, floor(log2(size))::BIGINT + 1 AS bits, (size + first) % 100 AS plus, ((first - size) % 100 + 100) % 100 AS minus FROM b",

@@ -20,8 +20,8 @@ from glyphrake.errors import InvalidPatternError
 from glyphrake.functions.matching import count_in_text, segments_before, sums_before
 from glyphrake.session import checkpoint, prepare
 
-#: Bytes of patterns that one automaton is built from.
-BATCH_BYTES = 16_000_000
+#: Bytes of patterns that one automaton is built from, and what a short one costs besides its own.
+BATCH_BYTES, SHORT_COST = 16_000_000, 16
 #: Bytes of an anchor, patterns whose anchors are sent to all tasks at a time, bytes of text hashed at a time (and longer patterns' lengths more), cells that say which anchors may be there.
 ANCHOR, ANCHORS, STRETCH, CELLS = 24, 1_000_000, 1 << 20, 1 << 22
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -164,7 +164,7 @@ def locate_table(pieces: DataFrame, patterns: DataFrame, piece_id: str = "piece_
     Patterns of ANCHOR bytes or more are found by anchors: four numbers for each pattern
     are sent to the tasks, in blocks of ANCHORS patterns with one pass each.  What is found by
     hash is compared with the pattern, byte by byte.  Shorter patterns go through
-    locate_batch.  Null and empty patterns are found nowhere.
+    an automaton, in blocks of BATCH_BYTES with one pass each.  Null and empty patterns are found nowhere.
     """
     spark = pieces.sparkSession
     prepare(spark)
@@ -179,12 +179,21 @@ def locate_table(pieces: DataFrame, patterns: DataFrame, piece_id: str = "piece_
         out = found if out is None else out.unionByName(found)
     if out is not None:
         out = out.join(patterns.withColumnRenamed("body", "wanted"), "pattern_id").where(F.col("seen") == F.col("wanted")).select("pattern_id", "piece_id", "piece_pos")
-    # shorter patterns have few bytes each, so that a block of them is many patterns
-    short = [(r["pattern_id"], bytes(r["body"])) for r in patterns.where(F.octet_length("body") < ANCHOR).toLocalIterator()]
-    if short or out is None:
-        found = locate_batch(texts, short) if short else texts.limit(0).select(F.col("piece_id").alias("pattern_id"), "piece_id", F.col("piece_id").alias("piece_pos"))
+    for found in _short_blocks(texts, patterns.where(F.octet_length("body") < ANCHOR)):
         out = found if out is None else out.unionByName(found)
-    return out
+    return out if out is not None else texts.limit(0).select(F.col("piece_id").alias("pattern_id"), "piece_id", F.col("piece_id").alias("piece_pos"))
+
+
+def _short_blocks(texts: DataFrame, short: DataFrame) -> Iterator[DataFrame]:
+    """Occurrences of short patterns, a block of them at a time: the driver holds BATCH_BYTES of patterns on average and no more than one block."""
+    size = short.agg(F.sum(F.octet_length("body") + SHORT_COST)).first()[0] or 0
+    blocks = -(-size // BATCH_BYTES)
+    for i in range(blocks):
+        own = [(r["pattern_id"], bytes(r["body"])) for r in short.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == i).collect()]
+        if own:
+            found = _automaton_pass(texts, own)
+            # with several blocks each is done with before the next one comes
+            yield checkpoint(found, "short-found") if blocks > 1 else found
 
 
 def _anchored(texts: DataFrame, known: pa.Table) -> DataFrame:
