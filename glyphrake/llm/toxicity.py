@@ -409,10 +409,10 @@ def held_out(docs: DataFrame):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
-    """(row, toxic, text) of labelled rows that are not held out: all of a label, or about as many as sample allows.
+    """(doc_id, toxic, text) of labelled rows that are not held out: all of a label, or about as many as sample allows.
 
-    Equal texts count once.  An id with both labels counts as toxic.  A row is drawn by the hash of its id against the share
-    that is wanted, so that the draw is the same each time and its size is bounded.
+    An id with both labels counts as toxic; all rows of an id count.  An id is drawn by its
+    hash against the share that is wanted, so that the draw is the same each time and its size is bounded.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.encode(F.col("label_id").cast("string"), "UTF-8")) % 3 != 1)
