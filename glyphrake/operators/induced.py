@@ -9,8 +9,10 @@ that follows, and sampled suffixes are ordered as the suffixes of a text of stre
 names, which has a third as many symbols; that one goes the same way, until it is short
 or its names are all different.
 
-Runs are told by symbol, direction and length, so that a stretch has no more runs than the
-alphabet has symbols, twice.  All that is done along a text is done inside a piece's row.
+Runs are told by symbol, direction and length, so that a stretch of bytes has 510 runs at
+most.  Over names and wide alphabets a text may rise or fall through thousands of
+different symbols, whose stretches would take bytes with the square of that: such a text is
+not shortened (see STRETCHED).  All that is done along a text is done inside a piece's row.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from glyphrake.sources.corpus import ROWS, Corpus, values_of
 
 #: Symbols of a text that is not shortened any more, and the share of a text that its names must not be above.
 SHORT, SHRINKS = 1 << 16, 0.8
+#: Bytes that stretches may take for each symbol of a text on average; usual texts have 4 to 8.
+STRETCHED = 64
 #: Lengths of runs that are told in one byte, and what stands for longer ones and for the end of a stretch.
 LONGEST, LONG, END = 100, 101, 255
 #: Down: the longer run is larger.  Up: the shorter one is, and any is larger than one that goes down.
@@ -142,6 +146,10 @@ def suffix_order(pieces: DataFrame, n: int, max_symbol: int, base, short: int =
     prepare(pieces.sparkSession)
     width = max(1, -(-max_symbol.bit_length() // 8))
     samples = checkpoint(pieces.mapInArrow(_sample_rows(width), f"offset long, k long, {STRETCH}"), "order-samples")
+    # the stretches from all places between two sampled ones, from the length of the first
+    bytes_ = samples.agg(F.sum(F.pow(F.octet_length("rest").cast("double"), F.lit(2.0)))).first()[0] or 0
+    if bytes_ / (2 * (width + 1)) > STRETCHED * n:
+        return base(Corpus(pieces.select(F.col("offset").alias("piece_id"), "body"), max_symbol))
     order = ["symbol", "mark", "rest"]
     names = numbered(checkpoint(samples.groupBy(*order).count(), "order-stretches"), order, "name", label="order-names")
     different, many = names.count(), samples.count()

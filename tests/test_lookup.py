@@ -91,6 +91,16 @@ def test_order_of_wide_symbols(spark):
     assert [r.pos for r in rows] == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_order_of_long_rises_and_falls(spark, monkeypatch):
+    """A text of hundreds of rising symbols is ordered without its stretches, which would be long."""
+    from glyphrake.operators import induced
+
+    text = [*range(1, 400), *range(500, 200, -1), *range(1, 400), 0]
+    monkeypatch.setattr(induced, "_all_rows", None)
+    rows = suffixes.suffix_ranks(from_buffer(spark, text, 600), short=20).orderBy("sa_row").collect()
+    assert [r.pos for r in rows] == sorted(range(len(text)), key=lambda i: text[i:])
+
+
 def test_order_of_terminators(spark):
     text = b"ba\0\0\0ba\0ba\0b\0ba\0"
     rows = suffixes.suffix_ranks(from_buffer(spark, text), short=0).orderBy("sa_row").collect()
