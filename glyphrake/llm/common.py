@@ -134,20 +134,38 @@ def distinct_grams(letters: np.ndarray, at: np.ndarray | slice) -> tuple[np.ndar
     return gram_key(known[found // (k * k)], known[found // k % k], known[found % k]), nth[cells]
 
 
+#: Different grams that a worker counts before it hands them on, and rows of a batch of them.
+MOST_HELD, GRAM_ROWS = 1_000_000, 100_000
+
+
 class GramCounts:
-    """Counts of grams that a worker adds up; summed() gives each gram once."""
+    """Counts of grams that a worker adds up.  taken() gives each gram once and begins anew; it is time for that when full."""
+
+    def __init__(self, most: int = MOST_HELD):
+        self._most = most
+        self._begin([], [])
 
-    def __init__(self):
-        self._keys, self._counts, self._held = [], [], 0
+    def _begin(self, keys: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        self._keys, self._counts = keys, counts
+        self.held, self.full = sum(map(len, keys)), False
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self._keys.append(keys)
         self._counts.append(counts)
-        self._held += len(keys)
-        if self._held > 2_000_000:
-            keys, counts = self.summed()
-            self._keys, self._counts, self._held = [keys], [counts], min(len(keys), 1_000_000)
+        self.held += len(keys)
+        if self.held > 2 * self._most:
+            keys, counts = self.taken()
+            self._begin([keys], [counts])
+            self.full = len(keys) > self._most
 
-    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
         keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *self._keys]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([np.zeros(0, np.int64), *self._counts]), minlength=len(keys)).astype(np.int64)
+        counts = np.bincount(at, weights=np.concatenate([np.zeros(0, np.int64), *self._counts]), minlength=len(keys)).astype(np.int64)
+        self._begin([], [])
+        return keys, counts
+
+
+def in_slices(batch: pa.RecordBatch, rows: int = GRAM_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows, so that no reader takes it whole."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

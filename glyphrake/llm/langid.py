@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphrake.llm.common import LAST_LETTER, GramCounts, distinct_grams, gathered, materialize, pieces_of, small_letters, table
+from glyphrake.llm.common import LAST_LETTER, MOST_HELD, GramCounts, distinct_grams, gathered, in_slices, materialize, pieces_of, small_letters, table
 
 #: Cost of a switch in nats, added to every trigram's count, least share of a script.
 SWITCH, SMOOTH, LEAST_SHARE = 12.0, 0.05, 0.002
@@ -151,6 +151,29 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, docs: int, switch: float = SWIT
     return labels
 
 
+def counted(batches: Iterator[pa.RecordBatch], most: int = MOST_HELD) -> Iterator[pa.RecordBatch]:
+    """lang, key, n: trigrams (letters of a script: keys below 0) of texts with counts, which a task hands on when it has too many."""
+    found: dict[str, GramCounts] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, sums in found.items():
+            keys, counts = sums.taken()
+            yield from in_slices(pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"]))
+
+    for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang in sorted(set(langs)):
+            own, sums = [t for t, x in zip(texts, langs) if x == lang], found.setdefault(lang, GramCounts(most))
+            for begin, end in pieces_of(own, CHARS):
+                words = Words(own[begin:end])
+                sums.add(words.keys, np.bincount(words.gram, minlength=len(words.keys)))
+                sums.add(-1 - np.arange(len(SCRIPT_NAMES)), np.bincount(words.script, weights=words.letters, minlength=len(SCRIPT_NAMES)).astype(np.int64))
+                # full, or many languages with some each
+                if sums.full or sum(x.held for x in found.values()) > 4 * most:
+                    yield from out()
+    yield from out()
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table of all trigrams: key, counts (by language in order of name).
 
@@ -159,23 +182,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     frequent trigrams, as many as ENTRIES allows, and a few numbers for each language.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, GramCounts] = {}
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in sorted(set(langs)):
-                own, sums = [t for t, x in zip(texts, langs) if x == lang], found.setdefault(lang, GramCounts())
-                for begin, end in pieces_of(own, CHARS):
-                    words = Words(own[begin:end])
-                    sums.add(words.keys, np.bincount(words.gram, minlength=len(words.keys)))
-                    # letters of a script have keys below 0
-                    sums.add(-1 - np.arange(len(SCRIPT_NAMES)), np.bincount(words.script, weights=words.letters, minlength=len(SCRIPT_NAMES)).astype(np.int64))
-        for lang, sums in found.items():
-            keys, counts = sums.summed()
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], names=["lang", "key", "n"])
-
     rows = docs.where(~held_out(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    found = materialize(rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "language-counts")
+    found = materialize(rows.mapInArrow(counted, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "language-counts")
     per_script = found.where("key < 0 and n > 0").collect()
     languages = sorted(r["lang"] for r in found.where("key < 0").select("lang").distinct().collect())
     scripts, totals = np.zeros((len(languages), len(SCRIPT_NAMES))), np.zeros(len(languages))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from glyphrake.llm.common import LAST_LETTER, LETTER_BITS, GramCounts, distinct_grams, gram_key, materialize, pieces_of, small_letters, table, unused
+from glyphrake.llm.common import LAST_LETTER, LETTER_BITS, MOST_HELD, GramCounts, distinct_grams, gram_key, in_slices, materialize, pieces_of, small_letters, table, unused
 
 #: Signs and the letters that they may stand for: fixed values.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "^": "a", "µ": "u", "§": "s", "¢": "c"}
@@ -140,6 +140,26 @@ def _with_parts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(all_keys), np.concatenate(all_counts)
 
 
+def counted(batches: Iterator[pa.RecordBatch], most: int = MOST_HELD) -> Iterator[pa.RecordBatch]:
+    """key, n: trigrams of texts and their parts with counts, which a task hands on when it has so many different ones."""
+    sums, letters = GramCounts(most), small_letters()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, counts = _with_parts(*sums.taken())
+        yield from in_slices(pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"]))
+
+    for batch in batches:
+        texts = [x or "" for x in batch.column(0).to_pylist()]
+        for begin, end in pieces_of(texts, CHARS):
+            codes = np.frombuffer("\n\n".join(["", *texts[begin:end], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            small = letters[np.minimum(codes, LAST_LETTER - 1)]
+            keys, at = distinct_grams(small, slice(None))
+            sums.add(keys, np.bincount(at, minlength=len(keys)))
+            if sums.full:
+                yield from out()
+    yield from out()
+
+
 def character_model(docs: DataFrame) -> CharacterModel:
     """The model from the trigrams of all documents, each with its count.
 
@@ -147,19 +167,7 @@ def character_model(docs: DataFrame) -> CharacterModel:
     greatest ones, as many as MOST_GRAMS, 16 bytes each; settled() joins the others.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, letters = GramCounts(), small_letters()
-        for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            for begin, end in pieces_of(texts, CHARS):
-                codes = np.frombuffer("\n\n".join(["", *texts[begin:end], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-                small = letters[np.minimum(codes, LAST_LETTER - 1)]
-                keys, at = distinct_grams(small, slice(None))
-                sums.add(keys, np.bincount(at, minlength=len(keys)))
-        keys, counts = _with_parts(*sums.summed())
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-
-    grams = materialize(docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "toxic-grams")
+    grams = materialize(docs.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "toxic-grams")
     # by the number of binary digits of a count: how many, the sum of whole trigrams, the different last letters
     kind = F.shiftright("key", 2 * LETTER_BITS)
     by_size = grams.groupBy(F.length(F.bin("n")).alias("digits")).agg(F.count("*").alias("grams"), F.sum(F.when(kind < LAST_TWO, F.col("n"))).alias("total"), F.count(F.when(kind == LAST, 1)).alias("letters")).collect()

@@ -1,13 +1,15 @@
 """The search against all label sequences, scripts, spans, and held-out accuracy."""
 
 import os
+from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphrake.llm import langid
-from glyphrake.llm.common import ship
+from glyphrake.llm.common import in_slices, ship
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -107,3 +109,24 @@ def test_rarer_trigrams_come_by_a_join(spark, entries, monkeypatch):
     trained = langid.train(docs)
     assert not trained[0].complete
     assert sorted(map(tuple, langid.identify(docs, trained, spans=True).collect()), key=repr) == want
+
+
+def test_grams_are_handed_on_before_they_are_too_many():
+    """Counts in several parts are those of one: a task holds a bounded number of grams, of all languages together."""
+    rows = [(("en", "ru", "de")[i % 3], " ".join(chr((97, 1072, 97)[i % 3] + (i * k) % 26) * 2 + chr(97 + k % 7) for k in range(30))) for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows[i : i + 20])], names=["lang", "text"]) for i in range(0, len(rows), 20)]
+
+    def added(found):
+        out = Counter()
+        for b in found:
+            for lang, key, n in zip(*(c.to_pylist() for c in b.columns)):
+                out[lang, key] += n
+        return +out
+
+    whole, parts = list(langid.counted(iter(batches))), list(langid.counted(iter(batches), most=100))
+    assert len(parts) > len(whole) == 3 and added(parts) == added(whole) and len(added(whole)) > 500
+
+
+def test_batches_of_grams_are_small():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(25))], names=["key"])
+    assert [b.num_rows for b in in_slices(batch, 10)] == [10, 10, 5]

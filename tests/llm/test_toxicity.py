@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphrake.llm import toxicity
@@ -190,3 +191,20 @@ def test_classifier_against_plain_steps():
         w = np.maximum(0, w + 0.02 * (dense.T @ pull - toxicity.RIDGE * w))
         c += 0.02 * pull.sum()
     assert np.allclose(weights, w, atol=0.02) and abs(constant - c) < 0.05
+
+
+def test_grams_are_handed_on_before_they_are_too_many():
+    """Counts in several parts are those of one: a task holds a bounded number of grams."""
+    texts = ["".join(chr(97 + (i * k) % 26) for k in range(40)) + " é漢" * (i % 3) for i in range(300)] + [None, ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 20], pa.string())], names=["text"]) for i in range(0, len(texts), 20)]
+
+    def added(found):
+        out = Counter()
+        for b in found:
+            for key, n in zip(*(c.to_pylist() for c in b.columns)):
+                out[key] += n
+        return out
+
+    whole, parts = list(toxicity.counted(iter(batches))), list(toxicity.counted(iter(batches), most=100))
+    assert len(parts) > len(whole) and added(parts) == added(whole)
+    assert sum(n for key, n in added(parts).items() if key >> 42 < toxicity.LAST_TWO) == sum(len(t or "") + 2 for t in texts)
