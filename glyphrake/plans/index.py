@@ -47,16 +47,14 @@ class PlainIndex:
         self.corpus, self.most_in_memory, self.inner_ends = corpus, most_in_memory, inner_ends
         self.n, self.pieces = corpus.measured()
         self._check_pieces()
-        self.level = suffixes.sample_level(self.n, level)
-        with passing(corpus.pieces.sparkSession) as keep:
-            self.table = keep(suffixes.suffix_table(corpus, self.n, most_in_memory), "index-suffixes")
+        self.level, self._whole = suffixes.sample_level(self.n, level), None
 
     def as_kind(self, kind: type) -> PlainIndex:
         """Another kind of index of the same text, over the same suffix table."""
         index = kind.__new__(kind)
-        for name in ("corpus", "most_in_memory", "n", "pieces", "level", "table"):
+        for name in ("corpus", "most_in_memory", "n", "pieces", "level"):
             setattr(index, name, getattr(self, name))
-        index.inner_ends = True
+        index.inner_ends, index._whole = True, self
         return index
 
     def _check_pieces(self) -> None:
@@ -82,6 +80,14 @@ class PlainIndex:
         index.table = spark.read.parquet(f"{path}/suffixes")
         return index
 
+    @cached_property
+    def table(self) -> DataFrame:
+        """The suffix table, built when it is first asked for: pieces and their ends are known without it."""
+        if self._whole is not None:
+            return self._whole.table
+        with passing(self.corpus.pieces.sparkSession) as keep:
+            return keep(suffixes.suffix_table(self.corpus, self.n, self.most_in_memory), "index-suffixes")
+
     @cached_property
     def runs(self) -> DataFrame:
         with passing(self.table.sparkSession) as keep:
@@ -226,7 +232,7 @@ class PieceIndex(PlainIndex):
     @cached_property
     def numbered_pieces(self) -> DataFrame:
         """piece, piece_id, begin: pieces in order with the place of their first symbol."""
-        with passing(self.table.sparkSession) as keep:
+        with passing(self.corpus.pieces.sparkSession) as keep:
             offsets = self.corpus.in_order().select("piece_id", "_tie", "_size")
             placed = running_sum(checkpoint(offsets, "piece-sizes"), ["piece_id", "_tie"], "_size", "begin", label="piece-begins")
             return keep(numbered(placed, ["begin"], "piece", label="piece-numbers").select("piece", "piece_id", "begin", (F.col("begin") + F.col("_size") - 1).alias("end")), "index-pieces")

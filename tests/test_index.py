@@ -331,3 +331,15 @@ def test_passing_keeps_what_is_kept(spark, tmp_path, monkeypatch):
             session.checkpoint(rows, "way")
             raise ValueError
     assert left() == ["inner-kept", "kept", "thread"]
+
+
+def test_pieces_and_their_ends_do_not_ask_for_the_suffix_order(spark, monkeypatch):
+    """piece_bits and wavelet_documents read pieces and symbols: they built a suffix table before that they never read."""
+    from glyphrake import catalog
+    from glyphrake.operators import suffixes
+
+    monkeypatch.setattr(suffixes, "suffix_table", None)
+    monkeypatch.setattr(catalog, "_INDEXES", {})
+    monkeypatch.setattr(catalog, "_read", lambda spark, sf_dir, name: spark.createDataFrame([(7, "a b"), (3, ""), (5, "e")], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in catalog.piece_bits(spark, "").collect()) == [(0, 0, 0, 1), (1, 2, 1, 1), (2, 6, 2, 1)]
+    assert sorted(tuple(r) for r in catalog.wavelet_documents(spark, "").select("doc_id", "blanks", "symbol", "next_e").collect()) == [(3, 0, 0, 1), (5, 0, 101, 1), (7, 1, 98, None)]
