@@ -205,3 +205,19 @@ def test_reading_until_a_symbol(spark, index, text):
     for k, taken in back.items():
         whole = twice[order[k] : order[k] + len(text)][::-1]
         assert taken == (whole[: whole.index(ord("d"))] if ord("d") in whole else whole)
+
+
+def test_order_by_cuts(spark, monkeypatch):
+    """Texts that the hash cuts well never send a row for each symbol's turn: no joins of ranks with symbols."""
+    turns = []
+    monkeypatch.setattr(suffixes, "_with_symbols", lambda ranks, corpus, own=suffixes._with_symbols: turns.append(corpus) or own(ranks, corpus))
+    drawn = random.Random(3)
+    words = [bytes(drawn.choice(b"abcdefgh") for _ in range(drawn.randint(1, 6))) for _ in range(40)]
+    bodies = [b" ".join(drawn.choice(words) for _ in range(drawn.randint(1, 60))) for _ in range(12)]
+    bodies[4] = bodies[9] = bodies[0]
+    bodies[5] = b""
+    text = b"".join(b + b"\0" for b in bodies)
+    rows = suffixes.suffix_rows(from_buffer(spark, text), len(text), len(bodies), 600).orderBy("sa_row").collect()
+    assert [r.pos for r in rows] == sorted(range(len(text)), key=lambda i: text[i:]) and not turns
+    assert all(r.f == text[r.pos] and r.l == (text[r.pos - 1] if r.pos else 0) for r in rows)
+    assert [r.key for r in rows] == sorted(r.key for r in rows)
