@@ -23,6 +23,8 @@ from glyphrake.sources.corpus import Corpus, values_of
 
 #: Symbols of a shard (a longer piece is a shard of its own), bytes of patterns that are sent to all tasks at once, matches handed on at a time.
 SHARD, BATCH_BYTES, ROWS = 1 << 21, 16_000_000, 1 << 16
+#: Parquet looks at the size of a page and a row group after 100 rows, which are hundreds of MB of shards: here after each row, so that a task holds a few shards at a time when it writes and reads.
+WRITTEN = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
 TABLE = "shard long, n long, piece_ids binary, begins binary, before binary, start_row long, positions binary, level int"
 
 
@@ -77,10 +79,10 @@ class ShardedIndex:
         prepare(spark)
         with passing(spark) as keep:
             dealt = corpus.with_offsets().withColumn("shard", F.expr(f"offset div {shard}"))
-            self.table = keep(dealt.groupBy("shard").applyInArrow(lambda key, pieces: _built(key, pieces, level, wide), TABLE), "index-shards")
+            self.table = keep(dealt.groupBy("shard").applyInArrow(lambda key, pieces: _built(key, pieces, level, wide), TABLE), "index-shards", WRITTEN)
 
     def save(self, path: str) -> None:
-        self.table.write.parquet(f"{path}/shards")
+        self.table.write.options(**WRITTEN).parquet(f"{path}/shards")
         self.table.sparkSession.createDataFrame([(self.n, self.pieces, self.wide)], "n long, pieces long, wide boolean").write.parquet(f"{path}/about")
 
     @classmethod

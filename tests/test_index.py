@@ -343,3 +343,15 @@ def test_pieces_and_their_ends_do_not_ask_for_the_suffix_order(spark, monkeypatc
     monkeypatch.setattr(catalog, "_read", lambda spark, sf_dir, name: spark.createDataFrame([(7, "a b"), (3, ""), (5, "e")], "doc_id long, text string"))
     assert sorted(tuple(r) for r in catalog.piece_bits(spark, "").collect()) == [(0, 0, 0, 1), (1, 2, 1, 1), (2, 6, 2, 1)]
     assert sorted(tuple(r) for r in catalog.wavelet_documents(spark, "").select("doc_id", "blanks", "symbol", "next_e").collect()) == [(3, 0, 0, 1), (5, 0, 101, 1), (7, 1, 98, None)]
+
+
+def test_shards_are_written_and_read_a_few_at_a_time(spark):
+    """Row groups end at their size, not after a hundred shards of any size."""
+    import pyarrow.parquet as pq
+
+    drawn = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, drawn.integers(1, 256, 1 << 20, np.uint8).tobytes()) for i in range(24)], "id long, body binary").coalesce(1)
+    index = ShardedIndex(from_table(rows, "id", "body"), shard=1 << 20)
+    sizes = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.table.inputFiles()]
+    assert sum(m.num_rows for m in sizes) >= 24
+    assert max(m.row_group(i).total_byte_size for m in sizes for i in range(m.num_row_groups)) < 24 << 20
