@@ -177,6 +177,14 @@ def walks(back: DataFrame, level: int) -> DataFrame:
         state = checkpoint(open_.join(further, "met").select("sa_row", F.col("_met").alias("met"), (F.col("steps") + F.col("_steps")).alias("steps")), "walks")
 
 
+def walks_in_order(table: DataFrame, n: int, level: int) -> DataFrame:
+    """The same from a whole suffix table: stepping back goes through the text, so a row comes to the sampled place at or before its own, around the text."""
+    sampled = table.where(F.col("sa_row") % (1 << level) == 0).select("pos", F.col("sa_row").alias("met"), F.col("pos").alias("there"))
+    last = sampled.agg(F.max(F.struct("pos", "met")).alias("last")).first()["last"]
+    found = asof(table.select("sa_row", "pos"), sampled, ["pos"], ["met", "there"], label="walks")
+    return found.select("sa_row", F.coalesce("met", F.lit(last["met"])).alias("met"), F.pmod(F.col("pos") - F.coalesce("there", F.lit(last["pos"])), F.lit(n)).alias("steps"))
+
+
 def located(rows: DataFrame, walk_table: DataFrame, sample: DataFrame, n: int) -> DataFrame:
     """rows (its sa_row) with pos: the sampled position at the end of the walk and the steps to there."""
     met = rows.join(walk_table, "sa_row").join(sample.select(F.col("sa_row").alias("met"), "pos"), "met")

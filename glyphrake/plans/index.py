@@ -150,7 +150,8 @@ class PlainIndex:
     @cached_property
     def walks(self) -> DataFrame:
         with passing(self.table.sparkSession) as keep:
-            return keep(lookup.walks(self.back, self.level), "index-walks")
+            walked = lookup.walks(self.back, self.level) if self.by_run else lookup.walks_in_order(self.table, self.n, self.level)
+            return keep(walked, "index-walks")
 
     @property
     def in_memory(self) -> bool:
