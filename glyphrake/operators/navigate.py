@@ -123,6 +123,21 @@ class Navigator:
             s[i], e[i] = self.bucket(c, s[i]), self.bucket(c, e[i])
         return s, np.maximum(s, e)
 
+    def below(self, symbols: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """How many suffixes are smaller than each pattern (its symbols one after the other, and their number) followed by the suffix of its row; also where the text has no such pattern or symbol."""
+        codes, smaller = self.code(symbols), np.searchsorted(self.symbols, symbols)
+        ends, rows = np.cumsum(sizes), rows.astype(np.int64)
+        for done in range(int(sizes.max(initial=0))):
+            i = np.flatnonzero(sizes > done)
+            at = ends[i] - 1 - done
+            # before a symbol that the text lacks are those of smaller ones, all rows if it is above them
+            known, between = codes[at] >= 0, (codes[at] < 0) & (smaller[at] < len(self.symbols))
+            moved = np.full(len(i), self.n, np.int64)
+            moved[known] = self.bucket(codes[at[known]], rows[i[known]])
+            moved[between] = self.bucket(smaller[at[between]], np.zeros(int(between.sum()), np.int64))
+            rows[i] = moved
+        return rows
+
     def positions(self, rows: np.ndarray, sample: np.ndarray, level: int) -> np.ndarray:
         """Places of suffixes: all rows step back together until each meets a sampled one."""
         at, out = np.asarray(rows, np.int64).copy(), np.zeros(len(rows), np.int64)

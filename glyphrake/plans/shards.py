@@ -1,9 +1,13 @@
 """An index over any number of pieces, cut into shards that are built and searched on their own.
 
 Matches never cross pieces, so whole pieces are dealt to shards by their place in the
-text.  A shard is one row: its transform, sampled positions and the beginnings of its
-pieces as bytes.  One task sorts a shard in memory, and a batch of patterns is answered
+text.  A shard is one row: its transform (or the runs of it), sampled positions and the
+beginnings of its pieces as bytes.  One task sorts a shard in memory, and a batch of patterns is answered
 by reading the shards once, whatever the number of patterns or symbols in them.
+
+A suffix is compared with a pattern no further than its piece goes, so the suffixes of the
+whole text below a pattern are those of all shards: intervals of the whole text's suffix
+order are sums over shards.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphrake.errors import InvalidPatternError
-from glyphrake.operators.navigate import Transform, sorted_suffixes
+from glyphrake.operators.navigate import Runs, Transform, sorted_suffixes
 from glyphrake.plans.index import Pattern, symbols_in
 from glyphrake.session import passing, prepare
 from glyphrake.sources.corpus import Corpus, values_of
@@ -25,17 +29,26 @@ from glyphrake.sources.corpus import Corpus, values_of
 SHARD, BATCH_BYTES, ROWS = 1 << 21, 16_000_000, 1 << 16
 #: Parquet looks at the size of a page and a row group after 100 rows, which are hundreds of MB of shards: here after each row, so that a task holds a few shards at a time when it writes and reads.
 WRITTEN = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
-TABLE = "shard long, n long, piece_ids binary, begins binary, before binary, start_row long, positions binary, level int"
+TABLE = "shard long, n long, piece_ids binary, begins binary, before binary, start_row long, positions binary, level int, starts binary"
+
 
+def _starts_type(n: int) -> str:
+    return "<u4" if n < 1 << 32 else "<i8"
 
-def _built(key: tuple, pieces: pa.Table, level: int, wide: bool) -> pa.Table:
+
+def _built(key: tuple, pieces: pa.Table, level: int, wide: bool, by_run: bool) -> pa.Table:
+    """A shard's row; by_run: before has the symbols of runs, and starts their first rows."""
     pieces = pieces.sort_by([("offset", "ascending")])
     bodies = [np.append(values_of(x).astype(np.int64), 0) for x in pieces.column("body")]
     sizes, text = np.fromiter(map(len, bodies), np.int64, len(bodies)), np.concatenate(bodies)
     order, level = sorted_suffixes(text), 0 if len(text) <= 1 << level else level
     before = np.concatenate(([0], text[:-1]))[order].astype("<i8" if wide else "u1")
+    starts = None
+    if by_run:
+        turns = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+        before, starts = before[turns], turns.astype(_starts_type(len(text))).tobytes()
     row = (key[0].as_py(), len(text), pieces.column("piece_id").to_numpy().astype("<i8").tobytes(), (np.cumsum(sizes) - sizes).astype("<i8").tobytes(), before.tobytes(), int(np.flatnonzero(order == 0)[0]), order[:: 1 << level].astype("<i8").tobytes(), level)
-    return pa.table([pa.array([x]) for x in row[:-1]] + [pa.array([row[-1]], pa.int32())], names=[x.split()[0] for x in TABLE.split(", ")])
+    return pa.table([pa.array([x]) for x in row[:-1]] + [pa.array([row[-1]], pa.int32()), pa.array([starts], pa.binary())], names=[x.split()[0] for x in TABLE.split(", ")])
 
 
 class Shard:
@@ -45,7 +58,8 @@ class Shard:
         array = lambda name: np.frombuffer(row[name], "<i8")
         self.n, self.level, self.positions = row["n"], row["level"], array("positions")
         self.piece_ids, self.begins = array("piece_ids"), array("begins")
-        self.navigator = Transform(np.frombuffer(row["before"], "<i8" if wide else "u1").astype(np.int64), row["start_row"])
+        before, starts = np.frombuffer(row["before"], "<i8" if wide else "u1").astype(np.int64), row.get("starts")
+        self.navigator = Transform(before, row["start_row"]) if starts is None else Runs(before, np.frombuffer(starts, _starts_type(self.n)).astype(np.int64), self.n, row["start_row"])
 
     def intervals(self, symbols: np.ndarray, sizes: np.ndarray, ends: bool) -> tuple[np.ndarray, np.ndarray]:
         """Rows of each pattern; with ends, of those that end a piece: the first rows are the terminators'."""
@@ -72,14 +86,15 @@ class Shard:
 class ShardedIndex:
     """Counts and locates batches of patterns, anywhere in pieces or at their beginnings, ends or as wholes."""
 
-    def __init__(self, corpus: Corpus, level: int = 2, shard: int = SHARD):
+    def __init__(self, corpus: Corpus, level: int = 2, shard: int = SHARD, by_run: bool = False):
+        """by_run: shards keep the runs of their transforms instead of a symbol for each row."""
         self.corpus, self.wide = corpus, corpus.wide
         self.n, self.pieces = corpus.measured()
         spark, wide = corpus.pieces.sparkSession, corpus.wide
         prepare(spark)
         with passing(spark) as keep:
             dealt = corpus.with_offsets().withColumn("shard", F.expr(f"offset div {shard}"))
-            self.table = keep(dealt.groupBy("shard").applyInArrow(lambda key, pieces: _built(key, pieces, level, wide), TABLE), "index-shards", WRITTEN)
+            self.table = keep(dealt.groupBy("shard").applyInArrow(lambda key, pieces: _built(key, pieces, level, wide, by_run), TABLE), "index-shards", WRITTEN)
 
     def save(self, path: str) -> None:
         self.table.write.options(**WRITTEN).parquet(f"{path}/shards")
@@ -94,7 +109,8 @@ class ShardedIndex:
 
     def stored_bytes(self) -> int:
         """Bytes of all shards' arrays."""
-        return self.table.agg(F.sum(sum((F.octet_length(c) for c in ("piece_ids", "begins", "before", "positions")), F.lit(0)).cast("long"))).first()[0] or 0
+        kept = [c for c in ("piece_ids", "begins", "before", "positions", "starts") if c in self.table.columns]
+        return self.table.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in kept), F.lit(0)).cast("long"))).first()[0] or 0
 
     def _answer(self, patterns: Sequence[Pattern], schema: str, reply) -> DataFrame:
         """reply's rows for every shard; patterns travel in batches of BATCH_BYTES, one pass over the shards each."""
@@ -133,6 +149,15 @@ class ShardedIndex:
 
         return self._answer(patterns, "pattern_id long, n long", reply).groupBy("pattern_id").agg(F.sum("n").alias("n"))
 
+    def intervals(self, patterns: Sequence[Pattern]) -> DataFrame:
+        """pattern_id, s, e: each pattern's rows in the suffix order of the whole text, also of patterns that have none; a text of no pieces has no rows."""
+
+        def reply(shard: Shard, ids: np.ndarray, symbols: np.ndarray, sizes: np.ndarray):
+            below = lambda row: shard.navigator.below(symbols, sizes, np.full(len(sizes), row))
+            yield ids, below(0), below(shard.n)
+
+        return self._answer(patterns, "pattern_id long, s long, e long", reply).groupBy("pattern_id").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+
     def locate(self, patterns: Sequence[Pattern], begins: bool = False, ends: bool = False) -> DataFrame:
         """pattern_id, piece_id, piece_pos of every occurrence; with begins and ends, of those that begin and end a piece."""
 

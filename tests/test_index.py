@@ -355,3 +355,37 @@ def test_shards_are_written_and_read_a_few_at_a_time(spark):
     sizes = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.table.inputFiles()]
     assert sum(m.num_rows for m in sizes) >= 24
     assert max(m.row_group(i).total_byte_size for m in sizes for i in range(m.num_row_groups)) < 24 << 20
+
+
+@pytest.mark.parametrize("by_run", [False, True])
+def test_intervals_of_the_whole_text_from_shards(spark, by_run):
+    """Rows below and up to a pattern add up over shards, also where a shard lacks a pattern or its symbols."""
+    drawn, bodies = drawn_bodies(5, b"bd", 25, 40)
+    bodies[2:4] = [b"bbbb", b"zdz"]
+    index = ShardedIndex(from_table(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "id long, body binary"), "id", "body"), shard=60, by_run=by_run)
+    text = b"".join(b + b"\0" for b in bodies)
+    order = sorted(text[i:] for i in range(len(text)))
+    patterns = [b"b", b"bd", b"dbb", b"a", b"c", b"bc", b"cb", b"z", b"zd", b"bz", b"\xff", bodies[0]]
+    got = {r.pattern_id: (r.s, r.e) for r in index.intervals(patterns).collect()}
+    assert index.table.count() >= 3
+    for i, p in enumerate(patterns):
+        below = sum(x < p for x in order)
+        assert got[i] == (below, below + sum(x.startswith(p) for x in order))
+
+
+def _without_suffix_order(spark, monkeypatch):
+    from glyphrake import catalog
+    from glyphrake.operators import suffixes
+
+    monkeypatch.setattr(suffixes, "suffix_table", None)
+    monkeypatch.setattr(catalog, "_INDEXES", {})
+    monkeypatch.setattr(catalog, "_read", lambda spark, sf_dir, name: spark.createDataFrame([(7, "on the station"), (3, ""), (5, "banana né"), (None, "on"), (9, None)], "doc_id long, text string"))
+    return catalog
+
+
+def test_intervals_over_runs_of_documents_do_not_ask_for_the_suffix_order(spark, monkeypatch):
+    """intervals_documents_runs ordered all suffixes of the corpus by one sort before."""
+    got = _without_suffix_order(spark, monkeypatch).intervals_documents_runs(spark, "").collect()
+    text = "\0banana né\0on the station\0".encode()
+    below = {p: sum(text[i:] < p.encode() for i in range(len(text))) for p in ("on", "the", "anan", "é")}
+    assert {tuple(r) for r in got} == {("on", 2, below["on"]), ("the", 1, below["the"]), ("anan", 1, below["anan"]), ("é", 1, below["é"]), ("zzqx", 0, None)}
