@@ -221,3 +221,47 @@ def test_order_by_cuts(spark, monkeypatch):
     assert [r.pos for r in rows] == sorted(range(len(text)), key=lambda i: text[i:]) and not turns
     assert all(r.f == text[r.pos] and r.l == (text[r.pos - 1] if r.pos else 0) for r in rows)
     assert [r.key for r in rows] == sorted(r.key for r in rows)
+
+
+@pytest.mark.parametrize("most", [12, 2**40])
+def test_wavelet_matrix_in_blocks(spark, many_parts, monkeypatch, most):
+    """Blocks are joined for what crosses them: symbols that some lack, places at their edges, the end of the text."""
+    from glyphrake.operators import bits
+
+    monkeypatch.setattr(bits, "BLOCK_BITS", 16 * most.bit_length())
+    drawn = random.Random(most)
+    symbols = [drawn.choice([0, 3, 3, 9, most]) for _ in range(150)] + [3] * 50 + [1]
+    rows = list(enumerate(symbols))
+    drawn.shuffle(rows)
+    matrix, n = WaveletMatrix.build(spark.createDataFrame(rows, "at long, c long").repartition(3), len(symbols), most), len(symbols)
+    assert matrix.blocks.count() == -(-n // matrix.block) > 5
+    asked = spark.createDataFrame([(s, i) for s in (-1, 0, 1, 3, 5, most, 2**62) for i in range(0, n + 1, 3)] + [(3, n), (1, n)], "s long, i long")
+    for r in matrix.read(asked, "i", {"ones": "s"}, "c").collect():
+        assert r.ones == symbols[: r.i].count(r.s) and r.c == (symbols[r.i] if r.i < n else None)
+    for r in matrix.select(asked, "s", "i").collect():
+        places = [i for i, c in enumerate(symbols) if c == r.s]
+        assert r["at"] == (places[r.i] if r.i < len(places) else None)
+
+
+def test_wavelet_matrix_of_pieces_moves_no_symbols(spark, monkeypatch):
+    """The matrix of a text is made of bytes of its pieces: each level took an exchange of a row for every symbol before."""
+    from glyphrake.operators import bits
+
+    monkeypatch.setattr(bits, "BLOCK_BITS", 8 * 64)
+    text = b"".join(bytes(random.Random(i).choices(b"abc", k=(0, 1, 63, 64, 200)[i % 5])) + b"\0" for i in range(20))
+    text = text.lstrip(b"\0")
+    matrix = WaveletMatrix.of_corpus(from_buffer(spark, text), len(text))
+    assert matrix.blocks.count() == -(-len(text) // 64)
+    asked = spark.range(len(text)).select(F.col("id").alias("i"), F.lit(98).cast("long").alias("b"))
+    for r in matrix.read(asked, "i", {"bs": "b"}, "c").collect():
+        assert r.c == text[r.i] and r.bs == text[: r.i].count(b"b")
+
+
+def test_the_end_of_an_empty_document(spark, monkeypatch):
+    """Before it is the terminator of the document before, as in the SQL; the row had the empty document's id."""
+    from glyphrake import catalog
+
+    monkeypatch.setattr(catalog, "_INDEXES", {})
+    monkeypatch.setattr(catalog, "_read", lambda spark, sf_dir, name: spark.createDataFrame([(3, ""), (5, "e b"), (6, ""), (7, ""), (8, "e")], "doc_id long, text string"))
+    got = catalog.wavelet_documents(spark, "").select("doc_id", "blanks", "symbol", "next_e").collect()
+    assert sorted(map(tuple, got)) == [(5, 1, 0, 7), (5, 1, 98, 7), (6, 1, 0, 7), (8, 1, 101, 7)]
