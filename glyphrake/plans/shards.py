@@ -20,46 +20,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphrake.errors import InvalidPatternError
+from glyphrake.functions.running import running_sum
 from glyphrake.operators.navigate import Runs, Transform, sorted_suffixes
 from glyphrake.plans.index import Pattern, symbols_in
-from glyphrake.session import passing, prepare
+from glyphrake.session import checkpoint, passing, prepare
 from glyphrake.sources.corpus import Corpus, values_of
 
 #: Symbols of a shard (a longer piece is a shard of its own), bytes of patterns that are sent to all tasks at once, matches handed on at a time.
 SHARD, BATCH_BYTES, ROWS = 1 << 21, 16_000_000, 1 << 16
 #: Parquet looks at the size of a page and a row group after 100 rows, which are hundreds of MB of shards: here after each row, so that a task holds a few shards at a time when it writes and reads.
-WRITTEN = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20)}
-TABLE = "shard long, n long, piece_ids binary, begins binary, before binary, start_row long, positions binary, level int, starts binary"
+WRITTEN = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(16 << 20), "compression": "zstd"}
+TABLE = "shard long, n long, piece_ids binary, begins binary, before binary, start_row long, positions binary, level int, lengths binary"
 
 
-def _starts_type(n: int) -> str:
+def _place_type(n: int) -> str:
     return "<u4" if n < 1 << 32 else "<i8"
 
 
+def _dealt(corpus: Corpus, shard: int) -> DataFrame:
+    """pieces with offset and shard.  Bodies move to their shards and nowhere else: sizes alone are put in order.
+
+    Equal bodies of one id are told apart by nothing; they share out their places.
+    """
+    sizes = checkpoint(corpus.in_order().select("piece_id", "_tie", "_size"), "shard-sizes")
+    placed = running_sum(sizes, ["piece_id", "_tie"], "_size", "offset", label="shard-offsets")
+    firsts = checkpoint(placed.groupBy("piece_id", "_tie").agg(F.min("offset").alias("_first"), F.count("*").alias("_copies")), "shard-places")
+    offset = F.col("_first") + F.pmod(F.monotonically_increasing_id(), F.col("_copies")) * F.col("_size")
+    return corpus.in_order().join(firsts, ["piece_id", "_tie"]).select("piece_id", "body", offset.alias("offset")).withColumn("shard", F.expr(f"offset div {shard}"))
+
+
 def _built(key: tuple, pieces: pa.Table, level: int, wide: bool, by_run: bool) -> pa.Table:
-    """A shard's row; by_run: before has the symbols of runs, and starts their first rows."""
+    """A shard's row; by_run: before has the symbols of runs, and lengths how many rows each has."""
     pieces = pieces.sort_by([("offset", "ascending")])
     bodies = [np.append(values_of(x).astype(np.int64), 0) for x in pieces.column("body")]
     sizes, text = np.fromiter(map(len, bodies), np.int64, len(bodies)), np.concatenate(bodies)
     order, level = sorted_suffixes(text), 0 if len(text) <= 1 << level else level
     before = np.concatenate(([0], text[:-1]))[order].astype("<i8" if wide else "u1")
-    starts = None
+    lengths = None
     if by_run:
         turns = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
-        before, starts = before[turns], turns.astype(_starts_type(len(text))).tobytes()
-    row = (key[0].as_py(), len(text), pieces.column("piece_id").to_numpy().astype("<i8").tobytes(), (np.cumsum(sizes) - sizes).astype("<i8").tobytes(), before.tobytes(), int(np.flatnonzero(order == 0)[0]), order[:: 1 << level].astype("<i8").tobytes(), level)
-    return pa.table([pa.array([x]) for x in row[:-1]] + [pa.array([row[-1]], pa.int32()), pa.array([starts], pa.binary())], names=[x.split()[0] for x in TABLE.split(", ")])
+        before, lengths = before[turns], np.diff(np.append(turns, len(text))).astype(_place_type(len(text))).tobytes()
+    row = (key[0].as_py(), len(text), pieces.column("piece_id").to_numpy().astype("<i8").tobytes(), (np.cumsum(sizes) - sizes).astype("<i8").tobytes(), before.tobytes(), int(np.flatnonzero(order == 0)[0]), order[:: 1 << level].astype(_place_type(len(text))).tobytes(), level)
+    return pa.table([pa.array([x]) for x in row[:-1]] + [pa.array([row[-1]], pa.int32()), pa.array([lengths], pa.binary())], names=[x.split()[0] for x in TABLE.split(", ")])
 
 
 class Shard:
     """One shard's row, ready to be searched."""
 
     def __init__(self, row: dict, wide: bool):
-        array = lambda name: np.frombuffer(row[name], "<i8")
-        self.n, self.level, self.positions = row["n"], row["level"], array("positions")
+        array = lambda name, kind="<i8": np.frombuffer(row[name], kind).astype(np.int64)
+        # tables without the column were saved before places were narrow
+        self.n, self.level, kind = row["n"], row["level"], _place_type(row["n"]) if "lengths" in row else "<i8"
+        self.positions = array("positions", kind)
         self.piece_ids, self.begins = array("piece_ids"), array("begins")
-        before, starts = np.frombuffer(row["before"], "<i8" if wide else "u1").astype(np.int64), row.get("starts")
-        self.navigator = Transform(before, row["start_row"]) if starts is None else Runs(before, np.frombuffer(starts, _starts_type(self.n)).astype(np.int64), self.n, row["start_row"])
+        before = array("before", "<i8" if wide else "u1")
+        if row.get("lengths") is None:
+            self.navigator = Transform(before, row["start_row"])
+        else:
+            lengths = array("lengths", kind)
+            self.navigator = Runs(before, np.cumsum(lengths) - lengths, self.n, row["start_row"])
 
     def intervals(self, symbols: np.ndarray, sizes: np.ndarray, ends: bool) -> tuple[np.ndarray, np.ndarray]:
         """Rows of each pattern; with ends, of those that end a piece: the first rows are the terminators'."""
@@ -93,8 +112,7 @@ class ShardedIndex:
         spark, wide = corpus.pieces.sparkSession, corpus.wide
         prepare(spark)
         with passing(spark) as keep:
-            dealt = corpus.with_offsets().withColumn("shard", F.expr(f"offset div {shard}"))
-            self.table = keep(dealt.groupBy("shard").applyInArrow(lambda key, pieces: _built(key, pieces, level, wide, by_run), TABLE), "index-shards", WRITTEN)
+            self.table = keep(_dealt(corpus, shard).groupBy("shard").applyInArrow(lambda key, pieces: _built(key, pieces, level, wide, by_run), TABLE), "index-shards", WRITTEN)
 
     def save(self, path: str) -> None:
         self.table.write.options(**WRITTEN).parquet(f"{path}/shards")
@@ -109,7 +127,7 @@ class ShardedIndex:
 
     def stored_bytes(self) -> int:
         """Bytes of all shards' arrays."""
-        kept = [c for c in ("piece_ids", "begins", "before", "positions", "starts") if c in self.table.columns]
+        kept = [c for c in ("piece_ids", "begins", "before", "positions", "lengths") if c in self.table.columns]
         return self.table.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in kept), F.lit(0)).cast("long"))).first()[0] or 0
 
     def _answer(self, patterns: Sequence[Pattern], schema: str, reply) -> DataFrame:

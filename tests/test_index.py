@@ -410,3 +410,11 @@ def test_places_in_shards_of_runs(spark, tmp_path):
     wide = spark.createDataFrame([(1, [700, 2, 700]), (2, []), (3, [2, 700])], "id long, body array<int>")
     index = ShardedIndex(from_table(wide, "id", "body", max_symbol=700), shard=4, by_run=True)
     assert sorted(tuple(r) for r in index.locate([[700], [2, 700]]).collect()) == [(0, 1, 0), (0, 1, 2), (0, 3, 1), (1, 1, 1), (1, 3, 0)]
+
+
+def test_equal_pieces_of_one_id_share_out_their_places(spark):
+    """Bodies are joined to places by id and hash: copies come once each, and not all to one shard."""
+    rows = spark.createDataFrame([(1, "ab")] * 40 + [(0, "b"), (1, "b")], "id long, body string")
+    index = ShardedIndex(from_table(rows, "id", "body"), shard=12)
+    assert index.table.agg({"n": "sum"}).first()[0] == index.n == 124 and index.table.count() > 5
+    assert {r.pattern_id: r.n for r in index.count(["a", "b"]).collect()} == {0: 40, 1: 42}
