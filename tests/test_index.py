@@ -391,6 +391,30 @@ def test_intervals_over_runs_of_documents_do_not_ask_for_the_suffix_order(spark,
     assert {tuple(r) for r in got} == {("on", 2, below["on"]), ("the", 1, below["the"]), ("anan", 1, below["anan"]), ("é", 1, below["é"]), ("zzqx", 0, None)}
 
 
+def test_intervals_of_documents_do_not_ask_for_the_suffix_order(spark, monkeypatch):
+    """intervals_documents wrote a row for each symbol of the corpus before."""
+    got = _without_suffix_order(spark, monkeypatch).intervals_documents(spark, "").collect()
+    text = "\0banana né\0on the station\0".encode()
+    below = {p: sum(text[i:] < p.encode() for i in range(len(text))) for p in ("on", "the", "anan", "é")}
+    assert {tuple(r) for r in got} == {("on", 2, below["on"]), ("the", 1, below["the"]), ("anan", 1, below["anan"]), ("é", 1, below["é"]), ("zzqx", 0, None)}
+
+
+def test_shards_are_cut_where_pieces_are(spark, monkeypatch):
+    """Bodies were exchanged twice before; only partitions far above a core's share are dealt again."""
+    from glyphrake.plans import shards
+
+    dealt, plans = shards._dealt, []
+    monkeypatch.setattr(shards, "_dealt", lambda *a: plans.append(out := dealt(*a)) or out)
+    rows = spark.createDataFrame([(i, "abc" * (i % 5)) for i in range(400)], "id long, body string")
+    for corpus in (from_table(rows.repartition(2 * spark.sparkContext.defaultParallelism), "id", "body"), from_table(rows.coalesce(1), "id", "body")):
+        index = ShardedIndex(corpus, shard=100)
+        assert (index.n, index.pieces, index.table.agg({"n": "sum"}).first()[0]) == (2800, 400, 2800)
+        assert index.table.agg({"n": "max"}).first()[0] <= 100 and index.table.select("shard").distinct().count() == index.table.count() >= 28
+        assert {r.pattern_id: r.n for r in index.count(["ab", "ca"]).collect()} == {0: 800, 1: 480}
+    exchanges = [x._jdf.queryExecution().sparkPlan().toString().count("Repartition") + x._jdf.queryExecution().sparkPlan().toString().count("Exchange") for x in plans]
+    assert exchanges == [1, 1]
+
+
 def test_places_over_runs_of_documents_do_not_ask_for_the_suffix_order(spark, monkeypatch):
     """locate_documents_runs walked all rows of one suffix order before."""
     got = _without_suffix_order(spark, monkeypatch).locate_documents_runs(spark, "").collect()
