@@ -399,6 +399,12 @@ def test_intervals_of_documents_do_not_ask_for_the_suffix_order(spark, monkeypat
     assert {tuple(r) for r in got} == {("on", 2, below["on"]), ("the", 1, below["the"]), ("anan", 1, below["anan"]), ("é", 1, below["é"]), ("zzqx", 0, None)}
 
 
+def test_places_in_documents_do_not_ask_for_the_suffix_order(spark, monkeypatch):
+    """locate_documents joined rows of one suffix table before."""
+    got = _without_suffix_order(spark, monkeypatch).locate_documents(spark, "").collect()
+    assert sorted(tuple(r) for r in got) == [("anan", 5, 1), ("né", 5, 7), ("tion", 7, 10)]
+
+
 def test_shards_are_cut_where_pieces_are(spark, monkeypatch):
     """Bodies were exchanged twice before; only partitions far above a core's share are dealt again."""
     from glyphrake.plans import shards
