@@ -405,6 +405,22 @@ def test_places_in_documents_do_not_ask_for_the_suffix_order(spark, monkeypatch)
     assert sorted(tuple(r) for r in got) == [("anan", 5, 1), ("né", 5, 7), ("tion", 7, 10)]
 
 
+def test_refining_in_documents_does_not_ask_for_the_suffix_order(spark, monkeypatch):
+    """refine_documents searched the suffix table of the whole text before."""
+    got = _without_suffix_order(spark, monkeypatch).refine_documents(spark, "").collect()
+    assert sorted(tuple(r) for r in got) == [("anné", 0), ("ati", 1), ("e", 1), ("onti", 0), ("que", 0), ("the", 1), ("zzqxti", 0)]
+
+
+def test_refined_counts_add_up_over_shards(spark):
+    drawn, bodies = drawn_bodies(4, b"ab", 25, 40)
+    index = ShardedIndex(from_table(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "id long, body binary"), "id", "body"), shard=60)
+    searches, more = [b"a", b"ba", b"x"], [(0, b"b"), (1, b"a"), (0, b""), (2, b"a"), (1, b"xb"), (1, b"bb")]
+    got = {r.pattern_id: r.n for r in index.refined(searches, more).collect()}
+    assert got == {i: n for i, (s, m) in enumerate(more) if (n := sum(len(naive(b, m + searches[s])) for b in bodies))}
+    with pytest.raises(InvalidPatternError):
+        index.refined([b"\0"], [(0, b"a")])
+
+
 def test_shards_are_cut_where_pieces_are(spark, monkeypatch):
     """Bodies were exchanged twice before; only partitions far above a core's share are dealt again."""
     from glyphrake.plans import shards
