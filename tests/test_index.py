@@ -421,6 +421,27 @@ def test_refined_counts_add_up_over_shards(spark):
         index.refined([b"\0"], [(0, b"a")])
 
 
+def test_reading_on_in_documents_does_not_ask_for_the_suffix_order(spark, monkeypatch):
+    """until_documents read from a row for each symbol of the corpus before."""
+    catalog = _without_suffix_order(spark, monkeypatch)
+    monkeypatch.setattr(catalog, "_read", lambda spark, sf_dir, name: spark.createDataFrame([(7, "x anan y. z"), (3, ""), (5, "banana né"), (8, "anan"), (6, "anan."), (None, "anan"), (9, None)], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in catalog.until_documents(spark, "").collect()) == [(5, 1, 9), (6, 0, 4), (7, 2, 6), (8, 0, 4)]
+
+
+@pytest.mark.parametrize("most", [1, 1024])
+@pytest.mark.parametrize("by_run", [False, True])
+def test_reading_on_in_shards(spark, monkeypatch, by_run, most):
+    """Until a stop or the piece's end, also at the ends of shards, and few matches at a time."""
+    from glyphrake.plans import shards
+
+    monkeypatch.setattr(shards, "READ", most)
+    drawn, bodies = drawn_bodies(6, b"abc", 25, 40)
+    index = ShardedIndex(from_table(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "id long, body binary"), "id", "body"), shard=60, by_run=by_run)
+    patterns, stops = [b"a", b"cb", b"z"], [99, 120]
+    got = sorted((r.pattern_id, r.piece_id, r.piece_pos, bytes(r.symbols)) for r in index.locate_until(patterns, stops).collect())
+    assert got == sorted((i, k, at, b[at:].split(b"c")[0]) for i, p in enumerate(patterns) for k, b in enumerate(bodies) for at in naive(b, p))
+
+
 def test_shards_are_cut_where_pieces_are(spark, monkeypatch):
     """Bodies were exchanged twice before; only partitions far above a core's share are dealt again."""
     from glyphrake.plans import shards
