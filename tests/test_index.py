@@ -442,6 +442,31 @@ def test_reading_on_in_shards(spark, monkeypatch, by_run, most):
     assert got == sorted((i, k, at, b[at:].split(b"c")[0]) for i, p in enumerate(patterns) for k, b in enumerate(bodies) for at in naive(b, p))
 
 
+def test_the_order_of_documents_is_digested_by_rounds(spark, monkeypatch):
+    """suffix_order_documents wrote a row for each symbol and sorted them in one exchange before; empty and equal texts, and copies, too."""
+    from glyphrake.operators import cuts
+
+    rounds, one = [], cuts._digested_round
+    monkeypatch.setattr(cuts, "_digested_round", lambda *a: rounds.append(1) or one(*a))
+    monkeypatch.setattr(cuts.digested, "__defaults__", (*cuts.digested.__defaults__[:-1], 400))
+    monkeypatch.setattr(suffixes.digest, "__defaults__", (*suffixes.digest.__defaults__[:-1], 100))
+    drawn = random.Random(3)
+    words = ["on", "the", "station", "né", "red", "widget", "banana", "quality", "a"]
+    texts = [" ".join(drawn.choices(words, k=drawn.randint(0, 25))) for _ in range(40)] + ["", "the"]
+    texts += texts[:6]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    index = PieceIndexWithLocate(from_table(rows, "id", "body"), most_in_memory=0, when_asked=True)
+    got = {r.piece_id: (r.n, r.least, r.rows, r.weighted) for r in index.digest.collect()}
+    assert "table" not in index.__dict__ and len(rounds) > 5
+    bodies = [t.encode() + b"\0" for t in texts]
+    text, owners = b"".join(bodies), [(k, i) for k, b in enumerate(bodies) for i in range(len(b))]
+    row = {at: r for r, at in enumerate(sorted(range(len(text)), key=lambda i: text[i:]))}
+    want = {k: [] for k in range(len(texts))}
+    for at, (k, i) in enumerate(owners):
+        want[k].append((row[at], i))
+    assert got == {k: (len(x), min(r for r, _ in x), sum(r for r, _ in x), sum(r * i for r, i in x) % 1_000_000_007) for k, x in want.items()}
+
+
 def test_shards_are_cut_where_pieces_are(spark, monkeypatch):
     """Bodies were exchanged twice before; only partitions far above a core's share are dealt again."""
     from glyphrake.plans import shards
